@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from shiftspark.llm import idfiles, packing
+from shiftspark.llm import decontam, idfiles, linededup, packing, quality, rules, secrets, simhash, toxicity, urlfilter
 
 QUERIES = {
+    "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op2_line_dedup": linededup.op2_line_dedup,
+    "op3_benchmark_decontamination": decontam.op3_benchmark_decontamination,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_token_id_files": idfiles.op5_token_id_files,
+    "op6_secret_scan": secrets.op6_secret_scan,
+    "op7_quality_classifier": quality.op7_quality_classifier,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_quality_rules": rules.op9_quality_rules,
+    "op10_url_filter": urlfilter.op10_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": linededup.OP2_SQL}
