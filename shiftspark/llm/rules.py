@@ -59,9 +59,10 @@ def learn(x: np.ndarray, low: np.ndarray, names: list[str], precision: float = P
     third = np.zeros(len(x), bool)
     third[order[: len(x) // 3]] = True
     left, rules = np.ones(len(x), bool), []
+    tried = np.zeros(len(x), bool)  # covered by a rule that was not precise enough
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, THRESHOLDS + 1)[1:-1])) for f in range(x.shape[1])] if len(x) else []
-    while len(rules) < RULES and (left & low & ~third).any() and (left & low & third).any():
-        grow, chosen = left & ~third, []
+    for _ in range(RULES):
+        grow, chosen = left & ~third & ~tried, []
         covered = np.ones(len(x), bool)
         while len(chosen) < CONDITIONS:
             now = covered & grow
@@ -78,19 +79,33 @@ def learn(x: np.ndarray, low: np.ndarray, names: list[str], precision: float = P
                             if gain > best[0] + 1e-9:
                                 best = (gain, (names[f], op, float(t)), side)
             if best[1] is None:
-                break
+                break  # no side is purer
             chosen.append(best[1])
             covered &= best[2]
         rule = _prune(chosen, x, low, names, left & third)
         hit = left & covers(rule, x, names) if rule else np.zeros(len(x), bool)
         p, n = (hit & third & low).sum(), (hit & third & ~low).sum()
-        if not rule or p == 0 or p / (p + n) < precision:
+        if not rule:
             break
-        rules.append(rule)
+        if p == 0 or p / (p + n) < precision:
+            tried |= hit
+            continue
+        rules.append(_centred(rule, hit & low, x, names))
         left &= ~hit
     return rules
 
 
+def _centred(rule: list[Condition], hit: np.ndarray, x: np.ndarray, names: list[str]) -> list[Condition]:
+    """Each threshold halfway between the values it keeps out and those of the rows hit."""
+    out = []
+    for name, op, t in rule:
+        own = x[:, names.index(name)]
+        beyond, within = (own[own <= t], own[hit].min()) if op == ">" else (own[own > t], own[hit].max())
+        edge = beyond.max() if op == ">" else beyond.min()
+        out.append((name, op, float((edge + within) / 2)))
+    return out
+
+
 def covers(rule: list[Condition], x: np.ndarray, names: list[str]) -> np.ndarray:
     hit = np.ones(len(x), bool)
     for name, op, t in rule:
