@@ -1,5 +1,9 @@
 """Queries of the driver contract and their SQL."""
 
-FLAGSHIP = ""
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from shiftspark.plans import basics, build, detectors, models  # noqa: F401  (importing registers their queries)
+
+FLAGSHIP = "user_shifts"
+QUERIES = build.QUERIES
+ORACLE_SQL = build.ORACLE_SQL
