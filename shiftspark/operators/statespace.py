@@ -230,16 +230,28 @@ def digamma(x: np.ndarray) -> np.ndarray:
     return out + np.log(x) - 0.5 / x - i * (1 / 12 - i * (1 / 120 - i / 252))
 
 
+def _spread_labels(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """First labels: seeds drawn far apart, then a few rounds of nearest means."""
+    centres = x[[int(rng.integers(len(x)))]]
+    for _ in range(1, k):
+        d = ((x[:, None] - centres) ** 2).sum(axis=2).min(axis=1) + 1e-12
+        centres = np.vstack([centres, x[rng.choice(len(x), p=d / d.sum())]])
+    for _ in range(10):
+        own = ((x[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
+        centres = np.array([x[own == j].mean(axis=0) if (own == j).any() else centres[j] for j in range(k)])
+    return own
+
+
 def fit_sdhmm(x: np.ndarray, states: int, components: int = 1, iterations: int = 50, least: int = 5, tolerance: float = 1e-5, seed: int = 0, steps: int = 5) -> dict:
     """EM for a scaled-Dirichlet HMM, each state a mixture of ``components``; returns parameters and the trace."""
     x = np.clip(x / x.sum(axis=1, keepdims=True), 1e-6, None)
     x = x / x.sum(axis=1, keepdims=True)
     rng, (T, D), KM = np.random.default_rng(seed), x.shape, states * components
-    own = rng.integers(0, KM, T)
+    own = _spread_labels(x, states, rng)
     alpha, beta = np.ones((KM, D)), np.full((KM, D), 1.0 / D)
     for k in range(KM):
-        rows = x[own == k] if (own == k).any() else x
-        alpha[k] = 1 + 10 * rows.mean(axis=0)
+        rows = x[own == k // components] if (own == k // components).any() else x
+        alpha[k] = 1 + 10 * rows.mean(axis=0) * rng.uniform(0.8, 1.2, D)
     pi, a, w, trace = np.full(states, 1 / states), np.full((states, states), 1 / states) + np.eye(states), np.full((states, components), 1 / components), []
     a = a / a.sum(axis=1, keepdims=True)
     for it in range(iterations):
