@@ -41,7 +41,7 @@ TERM_ODDS = 8.0
 WINDOW = 6
 THRESHOLD = 0.5
 SLICE_BYTES = 8 << 20
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 200_000
 
 QUOTES = set('"“”„«»‘’')
 QUOTING = {"said", "says", "wrote", "quoted", "quote", "called", "word", "term", "sagte", "dit", "dijo"}
@@ -119,7 +119,7 @@ class FuzzyLexicon:
         return self.accepts[state]
 
 
-FEATURES = ["exact", "exact_weight", "exact_top", "fuzzy", "fuzzy_weight", "density", "abuse", "quoted", "terms", "log_words"]
+FEATURES = ["hits", "weight", "top", "misspelled_share", "density", "abuse", "quoted", "terms", "log_words"]
 
 
 class Scanner:
@@ -157,8 +157,8 @@ class Scanner:
         return out
 
     def _document(self, hits: np.ndarray, index: np.ndarray, chunks: list[str], kinds: list, first: int, last: int) -> list[float]:
-        exact = fuzzy = 0
-        exact_weight = fuzzy_weight = top = abuse = quoted = 0.0
+        misspelled = 0
+        total = top = abuse = quoted = 0.0
         terms = set()
         for h in hits.tolist():
             edits, term = kinds[index[h]]
@@ -167,15 +167,13 @@ class Scanner:
             others = sum(kinds[index[j]] is not None for j in range(max(first, h - WINDOW), min(last, h + WINDOW + 1))) - 1
             words = {c.strip(_EDGES).lower() for c in around}
             quote = (sum(any(q in c for q in QUOTES) for c in [*around, chunks[index[h]]]) + 2 * len(words & QUOTING)) / 2
-            if edits:
-                fuzzy, fuzzy_weight = fuzzy + 1, fuzzy_weight + weight / (1 + edits)
-            else:
-                exact, exact_weight, top = exact + 1, exact_weight + weight, max(top, weight)
             terms.add(term)
             worth = weight / (1 + edits)
+            misspelled += edits > 0
+            total, top = total + worth, max(top, worth)
             abuse += worth * (1 + 0.5 * others + 0.5 * len(words & ADDRESS)) / (1 + quote)
             quoted += worth * min(1.0, quote)
-        return [exact, exact_weight, top, fuzzy, fuzzy_weight, 100 * (exact + fuzzy) / (last - first), abuse, quoted, len(terms)]
+        return [len(hits), total, top, misspelled / len(hits), 100 * len(hits) / (last - first), abuse, quoted, len(terms)]
 
 
 _SCANNERS: dict[int, Scanner] = {}
