@@ -11,9 +11,14 @@ from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
 
+#: Bytes of an Arrow batch where the session has Spark's default: a task's memory
+#: then hangs on neither the number of rows in a batch nor the length of a row.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def connect(spark: SparkSession) -> SparkSession:
-    """Ship the package's source to the session's Python workers, once an application."""
+    """Ship the package's source to the session's Python workers and bound their batches, once an application."""
     context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
         root = Path(__file__).resolve().parent
@@ -22,5 +27,7 @@ def connect(spark: SparkSession) -> SparkSession:
             for path in sorted(root.rglob("*.py")):
                 z.write(path, f"{root.name}/{path.relative_to(root)}")
         context.addPyFile(target)
+        if spark.conf.get(_BATCH) in ("64m", "64MB", "67108864", "67108864b"):
+            spark.conf.set(_BATCH, str(BATCH_BYTES))
         _SHIPPED.add(context.applicationId)
     return spark
