@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shiftspark.llm.common import fits_broadcast, stash, table
+from shiftspark.llm.common import stash, table
 
 MIN_SITES = 3
 MIN_WORDS = 4
@@ -30,8 +30,6 @@ MIN_WORDS = 4
 LG_K = 12
 #: Estimates within so many standard errors of the threshold, and within one site, are counted exactly.
 ERRORS = 4.0
-#: Documents that lose lines are broadcast up to so many, joined beyond.
-BROADCAST_ROWS = 100_000
 
 _SPACE = "\t\x0b\x0c\r "
 
@@ -79,15 +77,16 @@ def drop_shared_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: in
     others = where.join(taken, "digest").where(~F.col("first").eqNullSafe(F.struct("doc_id", "tx", "pos")))
     # at most a document's own lines in a row
     gone = stash(others.groupBy("doc_id", "tx").agg(F.collect_set("pos").alias("gone")), "gone").toDF("_doc", "_tx", "_gone")
-    side = F.broadcast(gone) if fits_broadcast(gone, BROADCAST_ROWS) else gone
-    marked = docs.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_tx")), "left")
+    side = gone  # the same join at every size; Spark broadcasts it where it measures it small
+    # columns by their frame, as docs may have any names
+    marked = docs.join(side, docs["doc_id"].cast("long").eqNullSafe(side["_doc"]) & (F.xxhash64(docs["text"]) == side["_tx"]), "left")
     lines = _lines(docs["text"])
-    gone_set = F.col("_gone")
+    gone_set = side["_gone"]
     left = F.concat_ws("\n", F.filter(lines, lambda x, i: ~F.array_contains(gone_set, i)))
     text = F.when(gone_set.isNull(), docs["text"]).otherwise(left)
     return marked.select(
         *[text.alias("text") if c == "text" else docs[c] for c in docs.columns],
-        F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.size(lines).cast("long").alias("n_lines"), F.when(gone_set.isNull(), 0).otherwise(F.size(gone_set)).cast("long").alias("n_removed"),
     )
 
 
