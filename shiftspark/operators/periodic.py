@@ -195,6 +195,23 @@ def sample(counts: DataFrame, period: int, min_length: int, rate: float = 1.0, c
     return tasks.groupBy("series_id", "chain").applyInPandas(run, POSTERIOR)
 
 
+def sample_rates(counts: DataFrame, period: int, min_length: int, rates: list[float], iterations: int = 2000, burn: int = 500, thin: int = 5, seed: int = 0) -> DataFrame:
+    """series_id, rate, m, probability: how the number of segments hangs on the prior rate; a task for each (series, rate)."""
+    spark = counts.sparkSession
+    grid = F.broadcast(spark.createDataFrame([(float(r),) for r in rates], "rate double"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        s, n = np.zeros(period, int), np.zeros(period, int)
+        s[frame["phase"]], n[frame["phase"]] = frame["s"], frame["n"]
+        sid, rate = str(frame["series_id"].iloc[0]), float(frame["rate"].iloc[0])
+        kept, _ = chain(Target(s, n, min_length, rate), iterations, burn, thin, np.random.default_rng([seed, *sid.encode()]))
+        m = pd.Series([max(1, len(t)) for t, _ in kept]).value_counts(normalize=True)
+        return pd.DataFrame({"series_id": sid, "rate": rate, "m": m.index, "probability": m.to_numpy()})
+
+    tasks = counts.select(F.col("series_id").cast("string"), "phase", "s", "n").crossJoin(grid)
+    return tasks.groupBy("series_id", "rate").applyInPandas(run, "series_id string, rate double, m int, probability double")
+
+
 # --- summaries, all native ----------------------------------------------------------
 
 

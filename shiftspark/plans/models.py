@@ -80,6 +80,11 @@ def within_period_tempered(spark, sf_dir):
     return periodic.boundary_mass(draws)
 
 
+@query()
+def within_period_prior_sensitivity(spark, sf_dir):
+    return periodic.sample_rates(_eight(spark, sf_dir), 8, 2, [0.5, 1.0, 3.0], 800, 200)
+
+
 @query()
 def within_period_bands(spark, sf_dir):
     c = _eight(spark, sf_dir)
