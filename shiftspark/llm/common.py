@@ -59,6 +59,19 @@ def fits_broadcast(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def hash_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
+    """At most about ``rows`` rows of df, picked by a hash of their key; all if there are no more.
+
+    A count sets the share to keep. A sorted limit would send ``rows`` rows of
+    every partition to the driver instead.
+    """
+    n = df.count()
+    if n <= rows:
+        return df
+    share = int(0.95 * rows / n * (1 << 62))
+    return df.where(F.shiftrightunsigned(F.xxhash64(*key), 2) < share).limit(rows)
+
+
 def one_in_five(doc_id: Column) -> Column:
     """crc32 of the id as text mod 5 = 0: held out from training."""
     return F.crc32(doc_id.cast("string")) % 5 == 0

@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftspark.llm import gbt, textstats
-from shiftspark.llm.common import held_out_ids, one_in_five, table
+from shiftspark.llm.common import hash_sample, held_out_ids, one_in_five, table
 
-#: Labelled documents that a model is fitted on at most: those of the smallest id hashes.
+#: Labelled documents that a model is fitted on at most, picked by a hash of their ids.
 SAMPLE_ROWS = 8_000
 THRESHOLD = 0.3
 
@@ -30,7 +30,7 @@ THRESHOLD = 0.3
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, text and label of a bounded sample of documents that are not held out."""
     marked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~one_in_five(F.col("doc_id")))
-    picked = marked.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    picked = hash_sample(marked.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")), rows, "doc_id")
     return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), "doc_id")  # at most ``rows`` rows
 
 
