@@ -60,7 +60,7 @@ def fits_broadcast(df: DataFrame, rows: int) -> bool:
 
 
 def hash_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
-    """At most about ``rows`` rows of df, picked by a hash of their key; all if there are no more.
+    """At most ``rows`` rows of df (a few less), picked by a hash of their key; all if there are no more.
 
     A count sets the share to keep. A sorted limit would send ``rows`` rows of
     every partition to the driver instead.
@@ -68,7 +68,8 @@ def hash_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
     n = df.count()
     if n <= rows:
         return df
-    share = int(0.95 * rows / n * (1 << 62))
+    # four standard deviations under the bound, so that the limit does not choose
+    share = int(max(rows - 4 * rows**0.5, rows / 2) / n * (1 << 62))
     return df.where(F.shiftrightunsigned(F.xxhash64(*key), 2) < share).limit(rows)
 
 
