@@ -20,11 +20,15 @@ step AS (
   SELECT a.series_id, n, s, q, CAST(0 AS BIGINT) AS t, [CAST(-{penalty} AS DOUBLE)] AS f, [CAST(0 AS BIGINT)] AS prev FROM a JOIN n USING (series_id)
   UNION ALL
   SELECT series_id, n, s, q, t + 1, f || [coalesce(best.v, CAST('inf' AS DOUBLE))], prev || [coalesce(best.k, 0)]
-  FROM (SELECT *, list_min(list_transform(range(greatest(0, t + 2 - {least})), lambda k: {{'v': f[k + 1] + greatest(q[t + 2] - q[k + 1] - (s[t + 2] - s[k + 1]) * (s[t + 2] - s[k + 1]) / (t + 1 - k), 0) / {sigma2} + (t + 1 - k) * (1.8378770664093453 + ln({sigma2})) + {penalty}, 'k': k}})) AS best
+  FROM (SELECT *, list_min(list_transform(range(greatest(0, t + 2 - {least})), lambda k: {{'v': f[k + 1] + {cost} + {penalty}, 'k': k}})) AS best
         FROM step WHERE t < n)
 ),
 """
 
+_SSE = "greatest(q[t + 2] - q[k + 1] - (s[t + 2] - s[k + 1]) * (s[t + 2] - s[k + 1]) / (t + 1 - k), 0)"
+_KNOWN = _SSE + " / {0} + (t + 1 - k) * (1.8378770664093453 + ln({0}))"
+_UNKNOWN = f"(t + 1 - k) * (1.8378770664093453 + ln(greatest({_SSE}, 1e-12) / (t + 1 - k)) + 1)"
+
 _BACK = """
 done AS (SELECT series_id, n, f[n + 1] AS score, prev FROM step WHERE t = n),
 back AS (
@@ -37,13 +41,13 @@ SELECT series_id, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop,
 _WEEK_PENALTY, _WEEK_SIGMA2 = 20.0, 1e6
 
 
-@query("WITH " + _OP.format(series=WEEKLY, name="weekly", penalty=_WEEK_PENALTY, sigma2=_WEEK_SIGMA2, least=4) + _BACK)
+@query("WITH " + _OP.format(series=WEEKLY, name="weekly", penalty=_WEEK_PENALTY, cost=_KNOWN.format(_WEEK_SIGMA2), least=4) + _BACK)
 def optimal_partition_known_var(spark, sf_dir):
     found = seg.partition(weekly_revenue(spark, sf_dir), "known_variance", _WEEK_PENALTY, 4, sigma2=_WEEK_SIGMA2)
     return found.select("series_id", "start", "stop", F.round("score", 5).alias("score"))
 
 
-@query("WITH " + _OP.format(series=USERS.replace("users AS", "raw AS") + ", users AS (SELECT series_id, t, cents / 100.0 AS value FROM raw)", name="users", penalty=12.0, sigma2=2500.0, least=5) + _BACK)
+@query("WITH " + _OP.format(series=USERS.replace("users AS", "raw AS") + ", users AS (SELECT series_id, t, cents / 100.0 AS value FROM raw)", name="users", penalty=12.0, cost=_KNOWN.format(2500.0), least=5) + _BACK)
 def user_shifts(spark, sf_dir):
     """Where did each user's event values shift? The recursion as a Catalyst fold, no Python."""
     v = user_values(spark, sf_dir)
@@ -76,9 +80,10 @@ def optimal_partition_beta_binomial(spark, sf_dir):
     return found.select("series_id", "start", "stop", F.round("score", 5).alias("score"))
 
 
-@query()
+@query("WITH " + _OP.format(series=WEEKLY, name="weekly", penalty=30.0, cost=_UNKNOWN, least=4) + _BACK)
 def optimal_partition_unknown_var(spark, sf_dir):
-    return seg.partition(weekly_revenue(spark, sf_dir), "unknown_variance", "bic", 4)
+    found = seg.partition(weekly_revenue(spark, sf_dir), "unknown_variance", 30.0, 4)
+    return found.select("series_id", "start", "stop", F.round("score", 5).alias("score"))
 
 
 @query()
@@ -211,22 +216,29 @@ def bandwidth_bootstrap(spark, sf_dir):
 # --- energy statistics --------------------------------------------------------------------
 
 
-@query(f"""
+_ENERGY = f"""
 WITH {VECTORS}, d AS (SELECT a.series_id, a.t AS i, b.t AS j, sqrt({_D2}) AS d FROM vectors a JOIN vectors b ON a.series_id = b.series_id AND a.t < b.t),
 n AS (SELECT series_id, count(*) AS n FROM vectors GROUP BY 1),
 s AS (SELECT series_id, t AS split FROM vectors WHERE t > 0)
 SELECT s.series_id, s.split, round(split * (n - split) * 1.0 / n * (2 * coalesce(sum(d) FILTER (WHERE i < split AND j >= split), 0) / (split * (n - split))
        - 2 * coalesce(sum(d) FILTER (WHERE j < split), 0) / (split * split) - 2 * coalesce(sum(d) FILTER (WHERE i >= split), 0) / ((n - split) * (n - split))), 7) AS stat
 FROM s JOIN n USING (series_id) JOIN d USING (series_id) GROUP BY s.series_id, s.split, n
-""")
+"""
+
+
+@query(_ENERGY)
 def energy_split_stat(spark, sf_dir):
     return energy.split_statistics(vectors(spark, sf_dir)).withColumn("stat", F.round("stat", 7))
 
 
-@query()
+@query(f"""
+WITH e AS ({_ENERGY}), n AS (SELECT series_id, max(split) + 1 AS n FROM e GROUP BY 1)
+SELECT e.series_id, arg_max(split, (stat, -split)) AS split, max(stat) AS stat FROM e JOIN n USING (series_id) WHERE split >= 5 AND split <= n - 5 GROUP BY 1
+""")
 def energy_best_split(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    return energy.best_split(energy.split_statistics(v), v.groupBy("series_id").agg(F.count("*").alias("n")), 5)
+    stats = energy.split_statistics(v).withColumn("stat", F.round("stat", 7))
+    return energy.best_split(stats, v.groupBy("series_id").agg(F.count("*").alias("n")), 5)
 
 
 @query()

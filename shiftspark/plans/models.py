@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shiftspark.functions import columns as col
 from shiftspark.operators import emissions, periodic, pointprocess, statespace, synthetic
-from shiftspark.plans.build import HOURLY, USERS, VECTORS, hourly_bits, query, table, user_values, vectors
+from shiftspark.plans.build import HOURLY, ORACLE_SQL, USERS, VECTORS, hourly_bits, query, table, user_values, vectors
 from shiftspark.sources import series as src
 
 # --- within a period -----------------------------------------------------------------------
@@ -343,9 +343,13 @@ def sdhmm_mixture_states(spark, sf_dir):
     return statespace.decode_sdhmm(_shares(spark, sf_dir), 2, components=2, iterations=8)
 
 
-@query()
+@query(f"""
+WITH st AS ({ORACLE_SQL["hmm_viterbi_states"]}),
+m AS (SELECT state AS src, lead(state) OVER (PARTITION BY series_id ORDER BY t) AS dst FROM st)
+SELECT src, dst, round(count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY src), 9) AS p FROM m WHERE dst IS NOT NULL GROUP BY 1, 2
+""")
 def pooled_state_transitions(spark, sf_dir):
-    return statespace.pooled_transitions(statespace.decode_hmm(_loglik(spark, sf_dir), _PI, _A))
+    return statespace.pooled_transitions(statespace.decode_hmm(_loglik(spark, sf_dir), _PI, _A)).withColumn("p", F.round("p", 9))
 
 
 # --- synthetic series -----------------------------------------------------------------------------
