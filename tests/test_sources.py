@@ -65,3 +65,22 @@ def test_draws_round_trip(spark, tmp_path):
     assert sorted(got.collect()) == sorted(d.collect()) and config == {"seed": "None", "burn": "10"}
     with pytest.raises(src.SourceError):
         src.read_draws(spark, str(tmp_path / "none"))
+
+
+def test_online_csv(spark, tmp_path):
+    from shiftspark.operators import bocpd
+
+    s = spark.createDataFrame([("a", i, float(i >= 4)) for i in range(8)], "series_id string, t long, value double")
+    online = bocpd.detect(s, bocpd.Detector(bocpd.BetaBernoulli(), bocpd.ConstantHazard(4)))
+    src.write_online_csv(online, bocpd.alerts(online, 0.3), str(tmp_path / "o"))
+    got = spark.read.option("header", True).csv(str(tmp_path / "o"))
+    assert got.count() == 8 and set(got.columns) == {"series_id", "t", "cp_prob", "map_run_length", "pred_mean", "is_cp"}
+    assert {r.t for r in got.where("is_cp = '1'").collect()} == {str(r.t) for r in bocpd.alerts(online, 0.3).collect()}
+
+
+def test_compositions_and_windows(spark):
+    e = spark.createDataFrame([("k", "d1", "a"), ("k", "d1", "b"), ("k", "d1", "a"), ("k", "d2", "x")], "key string, day string, kind string")
+    got = src.compositions(e, ["a", "b"], F.col("day"), "kind", "key").collect()
+    assert [(r.day, [round(v, 3) for v in r.comp]) for r in got] == [("d1", [0.667, 0.333])]
+    s = spark.createDataFrame([("a", i, i) for i in range(6)], "series_id string, t long, value int")
+    assert [(r.window, list(r["values"])) for r in src.count_windows(s, 3, 2).orderBy("window").collect()] == [(0, [0, 1, 2]), (1, [2, 3, 4])]
