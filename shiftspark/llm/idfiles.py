@@ -159,7 +159,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True, doc_ids: lis
     trained, width, name = bytes(shared["bytes"]), shared["width"], shared["hash"]
     files = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     sizes = files.groupBy("shard").agg(F.sum("n_tokens_block").alias("n"))
-    # One row a shard.
+    # One row a shard, and shards are as many as the writer was told, so the payloads stay where they are.
     before = sizes.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
     if doc_ids is not None:
         wanted = F.array(*[F.lit(i).cast("long") for i in doc_ids])
@@ -185,7 +185,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True, doc_ids: lis
                     yield pa.RecordBatch.from_arrays(columns[:k], names[:k])
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
-    return files.join(before, "shard").select("before", "first_start", "dictionary_hash", "payload", "doc_ids", "offsets", "n_tokens").mapInArrow(open_frames, schema)
+    return files.join(F.broadcast(before), "shard").select("before", "first_start", "dictionary_hash", "payload", "doc_ids", "offsets", "n_tokens").mapInArrow(open_frames, schema)
 
 
 def op5_token_id_files(spark, sf_dir: str) -> DataFrame:

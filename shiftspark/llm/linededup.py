@@ -64,7 +64,9 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> tuple[DataFrame
     )
     band = max(1.0, ERRORS * 1.04 / 2 ** (LG_K / 2) * min_sites)
     near = F.abs(F.col("sites") - min_sites) <= band
-    exact = places_.join(sketched.where(near).select("digest"), "digest").groupBy("digest", "site").count().groupBy("digest").agg(F.count("*").alias("exact"))
+    # each digest's sites first, so that a line that fills the corpus is a few rows in the join
+    sites = places_.select("digest", "site").distinct()
+    exact = sites.join(sketched.where(near).select("digest"), "digest").groupBy("digest").agg(F.count("*").alias("exact"))
     taken = sketched.where(~near & (F.col("sites") > min_sites)).select("digest", "first").union(
         sketched.where(near).join(exact.where(F.col("exact") >= min_sites), "digest").select("digest", "first")
     )

@@ -307,11 +307,11 @@ def decode_hmm(loglik: DataFrame, pi: list[float], a: list[list[float]]) -> Data
     return _grouped(loglik, "loglik", fit)
 
 
-def decode_hsmm(loglik: DataFrame, pi: list[float], a: list[list[float]], rates: list[float], longest: int, learn: bool = False) -> DataFrame:
+def decode_hsmm(loglik: DataFrame, pi: list[float], a: list[list[float]], rates: list[float], longest: int, learn: bool = False, iterations: int = 50) -> DataFrame:
     """States and durations of every series; with ``learn``, after EM on that series."""
 
     def fit(ll):
-        model = fit_hsmm(ll, pi, a, rates, longest)[0] if learn else Hsmm(pi, a, np.array([poisson_durations(r, longest) for r in rates]))
+        model = fit_hsmm(ll, pi, a, rates, longest, iterations)[0] if learn else Hsmm(pi, a, np.array([poisson_durations(r, longest) for r in rates]))
         return model.viterbi(ll)[:2]
 
     return _grouped(loglik, "loglik", fit)

@@ -23,10 +23,10 @@ def bin_occupancy(spark, sf_dir):
     return src.occupied_bins(table(spark, sf_dir, "events"), 15, start_hour=6, key="event_type")
 
 
-@query(f"WITH {HOURLY} SELECT series_id, CAST(t % 48 AS INTEGER) AS phase, round(avg(CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END), 9) AS mean, count(*) AS n FROM hourly GROUP BY 1, 2")
+@query(f"WITH {HOURLY} SELECT series_id, CAST(t % 24 AS INTEGER) AS phase, round(avg(CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END), 9) AS mean, count(*) AS n FROM hourly GROUP BY 1, 2")
 def phase_mean(spark, sf_dir):
     bits = hourly_bits(spark, sf_dir).withColumn("value", (F.col("n") > 0).cast("int"))
-    return src.phase_means(bits, 48).withColumn("mean", F.round("mean", 9))
+    return src.phase_means(bits, 24).withColumn("mean", F.round("mean", 9))
 
 
 @query("""
@@ -82,13 +82,13 @@ def labels_from_cps(spark, sf_dir):
 
 def _lengths(spark, sf_dir):
     v = user_values(spark, sf_dir)
-    cps = v.where((F.col("t") > 0) & (F.col("t") % 11 == 0)).select("series_id", F.col("t").alias("cp"))
+    cps = v.where((F.col("t") > 0) & (F.col("cents") > 9000)).select("series_id", F.col("t").alias("cp"))
     return cps, v.groupBy("series_id").agg(F.count("*").alias("n"))
 
 
 @query(f"""
 WITH {USERS}, n AS (SELECT series_id, count(*) AS n FROM users GROUP BY 1),
-s AS (SELECT series_id, t AS start FROM users WHERE t % 11 = 0)
+s AS (SELECT series_id, t AS start FROM users WHERE t = 0 OR cents > 9000)
 SELECT s.series_id, CAST(row_number() OVER (PARTITION BY s.series_id ORDER BY start) - 1 AS INTEGER) AS segment, start,
        coalesce(lead(start) OVER (PARTITION BY s.series_id ORDER BY start), n) AS stop
 FROM s JOIN n USING (series_id)
@@ -98,8 +98,8 @@ def segment_slices(spark, sf_dir):
 
 
 @query(f"""
-WITH {USERS}, n AS (SELECT series_id, count(*) AS n, count(*) FILTER (WHERE t > 0 AND t % 11 = 0) AS cps FROM users GROUP BY 1)
-SELECT series_id, unnest(range(cps + 2)) AS i, CASE WHEN unnest(range(cps + 2)) = cps + 1 THEN n ELSE 11 * unnest(range(cps + 2)) END AS edge FROM n
+WITH {USERS}, e AS (SELECT series_id, t AS edge FROM users WHERE t = 0 OR cents > 9000 UNION ALL SELECT series_id, count(*) FROM users GROUP BY 1)
+SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY edge) - 1 AS i, edge FROM e
 """)
 def edges_of_changepoints(spark, sf_dir):
     cps, n = _lengths(spark, sf_dir)
@@ -109,30 +109,30 @@ def edges_of_changepoints(spark, sf_dir):
 
 
 @query(f"""
-WITH {USERS}, b AS (SELECT DISTINCT series_id, CAST(((cents % 24) + 24) % 24 AS INTEGER) AS cp FROM users WHERE t % 9 = 0),
+WITH {USERS}, b AS (SELECT DISTINCT series_id, CAST(((cents % 24) + 24) % 24 AS INTEGER) AS cp FROM users WHERE cents > 8000),
 c AS (SELECT series_id, cp, coalesce(lag(cp) OVER (PARTITION BY series_id ORDER BY cp), max(cp) OVER (PARTITION BY series_id)) AS before FROM b)
 SELECT series_id, CAST((before + 1) % 24 AS INTEGER) AS start, cp AS stop, CAST(CASE WHEN cp = before THEN 24 ELSE (cp - before + 24) % 24 END AS INTEGER) AS length FROM c
 """)
 def circular_segments(spark, sf_dir):
-    b = user_values(spark, sf_dir).where("t % 9 = 0").select("series_id", F.pmod("cents", F.lit(24)).cast("int").alias("cp")).distinct()
+    b = user_values(spark, sf_dir).where("cents > 8000").select("series_id", F.pmod("cents", F.lit(24)).cast("int").alias("cp")).distinct()
     found = boundaries.circular_segments(b, 24)
     return found.select("series_id", F.col("start").cast("int"), "stop", F.col("length").cast("int"))
 
 
 @query(f"""
-WITH {USERS}, b AS (SELECT DISTINCT series_id, CAST(((cents % 24) + 24) % 24 + 5 AS INTEGER) % 24 AS cp FROM users WHERE t % 9 = 0)
+WITH {USERS}, b AS (SELECT DISTINCT series_id, CAST(((cents % 24) + 24) % 24 + 5 AS INTEGER) % 24 AS cp FROM users WHERE cents > 8000)
 SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY cp) - 1 AS i, CAST(cp AS INTEGER) AS cp FROM b
 """)
 def rotated_boundaries(spark, sf_dir):
-    b = user_values(spark, sf_dir).where("t % 9 = 0").select("series_id", F.pmod("cents", F.lit(24)).cast("int").alias("cp")).distinct()
+    b = user_values(spark, sf_dir).where("cents > 8000").select("series_id", F.pmod("cents", F.lit(24)).cast("int").alias("cp")).distinct()
     sets = b.groupBy("series_id").agg(F.collect_list("cp").alias("cps"))
     moved = sets.select("series_id", F.posexplode(boundaries.rotated(F.col("cps"), F.lit(5), 24)).alias("i", "cp"))
     return moved.select("series_id", F.col("i").cast("long"), F.col("cp").cast("int"))
 
 
-@query(f"WITH {HOURLY}, h AS (SELECT CAST(t % 48 AS INTEGER) AS phase, sum(n) AS n FROM hourly GROUP BY 1) SELECT phase AS anchor FROM h ORDER BY n DESC, phase LIMIT 1")
+@query(f"WITH {HOURLY}, h AS (SELECT CAST(t % 24 AS INTEGER) AS phase, sum(n) AS n FROM hourly GROUP BY 1) SELECT phase AS anchor FROM h ORDER BY n DESC, phase LIMIT 1")
 def anchor_of_histogram(spark, sf_dir):
-    h = hourly_bits(spark, sf_dir).groupBy(F.pmod("t", F.lit(48)).cast("int").alias("phase")).agg(F.sum("n").alias("n"))
+    h = hourly_bits(spark, sf_dir).groupBy(F.pmod("t", F.lit(24)).cast("int").alias("phase")).agg(F.sum("n").alias("n"))
     return boundaries.anchor(h)
 
 
@@ -182,11 +182,11 @@ def best_single_split(spark, sf_dir):
 
 @query(f"""
 WITH {HOURLY}, p AS (SELECT series_id, t + 1 AS k, sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY series_id ORDER BY t) AS s FROM hourly)
-SELECT series_id, k, round(-(lgamma(s + 1) + lgamma(k - s + 1) - lgamma(k + 2)), 6) AS cost FROM p WHERE k % 7 = 0
+SELECT series_id, k, round(-(lgamma(s + 1) + lgamma(k - s + 1) - lgamma(k + 2)), 6) AS cost FROM p
 """)
 def beta_binomial_costs(spark, sf_dir):
     bits = hourly_bits(spark, sf_dir).withColumn("value", (F.col("n") > 0).cast("int"))
-    p = costs.prefix(bits).where("k > 0 and k % 7 = 0")
+    p = costs.prefix(bits).where("k > 0")
     return p.select("series_id", "k", F.round(costs.beta_binomial(F.col("k"), F.col("s1")), 6).alias("cost"))
 
 

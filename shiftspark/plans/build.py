@@ -42,17 +42,16 @@ USERS = """users AS (
   FROM events)"""
 
 
-def vectors(spark: SparkSession, sf_dir: str, dims: int = 4, most: int = 40) -> DataFrame:
-    """series_id (a label), t, x: the first dimensions of each label's first embeddings, on a short grid of vec_id."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("series_id"), "vec_id", F.transform(F.slice("embedding", 1, dims), lambda v: F.round(v.cast("double"), 4)).alias("x"))
-    return number_rows(e, ["vec_id"], "series_id").where(F.col("t") < most).select("series_id", "t", "x")
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """series_id (a label), t, x: each label's embeddings in the order of vec_id, to four decimals."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("series_id"), "vec_id", F.transform("embedding", lambda v: F.round(v.cast("double"), 4)).alias("x"))
+    return number_rows(e, ["vec_id"], "series_id").select("series_id", "t", "x")
 
 
 VECTORS = """vectors AS (
-  SELECT series_id, t, x FROM (
-    SELECT label AS series_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t,
-           [round(CAST(embedding[1] AS DOUBLE), 4), round(CAST(embedding[2] AS DOUBLE), 4), round(CAST(embedding[3] AS DOUBLE), 4), round(CAST(embedding[4] AS DOUBLE), 4)] AS x
-    FROM embeddings) WHERE t < 40)"""
+  SELECT label AS series_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t,
+         list_transform(embedding, lambda v: round(CAST(v AS DOUBLE), 4)) AS x
+  FROM embeddings)"""
 
 
 def weekly_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,8 +69,8 @@ WEEKLY = """weekly AS (
     FROM orders GROUP BY 1, 2))"""
 
 
-def hourly_bits(spark: SparkSession, sf_dir: str, minutes: int = 30) -> DataFrame:
-    """series_id (an event type), t (half hours), value: 1 if it occurred; a dense calendar of about 30 days."""
+def hourly_bits(spark: SparkSession, sf_dir: str, minutes: int = 60) -> DataFrame:
+    """series_id (an event type), t (hours), n: how often it occurred; a dense calendar."""
     e = table(spark, sf_dir, "events")
     width = minutes * 60_000_000
     at = e.select(F.col("event_type").alias("series_id"), F.expr("unix_micros(CAST(ts AS TIMESTAMP))").alias("us"))
@@ -82,7 +81,7 @@ def hourly_bits(spark: SparkSession, sf_dir: str, minutes: int = 30) -> DataFram
 
 
 HOURLY = """hourly AS (
-  WITH ev AS (SELECT event_type AS series_id, epoch_us(ts) // 1800000000 AS bin FROM events),
+  WITH ev AS (SELECT event_type AS series_id, epoch_us(ts) // 3600000000 AS bin FROM events),
   lo AS (SELECT series_id, min(bin) AS lo, max(bin) AS hi FROM ev GROUP BY 1),
   n AS (SELECT series_id, bin, count(*) AS n FROM ev GROUP BY 1, 2),
   grid AS (SELECT series_id, lo, unnest(range(lo, hi + 1)) AS bin FROM lo)

@@ -64,8 +64,8 @@ def user_shifts(spark, sf_dir):
 
 
 @query("WITH " + f"""
-RECURSIVE {HOURLY}, n AS (SELECT series_id, count(*) AS n FROM hourly WHERE t < 240 GROUP BY 1),
-p AS (SELECT series_id, t, sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY series_id ORDER BY t) AS s FROM hourly WHERE t < 240),
+RECURSIVE {HOURLY}, n AS (SELECT series_id, count(*) AS n FROM hourly GROUP BY 1),
+p AS (SELECT series_id, t, sum(CASE WHEN n > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY series_id ORDER BY t) AS s FROM hourly),
 a AS (SELECT series_id, [CAST(0 AS BIGINT)] || list(CAST(s AS BIGINT) ORDER BY t) AS s FROM p GROUP BY 1),
 step AS (
   SELECT a.series_id, n, s, CAST(0 AS BIGINT) AS t, [CAST(-3 AS DOUBLE)] AS f, [CAST(0 AS BIGINT)] AS prev FROM a JOIN n USING (series_id)
@@ -75,7 +75,7 @@ step AS (
         FROM step WHERE t < n)
 ),""" + _BACK)
 def optimal_partition_beta_binomial(spark, sf_dir):
-    bits = hourly_bits(spark, sf_dir).where("t < 240").select("series_id", "t", (F.col("n") > 1).cast("int").alias("value"))
+    bits = hourly_bits(spark, sf_dir).select("series_id", "t", (F.col("n") > 2).cast("int").alias("value"))
     found = seg.partition(bits, "beta_binomial", 3.0, 1)
     return found.select("series_id", "start", "stop", F.round("score", 5).alias("score"))
 
@@ -118,7 +118,7 @@ def kernel_median_heuristic(spark, sf_dir):
 
 
 @query(f"""
-WITH {VECTORS}, u AS (SELECT series_id, t, unnest(x) AS v, unnest(range(4)) AS d FROM vectors),
+WITH {VECTORS}, u AS (SELECT series_id, t, unnest(x) AS v, unnest(range(len(x))) AS d FROM vectors),
 p AS (SELECT series_id, d, t, sum(v) OVER w AS s, sum(v * v) OVER w AS q FROM u WINDOW w AS (PARTITION BY series_id, d ORDER BY t)),
 n AS (SELECT series_id, d, max(t) + 1 AS n, arg_max(s, t) AS ts, arg_max(q, t) AS tq FROM p GROUP BY 1, 2),
 c AS (SELECT series_id, t + 1 AS cp, sum(q - s * s / (t + 1) + tq - q - (ts - s) * (ts - s) / (n - t - 1)) AS cost FROM p JOIN n USING (series_id, d) WHERE t + 1 < n GROUP BY 1, 2)
@@ -154,23 +154,20 @@ def rff_variant_errors(spark, sf_dir):
     return kernels.compare_features(vectors(spark, sf_dir), 0.5, 128)
 
 
-_W = [[0.5, -1.0, 0.25], [1.0, 0.5, -0.75], [-0.25, 0.75, 1.5], [0.1, -0.2, 0.3]]
-_B = [0.1, 1.2, 2.3]
-
-
 @query(f"""
-WITH {VECTORS}, w AS (SELECT * FROM (VALUES (0, [0.5, 1.0, -0.25, 0.1], 0.1), (1, [-1.0, 0.5, 0.75, -0.2], 1.2), (2, [0.25, -0.75, 1.5, 0.3], 2.3)) AS v(feature, w, b))
-SELECT series_id, t, feature, round(sqrt(CAST(2 AS DOUBLE) / 3) * cos(list_dot_product(x, CAST(w AS DOUBLE[])) + CAST(b AS DOUBLE)), 7) AS z FROM vectors CROSS JOIN w
+WITH {VECTORS}, w AS (SELECT k, list_transform(range(64), lambda d: CAST((d * 3 + k * 5) % 7 - 3 AS DOUBLE) / 10) AS w FROM (SELECT unnest(range(3)) AS k))
+SELECT series_id, t, CAST(k AS INTEGER) AS feature, round(sqrt(CAST(2 AS DOUBLE) / 3) * cos(list_dot_product(x, w) + k + CAST(0.5 AS DOUBLE)), 7) AS z FROM vectors CROSS JOIN w
 """)
 def rff_features(spark, sf_dir):
     import numpy as np
 
-    z = kernels.feature_column(F.col("x"), np.array(_W), np.array(_B))
+    d, k = np.arange(64)[:, None], np.arange(3)[None, :]
+    z = kernels.feature_column(F.col("x"), ((d * 3 + k * 5) % 7 - 3) / 10, np.arange(3) + 0.5)
     return vectors(spark, sf_dir).select("series_id", "t", F.posexplode(z).alias("feature", "z")).withColumn("z", F.round("z", 7))
 
 
 @query(f"""
-WITH {VECTORS}, u AS (SELECT series_id, t, unnest(x) AS v, unnest(range(4)) AS feature FROM vectors)
+WITH {VECTORS}, u AS (SELECT series_id, t, unnest(x) AS v, unnest(range(len(x))) AS feature FROM vectors)
 SELECT series_id, t + 1 AS k, CAST(feature AS INTEGER) AS feature, round(sum(v) OVER w, 10) AS s1, round(sum(v * v) OVER w, 10) AS s2 FROM u WINDOW w AS (PARTITION BY series_id, feature ORDER BY t)
 """)
 def feature_prefix(spark, sf_dir):
@@ -249,7 +246,7 @@ def energy_divisive(spark, sf_dir):
 # --- online detection -----------------------------------------------------------------------
 
 _BOCPD = """
-RECURSIVE {hourly}, obs AS (SELECT series_id, t, {value} AS x FROM hourly WHERE t < 300),
+RECURSIVE {hourly}, obs AS (SELECT series_id, t, {value} AS x FROM hourly),
 step AS (
   SELECT series_id, CAST(-1 AS BIGINT) AS t, [CAST(1 AS DOUBLE)] AS r, [CAST({a0} AS DOUBLE)] AS a, [CAST({b0} AS DOUBLE)] AS b, CAST(0 AS DOUBLE) AS mean FROM (SELECT DISTINCT series_id FROM obs)
   UNION ALL
@@ -262,16 +259,16 @@ online AS (SELECT series_id, t, r[1] AS cp_prob, list_position(r, list_max(r)) -
 """
 
 _BERNOULLI = _BOCPD.format(
-    hourly=HOURLY, value="CASE WHEN n > 1 THEN 1 ELSE 0 END", a0=1, b0=1, a_new="CAST(1 + x AS DOUBLE)", b_new="CAST(2 - x AS DOUBLE)", a_upd="v + x", b_upd="v + 1 - x",
+    hourly=HOURLY, value="CASE WHEN n > 2 THEN 1 ELSE 0 END", a0=1, b0=1, a_new="CAST(1 + x AS DOUBLE)", b_new="CAST(2 - x AS DOUBLE)", a_upd="v + x", b_upd="v + 1 - x",
     mean="p[1] / (p[1] + p[2])", p0="CAST(0.5 AS DOUBLE)", pred="(CASE WHEN x = 1 THEN p[2] ELSE p[3] END) / (p[2] + p[3])",
 )
 _ROUNDED = " SELECT series_id, t, round(cp_prob, 7) AS cp_prob, CAST(map_run_length AS INTEGER) AS map_run_length, round(pred_mean, 7) AS pred_mean FROM online"
 
 
 def _online(spark, sf_dir, poisson: bool = False):
-    h = hourly_bits(spark, sf_dir).where("t < 300")
-    value = F.col("n") if poisson else (F.col("n") > 1).cast("int")
-    detector = bocpd.Detector(bocpd.PoissonGamma(1.0, 1.0) if poisson else bocpd.BetaBernoulli(), bocpd.ConstantHazard(48))
+    h = hourly_bits(spark, sf_dir)
+    value = F.col("n") if poisson else (F.col("n") > 2).cast("int")
+    detector = bocpd.Detector(bocpd.PoissonGamma(1.0, 1.0) if poisson else bocpd.BetaBernoulli(), bocpd.ConstantHazard(48), max_run_length=8192)
     return bocpd.detect(h.select("series_id", "t", value.alias("value")), detector)
 
 
@@ -301,23 +298,23 @@ def bocpd_alerts(spark, sf_dir):
 
 
 @query(f"""
-WITH {HOURLY} SELECT series_id, t, round(CASE t % 4 WHEN 0 THEN 0.01 WHEN 1 THEN 0.02 WHEN 2 THEN 0.05 ELSE 0.1 END * CASE WHEN t % 48 IN (12, 36) THEN 10 ELSE 1 END, 9) AS hazard
+WITH {HOURLY} SELECT series_id, t, round(CASE t % 4 WHEN 0 THEN 0.01 WHEN 1 THEN 0.02 WHEN 2 THEN 0.05 ELSE 0.1 END * CASE WHEN t % 24 IN (6, 18) THEN 10 ELSE 1 END, 9) AS hazard
 FROM (SELECT series_id, t FROM hourly)
 """.replace("0.01 WHEN", "CAST(0.01 AS DOUBLE) WHEN").replace("ELSE 0.1 END", "ELSE 0.1 END"))
 def hazards(spark, sf_dir):
     h = hourly_bits(spark, sf_dir)
     base = bocpd.scheduled_hazard([0.01, 0.02, 0.05, 0.1], F.col("t"))
-    return h.select("series_id", "t", F.round(bocpd.boosted_hazard(base, 48, [12, 36], F.col("t")), 9).alias("hazard"))
+    return h.select("series_id", "t", F.round(bocpd.boosted_hazard(base, 24, [6, 18], F.col("t")), 9).alias("hazard"))
 
 
 # --- scoring ------------------------------------------------------------------------------------
 
-_TWO = f"""{USERS}, p AS (SELECT series_id, t AS cp FROM users WHERE t % 7 = 0 AND t > 0), a AS (SELECT series_id, t AS cp FROM users WHERE t % 10 = 0 AND t > 0)"""
+_TWO = f"""{USERS}, p AS (SELECT series_id, t AS cp FROM users WHERE cents > 8000 AND t > 0), a AS (SELECT series_id, t AS cp FROM users WHERE cents < 1500 AND t > 0)"""
 
 
 def _two(spark, sf_dir):
     v = user_values(spark, sf_dir).where("t > 0")
-    return v.where("t % 7 = 0").select("series_id", F.col("t").alias("cp")), v.where("t % 10 = 0").select("series_id", F.col("t").alias("cp"))
+    return v.where("cents > 8000").select("series_id", F.col("t").alias("cp")), v.where("cents < 1500").select("series_id", F.col("t").alias("cp"))
 
 
 @query("WITH RECURSIVE " + _TWO + """,

@@ -13,11 +13,11 @@ from shiftspark.sources import series as src
 
 # --- within a period -----------------------------------------------------------------------
 
-_EIGHT = f"""{HOURLY}, c AS (SELECT series_id, CAST(t % 8 AS INTEGER) AS phase, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS s, count(*) AS n FROM hourly WHERE t < 320 GROUP BY 1, 2)"""
+_EIGHT = f"""{HOURLY}, c AS (SELECT series_id, CAST(t % 8 AS INTEGER) AS phase, CAST(sum(CASE WHEN n > 2 THEN 1 ELSE 0 END) AS BIGINT) AS s, count(*) AS n FROM hourly GROUP BY 1, 2)"""
 
 
 def _eight(spark, sf_dir):
-    bits = hourly_bits(spark, sf_dir).where("t < 320").withColumn("value", F.col("n") > 1)
+    bits = hourly_bits(spark, sf_dir).withColumn("value", F.col("n") > 2)
     return periodic.phase_counts(bits, 8)
 
 
@@ -97,7 +97,7 @@ def within_period_predictive(spark, sf_dir):
     return periodic.predictive_counts(periodic.sample(c, 8, 2, chains=1, iterations=600, burn=200), c, 8)
 
 
-_DRAWS = f"""{USERS}, d AS (SELECT series_id, t % 7 AS g, count(*) AS n FROM users WHERE cents > 2000 GROUP BY 1, 2), f AS (SELECT series_id, g, n * 1.0 / sum(n) OVER (PARTITION BY series_id) AS p, n FROM d)"""
+_DRAWS = f"""{USERS}, d AS (SELECT series_id, t % 7 AS g, count(*) AS n FROM users GROUP BY 1, 2), f AS (SELECT series_id, g, n * 1.0 / sum(n) OVER (PARTITION BY series_id) AS p, n FROM d)"""
 
 
 @query("WITH " + _DRAWS + """
@@ -106,13 +106,13 @@ SELECT series_id, count(*) AS size FROM (
 ) WHERE before < 0.8 - 1e-9 GROUP BY 1
 """)
 def credible_set_sizes(spark, sf_dir):
-    d = user_values(spark, sf_dir).where("cents > 2000").select("series_id", F.array((F.col("t") % 7).cast("int")).alias("tau"))
+    d = user_values(spark, sf_dir).select("series_id", F.array((F.col("t") % 7).cast("int")).alias("tau"))
     return periodic.credible_size(periodic.tau_frequencies(d), 0.8)
 
 
-@query(f"WITH {USERS}, t AS (SELECT series_id, count(*) AS n FROM users WHERE cents > 2000 GROUP BY 1) SELECT u.series_id, CAST(u.t % 7 AS INTEGER) AS phase, round(count(*) * 1.0 / t.n, 9) AS mass FROM users u JOIN t USING (series_id) WHERE cents > 2000 GROUP BY 1, 2, t.n")
+@query(f"WITH {USERS}, t AS (SELECT series_id, count(*) AS n FROM users GROUP BY 1) SELECT u.series_id, CAST(u.t % 7 AS INTEGER) AS phase, round(count(*) * 1.0 / t.n, 9) AS mass FROM users u JOIN t USING (series_id) GROUP BY 1, 2, t.n")
 def boundary_masses(spark, sf_dir):
-    d = user_values(spark, sf_dir).where("cents > 2000").select("series_id", F.array((F.col("t") % 7).cast("int")).alias("tau"))
+    d = user_values(spark, sf_dir).select("series_id", F.array((F.col("t") % 7).cast("int")).alias("tau"))
     return periodic.boundary_mass(d).withColumn("mass", F.round("mass", 9))
 
 
@@ -125,14 +125,14 @@ def effective_sample_sizes(spark, sf_dir):
 
 
 @query("""
-WITH i AS (SELECT o_orderpriority AS key, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS start, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) + o_custkey % 3 AS stop FROM orders WHERE o_custkey % 40 = 0),
+WITH i AS (SELECT o_custkey AS key, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS start, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) + o_orderkey % 90 AS stop FROM orders),
 m AS (SELECT *, CASE WHEN max(stop) OVER w IS NULL OR start > max(stop) OVER w THEN 1 ELSE 0 END AS fresh FROM i WINDOW w AS (PARTITION BY key ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY key ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM m)
 SELECT key, min(start) AS start, max(stop) AS stop FROM g GROUP BY key, island
 """)
 def exposure_union(spark, sf_dir):
     day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("long")
-    i = table(spark, sf_dir, "orders").where("o_custkey % 40 = 0").select(F.col("o_orderpriority").alias("key"), day.alias("start"), (day + F.col("o_custkey") % 3).alias("stop"))
+    i = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), day.alias("start"), (day + F.col("o_orderkey") % 90).alias("stop"))
     return pointprocess.exposure_union(i)
 
 
@@ -158,18 +158,18 @@ def _periods(spark, sf_dir):
 
 @query()
 def sliced_poisson_splines(spark, sf_dir):
-    return pointprocess.sliced_poisson(_periods(spark, sf_dir).where("t < 16"), 24.0, n_basis=5, degree=2, min_length=3)
+    return pointprocess.sliced_poisson(_periods(spark, sf_dir), 24.0, n_basis=5, degree=2, min_length=3)
 
 
 @query()
 def sliced_poisson_marks(spark, sf_dir):
-    p = _periods(spark, sf_dir).where("t < 12").withColumn("mark", F.col("series_id")).withColumn("series_id", F.lit("all"))
+    p = _periods(spark, sf_dir).withColumn("mark", F.col("series_id")).withColumn("series_id", F.lit("all"))
     return pointprocess.marked(p, period=24.0, n_basis=1, degree=0, min_length=2).select("series_id", "mark", "segment", "start", "stop", "cost", "events")
 
 
 @query()
 def sliced_poisson_intensity(spark, sf_dir):
-    found = pointprocess.sliced_poisson(_periods(spark, sf_dir).where("t < 8"), 24.0, n_basis=5, degree=2, min_length=4)
+    found = pointprocess.sliced_poisson(_periods(spark, sf_dir), 24.0, n_basis=5, degree=2, min_length=4)
     return pointprocess.intensities(found, 24.0, 5, 2, 12)
 
 
@@ -177,7 +177,7 @@ def sliced_poisson_intensity(spark, sf_dir):
 
 
 @query(f"""
-WITH {VECTORS}, u AS (SELECT series_id AS label, unnest(x) AS v, unnest(range(4)) AS dim FROM vectors)
+WITH {VECTORS}, u AS (SELECT series_id AS label, unnest(x) AS v, unnest(range(len(x))) AS dim FROM vectors)
 SELECT label, CAST(dim AS INTEGER) AS dim, round(avg(v), 8) AS mean, round(greatest(var_pop(v), 1e-6), 8) AS var FROM u GROUP BY 1, 2
 """)
 def gaussian_diag_by_label(spark, sf_dir):
@@ -186,7 +186,7 @@ def gaussian_diag_by_label(spark, sf_dir):
 
 
 @query(f"""
-WITH {VECTORS}, u AS (SELECT series_id, t, unnest(x) AS v, unnest(range(4)) AS dim FROM vectors),
+WITH {VECTORS}, u AS (SELECT series_id, t, unnest(x) AS v, unnest(range(len(x))) AS dim FROM vectors),
 p AS (SELECT series_id AS label, dim, avg(v) AS m, greatest(var_pop(v), 1e-6) AS s FROM u GROUP BY 1, 2)
 SELECT u.series_id, u.t, CAST(p.label AS BIGINT) AS state, round(sum(-0.5 * (1.8378770664093453 + ln(s) + (v - m) * (v - m) / s)), 6) AS loglik
 FROM u JOIN p USING (dim) GROUP BY 1, 2, 3
@@ -200,7 +200,7 @@ def gaussian_diag_loglik(spark, sf_dir):
 
 @query(f"""
 WITH {VECTORS}, w AS (SELECT t, x, unnest(range(2)) AS state, CASE WHEN unnest(range(2)) = 0 THEN (series_id + 1) / CAST(series_id + 3 AS DOUBLE) ELSE 2 / CAST(series_id + 3 AS DOUBLE) END AS w FROM vectors),
-u AS (SELECT state, w, unnest(x) AS v, unnest(range(4)) AS dim FROM w)
+u AS (SELECT state, w, unnest(x) AS v, unnest(range(len(x))) AS dim FROM w)
 SELECT CAST(state AS INTEGER) AS state, CAST(dim AS INTEGER) AS dim, round(sum(w * v) / sum(w), 7) AS mean, round(greatest(sum(w * v * v) / sum(w) - (sum(w * v) / sum(w)) * (sum(w * v) / sum(w)), 1e-6), 7) AS var FROM u GROUP BY 1, 2
 """)
 def gaussian_diag_weighted(spark, sf_dir):
@@ -209,12 +209,12 @@ def gaussian_diag_weighted(spark, sf_dir):
 
 
 @query(f"""
-WITH {VECTORS}, u AS (SELECT series_id AS label, t, unnest(x) AS v, unnest(range(4)) AS dim FROM vectors)
-SELECT a.label, CAST(a.dim AS INTEGER) AS i, CAST(b.dim AS INTEGER) AS j, round(covar_samp(a.v, b.v), 8) AS cov FROM u a JOIN u b ON a.label = b.label AND a.t = b.t AND a.dim <= b.dim GROUP BY 1, 2, 3
+WITH {VECTORS}, u AS (SELECT series_id AS label, t, unnest(x) AS v, unnest(range(len(x))) AS dim FROM vectors)
+SELECT a.label, CAST(a.dim AS INTEGER) AS i, CAST(b.dim AS INTEGER) AS j, round(covar_samp(a.v, b.v), 12) AS cov FROM u a JOIN u b ON a.label = b.label AND a.t = b.t AND a.dim <= b.dim GROUP BY 1, 2, 3
 """)
 def gaussian_full_by_label(spark, sf_dir):
     v = vectors(spark, sf_dir).withColumnRenamed("series_id", "label")
-    return emissions.full_from_labels(v).withColumn("cov", F.round("cov", 8))
+    return emissions.full_from_labels(v).withColumn("cov", F.round("cov", 12))
 
 
 @query(f"""
@@ -322,14 +322,14 @@ def hsmm_states(spark, sf_dir):
 
 @query()
 def hsmm_learned_changepoints(spark, sf_dir):
-    few = _loglik(spark, sf_dir).where("series_id < 20")
-    return statespace.state_changepoints(statespace.decode_hsmm(few, [0.5, 0.5], [[0, 1], [1, 0]], [6.0, 6.0], 15, learn=True))
+    ll = _loglik(spark, sf_dir)
+    return statespace.state_changepoints(statespace.decode_hsmm(ll, [0.5, 0.5], [[0, 1], [1, 0]], [6.0, 6.0], 12, learn=True, iterations=4))
 
 
 def _shares(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     kinds = sorted(r[0] for r in e.select("event_type").distinct().collect())  # a handful
-    comp = src.compositions(e.withColumn("series_id", F.lit("all")), kinds[:3], F.date_trunc("hour", F.col("ts").cast("timestamp")), "event_type", "series_id")
+    comp = src.compositions(e.withColumn("series_id", F.lit("all")), kinds, F.date_trunc("hour", F.col("ts").cast("timestamp")), "event_type", "series_id")
     return src.number_rows(comp, ["day"], "series_id").select("series_id", "t", "comp")
 
 

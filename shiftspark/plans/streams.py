@@ -33,8 +33,8 @@ def _replay(spark: SparkSession, rows: DataFrame, job) -> DataFrame:
 @query("WITH " + _BERNOULLI + _ROUNDED)
 def streaming_bocpd(spark, sf_dir):
     """The online detector over a stream gives what it gives over the table."""
-    bits = hourly_bits(spark, sf_dir).where("t < 300").select("series_id", F.col("t").cast("long").alias("t"), (F.col("n") > 1).cast("double").alias("value"))
-    detector = bocpd.Detector(bocpd.BetaBernoulli(), bocpd.ConstantHazard(48))
+    bits = hourly_bits(spark, sf_dir).select("series_id", F.col("t").cast("long").alias("t"), (F.col("n") > 2).cast("double").alias("value"))
+    detector = bocpd.Detector(bocpd.BetaBernoulli(), bocpd.ConstantHazard(48), max_run_length=8192)
     return _rounded(_replay(spark, keep(bits, "bits"), lambda s: online.detect_stream(s, detector)))
 
 
