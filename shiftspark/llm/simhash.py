@@ -46,7 +46,7 @@ BUCKET_ROWS = 20_000
 FRONTIER = 2_000_000
 #: Shingles whose bits are counted at a time.
 COUNTED = 1 << 17
-#: Ids to drop are broadcast up to so many (8 bytes each), joined beyond.
+#: Rows to drop are broadcast up to so many (16 bytes each), joined beyond.
 BROADCAST_IDS = 1_000_000
 
 
@@ -100,13 +100,13 @@ def _fingerprints_of(texts: pa.Array, words_each: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words_each: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+    """doc_id, tx (a text's hash), fp (the 64 bits as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_fingerprints_of(batch.column(1), words_each))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_fingerprints_of(batch.column(2), words_each))], ["doc_id", "tx", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tx"), "text").mapInArrow(run, "doc_id long, tx long, fp long")
 
 
 # --- BK-trees -----------------------------------------------------------------
@@ -244,7 +244,7 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, buc
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words_each: int = SHINGLE_WORDS, blocks: int = BLOCKS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """doc_id, fp, fingerprint (16 hex digits), component_id for every row of docs."""
+    """doc_id, tx, fp, fingerprint (16 hex digits), component_id for every row of docs."""
     rows = stash(fingerprints(docs, words_each), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     nodes = stash(nodes, "nodes")
@@ -252,7 +252,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words_each: int = SHI
     parts = connected_components(links, "a", "b")
     classes = nodes.join(parts, nodes["rep"] == parts["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"), "n", "node")
     classes = classes.where("n > 1 or node is not null").select("fp", "component")
-    return rows.join(classes, "fp", "left").select("doc_id", "fp", hex16("fp").alias("fingerprint"), F.coalesce("component", "doc_id").alias("component_id"))
+    return rows.join(classes, "fp", "left").select("doc_id", "tx", "fp", hex16("fp").alias("fingerprint"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def hex16(name: str) -> Column:
@@ -262,14 +262,17 @@ def hex16(name: str) -> Column:
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each component: the one of the smallest doc_id.
 
-    Rows without a doc_id stay; of rows that repeat a doc_id one stays.
+    Rows without a doc_id stay. Rows that share a doc_id are judged by their own
+    texts; of those that are of one component one stays.
     """
     found = stash(near_duplicates(docs, **options), "components")
-    gone = found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_doc"), F.col("tx").alias("_tx")).distinct()
     side = F.broadcast(gone) if fits_broadcast(gone, BROADCAST_IDS) else gone
-    kept = docs.join(side, "doc_id", "left_anti").select(*docs.columns)
-    twice = found.groupBy("doc_id").count().where("count > 1")
-    return kept.dropDuplicates(["doc_id"]) if not fits_broadcast(twice, 0) else kept
+    kept = docs.join(side, (docs["doc_id"].cast("long") == side["_doc"]) & (F.xxhash64(docs["text"]) == side["_tx"]), "left_anti")
+    twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
+    if fits_broadcast(twice, 0):
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
 
 
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
