@@ -30,11 +30,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shiftspark.llm import tokens
-from shiftspark.llm.common import byte_slices, new_path, table
+from shiftspark.llm.common import byte_slices, hash_sample, new_path, stash, table
 
-#: The dictionary is trained on at most so many documents and bytes.
+#: The dictionary is trained on the ids of at most so many documents, in at most so many pieces of so many ids.
 SAMPLE_DOCUMENTS = 400
-SAMPLE_BYTES = 4 << 20
+SAMPLE_PIECES = 4_000
+SAMPLE_IDS = 512
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 BLOCK_BYTES = 1 << 20
@@ -43,20 +44,28 @@ BLOCKS = "shard int, block int, first_start long, n_tokens_block long, dictionar
 
 
 def train_dictionary(docs: DataFrame, vocabulary: str, width: str) -> bytes:
-    """From the ids of a bounded sample; empty where that is too small to train on."""
+    """From the ids of a bounded sample; empty where that is too small to train on.
+
+    Documents are picked by a hash of their ids, cut into pieces whole, as short
+    ones gain the most, and the pieces picked by a hash again.
+    """
     import zstandard
 
-    rows = docs.select(F.substring("text", 1, 20_000).alias("text")).where("text is not null").limit(SAMPLE_DOCUMENTS).collect()
-    flat, count = tokens.encoder(vocabulary).encode(pa.array([r["text"] for r in rows], pa.string()))
-    ends = np.cumsum(count)
-    samples, total = [], 0
-    for a, b in zip(ends - count, ends):
-        # documents in pieces, as short ones gain the most
-        for k in range(int(a), int(b), 512):
-            samples.append(flat[k : min(b, k + 512)].astype(width).tobytes())
-            total += len(samples[-1])
-        if total > SAMPLE_BYTES:
-            break
+    picked = hash_sample(docs.select("doc_id").where("doc_id is not null").distinct(), SAMPLE_DOCUMENTS, "doc_id")
+    texts = docs.join(F.broadcast(picked), "doc_id").select("text")  # at most SAMPLE_DOCUMENTS ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = tokens.encoder(vocabulary)
+        for batch in batches:
+            for first, n in byte_slices(batch.column(0), tokens.SLICE_BYTES):
+                flat, count = enc.encode(batch.column(0).slice(first, n))
+                flat, ends = flat.astype(width), np.cumsum(count)
+                cut = [flat[k : min(b, k + SAMPLE_IDS)].tobytes() for a, b in zip((ends - count).tolist(), ends.tolist()) for k in range(a, b, SAMPLE_IDS)]
+                yield pa.RecordBatch.from_arrays([pa.array(cut, pa.binary())], ["ids"])
+
+    cut = stash(texts.mapInArrow(run, "ids binary"), "dictionarysample")
+    samples = sorted(bytes(r["ids"]) for r in hash_sample(cut, SAMPLE_PIECES, "ids").collect())
+    total = sum(map(len, samples))
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, total // 10)), samples).as_bytes()
     except zstandard.ZstdError:
