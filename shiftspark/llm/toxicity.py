@@ -42,6 +42,8 @@ WINDOW = 6
 THRESHOLD = 0.5
 SLICE_BYTES = 8 << 20
 MEMO_ENTRIES = 200_000
+#: Automaton states a worker remembers before it starts afresh; bounds memory only.
+MEMO_STATES = 50_000
 
 QUOTES = set('"“”„«»‘’')
 QUOTING = {"said", "says", "wrote", "quoted", "quote", "called", "word", "term", "sagte", "dit", "dijo"}
@@ -73,6 +75,9 @@ class FuzzyLexicon:
                 node = self.next[node][c]
                 self.most[node] = max(self.most[node], allowed)
             self.term[node] = i
+        self.clear()
+
+    def clear(self) -> None:
         self.states: dict[tuple, int] = {}
         self.sets: list[tuple] = []
         self.accepts: list[tuple[int, int] | None] = []
@@ -100,6 +105,8 @@ class FuzzyLexicon:
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(edits, term) of the nearest term in reach, the first on ties."""
+        if len(self.sets) > MEMO_STATES:
+            self.clear()
         state = self.start
         for c in word:
             after = self.step[state].get(c)

@@ -298,6 +298,12 @@ def test_automaton_equals_edit_distance(terms, word):
     assert got == (min(near) if near else None)
 
 
+def test_automaton_forgets_its_states_without_harm(monkeypatch):
+    monkeypatch.setattr(toxicity, "MEMO_STATES", 3)
+    lexicon = toxicity.FuzzyLexicon(["stupid", "rubbish", "fool"])
+    assert [lexicon.match(w) for w in ("stupid", "stuqid", "rubish", "fooll", "fool", "clean", "rubbish")] == [(0, 0), (1, 0), (1, 1), None, (0, 2), None, (0, 1)]
+
+
 def test_toxicity_learns_terms_misspellings_and_quotation(spark):
     rng = random.Random(0)
     plain = "the house of rain and light was near a river with many boats in summer".split()
