@@ -53,8 +53,9 @@ def places(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> tuple[DataFrame, DataFrame]:
     """(digest, first place) of lines on at least min_sites sites, and the places to search."""
     spread = lines.groupBy("digest").agg(F.min("site").alias("a"), F.max("site").alias("b"))
-    shared = spread.where("a <> b" if min_sites > 1 else "true").select("digest")
-    places_ = stash(lines.join(shared, "digest"), "sharedlines")
+    # written, so that the joins below read plain shuffles, which adaptive execution can split at a line that fills the corpus
+    shared = stash(spread.where("a <> b" if min_sites > 1 else "true").select("digest"), "sharedlines")
+    places_ = stash(lines.join(shared, "digest"), "sharedplaces")
     sketched = stash(
         places_.groupBy("digest").agg(
             F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"),
@@ -70,7 +71,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> tuple[DataFrame
     taken = sketched.where(~near & (F.col("sites") > min_sites)).select("digest", "first").union(
         sketched.where(near).join(exact.where(F.col("exact") >= min_sites), "digest").select("digest", "first")
     )
-    return taken, places_
+    return stash(taken, "taken"), places_
 
 
 def drop_shared_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
