@@ -55,6 +55,18 @@ def full_from_labels(rows: DataFrame, label: str = "label", x: str = "x", ridge:
     return b.groupBy(label, "i", "j").agg((F.covar_samp("xi", "xj") + F.when(F.col("i") == F.col("j"), ridge).otherwise(0.0)).alias("cov"))
 
 
+def full_from_responsibilities(rows: DataFrame, x: str = "x", r: str = "r", ridge: float = 0.0) -> DataFrame:
+    """state, i, j, cov (weighted, population) of dimensions i <= j from weights (array r, normalised by row)."""
+    total = F.aggregate(r, F.lit(0.0), lambda acc, v: acc + v)
+    a = rows.select(F.col(x).alias("_x"), F.posexplode(F.transform(r, lambda v: v / total)).alias("state", "w"))
+    b = a.select("state", "w", "_x", F.posexplode("_x").alias("i", "xi"))
+    c = b.select("state", "w", "i", "xi", F.posexplode("_x").alias("j", "xj")).where("i <= j")
+    w, xi, xj = F.col("w"), F.col("xi").cast("double"), F.col("xj").cast("double")
+    sums = c.groupBy("state", "i", "j").agg(F.sum(w).alias("w"), F.sum(w * xi).alias("si"), F.sum(w * xj).alias("sj"), F.sum(w * xi * xj).alias("sij"))
+    cov = F.col("sij") / F.col("w") - F.col("si") / F.col("w") * F.col("sj") / F.col("w")
+    return sums.select("state", "i", "j", (cov + F.when(F.col("i") == F.col("j"), ridge).otherwise(0.0)).alias("cov"))
+
+
 def full_loglik(rows: DataFrame, means: dict[int, list[float]], covariances: dict[int, list[list[float]]], key: list[str], x: str = "x", floor: float = 1e-9) -> DataFrame:
     """key and loglik array: Cholesky on the driver, then one triangular product a row.
 

@@ -217,6 +217,19 @@ def gaussian_full_by_label(spark, sf_dir):
     return emissions.full_from_labels(v).withColumn("cov", F.round("cov", 12))
 
 
+@query(f"""
+WITH {VECTORS}, u AS (SELECT series_id, t, unnest(x)::DOUBLE AS v, unnest(range(len(x))) AS dim FROM vectors),
+p AS (SELECT s.state, CASE s.state WHEN 0 THEN a.series_id + 1 ELSE 2 END / (a.series_id + 3.0)::DOUBLE AS w, a.dim AS i, b.dim AS j, a.v AS xi, b.v AS xj
+      FROM u a JOIN u b ON a.series_id = b.series_id AND a.t = b.t AND a.dim <= b.dim, (VALUES (0), (1)) s(state))
+SELECT CAST(state AS INTEGER) AS state, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j,
+       round(sum(w * xi * xj) / sum(w) - sum(w * xi) / sum(w) * sum(w * xj) / sum(w), 7) + 0.0 AS cov
+FROM p GROUP BY ALL
+""")
+def gaussian_full_weighted(spark, sf_dir):
+    v = vectors(spark, sf_dir).withColumn("r", F.array((F.col("series_id") + 1).cast("double"), F.lit(2.0)))
+    return emissions.full_from_responsibilities(v).withColumn("cov", F.round("cov", 7) + 0.0)
+
+
 @query(f"""
 WITH {USERS}, d AS (SELECT series_id, t, cents / 100.0 AS y, lag(cents / 100.0) OVER w AS l1, lag(cents / 100.0, 2) OVER w AS l2 FROM users WINDOW w AS (PARTITION BY series_id ORDER BY t))
 SELECT series_id, t, round(-0.5 * (1.8378770664093453 + ln(900) + (y - 3 - 0.4 * l1 + 0.1 * l2) * (y - 3 - 0.4 * l1 + 0.1 * l2) / 900), 7) AS loglik FROM d WHERE l2 IS NOT NULL
