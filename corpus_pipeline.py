@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shiftspark.llm import decontam, linededup, packing, rules, simhash
+from shiftspark.llm import decontam, linededup, neardup, packing, rules
 from shiftspark.llm.common import new_path, table
 from shiftspark.ship import connect
 
@@ -27,7 +27,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     connect(spark)
-    return simhash.drop_near_duplicates(docs)
+    return neardup.drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from shiftspark.llm import decontam, linededup, simhash
+from shiftspark.llm import decontam, linededup, neardup, simhash
 from shiftspark.llm.components import connected_components
 from tests.llm.helpers import WORD, documents, edge_documents, empty_documents
 
@@ -125,6 +125,54 @@ def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
 # --- lines ------------------------------------------------------------------------------
 
 
+def shingles_of(text, k=5):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def kept_by_jaccard(rows, similarity=0.8):
+    sets = [shingles_of(r[1]) for r in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or (a and sets[j] and 10 * len(a & sets[j]) >= round(10 * similarity) * len(a | sets[j])):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return sorted(rows[i][0] for i in range(len(rows)) if find(i) == i)
+
+
+def test_pipeline_drops_pairs_of_similarity_from_0_8(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    rows, common = [], " ".join(f"common{i}" for i in range(30))
+    for group in range(25):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([20, 60, 200]))]
+        for edits in (0, 1, 1, 2, 4, 8):
+            copy = list(words)
+            for at in rng.sample(range(len(copy)), edits):
+                copy[at] = f"edit{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy) + (f" {common}" if group % 3 == 0 else "")))
+    want = kept_by_jaccard(rows)
+    assert 25 < len(want) < 120
+    df = documents(spark, rows)
+    assert len(simhash.drop_near_duplicates(df).collect()) > len(want)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == want
+
+
+def test_jaccard_near_duplicates_on_odd_rows(spark):
+    kept = neardup.drop_near_duplicates(edge_documents(spark))
+    assert kept.columns == edge_documents(spark).columns
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 5, 6, 8, 9, 10, 12]
+    assert neardup.drop_near_duplicates(empty_documents(spark)).count() == 0
+
+
 def dedup_lines(rows, min_sites=3, min_words=4):
     """(doc_id, text, source) -> {doc_id: text}"""
     where = defaultdict(list)
