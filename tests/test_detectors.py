@@ -90,6 +90,14 @@ def test_energy_native_equals_matrix(spark):
     assert best.split == split and best.stat == pytest.approx(stat)
 
 
+def test_divisive_goes_on_below_twelve_levels(spark):
+    # every split takes the highest step off the rest
+    p = spark.createDataFrame([("a", i, [10.0 ** (i // 5)]) for i in range(75)], "series_id string, t long, x array<double>")
+    found = energy.divisive(p, 5, 39).where("accepted").select("cp", "level").collect()
+    assert sorted(r.cp for r in found) == list(range(5, 75, 5))
+    assert max(r.level for r in found) == 13
+
+
 def test_divisive_finds_a_shift_and_strict_significance(spark):
     x = np.r_[np.zeros(15), np.full(15, 5.0)] + np.random.default_rng(0).normal(0, 0.1, 30)
     p = spark.createDataFrame([("a", i, [float(v)]) for i, v in enumerate(x)], "series_id string, t long, x array<double>")
