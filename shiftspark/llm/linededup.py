@@ -46,8 +46,8 @@ def places(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, tx (a text's hash), pos, digest, site of every line that has enough words."""
     exploded = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tx"), F.xxhash64("source").alias("site"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
     line = exploded.withColumn("line", _trimmed(F.col("line")))
-    # a word more than there are gaps between words
-    return line.where(F.size(F.split("line", "[\t\x0b\x0c\r ]+", min_words)) >= min_words).select("doc_id", "tx", "pos", F.unhex(F.md5("line")).alias("digest"), "site")
+    # a word more than there are gaps between words; a blank line has none
+    return line.where((F.col("line") != "") & (F.size(F.split("line", "[\t\x0b\x0c\r ]+", min_words)) >= min_words)).select("doc_id", "tx", "pos", F.unhex(F.md5("line")).alias("digest"), "site")
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> tuple[DataFrame, DataFrame]:

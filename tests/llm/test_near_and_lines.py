@@ -201,6 +201,16 @@ def test_line_dedup_equals_brute_force(spark):
     assert any(r.n_removed for r in got.values())
 
 
+def test_pipeline_takes_shared_lines_of_one_to_three_words(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"Les.\n\nown text of {i}\n \nAll rights reserved.\nHome\na line that is shared", f"site{i % 4 if i != 5 else 9}") for i in range(8)] + [(9, "Two words\n", "site1"), (10, "Two words\n", "site2")]
+    want = dedup_lines(rows, min_words=1)
+    assert want[3] == "\nown text of 3\n " and want[10] == "Two words\n"
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, documents(spark, rows), "").collect()}
+    assert got == want
+
+
 def test_near_threshold_lines_are_counted_exactly(spark):
     rows = [(i, "a line that many sites have", f"site{i}") for i in range(40)] + [(100 + i, "a line that two sites have", f"site{i % 2}") for i in range(40)]
     for need in (2, 3, 39, 40, 41):
