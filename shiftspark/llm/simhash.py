@@ -1,7 +1,7 @@
 """SimHash near-duplicates: fingerprints of shingles, BK-trees over shards, components.
 
 1. Every text's 64-bit fingerprint is made from its word shingles in one scan.
-2. Equal fingerprints become one node, named by their smallest doc_id.
+2. Equal fingerprints become one node, named by the fingerprint itself.
 3. Two fingerprints within ``radius`` bits agree on at least ``blocks - radius``
    of ``blocks`` bit blocks, so each goes to one bucket for every choice of that
    many blocks, and no pair is missed. A bucket is a shard of the search.
@@ -12,16 +12,20 @@
    each local component, never the pairs of a group.
 5. A bucket over ``bucket_rows`` is dealt into chunks, and every pair of chunks
    becomes a shard, so no task holds an unbounded bucket and no pair is lost.
-6. Alternating stars join the local components.
+6. Alternating stars join the local components. The smallest doc_id of a
+   component's rows only names the result.
 
 The trees are not broadcast whole: fingerprints grow with the corpus, so trees of
 all shards have no size bound. The bucket key sends each fingerprint to the few
 trees that can hold a neighbour instead.
 
 Nulls, empties, repeats: null and empty texts have fingerprint zero and link like
-any other; a null doc_id gets its fingerprint and the component of equal
-fingerprints, and names no component; repeated rows each get a row; an empty
-table gives no rows; other columns are ignored.
+any other; a null doc_id gets its fingerprint and its component, and names none
+(a component without any doc_id is named null); repeated rows each get a row,
+rows that share a doc_id each by their own text; a very long text is hashed
+whole, its bits counted a run of shingles at a time; at ties a bit is not set,
+as it needs over half; an empty table gives no rows; other columns, whatever
+their names, are ignored (drop_near_duplicates passes them through).
 """
 
 from __future__ import annotations
@@ -35,19 +39,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftspark.llm.common import bytes_of, fits_broadcast, stash, table
-from shiftspark.llm.components import connected_components
+from shiftspark.llm.components import connected_components, keep_first
 
 SEED = 42
 SHINGLE_WORDS = 4
 RADIUS = 4
 BLOCKS = 6
 BUCKET_ROWS = 20_000
+#: Keyed fingerprints that a task sorts and searches, about; there are more tasks where there is more to search.
+TASK_ROWS = 1_000_000
 #: Tree nodes visited at a time; bounds a task's memory.
 FRONTIER = 2_000_000
 #: Shingles whose bits are counted at a time.
 COUNTED = 1 << 17
-#: Rows to drop are broadcast up to so many (16 bytes each), joined beyond.
-BROADCAST_IDS = 1_000_000
 
 
 def shingle_hashes(text: bytes, words_each: int = SHINGLE_WORDS) -> list[int]:
@@ -66,23 +70,29 @@ def shingle_hashes(text: bytes, words_each: int = SHINGLE_WORDS) -> list[int]:
 
 
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
+#: The bits of a byte, each in a byte of its own: sums of up to LANE_ROWS of them do not overflow.
+_LANES = np.array([sum((b >> k & 1) << 8 * k for k in range(8)) for b in range(256)], "<u8")
+LANE_ROWS = 255
 
 
-def majority(hashes: list[int], sizes: list[int]) -> np.ndarray:
+def majority(hashes: list[int] | np.ndarray, sizes: list[int]) -> np.ndarray:
     """Fingerprints of consecutive runs of hashes: the bits set in over half of a run."""
-    sizes = np.array(sizes, np.int64)
+    sizes, octets = np.array(sizes, np.int64), np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
+    pieces = -(-sizes // LANE_ROWS)
+    run = np.repeat(np.arange(len(sizes)), pieces)
+    nth = np.arange(len(run)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    starts = (np.cumsum(sizes) - sizes)[run] + LANE_ROWS * nth
     ones = np.zeros((len(sizes), 64), np.int64)
-    full = np.flatnonzero(sizes)
-    values = np.array(hashes, np.uint64)
-    ends = np.cumsum(sizes)
-    for at in range(0, len(values), COUNTED):
-        part = values[at : at + COUNTED]
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        # the runs that this part touches
-        first, last = np.searchsorted(ends, at, "right"), np.searchsorted(ends, at + len(part) - 1, "right")
-        runs = full[(full >= first) & (full <= last)]
-        starts = np.maximum(ends[runs] - sizes[runs] - at, 0)
-        ones[runs] += np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+    first = 0
+    while first < len(run):
+        last = max(first + 1, int(np.searchsorted(starts, starts[first] + COUNTED, "left")))
+        end = starts[last] if last < len(run) else len(octets)
+        lanes = _LANES[octets[starts[first] : end].T]
+        sums = np.ascontiguousarray(np.add.reduceat(lanes, starts[first:last] - starts[first], axis=1).T).view(np.uint8)
+        own = run[first:last]
+        heads = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        ones[own[heads]] += np.add.reduceat(sums, heads, axis=0, dtype=np.int64)
+        first = last
     return ((2 * ones > sizes[:, None]) * _BITS).sum(axis=1, dtype=np.uint64)
 
 
@@ -176,17 +186,23 @@ def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = up
 
 
-def _star_links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _paired(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (key, fp) in order, without keys of one fingerprint."""
     order = np.lexsort((fp, key))
-    key, fp, rep = key[order], fp[order], rep[order]
+    key, fp = key[order], fp[order]
     same = np.zeros(len(key), bool)
     same[1:] = (key[1:] == key[:-1]) & (fp[1:] == fp[:-1])
-    key, fp, rep = key[~same], fp[~same], rep[~same]
+    key, fp = key[~same], fp[~same]
     paired = np.zeros(len(key), bool)
     paired[1:] = key[1:] == key[:-1]
     paired[:-1] |= paired[1:]
-    key, fp, rep = key[paired], fp[paired], rep[paired]
-    names, local = np.unique(rep, return_inverse=True)
+    return key[paired], fp[paired]
+
+
+def star_links(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span each component of the trees: from a fingerprint to the smallest that it reaches."""
+    key, fp = _paired(key, fp)
+    names, local = np.unique(fp.view(np.int64), return_inverse=True)
     label = np.arange(len(names))
     for a, b in search_forest(*build_forest(key, fp), fp, radius):
         label = unite(label, local[a], local[b])
@@ -194,6 +210,17 @@ def _star_links(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, radius: int) -
     return names[moved], names[label[moved]]
 
 
+def nearest_links(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between direct neighbours: from a node to the nearest of those before it in its tree."""
+    key, fp = _paired(key, fp)
+    best = np.full(len(fp), 65 * len(fp), np.int64)  # distance * nodes + node
+    for a, b in search_forest(*build_forest(key, fp), fp, radius):
+        np.minimum.at(best, a, np.bitwise_count(fp[a] ^ fp[b]).astype(np.int64) * len(fp) + b)
+    found = np.flatnonzero(best < 65 * len(fp))
+    names = fp.view(np.int64)
+    return names[found], names[best[found] % max(1, len(fp))]
+
+
 # --- Spark --------------------------------------------------------------------
 
 
@@ -207,52 +234,59 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def near_links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Links (a, b) that span every component of fingerprints within ``radius`` bits.
+def near_links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, bucket_rows: int = BUCKET_ROWS, links=star_links) -> DataFrame:
+    """Links (a, b) between fingerprints within ``radius`` bits, by default ones that span every component.
 
-    nodes: rep (long), fp (distinct). See the module's notes for the steps.
+    nodes: fp (distinct). See the module's notes for the steps.
     """
     if blocks <= radius:
         raise ValueError("blocks must exceed radius")
     masks = _masks(blocks, blocks - radius)
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks)])
-    keyed = nodes.select("rep", "fp", F.explode(keys).alias("key"))
+    keyed = nodes.select("fp", F.explode(keys).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows)
     sizes = stash(sizes, "buckets")
-    if fits_broadcast(sizes, 0):
+    chunks = F.ceil(F.col("n") / bucket_rows)
+    more = sizes.agg(F.sum(F.col("n") * (chunks - 1))).first()[0]
+    if not more:
         dealt = keyed
     else:
         large = F.broadcast(sizes) if fits_broadcast(sizes, 100_000) else sizes
-        chunks = F.ceil(F.col("n") / bucket_rows).cast("int")
         own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks")).cast("int")
         others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.xxhash64("key", F.least(j, F.col("own")), F.greatest(j, F.col("own"))))
         dealt = (
             keyed.join(large, "key", "left")
-            .withColumn("chunks", F.coalesce(chunks, F.lit(1))).withColumn("own", own)
-            .select("rep", "fp", F.explode(F.when(F.col("chunks") > 1, others).otherwise(F.array("key"))).alias("key"))
+            .withColumn("chunks", F.coalesce(chunks.cast("int"), F.lit(1))).withColumn("own", own)
+            .select("fp", F.explode(F.when(F.col("chunks") > 1, others).otherwise(F.array("key"))).alias("key"))
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [[np.asarray(c) for c in batch.columns] for batch in batches]
         if parts:
-            key, fp, rep = (np.concatenate(x) for x in zip(*parts))
-            a, b = _star_links(key, fp.view(np.uint64), rep, radius)
+            key, fp = (np.concatenate(x) for x in zip(*parts))
+            a, b = links(key, fp.view(np.uint64), radius)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    shards = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.select("key", "fp", "rep").repartition(shards, "key").mapInArrow(run, "a long, b long")
+    # a task's rows are bounded by the number of tasks, which follows the number of rows
+    rows = nodes.count() * len(masks) + int(more or 0)
+    shards = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+    return dealt.select("key", "fp").repartition(shards, "key").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words_each: int = SHINGLE_WORDS, blocks: int = BLOCKS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """doc_id, tx, fp, fingerprint (16 hex digits), component_id for every row of docs."""
+    """doc_id, tx, fp, fingerprint (16 hex digits), component (of fingerprints), component_id for every row of docs."""
     rows = stash(fingerprints(docs, words_each), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    nodes = stash(nodes, "nodes")
-    links = near_links(nodes.where("rep is not null").select("rep", "fp"), radius, blocks, bucket_rows)
-    parts = connected_components(links, "a", "b")
-    classes = nodes.join(parts, nodes["rep"] == parts["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"), "n", "node")
-    classes = classes.where("n > 1 or node is not null").select("fp", "component")
-    return rows.join(classes, "fp", "left").select("doc_id", "tx", "fp", hex16("fp").alias("fingerprint"), F.coalesce("component", "doc_id").alias("component_id"))
+    nodes = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "nodes")
+    parts = connected_components(near_links(nodes.select("fp"), radius, blocks, bucket_rows), "a", "b")
+    parted = stash(nodes.join(parts, nodes["fp"] == parts["node"], "left").where("n > 1 or node is not null").select("fp", "rep", F.coalesce("component", "fp").alias("component")), "parted")
+    # written, as the table of classes below, so that a component or fingerprint of very many rows is split by adaptive execution
+    named = stash(parted.groupBy("component").agg(F.min("rep").alias("component_id")), "named")
+    classes = stash(parted.select("fp", "component").join(named, "component"), "classes")
+    joined = rows.join(classes, "fp", "left").withColumn("in", F.col("component").isNotNull())
+    return joined.select(
+        "doc_id", "tx", "fp", hex16("fp").alias("fingerprint"), F.coalesce("component", "fp").alias("component"),
+        F.when(F.col("in"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+    )
 
 
 def hex16(name: str) -> Column:
@@ -260,19 +294,8 @@ def hex16(name: str) -> Column:
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each component: the one of the smallest doc_id.
-
-    Rows without a doc_id stay. Rows that share a doc_id are judged by their own
-    texts; of those that are of one component one stays.
-    """
-    found = stash(near_duplicates(docs, **options), "components")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_doc"), F.col("tx").alias("_tx")).distinct()
-    side = F.broadcast(gone) if fits_broadcast(gone, BROADCAST_IDS) else gone
-    kept = docs.join(side, (docs["doc_id"].cast("long") == side["_doc"]) & (F.xxhash64(docs["text"]) == side["_tx"]), "left_anti")
-    twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
-    if fits_broadcast(twice, 0):
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    """docs with one row of each component of fingerprints: see components.keep_first."""
+    return keep_first(docs, near_duplicates(docs, **options))
 
 
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -70,15 +70,39 @@ def test_hot_buckets_are_split_without_losing_links(spark):
     for i in range(300):  # a chain that drifts through one dense region
         fp ^= 1 << rng.randrange(40)
         nodes.append((i, fp))
-    distinct = {fp: i for i, fp in reversed(nodes)}
-    df = spark.createDataFrame([(i, fp - (1 << 64) if fp >> 63 else fp) for fp, i in distinct.items()], "rep long, fp long")
-    want = groups([(i, fp) for fp, i in distinct.items()], 4)
+    signed = lambda fp: fp - (1 << 64) if fp >> 63 else fp
+    distinct = {signed(fp): fp for _, fp in nodes}
+    df = spark.createDataFrame([(i,) for i in distinct], "fp long")
+    want = groups(list(distinct.items()), 4)
     for cap in (20, 10_000):
         parts = connected_components(simhash.near_links(df, bucket_rows=cap), "a", "b").collect()
         got = {i: i for i in want} | {r.node: r.component for r in parts}
         assert got == want
 
 
+def test_nearest_links_are_direct_and_leave_no_neighbour_alone(spark):
+    rng = random.Random(6)
+    fps = {rng.getrandbits(14) for _ in range(300)}
+    found = simhash.near_links(spark.createDataFrame([(x,) for x in fps], "fp long"), links=simhash.nearest_links).collect()
+    assert found and all((r.a ^ r.b).bit_count() <= 4 and r.a != r.b for r in found)
+    linked = {x for r in found for x in (r.a, r.b)}
+    assert linked == {x for x in fps if any(0 < (x ^ y).bit_count() <= 4 for y in fps)}
+
+
+@pytest.mark.parametrize("counted", [1, 300, 1 << 17])
+def test_majority_equals_a_plain_count(monkeypatch, counted):
+    monkeypatch.setattr(simhash, "COUNTED", counted)
+    rng = np.random.default_rng(3)
+    sizes = [0, 3, 255, 0, 256, 1, 2, 700, 0]
+    hashes = rng.integers(0, 2**64, sum(sizes), dtype=np.uint64)
+    want, at = [], 0
+    for n in sizes:
+        own = [int(x) for x in hashes[at : at + n]]
+        want.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in own) > n))
+        at += n
+    assert simhash.majority(hashes, sizes).tolist() == want and simhash.majority([], [0, 0]).tolist() == [0, 0] and simhash.majority([], []).tolist() == []
+
+
 def test_forest_search_follows_every_edge_within_the_radius():
     rng = np.random.default_rng(0)
     fp = np.unique(rng.integers(0, 2**12, 400, dtype=np.uint64))
@@ -122,6 +146,33 @@ def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
     assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("3", one), ("5", two), ("7", three), ("None", two), ("None", three), ("None", three)])
 
 
+def test_no_text_is_lost_where_ids_name_two_components(spark):
+    one, two = "the first long text of five words", "quite another text with words of its own"
+    for dropped in (simhash.drop_near_duplicates, neardup.drop_near_duplicates):
+        kept = dropped(documents(spark, [(5, one), (5, two), (7, one), (9, two)])).collect()
+        assert sorted((r.doc_id, r.text) for r in kept) == sorted([(5, one), (5, two)])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_one_row_of_each_component_stays_with_repeated_and_null_ids(spark, seed):
+    rng = random.Random(seed)
+    texts = [t for _, t in corpus(seed, 25)]
+    rows = [(rng.choice([None, *range(30)]), rng.choice(texts)) for _ in range(120)]
+    part = groups([(i, fingerprint(t)) for i, (_, t) in enumerate(rows)], 4)
+    found = simhash.near_duplicates(documents(spark, rows)).collect()
+    least = defaultdict(list)
+    for i, (doc, _) in enumerate(rows):
+        least[part[i]].append(doc)
+    name = {c: min((d for d in ids if d is not None), default=None) for c, ids in least.items()}
+    assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in found) == Counter((doc, f"{fingerprint(t):016x}", name[part[i]]) for i, (doc, t) in enumerate(rows))
+    kept = [(r.doc_id, r.text) for r in simhash.drop_near_duplicates(documents(spark, rows)).collect()]
+    of = {t: part[i] for i, (_, t) in enumerate(rows)}
+    assert Counter(t for d, t in kept if d is None) == Counter(t for d, t in rows if d is None)
+    named = [(d, t) for d, t in kept if d is not None]
+    assert Counter(of[t] for _, t in named) == Counter(c for c, n in name.items() if n is not None)
+    assert all(d == name[of[t]] for d, t in named)
+
+
 # --- lines ------------------------------------------------------------------------------
 
 
@@ -173,6 +224,55 @@ def test_jaccard_near_duplicates_on_odd_rows(spark):
     assert neardup.drop_near_duplicates(empty_documents(spark)).count() == 0
 
 
+@pytest.mark.parametrize("key_rows", [2, 4_000])
+def test_pairs_of_a_common_shingle_meet_whole_or_in_chunks(spark, key_rows):
+    sets = {i: (n, i % 7, i) for i, n in enumerate([10, 10, 9, 30, 8, 10, 10])}
+    rows = [(5, i, n, 0, part, 0, 0, 0, 0, len(sets)) for i, (n, part, _) in sets.items()] + [(6, 1, 10, 9, 1, 0, 0, 0, 0, 2), (6, 5, 10, 9, 5, 0, 0, 0, 0, 2)]
+    df = spark.createDataFrame(rows, "key long, sh long, n int, pos int, part long, fp long, fp1 long, fp2 long, fp3 long, met long")
+    got = {(r.key, *sorted((r.a, r.b))) for r in neardup.candidates(df, 0.8, key_rows).collect()}
+    fits = lambda a, b: min(a, b) >= 0.8 * max(a, b)
+    assert got == {(None, i, j) for i in sets for j in sets if i < j and fits(sets[i][0], sets[j][0])}
+    crowded = neardup.candidates(df, 0.8, key_rows, 0).collect()
+    assert {(r.key, r.a, r.b) for r in crowded} == {(5, None, None)}
+
+
+@pytest.mark.parametrize("dense, block_rows", [(0, 1_000), (0, 7), (2, 5)])
+def test_crowded_shingles_are_compared_in_blocks(spark, monkeypatch, dense, block_rows):
+    rng = random.Random(9)
+    rows, base = [], [f"w{rng.randrange(3000)}" for _ in range(60)]
+    for i in range(70):  # a group of which some are similar, some nearly, and some reach others by a chain
+        copy = list(base)
+        for at in rng.sample(range(60), rng.choice([0, 1, 2, 4, 6])):
+            copy[at] = f"edit{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    want = kept_by_jaccard(rows)
+    assert 3 < len(want) < 60
+    searched, linked = neardup.candidates, neardup.dense_links
+    used = []
+    monkeypatch.setattr(neardup, "neighbours", lambda own: own.select(F.col("sh").alias("a"), F.col("sh").alias("b")).where("false"))
+    monkeypatch.setattr(neardup, "star_candidates", lambda places, s: places.select(F.col("sh").alias("a"), F.col("sh").alias("b")).where("false"))
+    monkeypatch.setattr(neardup, "candidates", lambda places, s: searched(places, s, dense=dense))
+    monkeypatch.setattr(neardup, "dense_links", lambda *a: used.append(1) or linked(*a, block_rows=block_rows))
+    assert sorted(r.doc_id for r in neardup.drop_near_duplicates(documents(spark, rows)).collect()) == want and used
+
+
+def test_places_of_keys_that_two_sets_have(spark):
+    rng = random.Random(1)
+    rows = [(i, [rng.randrange(200) for _ in range(rng.randrange(6))]) for i in range(90)]
+    rows = [(i, sorted(set(k))) for i, k in rows]
+    holders = defaultdict(set)
+    for i, keys in rows:
+        for k in keys:
+            holders[k].add(i)
+    df = spark.createDataFrame(rows, "sh long, keys array<long>")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in ("1", "3", batch):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = Counter((r.key, r.sh, r.pos) for r in neardup.shared_places(df).collect())
+        assert got == Counter((k, i, at) for i, keys in rows for at, k in enumerate(keys) if len(holders[k]) > 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
 def dedup_lines(rows, min_sites=3, min_words=4):
     """(doc_id, text, source) -> {doc_id: text}"""
     where = defaultdict(list)
