@@ -1,6 +1,7 @@
 """Packing, id files, secrets, classifiers, rules, toxicity, URLs and the pipeline."""
 
 import bisect
+import functools
 import hashlib
 import random
 import re
@@ -257,15 +258,115 @@ def test_crf_adds_spans_of_the_learned_shape(spark):
         assert [(s.start, s.end, s.kind) for s in r.found if s.kind != "crf"] == plain_base(dict(rows)[r.doc_id])
 
 
-def test_crf_decoding_is_the_best_path():
-    rng = np.random.default_rng(1)
-    model = secrets.Crf({"a": tuple(rng.normal(size=3)), "b": tuple(rng.normal(size=3))}, np.where(np.array([[0, 0, 0], [0, 0, 0], [0, 1, 0]]) == 1, -1e4, rng.normal(size=(3, 3))), np.array([0.0, -1e4, 0.0]))
+def plain_tags(text, model):
+    """Tags of a text's tokens by one Viterbi pass over all of them, from features looked up one by one."""
+    places = [m.span() for m in secrets._TOKEN.finditer(text)]
+    roles = [secrets.role_features(text[a:b]) for a, b in places]
+    best, back = {secrets.O: 0.0}, []
+    for t, (a, _) in enumerate(places):
+        own = roles[t][0] + secrets.file_features(text) + (["glued"] if t and places[t - 1][1] == a else [])
+        own += roles[t + 1][4] if t + 1 < len(places) else ["after=^"]
+        for k in (1, 2, 3):
+            own += roles[t - k][k] if t >= k else [f"before{k}=^"]
+        emit = [sum(model.weights[f][tag] for f in own if f in model.weights) for tag in range(3)]
+        step = {tag: max((best[x] + model.moves[x, tag], -x) for x in best) for tag in range(3)}
+        back.append({tag: -x for tag, (_, x) in step.items()})
+        best = {tag: step[tag][0] + emit[tag] for tag in range(3)}
+    out = []
+    if places:
+        tag = max(range(3), key=lambda x: (best[x] + model.moves[x, secrets.O], -x))
+        for step in reversed(back):
+            out.append(tag)
+            tag = step[tag]
+    return places, out[::-1]
+
+
+def plain_spans(text, model):
+    base = plain_base(text)
+    places, tags = plain_tags(text, model) if model.weights else ([], [])
+    own, k = [], 0
+    while k < len(tags):
+        last = k
+        if tags[k] == secrets.B:
+            while last + 1 < len(tags) and tags[last + 1] == secrets.I:
+                last += 1
+            span = places[k][0], places[last][1]
+            if not any(span[0] < y and x < span[1] for x, y, _ in base):
+                own.append((*span, "crf"))
+        k = last + 1
+    order = [*secrets.KINDS, "crf"]
+    return base, sorted(base + own, key=lambda s: (s[0], order.index(s[2])))
+
+
+def joined(spans):
+    return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
+
+
+def secret_corpus(rng, n):
+    of = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    word = lambda: of("aeioubcdrst", rng.randint(2, 9)) if rng.random() < 0.93 else rng.choice(["4111222233334444", "10.20.30.40", "a.b12@mail.example.com", "+1 555-0199", "Überfluß", "(x)"])
+    words = lambda n: " ".join(word() for _ in range(n))
+    return [f'{words(20)} {rng.choice(["token", "password", "API_KEY"])} = "{of("0123456789abcdefABC", 30)}" {words(12)}\n{words(9)}' if i % 3 == 0 else words(rng.randint(0, 60)) for i in range(n)], words
+
+
+def test_secret_query_equals_one_plain_pass_over_whole_texts(spark, tmp_path):
+    rng = random.Random(5)
+    texts, words = secret_corpus(rng, 220)
+    rows = list(enumerate(texts)) + [(1000, "x" * 50_000), (1001, words(3000) + " password is 4be7d81f03c2a95e6d1b77aa90c1 ".replace("be", "BE") + " k3XvB7qLm2ZpT9sW4rYdQ8nH "  + words(10)), (1002, None), (1003, "+".join(["k9Xq", "=", "Zz81"] * 60))]
+    documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in secrets.op6_secret_scan(spark, str(tmp_path)).collect()}
+    model = secrets.fit(spark.read.parquet(str(tmp_path / "documents.parquet")))
+    assert len(got) == len(rows) and model.weights
+    added = 0
+    for i, text in rows:
+        base, spans = plain_spans(text or "", model)
+        counts = [sum(k == kind for *_, k in base) for kind in secrets.KINDS]
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == counts
+        assert got[i].base_sha256 == hashlib.sha256(joined(base).encode()).hexdigest() and got[i].spans == joined(spans)
+        added += len(spans) - len(base)
+    assert added
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 9))
+def test_crf_decoding_is_the_best_path(seed, n):
     import itertools
 
-    own = [["a"], ["b"], ["a", "b"], [], ["b"]]
-    emit = [np.sum([model.weights[f] for f in x] + [(0, 0, 0)], axis=0) for x in own]
-    value = lambda p: model.begin[p[0]] + emit[0][p[0]] + sum(model.moves[u, v] + emit[t + 1][v] for t, (u, v) in enumerate(zip(p, p[1:])))
-    assert tuple(model.tag(own, [])) == max(itertools.product(range(3), repeat=5), key=value)
+    rng = np.random.default_rng(seed)
+    moves = rng.normal(size=(3, 3))
+    moves[secrets.O, secrets.I] = -1e4
+    model = secrets.Crf({"a": (0.0, 0.0, 0.0)}, moves)
+    emit = rng.normal(size=(n, 3)) * 3 + [0, 0, rng.choice([0, 3])]
+    value = lambda p: sum(emit[t][v] for t, v in enumerate(p)) + sum(moves[u, v] for u, v in zip((2, *p), (*p, 2)))
+    assert tuple(model.tags(emit)) == max(itertools.product(range(3), repeat=n), key=value)
+
+
+def test_secrets_in_held_out_documents_are_found_without_key_and_mark(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = docs.where("doc_id % 3 = 0")
+    model = secrets.fit(docs.where("doc_id % 3 <> 0"))
+    texts = [r.text or "" for r in held.select("text").collect()]
+    rng = random.Random(1)
+    plain = [w for t in texts for w in t.split() if w.isalpha()]
+    words = lambda n: " ".join(rng.choice(plain) for _ in range(n))
+    tagger = secrets.Tagger(model)
+    values = [t[a:b] for t in texts for a, b in secrets.value_spans(t)]
+    made = [words(12) + " " + v + " " + words(9) for v in values]
+    tags = tagger.tags(pa.array(made))
+    found = [any(a <= t.index(v) and t.index(v) + len(v) <= b for a, b, _ in secrets.added_spans(t, own, [])) for t, v, own in zip(made, values, tags)]
+    assert len(values) >= 5 and np.mean(found) >= 0.9
+    wrong = sum(k == "crf" for spans in secrets.spans_of(texts, tagger) for *_, k in spans)
+    assert wrong <= 0.02 * len(texts)
+
+
+@pytest.mark.parametrize("phrase", ["password is hunter2x9Kq", "secret key: qXwbTrZkPlmVcNd", 'api_key "f81d4fae-7dec-11d0-a765-00a0c91e6bf6"', "token abKJd93kdPQ02mxlZZ91hd"])
+def test_secrets_without_digits_or_marks_and_behind_a_space(spark, phrase):
+    texts, words = secret_corpus(random.Random(2), 400)
+    model = secrets.fit(documents(spark, list(enumerate(texts))))
+    text = f"{words(30)} {phrase} {words(12)}"
+    spans = secrets.spans_of([text], secrets.Tagger(model))[0]
+    value = phrase.split()[-1].strip('"')
+    assert any(text[a:b] == value for a, b, k in spans if k == "crf")
 
 
 def test_secrets_on_odd_rows(spark):
@@ -274,8 +375,14 @@ def test_secrets_on_odd_rows(spark):
     assert len(got) == df.count() and all(r.base_sha256 == hashlib.sha256(b"").hexdigest() and r.spans == "" for r in got)
     assert secrets.scan(empty_documents(spark), secrets.fit(empty_documents(spark))).count() == 0
     two = documents(spark, [(1, 'é "token": "abcdef0123456789abcdef0123" x')])
-    r = secrets.digest(secrets.scan(two, secrets.Crf({}, np.zeros((3, 3)), np.zeros(3)))).first()
+    r = secrets.digest(secrets.scan(two, secrets.Crf({}, np.zeros((3, 3))))).first()
     assert r.spans == "assign:3:38,hex:12:38" and (r.n_assign, r.n_access, r.n_hex) == (1, 0, 1)
+    texts, _ = secret_corpus(random.Random(3), 120)
+    model = secrets.fit(documents(spark, list(enumerate(texts))))
+    again = secrets.scan(df, model).collect()
+    assert len(again) == df.count()
+    for r in again:
+        assert all(0 <= s.start < s.end for s in r.found)
 
 
 # --- toxicity --------------------------------------------------------------------------------
@@ -318,12 +425,63 @@ def test_toxicity_learns_terms_misspellings_and_quotation(spark):
         rows.append((i, " ".join(w)))
         labels.append((i, 1, int(toxic)))
     docs, marks = documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    lexicon, model = toxicity.fit(docs, marks)
+    lexicon, context, model = toxicity.fit(docs, marks)
     assert {t for t, _ in lexicon} >= {"worthless", "grumbol"}
-    got = toxicity.score(docs, lexicon, model).join(marks, "doc_id").where("held_out").toPandas()
+    got = toxicity.score(docs, lexicon, context, model).join(marks, "doc_id").where("held_out").toPandas()
     assert (got.predicted == got.toxic).mean() > 0.97
     new = documents(spark, [(1, " ".join(plain) + " you w0rthless, grumbbol Worthles! grumbol"), (2, " ".join(plain)), (3, " ".join(plain) + ' she said "worthless" and')])
-    assert {r.doc_id: r.predicted for r in toxicity.score(new, lexicon, model).collect()} == {1: 1, 2: 0, 3: 0}
+    assert {r.doc_id: r.predicted for r in toxicity.score(new, lexicon, context, model).collect()} == {1: 1, 2: 0, 3: 0}
+
+
+def test_terms_are_matched_as_they_are_learned():
+    scanner = toxicity.Scanner([("worthless", 3.0), ("grumbol", 2.0)], [("she", -1.5)])
+    for text, hits in [("you-worthless man", 1), ("worthless/grumbol", 2), ("a\u00a0worthless\u00a0b", 1), ("(w0rthless)", 1), ("worth less", 0), ("self-worth,less-ons", 0), ("", 0)]:
+        assert scanner.features(pa.array([text]))[0, 0] == hits
+    one, two = scanner.features(pa.array(["say-worthless now", "you-worthless now"]))
+    assert two[toxicity.FEATURES.index("abuse")] > one[toxicity.FEATURES.index("abuse")]
+    assert scanner.features(pa.array(["she is worthless"]))[0, toxicity.FEATURES.index("context")] == -1.5
+    assert scanner.words_beside(pa.array(["so, she-is worthless now", "plain"])) == [{"so", "she", "is", "now"}, set()]
+
+
+def test_toxicity_query_equals_plain_features(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    lexicon, context, model = toxicity.fit(docs, labels)
+    got = {r.doc_id: r for r in toxicity.op8_toxicity(spark, "/root/testdata/sf0.001").collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    known = dict(context)
+    for r in rows:
+        chunks = re.findall(r"[^\t\n\x0b\x0c\r ]+", r.text or "")
+        hits = [[] for _ in chunks]
+        for i, c in enumerate(chunks):
+            word = c.strip(toxicity._EDGES).lower()
+            for part in [word, *re.findall(r"[^\W_]+", word)]:
+                near = [(distance(part, t), k) for k, (t, _) in enumerate(lexicon) if abs(len(part) - len(t)) < 3 and distance(part, t) <= toxicity.edits_allowed(t)] if part and len(part) < 64 else []
+                if near:
+                    hits[i].append(min(near))
+                if part == word and near:
+                    break
+        x = np.zeros(len(toxicity.FEATURES))
+        at = [i for i, h in enumerate(hits) if h]
+        for i in at:
+            window = range(max(0, i - 6), min(len(chunks), i + 7))
+            words = {w for j in window for w in re.findall(r"[^\W_]+", chunks[j].lower())}
+            quote = sum(any(q in chunks[j] for q in toxicity.QUOTES) for j in window) / 2 + len(words & toxicity.QUOTING)
+            others = sum(len(hits[j]) for j in window) - 1
+            x[8] += sum(known.get(w, 0) for w in words) / len(at)
+            for e, k in hits[i]:
+                worth = lexicon[k][1] / (1 + e)
+                x[:3] = x[0] + 1, x[1] + worth, max(x[2], worth)
+                x[3] += e > 0
+                x[5] += worth * (1 + 0.5 * others + 0.5 * len(words & toxicity.ADDRESS)) / (1 + quote)
+                x[6] += worth * min(1, quote)
+        if at:
+            x[3], x[4], x[7] = x[3] / x[0], 100 * x[0] / len(chunks), len({k for h in hits for _, k in h})
+        x[9] = np.log1p(len(chunks))
+        want = model.score(x[None])[0]
+        assert abs(got[r.doc_id].score - want) < 1e-9 and got[r.doc_id].predicted == (want >= 0.5)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
 
 
 def test_toxicity_on_odd_rows(spark):
@@ -383,6 +541,136 @@ def test_url_model_learns_from_labels(spark):
     assert {r.page_id: r.verdict for r in urlfilter.judge(new, model=model).collect()} == {1: "block", 2: "allow"}
 
 
+def plain_url_features(url):
+    import math
+
+    url = url or ""
+    host, path = plain_url(url)
+    labels = host.split(".")
+    share = lambda c, x: c.count(x) / len(c)
+    entropy = lambda c: functools.reduce(lambda acc, x: acc - share(c, x) * (math.log(share(c, x)) / math.log(2)), dict.fromkeys(c), 0.0)
+    digits = lambda c: sum(x in "0123456789" for x in c) / max(1, len(c))
+    query = url[url.index("?") :].split("#")[0] if "?" in url else ""
+    language = re.match("/([a-z]{2})/", path)
+    segment = re.match("/([^/]*)", path)
+    keys = {"suffix": labels[-1], "domain": ".".join(labels[-2:]), "segment": "".join(c.lower() if "A" <= c <= "Z" else c for c in (segment[1] if segment else ""))}
+    return [
+        len(url), len(host), len(path), path.count("/"), len(labels), digits(url), digits(host), host.count("-"), query.count("&") + 1 if query else 0,
+        entropy(url), entropy(host), url.startswith("https://"), max(map(len, labels)), 2 if language else 0,
+    ], keys
+
+
+def test_url_query_equals_plain_features_and_walk(spark, tmp_path):
+    urls = URLS + [r.url for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("url").collect()]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r for r in urlfilter.op10_url_filter(spark, str(tmp_path)).collect()}
+    model = urlfilter.fit(urlfilter.parts(spark.read.parquet(str(tmp_path / "pages.parquet"))))
+    assert len(got) == len(urls) and set(model.rates) == set(urlfilter.STATISTICS)
+    for i, url in enumerate(urls):
+        own, keys = plain_url_features(url)
+        x = np.array([*own, *(v for name in urlfilter.STATISTICS for v in model.rates[name].get(keys[name], (model.prior, 0.0)))], float)
+        margin = model.trees.base
+        for feature, threshold, value in zip(model.trees.feature, model.trees.threshold, model.trees.value):
+            node = 0
+            for _ in range(model.trees.depth):
+                node = 2 * node + 1 + bool(x[feature[node]] > threshold[node])
+            margin += value[node - len(feature)]
+        host, path = plain_url(url)
+        rule, verdict = plain_rule(host, path)
+        assert abs(got[i].score - 1 / (1 + np.exp(-margin))) < 1e-9
+        assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, rule, verdict or ("block" if margin >= 0 else "allow"))
+
+
+def test_url_trees_hold_on_hosts_and_seed_words_that_they_have_not_seen(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = urlfilter.held_out(pages).collect()
+    assert sum(r.n for r in rows) > 300 and sum(r.n for r in rows if r.label == r.verdict) >= 0.95 * sum(r.n for r in rows)
+    split = urlfilter.parts(pages)
+    for word in ("casino", "pills"):
+        own = F.contains("host", F.lit(word))
+        model = urlfilter.fit(split.where(~own), seeds=[w for w in urlfilter.SEED_WORDS if w != word])
+        scores = [r.score for r in model.score(split.where(own)).collect()]
+        assert len(scores) > 10 and np.mean(np.array(scores) >= 0.5) >= 0.9
+
+
+# --- whole queries against plain versions -----------------------------------------------------
+
+
+def plain_tree_score(model, x):
+    margin = model.base
+    for feature, threshold, value in zip(model.feature, model.threshold, model.value):
+        node = 0
+        for _ in range(model.depth):
+            node = 2 * node + 1 + bool(x[feature[node]] > threshold[node])
+        margin += value[node - len(feature)]
+    return 1 / (1 + np.exp(-margin))
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def small_tables(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    return docs, labels, {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+
+
+def plain_ratios(t):
+    words, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+    n_words, chars, symbols, dup, repeat = plain_stats(t)
+    share = lambda a, b: a / max(1, b)
+    upper, lower = len(re.findall("[A-Z]", t)), len(re.findall("[a-z]", t))
+    return [
+        np.log1p(n_words), share(chars, n_words), share(symbols, chars), share(dup, len(lines)), share(repeat, n_words), share(len(set(words)), n_words), share(upper, upper + lower),
+        share(len(re.findall("[0-9]", t)), chars), share(sum(t.count(c) for c in ".,;:!?\"'()-"), chars), share(t.count("|"), n_words), share(t.count("!"), n_words),
+        np.log1p(share(n_words, len(lines))), share(t.count("."), n_words), share(sum(t.count(c) for c in "\t\n\x0b\x0c\r "), len(t)),
+    ]
+
+
+def test_quality_query_equals_plain_statistics_and_walk(spark):
+    docs, labels, texts = small_tables(spark)
+    model = quality.fit(docs, labels)
+    got = quality.op7_quality_classifier(spark, SMALL).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        want = plain_tree_score(model, plain_ratios(texts[r.doc_id]))
+        assert abs(r.score - want) < 1e-9 and r.predicted == (want >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_rules_query_equals_plain_counts_and_conditions(spark):
+    docs, labels, texts = small_tables(spark)
+    found = rules.fit(docs, labels)
+    got = rules.op9_quality_rules(spark, SMALL).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        counts, x = plain_stats(texts[r.doc_id]), dict(zip(textstats.RATIOS, plain_ratios(texts[r.doc_id])))
+        assert [r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words] == counts
+        failed = counts[0] < 20 or 100 * counts[4] > 30 * counts[0]
+        hit = any(all(x[k] <= t if op == "<=" else x[k] > t for k, op, t in rule) for rule in found)
+        assert (r.base_failed, r.kept) == (failed, not failed and not hit)
+
+
+def test_first_tree_is_the_greedy_one():
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 9, (300, 3)).astype(float)
+    y = ((x[:, 1] > 4) ^ (rng.random(300) < 0.1)).astype(float)
+    model = gbt.fit(x, y, trees=1, depth=2)
+    share = (y.sum() + 0.5) / (len(y) + 1)
+    g, h = share - y, np.full(len(y), share * (1 - share))
+    gain = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + 1)
+
+    def best(rows):
+        options = [(gain(rows & (x[:, f] <= t)) + gain(rows & (x[:, f] > t)) - gain(rows), f, t) for f in range(3) for t in range(8) if min((rows & (x[:, f] <= t)).sum(), (rows & (x[:, f] > t)).sum()) >= 10]
+        return max(options, key=lambda o: o[0])
+
+    everything = np.ones(len(y), bool)
+    _, f, t = best(everything)
+    assert (model.feature[0][0], model.threshold[0][0]) == (f, t)
+    for node, rows in ((1, x[:, f] <= t), (2, x[:, f] > t)):
+        top = best(rows)
+        own = rows & (x[:, model.feature[0][node]] <= model.threshold[0][node])
+        assert np.isinf(model.threshold[0][node]) or abs(gain(own) + gain(rows & ~own) - gain(rows) - top[0]) < 1e-9
+
+
 # --- pipeline --------------------------------------------------------------------------------
 
 
