@@ -5,8 +5,12 @@
 2. A word is matched by walking the intersection of its Levenshtein automaton
    with the lexicon's trie. States are sets of (trie node, edits) and are kept
    once met, so most words die after a few table look-ups.
+   Learning and matching cut words alike: a chunk without a match as a whole is
+   matched by its runs of letters and digits.
 3. Around each match a window of words is scored: other matches and words of
-   address speak for abuse, marks and words of quotation against it.
+   address speak for abuse, marks and words of quotation against it, and words
+   that the labelled sample has round matches in toxic or in clean documents
+   speak for or against it by their log odds there.
 4. A document's sums over its matches give its score by boosted trees that are
    fitted on the labelled sample.
 
@@ -14,13 +18,16 @@ Labels of at most SAMPLE_ROWS documents are used, none of them held out.
 
 Nulls, empties, repeats: a null or empty text has no match and gets the score of
 such texts; a null doc_id is scored and counts as not held out; rows whose label
-is null are not learned from; repeated rows are scored one by one; without labels
-the lexicon is empty and every score 0.5; an empty table gives no rows; other
-columns are ignored.
+is null are not learned from; repeated rows are scored one by one; a very long
+text is scanned whole, but its runs of 64 and more characters match no term; at
+ties of edits the first term counts; without labels the lexicon is empty and every
+score 0.5; an empty table gives no rows; other columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +45,9 @@ LEXICON_TERMS = 600
 #: A term is in at least so many toxic documents of the sample, and its odds there are so many times higher.
 TERM_DOCUMENTS = 4
 TERM_ODDS = 8.0
+#: Words round matches that are scored, and in how many documents with a match one is.
+CONTEXT_TERMS = 200
+CONTEXT_DOCUMENTS = 10
 WINDOW = 6
 THRESHOLD = 0.5
 SLICE_BYTES = 8 << 20
@@ -49,6 +59,7 @@ QUOTES = set('"“”„«»‘’')
 QUOTING = {"said", "says", "wrote", "quoted", "quote", "called", "word", "term", "sagte", "dit", "dijo"}
 ADDRESS = {"you", "your", "youre", "u", "du", "dich", "dein", "tu", "toi", "vous", "ton", "te", "usted", "eres"}
 
+_PARTS = re.compile(r"[^\W_]+")
 _EDGES = " .,;:!?#$%&*()|+=/[]{}_~@^<>¿¡'\"“”„«»‘’-"
 
 
@@ -126,71 +137,98 @@ class FuzzyLexicon:
         return self.accepts[state]
 
 
-FEATURES = ["hits", "weight", "top", "misspelled_share", "density", "abuse", "quoted", "terms", "log_words"]
+FEATURES = ["hits", "weight", "top", "misspelled_share", "density", "abuse", "quoted", "terms", "context", "log_words"]
+Match = tuple[int, int]  # edits, term
 
 
 class Scanner:
-    """Features of texts for one lexicon; remembers words within a worker."""
+    """Features of texts for one lexicon and its context words; remembers words within a worker."""
 
-    def __init__(self, lexicon: list[tuple[str, float]]):
+    def __init__(self, lexicon: list[tuple[str, float]], context: list[tuple[str, float]] = ()):
         self.lexicon = FuzzyLexicon([t for t, _ in lexicon])
         self.weights = [w for _, w in lexicon]
-        self.memo: dict[str, tuple[int, int] | None] = {}
+        self.context = dict(context)
+        self.memo: dict[str, tuple[Match, ...]] = {}
 
-    def chunk(self, chunk: str) -> tuple[int, int] | None:
+    def chunk(self, chunk: str) -> tuple[Match, ...]:
+        """The match of a chunk without the marks round it, or else those of its runs of letters and digits."""
         word = chunk.strip(_EDGES).lower()
         if word not in self.memo:
             if len(self.memo) > MEMO_ENTRIES:
                 self.memo.clear()
-            self.memo[word] = self.lexicon.match(word) if word and len(word) < 64 else None
+            whole = self._match(word)
+            parts = [] if whole or word.isalnum() else map(self._match, _PARTS.findall(word))
+            self.memo[word] = (whole,) if whole else tuple(m for m in parts if m)
         return self.memo[word]
 
-    def features(self, texts: pa.Array) -> np.ndarray:
+    def _match(self, word: str) -> Match | None:
+        return self.lexicon.match(word) if word and len(word) < 64 else None
+
+    def _found(self, texts: pa.Array) -> tuple[list[str], list[tuple[Match, ...]], np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct chunks, their matches, every chunk's number, where texts end, and where matches are."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         encoded = lists.flatten().dictionary_encode()
         chunks, index = encoded.dictionary.to_pylist(), np.asarray(encoded.indices)
         ends = np.asarray(lists.offsets).astype(np.int64)
-        ends = ends - ends[0]
+        kinds = [self.chunk(c) for c in chunks] if self.weights else [()] * len(chunks)
+        flagged = np.fromiter((bool(k) for k in kinds), bool, len(kinds))
+        at = np.flatnonzero(flagged[index]) if len(kinds) else np.zeros(0, np.int64)
+        return chunks, kinds, index, ends - ends[0], at
+
+    def features(self, texts: pa.Array) -> np.ndarray:
+        chunks, kinds, index, ends, at = self._found(texts)
         out = np.zeros((len(texts), len(FEATURES)))
         out[:, -1] = np.log1p(np.diff(ends))
-        if not self.weights:
-            return out
-        kinds = [self.chunk(c) for c in chunks]
-        flagged = np.fromiter((k is not None for k in kinds), bool, len(kinds))
-        at = np.flatnonzero(flagged[index]) if len(kinds) else np.zeros(0, np.int64)
         cuts = np.searchsorted(at, ends)
         for i in np.flatnonzero(np.diff(cuts)):
             out[i, :-1] = self._document(at[cuts[i] : cuts[i + 1]], index, chunks, kinds, int(ends[i]), int(ends[i + 1]))
         return out
 
+    def words_beside(self, texts: pa.Array) -> list[set[str]]:
+        """The words of each text that stand in the window of a match."""
+        chunks, kinds, index, ends, at = self._found(texts)
+        cuts = np.searchsorted(at, ends)
+        out = []
+        for i in range(len(texts)):
+            own = set()
+            for h in at[cuts[i] : cuts[i + 1]].tolist():
+                around = range(max(int(ends[i]), h - WINDOW), min(int(ends[i + 1]), h + WINDOW + 1))
+                own |= {w for j in around if not kinds[index[j]] for w in _words(chunks[index[j]])}
+            out.append(own)
+        return out
+
     def _document(self, hits: np.ndarray, index: np.ndarray, chunks: list[str], kinds: list, first: int, last: int) -> list[float]:
-        misspelled = 0
-        total = top = abuse = quoted = 0.0
+        misspelled = n = 0
+        total = top = abuse = quoted = context = 0.0
         terms = set()
         for h in hits.tolist():
-            edits, term = kinds[index[h]]
-            weight = self.weights[term]
-            around = [chunks[index[j]] for j in range(max(first, h - WINDOW), min(last, h + WINDOW + 1)) if j != h]
-            others = sum(kinds[index[j]] is not None for j in range(max(first, h - WINDOW), min(last, h + WINDOW + 1))) - 1
-            words = {c.strip(_EDGES).lower() for c in around}
-            quote = (sum(any(q in c for q in QUOTES) for c in [*around, chunks[index[h]]]) + 2 * len(words & QUOTING)) / 2
-            terms.add(term)
-            worth = weight / (1 + edits)
-            misspelled += edits > 0
-            total, top = total + worth, max(top, worth)
-            abuse += worth * (1 + 0.5 * others + 0.5 * len(words & ADDRESS)) / (1 + quote)
-            quoted += worth * min(1.0, quote)
-        return [len(hits), total, top, misspelled / len(hits), 100 * len(hits) / (last - first), abuse, quoted, len(terms)]
+            around = [index[j] for j in range(max(first, h - WINDOW), min(last, h + WINDOW + 1))]
+            others = sum(len(kinds[j]) for j in around) - 1
+            words = set().union(*(_words(chunks[j]) for j in around))
+            quote = (sum(any(q in chunks[j] for q in QUOTES) for j in around) + 2 * len(words & QUOTING)) / 2
+            context += sum(self.context.get(w, 0.0) for w in words)
+            for edits, term in kinds[index[h]]:
+                worth = self.weights[term] / (1 + edits)
+                terms.add(term)
+                n, misspelled = n + 1, misspelled + (edits > 0)
+                total, top = total + worth, max(top, worth)
+                abuse += worth * (1 + 0.5 * others + 0.5 * len(words & ADDRESS)) / (1 + quote)
+                quoted += worth * min(1.0, quote)
+        return [n, total, top, misspelled / n, 100 * n / (last - first), abuse, quoted, len(terms), context / len(hits)]
+
+
+def _words(chunk: str) -> list[str]:
+    return _PARTS.findall(chunk.lower())
 
 
 _SCANNERS: dict[int, Scanner] = {}
 
 
-def _scanner(lexicon: list[tuple[str, float]]) -> Scanner:
-    key = hash(tuple(lexicon))
+def _scanner(lexicon: list[tuple[str, float]], context: list[tuple[str, float]]) -> Scanner:
+    key = hash((tuple(lexicon), tuple(context)))
     if key not in _SCANNERS:
         _SCANNERS.clear()
-        _SCANNERS[key] = Scanner(lexicon)
+        _SCANNERS[key] = Scanner(lexicon, context)
     return _SCANNERS[key]
 
 
@@ -208,11 +246,33 @@ def learn_lexicon(sample: DataFrame, most: int = LEXICON_TERMS) -> list[tuple[st
     return [(r["term"], float(np.log(r["odds"]))) for r in rows]
 
 
-def _featured(docs: DataFrame, lexicon: list[tuple[str, float]], name: str, kind: str, model: gbt.Trees | None) -> DataFrame:
+def learn_context(sample: DataFrame, lexicon: list[tuple[str, float]], most: int = CONTEXT_TERMS) -> list[tuple[str, float]]:
+    """(word, log odds of toxic against clean documents) of words in the windows of matches; sample: text, label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = _scanner(lexicon, [])
+        for batch in batches:
+            for first, n in byte_slices(batch.column(1), SLICE_BYTES):
+                labels = batch.column(0).slice(first, n).to_pylist()
+                rows = [(w, label) for label, own in zip(labels, scanner.words_beside(batch.column(1).slice(first, n))) if own for w in [*own, ""]]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows]), pa.array([label for _, label in rows], pa.int32())], ["word", "label"])
+
+    seen = sample.select("label", "text").mapInArrow(run, "word string, label int").groupBy("word").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
+    seen = stash(seen, "contextwords")
+    size = seen.where("word = ''").first()  # every text with a match
+    if size is None or not size["t"] or not size["c"]:
+        return []
+    odds = F.log((F.col("t") + 0.5) / (size["t"] - F.col("t") + 0.5) / ((F.col("c") + 0.5) / (size["c"] - F.col("c") + 0.5)))
+    rows = seen.where((F.col("word") != "") & (F.col("t") + F.col("c") >= CONTEXT_DOCUMENTS)).withColumn("odds", odds).orderBy(F.desc(F.abs("odds")), "word").limit(most).collect()
+    return [(r["word"], float(r["odds"])) for r in rows]
+
+
+def _featured(docs: DataFrame, lexicon: list[tuple[str, float]], context: list[tuple[str, float]], name: str, kind: str, model: gbt.Trees | None) -> DataFrame:
     """``name`` and the features of text, or with a model the score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = _scanner(lexicon)
+        scanner = _scanner(lexicon, context)
         for batch in batches:
             for first, n in byte_slices(batch.column(1), SLICE_BYTES):
                 own, x = batch.column(0).slice(first, n), scanner.features(batch.column(1).slice(first, n))
@@ -227,18 +287,23 @@ def _featured(docs: DataFrame, lexicon: list[tuple[str, float]], name: str, kind
     return docs.select(F.col(name).cast(kind), "text").mapInArrow(run, f"{name} {kind}, {fields}")
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[tuple[str, float]], gbt.Trees]:
+Model = tuple[list[tuple[str, float]], list[tuple[str, float]], gbt.Trees]
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
+    """(lexicon, context words, trees)"""
     sample = stash(labelled_sample(docs, labels, "toxic", rows).select("text", "label"), "toxicsample")
     lexicon = learn_lexicon(sample)
-    got = _featured(sample, lexicon, "label", "int", None).toPandas()  # at most ``rows`` rows for each id
+    context = learn_context(sample, lexicon) if lexicon else []
+    got = _featured(sample, lexicon, context, "label", "int", None).toPandas()  # at most ``rows`` rows for each id
     if not len(got):
-        return [], gbt.fit(np.zeros((1, len(FEATURES))), np.array([0.5]))
-    return lexicon, gbt.fit(got[FEATURES].to_numpy(), got["label"].to_numpy(float), trees=40, depth=3)
+        return [], [], gbt.fit(np.zeros((1, len(FEATURES))), np.array([0.5]))
+    return lexicon, context, gbt.fit(got[FEATURES].to_numpy(), got["label"].to_numpy(float), trees=40, depth=3)
 
 
-def score(docs: DataFrame, lexicon: list[tuple[str, float]], model: gbt.Trees) -> DataFrame:
+def score(docs: DataFrame, lexicon: list[tuple[str, float]], context: list[tuple[str, float]], model: gbt.Trees) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
-    return _featured(docs, lexicon, "doc_id", "long", model)
+    return _featured(docs, lexicon, context, "doc_id", "long", model)
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
