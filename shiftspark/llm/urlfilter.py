@@ -3,13 +3,17 @@
 A rule fits its host and all subdomains if the path starts with the rule's; the
 longest rule wins. URLs that no rule fits are judged by gradient-boosted trees.
 Labelled URLs are those that a rule fits, those whose host holds a seed word
-(blocked), and the rest, which count as allowed. The trees are fitted on a bounded sample of them; features and the
-walk through the trees are Spark expressions.
+(blocked), and the rest, which count as allowed. The trees are fitted on a bounded
+sample of them; features and the walk through the trees are Spark expressions.
+Hosts whose checksum divides by five are held out of the fit: held_out() says how
+the trees do on hosts that they have not seen.
 
 Nulls, empties, repeats: a null url, or one without ``://``, has an empty host
 and path, fits no rule and is judged by the trees; a null page_id is kept;
-repeated rows are judged one by one; without labelled URLs of both kinds the
-trees are a constant; an empty table gives no rows; other columns are ignored.
+repeated rows are judged one by one; a very long url is judged whole; of rules as
+long as each other the first wins; without labelled URLs of both kinds the trees
+are a constant; an empty table gives no rows; other columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +30,9 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 #: Words that mark a host as unwanted when URLs are labelled.
 SEED_WORDS = ["casino", "bets", "poker", "jackpot", "pills", "loans", "spam", "ads-"]
 SAMPLE_ROWS = 20_000
-#: Suffixes that get statistics of their own: the most frequent of the sample.
+#: Suffixes of one label and of two, and first parts of paths, that get statistics of their own: the most frequent of the sample.
 SUFFIXES = 100
+STATISTICS = ["suffix", "domain", "segment"]
 THRESHOLD = 0.5
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -68,7 +73,8 @@ def features(split: DataFrame) -> DataFrame:
     labels = F.split(host, r"\.")
     return split.select(
         "*",
-        F.element_at(labels, -1).alias("suffix"),
+        F.element_at(labels, -1).alias("suffix"), F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".").alias("domain"),
+        F.translate(F.regexp_extract(path, r"^/([^/]*)", 1), _UPPER, _LOWER).alias("segment"),
         size(url).alias("f_length"), size(host).alias("f_host_length"), size(path).alias("f_path_length"),
         without(path, "/").alias("f_depth"), F.size(labels).cast("double").alias("f_labels"),
         (without(url, "[0-9]") / F.greatest(size(url), F.lit(1.0))).alias("f_digit_ratio"),
@@ -84,44 +90,59 @@ def features(split: DataFrame) -> DataFrame:
 
 NAMES = [
     "f_length", "f_host_length", "f_path_length", "f_depth", "f_labels", "f_digit_ratio", "f_host_digit_ratio", "f_host_dashes", "f_parameters",
-    "f_entropy", "f_host_entropy", "f_https", "f_longest_label", "f_language", "f_suffix_rate", "f_suffix_seen",
+    "f_entropy", "f_host_entropy", "f_https", "f_longest_label", "f_language", *[f"f_{s}_{kind}" for s in STATISTICS for kind in ("rate", "seen")],
 ]
 
 
 class UrlModel:
-    """Suffix statistics and trees, as Spark expressions."""
+    """Suffix statistics and trees, as joins with tables of at most SUFFIXES rows and Spark expressions."""
 
-    def __init__(self, trees: gbt.Trees, rates: dict[str, tuple[float, float]], prior: float):
+    def __init__(self, trees: gbt.Trees, rates: dict[str, dict[str, tuple[float, float]]], prior: float):
         self.trees, self.rates, self.prior = trees, rates, prior
 
-    def _suffix(self, i: int, other: float) -> Column:
-        out = F.lit(other)
-        for suffix, values in self.rates.items():  # at most SUFFIXES of them
-            out = F.when(F.col("suffix") == suffix, F.lit(values[i])).otherwise(out)
-        return out
-
     def score(self, split: DataFrame) -> DataFrame:
         """split with ``score``: how likely a URL is one to block."""
-        full = features(split).withColumn("f_suffix_rate", self._suffix(0, self.prior)).withColumn("f_suffix_seen", self._suffix(1, 0.0))
+        full = features(split)
+        for name, own in self.rates.items():
+            rows = [F.struct(F.lit(k).cast("string").alias(name), F.lit(r).alias(f"f_{name}_rate"), F.lit(n).alias(f"f_{name}_seen")) for k, (r, n) in {None: (self.prior, 0.0), **own}.items()]
+            known = split.sparkSession.range(1).select(F.inline(F.array(*rows)))
+            full = full.join(F.broadcast(known), name, "left").fillna({f"f_{name}_rate": self.prior, f"f_{name}_seen": 0.0})
         return full.withColumn("score", 1 / (1 + F.exp(-F.expr(self.trees.sql(NAMES))))).select(*split.columns, "score")
 
 
-def fit(split: DataFrame, rules: list[tuple[str, str, str]] = RULES, seeds: list[str] = SEED_WORDS, rows: int = SAMPLE_ROWS) -> UrlModel:
+def _label(rules: list[tuple[str, str, str]], seeds: list[str]) -> Column:
     seeded = F.lit(False)
     for word in seeds:
         seeded = seeded | F.contains("host", F.lit(word))
-    label = F.coalesce(rule_column(rules)[1], F.when(seeded, "block").otherwise("allow"))
-    marked = hash_sample(split.withColumn("label", label), rows, "url", "page_id")
+    return F.coalesce(rule_column(rules)[1], F.when(seeded, "block").otherwise("allow"))
+
+
+def _held_out() -> Column:
+    return F.crc32("host") % 5 == 0
+
+
+def fit(split: DataFrame, rules: list[tuple[str, str, str]] = RULES, seeds: list[str] = SEED_WORDS, rows: int = SAMPLE_ROWS) -> UrlModel:
+    marked = hash_sample(split.where(~_held_out()).withColumn("label", _label(rules, seeds)), rows, "url", "page_id")
     got = features(marked).toPandas()  # at most ``rows`` rows
     y = (got["label"] == "block").to_numpy(float)
     prior = float((y.sum() + 0.5) / (len(y) + 1))
-    seen = got.assign(y=y).groupby("suffix")["y"].agg(["sum", "count"]).sort_values(["count", "sum"], ascending=False).head(SUFFIXES)
-    rates = {k: (float((r["sum"] + 5 * prior) / (r["count"] + 5)), float(np.log1p(r["count"]))) for k, r in seen.iterrows()}
-    got["f_suffix_rate"] = got["suffix"].map(lambda s: rates.get(s, (prior, 0.0))[0]).astype(float)
-    got["f_suffix_seen"] = got["suffix"].map(lambda s: rates.get(s, (prior, 0.0))[1]).astype(float)
+    rates = {}
+    for name in STATISTICS:
+        seen = got.assign(y=y).groupby(name)["y"].agg(["sum", "count"]).sort_values(["count", "sum"], ascending=False).head(SUFFIXES)
+        own = rates[name] = {k: (float((r["sum"] + 5 * prior) / (r["count"] + 5)), float(np.log1p(r["count"]))) for k, r in seen.iterrows()}
+        for i, kind in enumerate(("rate", "seen")):
+            got[f"f_{name}_{kind}"] = got[name].map(lambda s: own.get(s, (prior, 0.0))[i]).astype(float)
     return UrlModel(gbt.fit(got[NAMES].to_numpy(float).reshape(-1, len(NAMES)), y, trees=25, depth=3, rate=0.3), rates, prior)
 
 
+def held_out(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, seeds: list[str] = SEED_WORDS) -> DataFrame:
+    """ruled, label, verdict (of the trees alone), n: the labelled URLs of hosts that the fit leaves out."""
+    split = parts(pages)
+    scored = fit(split, rules, seeds).score(split.where(_held_out()))
+    verdict = F.when(F.col("score") >= THRESHOLD, "block").otherwise("allow")
+    return scored.groupBy(rule_column(rules)[0].isNotNull().alias("ruled"), _label(rules, seeds).alias("label"), verdict.alias("verdict")).agg(F.count("*").alias("n"))
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, model: UrlModel | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, score for every row of pages."""
     split = parts(pages)
