@@ -12,9 +12,10 @@ which adaptive execution splits.
 
 Nulls, empties, repeats: a null text counts as empty and stays null; a null
 source is a site of its own; a null doc_id sorts first; rows that repeat doc_id
-and text are treated alike, as one document; an empty table gives no rows;
-blank lines and lines under ``min_words`` words are never taken; other columns
-pass through.
+and text are treated alike, as one document; of lines that tie as the first the
+smallest text's hash decides; a very long text is cut into its lines in one row;
+an empty table gives no rows; blank lines and lines under ``min_words`` words are
+never taken; other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from shiftspark.llm.common import stash, table
 
 MIN_SITES = 3
-MIN_WORDS = 4
+#: Every line that holds a word can be boilerplate: how many sites have it decides alone.
+MIN_WORDS = 1
 #: Sketch size as a power of two: a relative error of about 1.04 / sqrt(2^12).
 LG_K = 12
 #: Estimates within so many standard errors of the threshold, and within one site, are counted exactly.
@@ -85,7 +87,10 @@ def drop_shared_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_words: in
     marked = docs.join(side, docs["doc_id"].cast("long").eqNullSafe(side["_doc"]) & (F.xxhash64(docs["text"]) == side["_tx"]), "left")
     lines = _lines(docs["text"])
     gone_set = side["_gone"]
-    left = F.concat_ws("\n", F.filter(lines, lambda x, i: ~F.array_contains(gone_set, i)))
+    # what stands between the places taken, in one pass whatever their number
+    order = F.array_sort(gone_set)
+    before, at = (lambda k: F.coalesce(F.get(order, k - 1), F.lit(-1))), (lambda k: F.coalesce(F.get(order, k), F.size(lines)))
+    left = F.concat_ws("\n", F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone_set)), lambda k: F.slice(lines, before(k) + 2, at(k) - before(k) - 1))))
     text = F.when(gone_set.isNull(), docs["text"]).otherwise(left)
     return marked.select(
         *[text.alias("text") if c == "text" else docs[c] for c in docs.columns],
@@ -107,7 +112,7 @@ WITH lines AS (
 ), shared AS (
   SELECT line, min(doc_id * 1000000 + pos) AS first
   FROM worded
-  WHERE len(string_split_regex(line, '[\\t\\x0b\\x0c\\r ]+')) >= {MIN_WORDS}
+  WHERE line <> '' AND len(string_split_regex(line, '[\\t\\x0b\\x0c\\r ]+')) >= {MIN_WORDS}
   GROUP BY line HAVING count(DISTINCT source) >= {MIN_SITES}
 ), marked AS (
   SELECT l.doc_id, l.pos, l.line, s.first IS NOT NULL AND s.first <> l.doc_id * 1000000 + l.pos AS gone
