@@ -6,8 +6,11 @@ precise there, take away what it covers, and go on. The list becomes one ordered
 ``when`` chain over columns of statistics.
 
 Nulls, empties, repeats: a null or empty text has no words, so it fails the base;
-a null doc_id is judged like any other; repeated rows are judged one by one;
-without labels only the base decides; an empty table gives no rows.
+a null doc_id is judged like any other; repeated rows are judged one by one; a
+very long text is counted whole; at ties of gain the first statistic and the lowest
+threshold are taken, and of rules that hold the first decides; without labels only
+the base decides; an empty table gives no rows; keep_good passes other columns
+through, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,18 +42,19 @@ _STATS = [*textstats.COUNTS, *textstats.RATIOS]
 _SCHEMA = ", ".join([*(f"{k} long" for k in textstats.COUNTS), *(f"{k} double" for k in textstats.RATIOS)])
 
 
-def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns of docs and all statistics of ``text``."""
-    kept = docs.select(*keep).schema
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+def statistics(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """The ``keep`` columns of docs and all statistics of the column ``text``, which goes to Python once."""
+    sent = keep if text in keep else [*keep, text]
+    at = sent.index(text)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, n, stats in textstats.slices(batch, len(keep)):
+            for first, n, stats in textstats.slices(batch, at):
                 columns = [batch.column(i).slice(first, n) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array(stats[k]) for k in _STATS)], [*keep, *_STATS])
 
-    return docs.select(*keep, F.col("text")).mapInArrow(run, f"{fields}, {_SCHEMA}")
+    return docs.select(*sent).mapInArrow(run, f"{fields}, {_SCHEMA}" if keep else _SCHEMA)
 
 
 def learn(x: np.ndarray, low: np.ndarray, names: list[str], precision: float = PRECISION) -> list[list[Condition]]:
@@ -145,9 +149,9 @@ def verdict(rules: list[list[Condition]]) -> Column:
     return F.lit(None).cast("int") if out is None else out
 
 
-def judge(docs: DataFrame, rules: list[list[Condition]], keep: list[str]) -> DataFrame:
+def judge(docs: DataFrame, rules: list[list[Condition]], keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns, the counted statistics, base_failed, rule, kept."""
-    failed = statistics(docs, keep).withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
+    failed = statistics(docs, keep, text).withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
     return failed.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()).select(*keep, *textstats.COUNTS, "base_failed", "rule", "kept")
 
 
@@ -156,8 +160,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rules = fit(docs, labels)
     names = [f"_{i}" for i in range(len(docs.columns))]
     at = docs.columns.index("text")
-    plain = docs.toDF(*names).withColumn("text", F.col(names[at]))
-    return judge(plain, rules, names).where("kept").select(*names).toDF(*docs.columns)
+    return judge(docs.toDF(*names), rules, names, names[at]).where("kept").select(*names).toDF(*docs.columns)
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
