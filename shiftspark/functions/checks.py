@@ -60,3 +60,23 @@ def changepoints(cps: DataFrame, lengths: DataFrame, min_length: int = 1) -> Dat
         short_segment=(F.col("cp") - F.col("before") < min_length) | (F.col("after") - F.col("cp") < min_length),
     )
     return cps
+
+
+def circular(boundaries: DataFrame, period: int, cp: str = "cp") -> DataFrame:
+    """boundaries (series_id, cp): whole phases of the period, each once in a series, none alone."""
+    found = boundaries.groupBy("series_id", cp).agg(F.count("*").alias("n")).withColumn("of", F.count("*").over(Window.partitionBy("series_id")))
+    require(found, out_of_range=F.col(cp).isNull() | (F.col(cp) < 0) | (F.col(cp) >= period), repeated=F.col("n") > 1, alone=F.col("of") == 1)
+    return boundaries
+
+
+def matrix(df: DataFrame, value: str, size: int) -> DataFrame:
+    """An array column of arrays: ``size`` rows of ``size`` finite numbers, symmetric."""
+    rows = F.sequence(F.lit(0), F.lit(size - 1))
+    number = lambda i, j: F.get(F.get(value, i), j)
+    wrong = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    return require(
+        df,
+        not_square=(F.size(value) != size) | F.exists(value, lambda r: F.size(r) != size),
+        not_finite=F.exists(value, lambda r: F.exists(r, wrong)),
+        not_symmetric=F.exists(rows, lambda i: F.exists(rows, lambda j: F.abs(number(i, j) - number(j, i)) > 1e-8)),
+    )

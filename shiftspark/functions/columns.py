@@ -82,3 +82,19 @@ def circular_distance(a: Column, b: Column, period: int) -> Column:
     """The shorter way round between two phases."""
     d = F.pmod(a - b, F.lit(period))
     return F.least(d, period - d)
+
+
+def exp_or_inf(x: Column) -> Column:
+    """exp, infinite where it overflows; a missing or NaN exponent ends the job with an error."""
+    return F.when(x.isNull() | F.isnan(x), F.raise_error(F.lit("exp of a missing number")).cast("double")).otherwise(F.exp(x))
+
+
+def squared_mahalanobis(x: Column, mean: list[float], precision: list[list[float]]) -> Column:
+    """(x - mean)' precision (x - mean) in built-in functions, for a small matrix of literals."""
+    d = [F.get(x, i) - float(m) for i, m in enumerate(mean)]
+    out = F.lit(0.0)
+    for i, row in enumerate(precision):
+        for j, p in enumerate(row):
+            if p:
+                out = out + float(p) * d[i] * d[j]
+    return out

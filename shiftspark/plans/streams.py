@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftspark.functions.frames import keep
+from shiftspark.functions.frames import keep, shared_dir
 from shiftspark.operators import bocpd
 from shiftspark.plans.build import hourly_bits, query, table
 from shiftspark.plans.detectors import _BERNOULLI, _ROUNDED, _rounded
@@ -16,8 +15,7 @@ from shiftspark.streaming import online
 
 
 def _root(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _replay(spark: SparkSession, rows: DataFrame, job) -> DataFrame:
@@ -49,7 +47,11 @@ def streaming_window_counts(spark, sf_dir):
     return found.select("series_id", F.expr("unix_micros(start) div 3600000000").alias("h"), "value")
 
 
-@query()
+@query("""
+WITH w AS (SELECT event_type AS series_id, epoch_us(ts) // 3600000000 - k AS h, avg(value) AS mean, count(*) AS n FROM events CROSS JOIN (SELECT unnest(range(6)) AS k) GROUP BY 1, 2)
+SELECT series_id, h, round(mean, 7) AS mean, n FROM w WHERE (h + 6) * 3600000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 3600000000 FROM events)
+""")
 def streaming_hopping_means(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("ts", "event_type", "value")
-    return _replay(spark, events, lambda s: online.hopping_means(s, "6 hours", "1 hour"))
+    found = _replay(spark, events, lambda s: online.hopping_means(s, "6 hours", "1 hour"))
+    return found.select("series_id", F.expr("unix_micros(start) div 3600000000").alias("h"), F.round("mean", 7).alias("mean"), "n")

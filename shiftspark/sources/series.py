@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,9 +14,21 @@ class SourceError(ValueError):
     """A file's schema or content can't be used; names the path."""
 
 
+@contextmanager
+def at_path(path: str, doing: str = "reading"):
+    """Errors of a source or sink as a SourceError that names the path, with their cause."""
+    try:
+        yield
+    except SourceError:
+        raise
+    except Exception as e:
+        raise SourceError(f"{doing} {path}: {e}") from e
+
+
 def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, timestamp: str | None = None, skip_rows: int = 0, max_rows: int | None = None) -> DataFrame:
     """row, the timestamp text, and number columns of a header CSV; rows with unreadable numbers go."""
-    raw = spark.read.option("header", True).csv(path)
+    with at_path(path):
+        raw = spark.read.option("header", True).csv(path)
     if not raw.columns:
         raise SourceError(f"{path}: no header")
     wanted = columns or [c for c in raw.columns if c != timestamp]
@@ -35,19 +49,23 @@ def number_rows(df: DataFrame, order: list[str], key: str) -> DataFrame:
     return df.withColumn("t", (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long"))
 
 
-def micros(ts: str | Column) -> Column:
-    """Microseconds since the epoch, in UTC, of a timestamp with or without a zone."""
-    c = F.col(ts) if isinstance(ts, str) else ts
-    return F.unix_micros(c.cast("timestamp"))
+def micros(ts: str | Column, timezone: str | None = None) -> Column:
+    """Microseconds since the epoch, in UTC, of a timestamp with or without a zone.
 
+    With ``timezone`` those that the wall clock there shows, so that days begin at its midnight.
+    """
+    c = (F.col(ts) if isinstance(ts, str) else ts).cast("timestamp")
+    return F.unix_micros(F.from_utc_timestamp(c, timezone) if timezone else c)
 
-def occupied_bins(events: DataFrame, minutes: int, start_hour: int = 0, days: int | None = None, key: str = "series_id", ts: str = "ts", value: str | None = None, threshold: float = 0.0) -> DataFrame:
+
+def occupied_bins(events: DataFrame, minutes: int, start_hour: int = 0, days: int | None = None, key: str = "series_id", ts: str = "ts", value: str | None = None, threshold: float = 0.0, timezone: str | None = None) -> DataFrame:
     """series_id, t, value: whether each bin of a key's calendar holds an event.
 
     Bins divide the day. The calendar starts at the first day's start_hour, or a
     day later if the first event is at or after it, and ends ``days`` later or
     after the last event's bin. Unreadable times go; with ``value`` only events
-    over the threshold count.
+    over the threshold count. With ``timezone`` bins are of the wall clock there: an
+    hour that it skips stays empty, one that it repeats is one.
     """
     if 1440 % minutes:
         raise ValueError("minutes divides 1440")
@@ -55,7 +73,7 @@ def occupied_bins(events: DataFrame, minutes: int, start_hour: int = 0, days: in
     kept = events.where(F.col(ts).isNotNull())
     if value:
         kept = kept.where(F.col(value) > threshold)
-    at = kept.select(F.col(key).cast("string").alias("series_id"), micros(ts).alias("us"))
+    at = kept.select(F.col(key).cast("string").alias("series_id"), micros(ts, timezone).alias("us"))
     span = at.groupBy("series_id").agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
     morning = F.expr(f"lo div {day} * {day}") + start_hour * 3_600_000_000
     span = span.withColumn("anchor", F.when(F.col("lo") >= morning, morning + day).otherwise(morning))
@@ -105,16 +123,23 @@ def write_draws(draws: DataFrame, config: dict, path: str) -> None:
 
 
 def read_draws(spark: SparkSession, path: str, required: tuple[str, ...] = ("series_id", "tau", "log_post")) -> tuple[DataFrame, dict]:
-    try:
+    with at_path(path):
         draws, config = spark.read.parquet(f"{path}/draws"), spark.read.parquet(f"{path}/config").first()["config"]
-    except Exception as e:
-        raise SourceError(f"{path}: {e}") from e
     lacking = set(required) - set(draws.columns)
     if lacking:
         raise SourceError(f"{path}: no column {', '.join(sorted(lacking))}")
     return draws, config
 
 
+def write_study(tables: dict[str, DataFrame], config: dict, path: str) -> None:
+    """Each table of a study as CSV with a header, and its configuration as JSON."""
+    with at_path(path, "writing"):
+        for name, table in tables.items():
+            table.write.option("header", True).csv(f"{path}/{name}")
+        spark = next(iter(tables.values())).sparkSession
+        spark.createDataFrame([({k: str(v) for k, v in config.items()},)], "config map<string,string>").coalesce(1).write.json(f"{path}/config")
+
+
 def write_online_csv(online: DataFrame, alerts: DataFrame, path: str) -> None:
     """Steps with their alert flag as CSV."""
     marked = online.join(alerts.select("series_id", "t", F.lit(1).alias("is_cp")), ["series_id", "t"], "left").fillna(0, ["is_cp"])
