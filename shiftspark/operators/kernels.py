@@ -1,20 +1,34 @@
-"""Kernel segmentation: exact Gram costs, random features, and bandwidth choice."""
+"""Kernel segmentation: exact Gram costs, random features, and bandwidth choice.
+
+A kernel is "rbf", "linear", or the caller's own: a function of two point matrices
+that gives their kernel matrix. Exact costs need memory linear in a series' length
+and time quadratic in it; random features are linear in both.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftspark.functions.columns import dot, squared_distance
+from shiftspark.functions.frames import keep
 from shiftspark.operators import segmentation as seg
 
-#: A Gram matrix over so many bytes is refused; use random features instead.
+#: A whole Gram matrix over so many bytes is refused: criteria that invert one need it. Segmentation needs none.
 GRAM_BYTES = 1 << 30
+#: Points of a series that a median of pair distances looks at; beyond, a seeded draw of so many.
+MEDIAN_POINTS = 1_000
+#: Points of a tile of pair distances.
+TILE = 512
+
+Kernel = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 # --- Gram matrices ----------------------------------------------------------------
@@ -27,24 +41,58 @@ def squared_distances(x: np.ndarray) -> np.ndarray:
     return d
 
 
-def gram(x: np.ndarray, kernel: str = "rbf", gamma: float | None = None, sigma: float | None = None) -> np.ndarray:
-    if 8 * len(x) ** 2 > GRAM_BYTES:
-        raise MemoryError(f"a Gram matrix of {len(x)} points exceeds the limit; use random features")
+def between(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of two point sets."""
+    return np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T, 0)
+
+
+def median_gamma(x: np.ndarray, seed: int = 123, points: int = MEDIAN_POINTS) -> float:
+    """1 / (2 m) for the median m of squared distances; 1 where all points are equal."""
+    if len(x) > points:
+        x = x[np.sort(np.random.default_rng(seed).permutation(len(x))[:points])]
+    pairs = squared_distances(x)[np.triu_indices(len(x), 1)]
+    m = float(np.median(pairs)) if len(pairs) else 0.0
+    return 1 / (2 * m) if m > 0 else 1.0
+
+
+def kernel_function(kernel: str | Kernel, x: np.ndarray, gamma: float | None = None, sigma: float | None = None) -> Kernel:
+    """The kernel as a function of two point matrices. gamma comes before sigma, and the median heuristic last."""
+    if callable(kernel):
+        return kernel
     if kernel == "linear":
-        return x @ x.T
-    d = squared_distances(x)
-    return np.exp(-_gamma(d, gamma, sigma) * d)
+        return lambda a, b: a @ b.T
+    if kernel != "rbf":
+        raise ValueError(f"{kernel}: neither rbf nor linear; a function of two point matrices is a kernel too")
+    g = gamma if gamma is not None else 1 / (2 * sigma**2) if sigma is not None else median_gamma(x)
+    return lambda a, b: np.exp(-g * between(a, b))
+
+
+def kernel_scatter(x: np.ndarray, kernel: str | Kernel = "rbf", gamma: float | None = None, sigma: float | None = None) -> seg.Cost:
+    """Segment costs of points in a kernel's feature space. A caller's kernel is checked on the first points."""
+    k = kernel_function(kernel, x, gamma, sigma)
+    if callable(kernel):
+        validate_gram(np.asarray(k(x[:512], x[:512]), float))
+    same = not callable(kernel) and kernel == "rbf"
+
+    def values(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+        out = np.asarray(k(x[rows], x[others]), float)
+        if same:  # a point's distance to itself is 0, whatever rounding says
+            out[rows[:, None] == others[None, :]] = 1.0
+        return out
 
+    return seg.kernel_cost(values, len(x))
 
-def _gamma(d: np.ndarray, gamma: float | None, sigma: float | None) -> float:
-    """1 / (2 sigma^2), or the median heuristic over pairs of distinct points."""
-    if gamma is None and sigma is not None:
-        gamma = 1 / (2 * sigma**2)
-    if gamma is None:
-        pairs = d[np.triu_indices(len(d), 1)]
-        m = float(np.median(pairs)) if len(pairs) else 0.0
-        gamma = 1 / (2 * m) if m > 0 else 1.0
-    return gamma
+
+def gram(x: np.ndarray, kernel: str | Kernel = "rbf", gamma: float | None = None, sigma: float | None = None) -> np.ndarray:
+    """The whole matrix of one series, for criteria that invert it."""
+    if 8 * len(x) ** 2 > GRAM_BYTES:
+        raise MemoryError(f"a Gram matrix of {len(x)} points exceeds the limit; use random features")
+    out = np.asarray(kernel_function(kernel, x, gamma, sigma)(x, x), float)
+    if callable(kernel):
+        return validate_gram(out)
+    if kernel == "rbf":
+        np.fill_diagonal(out, 1.0)
+    return out
 
 
 def validate_gram(k: np.ndarray, tolerance: float = 1e-8) -> np.ndarray:
@@ -62,9 +110,53 @@ def pair_distances(points: DataFrame) -> DataFrame:
     return a.join(b, "series_id").where("i < j").select("series_id", "i", "j", squared_distance(F.col("xi"), F.col("xj")).alias("d2"))
 
 
-def median_heuristic(points: DataFrame, zero: bool = True) -> DataFrame:
-    """series_id, gamma by the median of squared distances."""
-    d = pair_distances(points)
+def tiles(points: DataFrame, size: int = TILE) -> DataFrame:
+    """series_id, p, q (arrays of (t, x)), one row for each pair of blocks of a series' points, a block with itself too.
+
+    So the distances of a long series are many tasks of bounded size, and no pair is a row.
+    """
+    block = points.groupBy("series_id", F.floor(F.col("t") / size).alias("block")).agg(F.array_sort(F.collect_list(F.struct("t", "x"))).alias("p"))
+    other = block.select(F.col("series_id").alias("_s"), F.col("block").alias("other"), F.col("p").alias("q"))
+    return block.join(other, (F.col("series_id") == F.col("_s")) & (F.col("block") <= F.col("other"))).select("series_id", (F.col("block") == F.col("other")).alias("own"), "p", "q")
+
+
+def _tile_points(column: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray]:
+    rows = column[i].values
+    x = rows.field("x")
+    return np.asarray(rows.field("t")).astype(np.int64), np.asarray(x.flatten(), dtype=float).reshape(len(rows), -1)
+
+
+def pair_sums(points: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """series_id, t, ends (sum of distance^alpha to earlier points), begins (to later ones): tile by tile, then an aggregate."""
+    kind = dict(points.dtypes)["series_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (t, x), (u, y) = _tile_points(batch.column(2), i), _tile_points(batch.column(3), i)
+                d = between(x, y) ** (alpha / 2)
+                if batch.column(1)[i].as_py():
+                    d = np.triu(d, 1)
+                zero = np.zeros
+                both = [np.concatenate([t, u]), np.concatenate([zero(len(t)), d.sum(axis=0)]), np.concatenate([d.sum(axis=1), zero(len(u))])]
+                name = pa.array([batch.column(0)[i].as_py()] * len(both[0]), batch.column(0).type)
+                yield pa.RecordBatch.from_arrays([name, *map(pa.array, both)], ["series_id", "t", "ends", "begins"])
+
+    long = points.select("series_id", F.col("t").cast("long").alias("t"), F.col("x").cast("array<double>").alias("x"))
+    found = tiles(long).mapInArrow(run, f"series_id {kind}, t long, ends double, begins double")
+    return found.groupBy("series_id", "t").agg(F.sum("ends").alias("ends"), F.sum("begins").alias("begins"))
+
+
+def median_sample(points: DataFrame, most: int = MEDIAN_POINTS) -> DataFrame:
+    """points of every series, or about ``most`` of them by a hash of t where there are more."""
+    sizes = points.groupBy("series_id").agg(F.count("*").alias("_n"))
+    keep = (F.col("_n") <= most) | (F.pmod(F.xxhash64("t", F.lit(11)), F.lit(1 << 30)) < F.lit(most) / F.col("_n") * (1 << 30))
+    return points.join(sizes, "series_id").where(keep).drop("_n")
+
+
+def median_heuristic(points: DataFrame, zero: bool = True, most: int = MEDIAN_POINTS) -> DataFrame:
+    """series_id, gamma by the median of squared distances, of a draw of ``most`` points where a series has more."""
+    d = pair_distances(median_sample(points, most))
     m = F.median("d2" if zero else F.when(F.col("d2") > 0, F.col("d2")))
     return d.groupBy("series_id").agg(m.alias("m")).select("series_id", F.when(F.col("m") > 0, 1 / (2 * F.col("m"))).otherwise(1.0).alias("gamma"))
 
@@ -72,21 +164,21 @@ def median_heuristic(points: DataFrame, zero: bool = True) -> DataFrame:
 # --- segmentation -----------------------------------------------------------------
 
 
-def kernel_partition(points: DataFrame, penalty: float, kernel: str = "rbf", gamma: float | None = None, min_length: int = 1, jump: int = 1, longest: int | None = None) -> DataFrame:
+def kernel_partition(points: DataFrame, penalty: float, kernel: str | Kernel = "rbf", gamma: float | None = None, min_length: int = 1, jump: int = 1, longest: int | None = None) -> DataFrame:
     """Best penalised partition of vector series (series_id, t, x)."""
 
     def rows(series_id: str, x: np.ndarray) -> list[tuple]:
-        cost = seg.gram_cost(gram(_wide(x), kernel, gamma))
+        cost = kernel_scatter(_wide(x), kernel, gamma)
         return seg.segment_rows(series_id, cost, len(x), *seg.optimal_partition(cost, len(x), penalty, min_length, jump, longest))
 
     return seg.by_series(points, rows, seg.SEGMENTS, "x")
 
 
-def kernel_fixed(points: DataFrame, segments: int, kernel: str = "rbf", gamma: float | None = None, min_length: int = 1, jump: int = 1) -> DataFrame:
+def kernel_fixed(points: DataFrame, segments: int, kernel: str | Kernel = "rbf", gamma: float | None = None, min_length: int = 1, jump: int = 1) -> DataFrame:
     """Best partition into exactly that many segments; status says where they don't fit."""
 
     def rows(series_id: str, x: np.ndarray) -> list[tuple]:
-        cost = seg.gram_cost(gram(_wide(x), kernel, gamma))
+        cost = kernel_scatter(_wide(x), kernel, gamma)
         found = seg.fixed_count(cost, len(x), segments, min_length, jump)
         if found is None:
             return [(series_id, 0, 0, len(x), None, None, "infeasible")]
@@ -98,15 +190,13 @@ def kernel_fixed(points: DataFrame, segments: int, kernel: str = "rbf", gamma: f
 MODELS = "series_id string, m int, cost double, criterion double, selected boolean"
 
 
-def kernel_select(points: DataFrame, most: int, beta: float = 1.0, kernel: str = "rbf", gamma: float | None = None, min_length: int = 1) -> DataFrame:
+def kernel_select(points: DataFrame, most: int, beta: float = 1.0, kernel: str | Kernel = "rbf", gamma: float | None = None, min_length: int = 1) -> DataFrame:
     """cost of 1..most segments and cost + beta m ln(n); the first least one is selected."""
 
     def rows(series_id: str, x: np.ndarray) -> list[tuple]:
-        n, cost, out = len(x), seg.gram_cost(gram(_wide(x), kernel, gamma)), []
-        for m in range(1, most + 1):
-            found = seg.fixed_count(cost, n, m, min_length)
-            if found:
-                out.append((series_id, m, found[0], found[0] + beta * m * math.log(max(2, n))))
+        n = len(x)
+        least_costs = seg.fixed_counts(kernel_scatter(_wide(x), kernel, gamma), n, most, min_length)[0][1:, n].tolist()
+        out = [(series_id, m, c, c + beta * m * math.log(max(2, n))) for m, c in enumerate(least_costs, 1) if math.isfinite(c)]
         least = min((r[3] for r in out), default=None)
         first = next((r[1] for r in out if r[3] == least), None)
         return [(*r, r[1] == first) for r in out]
@@ -121,12 +211,19 @@ def _wide(x: np.ndarray) -> np.ndarray:
 # --- random features ---------------------------------------------------------------
 
 
+KINDS = ("gaussian", "orthogonal", "hadamard", "halton", "sobol", "latin", "compact")
+
+
 def frequencies(dim: int, features: int, gamma: float, kind: str = "gaussian", seed: int = 123, radius: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(W dim x features, phases, weights) of an RBF kernel's random features; small, made once.
 
-    gaussian; orthogonal (blocks of orthogonal rows); halton, latin (low
-    discrepancy points through the normal quantile); compact (truncated).
+    gaussian; orthogonal, hadamard (blocks of orthogonal rows, by QR or by signed
+    and shuffled Hadamard rows); halton, sobol, latin (low discrepancy points
+    through the normal quantile; sobol is van der Corput's sequence in one prime base
+    a dimension, with a random shift); compact (truncated).
     """
+    if kind not in KINDS:
+        raise ValueError(f"{kind}: not one of {', '.join(KINDS)}")
     rng = np.random.default_rng(seed)
     b, weight = rng.uniform(0, 2 * np.pi, features), np.ones(features)
     if kind == "orthogonal":
@@ -135,9 +232,23 @@ def frequencies(dim: int, features: int, gamma: float, kind: str = "gaussian", s
             q, _ = np.linalg.qr(rng.normal(size=(dim, dim)))
             blocks.append(q * np.sqrt(rng.chisquare(dim, dim)))
         w = np.hstack(blocks)[:, :features]
-    elif kind in ("halton", "latin"):
-        if kind == "halton":
+    elif kind == "hadamard":
+        width = 1 << max(6, (dim - 1).bit_length())  # wide enough for sums of signs to be about normal
+        h = np.ones((1, 1))
+        while len(h) < width:
+            h = np.block([[h, h], [h, -h]])
+        blocks = []
+        for _ in range(-(-features // width)):
+            q = np.eye(width)
+            for _ in range(3):  # each a Hadamard matrix of signed columns
+                q = (h * rng.choice([-1.0, 1.0], width) / math.sqrt(width)) @ q
+            blocks.append(q[rng.permutation(width)][:, :dim].T * math.sqrt(width))
+        w = np.hstack(blocks)[:, :features]
+    elif kind in ("halton", "sobol", "latin"):
+        if kind != "latin":
             u = np.column_stack([_radical(features, p) for p in _primes(dim)])
+            if kind == "sobol":
+                u = (u + rng.uniform(size=dim)) % 1
         else:
             u = np.column_stack([(rng.permutation(features) + rng.uniform(size=features)) / features for _ in range(dim)])
         quantile = np.vectorize(NormalDist().inv_cdf)
@@ -184,41 +295,60 @@ def feature_column(x: Column, w: np.ndarray, b: np.ndarray) -> Column:
     return F.array(*[scale * F.cos(dot(x, F.array(*[F.lit(float(v)) for v in w[:, k]])) + float(b[k])) for k in range(w.shape[1])])
 
 
-def rff_partition(points: DataFrame, penalty: float, gamma: float, features: int = 256, kind: str = "gaussian", seed: int = 123, min_length: int = 1, segments: int | None = None) -> DataFrame:
-    """Penalised (or fixed-count) partition in feature space: linear memory in a series' length."""
+def rff_partition(
+    points: DataFrame, penalty: float, gamma: float | None = None, features: int | None = 256, kind: str = "gaussian", seed: int = 123,
+    min_length: int = 1, segments: int | None = None, sigma: float | None = None, subsample: int = 2_000,
+) -> DataFrame:
+    """Penalised (or fixed-count) partition in feature space: linear memory in a series' length.
+
+    gamma comes before sigma; with neither, each series has its median heuristic over
+    a draw of ``subsample`` points. features=None grows their number by the error.
+    """
 
     def rows(series_id: str, x: np.ndarray) -> list[tuple]:
         x = _wide(x)
-        cost = seg.feature_cost(feature_map(x, *frequencies(x.shape[1], features, gamma, kind, seed)))
+        g = gamma if gamma is not None else 1 / (2 * sigma**2) if sigma is not None else median_gamma(x, seed, subsample)
+        count = features if features is not None else adaptive_features(x, g, seed=seed, kind=kind)
+        cost = seg.feature_cost(feature_map(x, *frequencies(x.shape[1], count, g, kind, seed)))
         found = seg.optimal_partition(cost, len(x), penalty, min_length) if segments is None else seg.fixed_count(cost, len(x), segments, min_length)
         return [(series_id, 0, 0, len(x), None, None, "infeasible")] if found is None else seg.segment_rows(series_id, cost, len(x), *found)
 
     return seg.by_series(points, rows, seg.SEGMENTS, "x")
 
 
-def compare_features(points: DataFrame, gamma: float, features: int = 256, kinds: tuple[str, ...] = ("gaussian", "orthogonal", "halton", "latin", "compact"), most: int = 300, seed: int = 123) -> DataFrame:
-    """series_id, kind, mse, relative, worst, spectral: errors against the exact kernel on up to ``most`` rows."""
+def compare_features(points: DataFrame, gamma: float, features: int = 256, kinds: tuple[str, ...] = KINDS, most: int = 300, seed: int = 123) -> DataFrame:
+    """series_id, kind, mse, relative, worst, spectral: errors against the exact kernel.
+
+    The errors of values are over all pairs of points, blocks of rows at a time. The
+    spectral one is of a seeded draw of ``most`` points where a series has more.
+    """
 
     def rows(series_id: str, x: np.ndarray) -> list[tuple]:
-        x = _wide(x)[:most]
-        exact, out = gram(x, "rbf", gamma), []
-        top = np.linalg.eigvalsh(exact)[::-1][:50]
+        x, out = _wide(x), []
+        drawn = x if len(x) <= most else x[np.sort(np.random.default_rng(seed).permutation(len(x))[:most])]
+        top = np.linalg.eigvalsh(gram(drawn, "rbf", gamma))[::-1][:50]
+        k = kernel_function("rbf", x, gamma)
         for kind in kinds:
-            z = feature_map(x, *frequencies(x.shape[1], features, gamma, kind, seed))
-            e = z @ z.T - exact
-            spectral = np.linalg.norm(np.linalg.eigvalsh(z @ z.T)[::-1][:50] - top) / np.linalg.norm(top)
-            out.append((series_id, kind, float((e * e).mean()), float(np.linalg.norm(e) / np.linalg.norm(exact)), float(np.abs(e).max()), float(spectral)))
+            w = frequencies(x.shape[1], features, gamma, kind, seed)
+            z, total, size, worst = feature_map(x, *w), 0.0, 0.0, 0.0
+            for a in range(0, len(x), TILE):
+                exact = k(x[a : a + TILE], x)
+                e = z[a : a + TILE] @ z.T - exact
+                total, size, worst = total + float((e * e).sum()), size + float((exact * exact).sum()), max(worst, float(np.abs(e).max()))
+            zd = feature_map(drawn, *w)
+            spectral = np.linalg.norm(np.linalg.eigvalsh(zd @ zd.T)[::-1][:50] - top) / np.linalg.norm(top)
+            out.append((series_id, kind, total / len(x) ** 2, math.sqrt(total / size), worst, float(spectral)))
         return out
 
     return seg.by_series(points, rows, "series_id string, kind string, mse double, relative double, worst double, spectral double", "x")
 
 
-def adaptive_features(x: np.ndarray, gamma: float, tolerance: float = 1e-3, first: int = 256, last: int = 2048, patience: int = 3, seed: int = 123) -> int:
+def adaptive_features(x: np.ndarray, gamma: float, tolerance: float = 1e-3, first: int = 256, last: int = 2048, patience: int = 3, seed: int = 123, kind: str = "gaussian") -> int:
     """The number of features, grown by half, at which the error on a sample meets the tolerance."""
     x = x[np.random.default_rng(seed).permutation(len(x))[:200]]
     exact, k, good = gram(x, "rbf", gamma), first, 0
     while True:
-        z = feature_map(x, *frequencies(x.shape[1], k, gamma, seed=seed))
+        z = feature_map(x, *frequencies(x.shape[1], k, gamma, kind, seed))
         good = good + 1 if ((z @ z.T - exact) ** 2).mean() < tolerance else 0
         if good >= patience or k >= last:
             return k
@@ -228,18 +358,29 @@ def adaptive_features(x: np.ndarray, gamma: float, tolerance: float = 1e-3, firs
 # --- bandwidths --------------------------------------------------------------------
 
 
-def candidate_sigmas(spark: SparkSession, low: float, high: float, n: int, log: bool = True) -> DataFrame:
-    """sigma_id, sigma on a grid, as rows."""
-    i = F.col("id") / max(1, n - 1)
+def candidate_sigmas(spark: SparkSession, low: float, high: float, n: int, log: bool = True, search: str = "grid", seed: int = 42) -> DataFrame:
+    """sigma_id, sigma as rows, on a grid or at random places (``search``: grid, random)."""
+    if search not in ("grid", "random"):
+        raise ValueError(f"{search}: neither grid nor random")
+    # a hash of the row, so that the draw is the same on any partitioning
+    i = F.col("id") / max(1, n - 1) if search == "grid" else F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
     sigma = F.exp(math.log(low) + i * (math.log(high) - math.log(low))) if log else low + i * (high - low)
     return spark.range(n).select(F.col("id").cast("int").alias("sigma_id"), sigma.alias("sigma"))
 
 
-def adaptive_sigmas(spark: SparkSession, median: float, n: int) -> DataFrame:
-    """Half coarse (0.1 to 10 medians), half fine (0.5 to 2)."""
-    coarse = n // 2
-    fine = candidate_sigmas(spark, 0.5 * median, 2 * median, n - coarse).withColumn("sigma_id", F.col("sigma_id") + coarse)
-    return candidate_sigmas(spark, 0.1 * median, 10 * median, coarse).union(fine)
+def adaptive_sigmas(medians: DataFrame, n: int) -> DataFrame:
+    """series_id, sigma_id, sigma round each series' median (series_id, sigma): half coarse (0.1 to 10 medians), half fine (0.5 to 2)."""
+    spark, coarse = medians.sparkSession, n // 2
+    fine = candidate_sigmas(spark, 0.5, 2.0, n - coarse).withColumn("sigma_id", F.col("sigma_id") + coarse)
+    factors = candidate_sigmas(spark, 0.1, 10.0, coarse).union(fine).withColumnRenamed("sigma", "factor")
+    return medians.crossJoin(F.broadcast(factors)).select("series_id", "sigma_id", (F.col("sigma") * F.col("factor")).alias("sigma"))
+
+
+def median_sigmas(points: DataFrame, most: int = MEDIAN_POINTS) -> DataFrame:
+    """series_id, sigma: the median of the distances above zero, 1 where there is none."""
+    d = pair_distances(median_sample(points, most))
+    found = d.groupBy("series_id").agg(F.median(F.when(F.col("d2") > 0, F.sqrt("d2"))).alias("m"))
+    return points.select("series_id").distinct().join(found, "series_id", "left").select("series_id", F.coalesce("m", F.lit(1.0)).alias("sigma"))
 
 
 def time_splits(n: int, folds: int) -> list[tuple[int, int]]:
@@ -270,24 +411,39 @@ def density_score(train: np.ndarray, test: np.ndarray, sigma: float) -> float:
 
 
 def changepoint_score(train: np.ndarray, test: np.ndarray, sigma: float) -> float:
-    """Minus the cost a point of the best partition of the test part."""
-    n = len(test)
-    cost = seg.gram_cost(gram(test, "rbf", sigma=sigma))
-    score, cps = seg.optimal_partition(cost, n, math.log(max(2, len(train))), min(5, n))
-    e = [0, *cps, n]
+    """Minus the penalised cost a point of the best partition of the test part; -inf if the train part has no finite one."""
+    penalty = math.log(max(2, len(train)))
+    fit = lambda x: seg.optimal_partition(kernel_scatter(x, "rbf", sigma=sigma), len(x), penalty, min(5, max(1, len(x))))
+    if not math.isfinite(fit(train)[0]):
+        return -math.inf
+    _, cps = fit(test)
+    n, cost, e = len(test), kernel_scatter(test, "rbf", sigma=sigma), [0, *cps, len(test)]
     return -sum(float(cost(np.array([a]), b)[0]) for a, b in zip(e, e[1:])) / n
 
 
-SCORERS = {"density": density_score, "changepoint": changepoint_score}
+Scorer = Callable[[np.ndarray, np.ndarray, float], float]
+SCORERS: dict[str, Scorer] = {"density": density_score, "changepoint": changepoint_score}
+
 
+def _tasks(points: DataFrame, sigmas: DataFrame) -> DataFrame:
+    """points beside every candidate; candidates are of all series, or of one each if they have a series_id."""
+    named = points.select(F.col("series_id").cast("string"), "t", "x")
+    if "series_id" in sigmas.columns:
+        return named.join(sigmas.withColumn("series_id", F.col("series_id").cast("string")), "series_id")
+    return named.crossJoin(F.broadcast(sigmas))
 
-def select_bandwidth(points: DataFrame, sigmas: DataFrame, folds: int = 5, method: str = "kfold", scoring: str = "density", seed: int = 42) -> DataFrame:
+
+def select_bandwidth(points: DataFrame, sigmas: DataFrame, folds: int = 5, method: str = "kfold", scoring: str | Scorer = "density", seed: int = 42) -> DataFrame:
     """series_id, sigma, score, selected: one task for each (series, sigma), folds averaged.
 
-    The candidates are rows, so the search spreads over tasks; the first best
-    finite mean is selected.
+    The candidates are rows (sigma_id, sigma, and series_id if each series has its
+    own), so the search spreads over tasks. scoring: a name, or a function of (train,
+    test, sigma). The first best finite mean is selected; a series without one gets
+    the median heuristic, with a null score.
     """
-    score = SCORERS[scoring]
+    score = scoring if callable(scoring) else SCORERS[scoring]
+    if method not in ("kfold", "timeseries", "loo"):
+        raise ValueError(f"{method}: not one of kfold, timeseries, loo")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("t")
@@ -300,30 +456,60 @@ def select_bandwidth(points: DataFrame, sigmas: DataFrame, folds: int = 5, metho
             ids = np.arange(len(x)) if method == "loo" else fold_ids(len(x), k, seed)
             parts = [(x[ids != f], x[ids == f]) for f in range(k)]
         values = [score(a, b, sigma) for a, b in parts if len(a) and len(b)]
-        return pd.DataFrame([(frame["series_id"].iloc[0], frame["sigma_id"].iloc[0], sigma, float(np.mean(values)))], columns=["series_id", "sigma_id", "sigma", "score"])
+        return pd.DataFrame([(frame["series_id"].iloc[0], frame["sigma_id"].iloc[0], sigma, float(np.mean(values)) if values else -math.inf)], columns=["series_id", "sigma_id", "sigma", "score"])
+
+    scored = _tasks(points, sigmas).groupBy("series_id", "sigma_id").applyInPandas(run, "series_id string, sigma_id int, sigma double, score double")
+    # written, as each task is dear and the choice reads it twice
+    scored = keep(scored, "bandwidths")
+    fine = (F.abs("score") < float("inf")) & ~F.isnan("score")
+    best = scored.groupBy("series_id").agg(F.max_by("sigma_id", F.when(fine, F.struct("score", -F.col("sigma_id")))).alias("best"), F.count_if(fine).alias("fine"))
+    chosen = scored.join(best, "series_id").select("series_id", "sigma", "score", F.coalesce((F.col("fine") > 0) & (F.col("sigma_id") == F.col("best")), F.lit(False)).alias("selected"))
+    none = best.where("fine = 0").select("series_id")
+    if none.isEmpty():
+        return chosen
+    medians = median_sigmas(points.withColumn("series_id", F.col("series_id").cast("string")).join(none, "series_id"))
+    return chosen.union(medians.select("series_id", "sigma", F.lit(None).cast("double"), F.lit(True)))
+
 
-    tasks = points.select(F.col("series_id").cast("string"), "t", "x").crossJoin(F.broadcast(sigmas))
-    scored = tasks.groupBy("series_id", "sigma_id").applyInPandas(run, "series_id string, sigma_id int, sigma double, score double")
-    best = scored.where(F.abs("score") < float("inf")).groupBy("series_id").agg(F.max_by("sigma_id", F.struct("score", -F.col("sigma_id"))).alias("best"))
-    return scored.join(best, "series_id", "left").select("series_id", "sigma", "score", F.coalesce(F.col("sigma_id") == F.col("best"), F.lit(False)).alias("selected"))
+def select_bandwidth_simple(points: DataFrame, candidates: int = 20, folds: int = 5, **options) -> DataFrame:
+    """select_bandwidth() over an adaptive grid round each series' median distance."""
+    return select_bandwidth(points, adaptive_sigmas(median_sigmas(points), candidates), folds, **options)
 
 
-def information_criterion(points: DataFrame, sigmas: DataFrame, kind: str = "bic", ridge: float = 1e-3) -> DataFrame:
-    """series_id, sigma, criterion: leave-one-out variance of a kernel smoother, its trace as the degrees of freedom."""
+def information_criterion(points: DataFrame, sigmas: DataFrame, kind: str = "bic", freedom: str = "kernel_ridge") -> DataFrame:
+    """series_id, sigma, criterion, selected (the highest, the first on ties).
+
+    The log likelihood of left-out points under a Gaussian process of that kernel,
+    less its degrees of freedom: kernel_ridge (the trace of the smoother), eigenvalue
+    (the same from its eigenvalues), n (as many as points).
+    """
+    if kind not in ("aic", "bic") or freedom not in ("kernel_ridge", "eigenvalue", "n"):
+        raise ValueError(f"{kind}, {freedom}: aic or bic, and kernel_ridge, eigenvalue or n")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("t")
         x = np.array(frame["x"].tolist(), float).reshape(len(frame), -1)
         n, sigma = len(x), float(frame["sigma"].iloc[0])
         k = gram(x, "rbf", sigma=sigma)
-        h = k @ np.linalg.inv(k + ridge * n * np.eye(n))
-        left_out = (x - h @ x) / np.maximum(1 - np.diag(h), 1e-9)[:, None]
-        variance, dof = max(float((left_out**2).mean()), 1e-300), float(np.trace(h))
-        value = n * math.log(variance) + (math.log(n) if kind == "bic" else 2) * dof
-        return pd.DataFrame([(frame["series_id"].iloc[0], sigma, value)], columns=["series_id", "sigma", "criterion"])
-
-    tasks = points.select(F.col("series_id").cast("string"), "t", "x").crossJoin(F.broadcast(sigmas))
-    return tasks.groupBy("series_id", "sigma_id").applyInPandas(run, "series_id string, sigma double, criterion double")
+        ridge = 1e-6 * np.trace(k) / n
+        try:
+            inverse = np.linalg.inv(k + ridge * np.eye(n))
+            loglik = -0.5 * float(np.log(2 * np.pi / np.maximum(np.diag(inverse), 1e-12)).sum())
+            if freedom == "kernel_ridge":
+                dof = float((k * inverse).sum())  # the trace of the product, as both are symmetric
+            elif freedom == "eigenvalue":
+                e = np.linalg.eigvalsh(k)
+                dof = float((e / (e + ridge)).sum())
+            else:
+                dof = float(n)
+            value = loglik - (0.5 * math.log(n) if kind == "bic" else 1.0) * dof
+        except np.linalg.LinAlgError:
+            value = -math.inf
+        return pd.DataFrame([(frame["series_id"].iloc[0], frame["sigma_id"].iloc[0], sigma, value)], columns=["series_id", "sigma_id", "sigma", "criterion"])
+
+    scored = keep(_tasks(points, sigmas).groupBy("series_id", "sigma_id").applyInPandas(run, "series_id string, sigma_id int, sigma double, criterion double"), "criteria")
+    best = scored.groupBy("series_id").agg(F.max_by("sigma_id", F.struct("criterion", -F.col("sigma_id"))).alias("best"))
+    return scored.join(best, "series_id").select("series_id", "sigma", "criterion", (F.col("sigma_id") == F.col("best")).alias("selected"))
 
 
 def bandwidth_stability(points: DataFrame, replicates: int = 20, share: float = 0.8, seed: int = 42) -> DataFrame:
@@ -342,13 +528,27 @@ def bandwidth_stability(points: DataFrame, replicates: int = 20, share: float =
     tasks = points.select(F.col("series_id").cast("string"), "t", "x").crossJoin(F.broadcast(spark.range(replicates).withColumnRenamed("id", "replicate")))
     drawn = tasks.groupBy("series_id", "replicate").applyInPandas(run, "series_id string, sigma double")
     return drawn.groupBy("series_id").agg(
-        F.avg("sigma").alias("mean"), F.stddev_samp("sigma").alias("sd"), F.median("sigma").alias("median"),
-        F.percentile("sigma", 0.25).alias("q25"), F.percentile("sigma", 0.75).alias("q75"), (F.stddev_samp("sigma") / F.avg("sigma")).alias("cv"),
+        F.avg("sigma").alias("mean"), F.stddev_pop("sigma").alias("sd"), F.median("sigma").alias("median"),
+        F.percentile("sigma", 0.25).alias("q25"), F.percentile("sigma", 0.75).alias("q75"), (F.stddev_pop("sigma") / F.avg("sigma")).alias("cv"),
     )
 
 
-def multiscale_sigmas(points: DataFrame, scales: int = 5) -> DataFrame:
-    """series_id, scale, sigma: distance percentiles from 10 to 90."""
+def multiscale_sigmas(points: DataFrame, scales: int = 5, most: int = MEDIAN_POINTS) -> DataFrame:
+    """series_id, scale, sigma: distance percentiles from 10 to 90, of a draw of ``most`` points where a series has more."""
     at = [0.1 + 0.8 * i / max(1, scales - 1) for i in range(scales)]
-    d = pair_distances(points).where("d2 > 0").groupBy("series_id").agg(F.percentile(F.sqrt("d2"), F.array(*[F.lit(a) for a in at])).alias("s"))
+    d = pair_distances(median_sample(points, most)).where("d2 > 0").groupBy("series_id").agg(F.percentile(F.sqrt("d2"), F.array(*[F.lit(a) for a in at])).alias("s"))
     return d.select("series_id", F.posexplode("s").alias("scale", "sigma"))
+
+
+def multiscale_bandwidths(points: DataFrame, scales: int = 5, candidates: int = 15, base: str = "cv", **options) -> DataFrame:
+    """series_id, scale, sigma: the selected bandwidth of a search from 0.2 to 5 times each scale; ``base``: cv or ic."""
+    if base not in ("cv", "ic"):
+        raise ValueError(f"{base}: neither cv nor ic")
+    factors = candidate_sigmas(points.sparkSession, 0.2, 5.0, candidates).withColumnRenamed("sigma", "factor")
+    # a scale of a series is searched like a series of its own
+    own = keep(multiscale_sigmas(points, scales).withColumn("series_id", F.concat_ws("\x1f", F.col("series_id").cast("string"), "scale")), "scales")
+    grid = own.crossJoin(F.broadcast(factors)).select("series_id", "sigma_id", (F.col("sigma") * F.col("factor")).alias("sigma"))
+    keys = own.select(F.substring_index("series_id", "\x1f", 1).alias("_s"), F.col("series_id").alias("_key"))
+    spread = points.select(F.col("series_id").cast("string").alias("_s"), "t", "x").join(keys, "_s").select(F.col("_key").alias("series_id"), "t", "x")
+    found = (select_bandwidth if base == "cv" else information_criterion)(spread, grid, **options).where("selected")
+    return found.select(F.substring_index("series_id", "\x1f", 1).alias("series_id"), F.substring_index("series_id", "\x1f", -1).cast("int").alias("scale"), "sigma")

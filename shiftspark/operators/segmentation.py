@@ -58,14 +58,46 @@ def beta_binomial(y: np.ndarray, alpha: float = 1.0, beta: float = 1.0) -> Cost:
 
 
 def gram_cost(gram: np.ndarray) -> Cost:
-    """Within-segment scatter in a kernel's feature space."""
-    diagonal = np.concatenate(([0.0], np.cumsum(np.diag(gram))))
-    block = np.zeros((len(gram) + 1, len(gram) + 1))
-    block[1:, 1:] = gram.cumsum(axis=0).cumsum(axis=1)
-    def cost(a, b):
-        inside = block[b, b] - block[a, b] - block[b, a] + block[a, a]
-        return diagonal[b] - diagonal[a] - inside / (b - a)
-    return cost
+    """Within-segment scatter in a kernel's feature space, of a matrix that is there."""
+    return kernel_cost(lambda rows, others: gram[np.ix_(rows, others)], len(gram))
+
+
+#: Kernel values computed at a time.
+KERNEL_CELLS = 1 << 20
+
+
+class kernel_cost:  # noqa: N801  (a cost like the functions beside it)
+    """The same without the square matrix: sums of every start's block grow with the end.
+
+    kernel(rows, others) gives kernel values of positions. The sum over [a, b) is
+    the sum over [a, b - 1) and twice the new row's values from a on, so memory is
+    linear in a series' length when ends come in order. A segment that ends earlier is
+    summed anew.
+    """
+
+    def __init__(self, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], n: int):
+        self.kernel, self.end = kernel, 0
+        self.block, self.diagonal = np.zeros(n + 1), np.zeros(n + 1)
+
+    def _grow(self, end: int) -> None:
+        while self.end < end:
+            width = max(1, min(end - self.end, KERNEL_CELLS // max(1, end)))
+            rows = np.arange(self.end, self.end + width)
+            values = self.kernel(rows, np.arange(rows[-1] + 1))
+            for t, row in zip(rows.tolist(), values):
+                own = float(row[t])
+                self.block[: t + 1] += 2 * np.append(np.cumsum(row[:t][::-1])[::-1], 0) + own
+                self.diagonal[t + 1] = self.diagonal[t] + own
+            self.end += width
+
+    def _inside(self, a: int, b: int) -> float:
+        width = max(1, KERNEL_CELLS // max(1, b - a))
+        return sum(float(self.kernel(np.arange(k, min(b, k + width)), np.arange(a, b)).sum()) for k in range(a, b, width))
+
+    def __call__(self, a: np.ndarray, b: int) -> np.ndarray:
+        self._grow(b)
+        inside = self.block[a] if b == self.end else np.array([self._inside(k, b) for k in np.atleast_1d(a).tolist()])
+        return self.diagonal[b] - self.diagonal[a] - inside / (b - a)
 
 
 def feature_cost(z: np.ndarray) -> Cost:
@@ -108,20 +140,24 @@ def optimal_partition(cost: Cost, n: int, penalty: float, min_length: int = 1, j
     return float(best[n]), cps[::-1]
 
 
-def fixed_count(cost: Cost, n: int, count: int, min_length: int = 1, jump: int = 1) -> tuple[float, list[int]] | None:
-    """(least cost, changepoints) of exactly ``count`` segments; None if they don't fit."""
+def fixed_counts(cost: Cost, n: int, most: int, min_length: int = 1, jump: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(least costs, last starts) of 0..most segments up to every end; each segment's cost is asked for once, ends in order."""
     ends = sorted({*range(jump, n + 1, jump), n})
-    best = np.full((count + 1, n + 1), np.inf)
-    back = np.zeros((count + 1, n + 1), np.int64)
+    best, back = np.full((most + 1, n + 1), np.inf), np.zeros((most + 1, n + 1), np.int64)
     best[0, 0] = 0.0
-    for m in range(1, count + 1):
-        starts_all = np.flatnonzero(np.isfinite(best[m - 1]))
-        for t in ends:
-            starts = starts_all[starts_all <= t - min_length]
-            if len(starts):
-                value = best[m - 1, starts] + cost(starts, t)
-                k = int(np.argmin(value))
-                best[m, t], back[m, t] = value[k], starts[k]
+    for t in ends:
+        starts = np.flatnonzero(np.isfinite(best[:most, : max(0, t - min_length + 1)]).any(axis=0))
+        if len(starts):
+            value = best[:most, starts] + cost(starts, t)
+            k = value.argmin(axis=1)
+            least = value[np.arange(most), k]
+            best[1:, t], back[1:, t] = least, np.where(np.isfinite(least), starts[k], 0)
+    return best, back
+
+
+def fixed_count(cost: Cost, n: int, count: int, min_length: int = 1, jump: int = 1) -> tuple[float, list[int]] | None:
+    """(least cost, changepoints) of exactly ``count`` segments; None if they don't fit."""
+    best, back = fixed_counts(cost, n, count, min_length, jump)
     if not np.isfinite(best[count, n]):
         return None
     cps, t = [], n
@@ -152,24 +188,36 @@ def by_series(series: DataFrame, rows: Callable[[str, np.ndarray], list[tuple]],
     return series.select(F.col("series_id").cast("string"), "t", F.col(value).alias("v")).groupBy("series_id").applyInPandas(one, schema)
 
 
-def partition(series: DataFrame, cost: str = "known_variance", penalty: float | str = "bic", min_length: int = 1, jump: int = 1, longest: int | None = None, **options) -> DataFrame:
+def _maker(cost: str | Callable[..., Cost]) -> Callable[..., Cost]:
+    """A cost by its name, or the caller's own: a function of one series' values (and options) that gives a Cost."""
+    if callable(cost):
+        return cost
+    if cost not in COSTS:
+        raise ValueError(f"{cost}: not one of {', '.join(COSTS)}; a function of a series' values is a cost too")
+    return COSTS[cost]
+
+
+def partition(series: DataFrame, cost: str | Callable[..., Cost] = "known_variance", penalty: float | str = "bic", min_length: int = 1, jump: int = 1, longest: int | None = None, value: str = "value", parameters: int | None = None, **options) -> DataFrame:
     """Segments of the best penalised partition of every series.
 
-    penalty: a number for each changepoint, or bic / aic of the segment's parameters.
+    cost: a name, or a function of a series' values (arrays, if ``value`` names an
+    array column) that gives a Cost. penalty: a number for each changepoint, or bic /
+    aic of a segment's ``parameters`` (known for the named costs, else 1).
     """
-    make, parameters = COSTS[cost], {"known_variance": 1, "unknown_variance": 2, "beta_binomial": 1}[cost]
+    make = _maker(cost)
+    count = parameters if parameters is not None else {"unknown_variance": 2}.get(cost, 1) if isinstance(cost, str) else 1
 
     def rows(series_id: str, y: np.ndarray) -> list[tuple]:
         own, n = make(y, **options), len(y)
-        p = {"bic": (parameters + 1) * math.log(max(2, n)), "aic": 2.0 * (parameters + 1)}.get(penalty, penalty)
+        p = {"bic": (count + 1) * math.log(max(2, n)), "aic": 2.0 * (count + 1)}.get(penalty, penalty)
         return segment_rows(series_id, own, n, *optimal_partition(own, n, p, min_length, jump, longest))
 
-    return by_series(series, rows, SEGMENTS)
+    return by_series(series, rows, SEGMENTS, value)
 
 
-def concave_partition(series: DataFrame, slope: Callable[[int], float], cost: str = "known_variance", min_length: int = 1, max_iter: int = 20, **options) -> DataFrame:
+def concave_partition(series: DataFrame, slope: Callable[[int], float], cost: str | Callable[..., Cost] = "known_variance", min_length: int = 1, max_iter: int = 20, **options) -> DataFrame:
     """A concave penalty f of the changepoint count, by its slope at the last count until it repeats."""
-    make = COSTS[cost]
+    make = _maker(cost)
 
     def rows(series_id: str, y: np.ndarray) -> list[tuple]:
         own, n, count = make(y, **options), len(y), None
