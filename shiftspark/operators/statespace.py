@@ -47,6 +47,26 @@ def negative_binomial_durations(r: float, p: float, longest: int, least: int = 1
     return out - _lse(out)
 
 
+def duration_table(family: str, parameters: list, longest: int, least: int = 1) -> np.ndarray:
+    """States x 1..longest of log probabilities: poisson (a rate a state) or negative_binomial (r and p a state)."""
+    if family not in ("poisson", "negative_binomial"):
+        raise ValueError(f"{family}: neither poisson nor negative_binomial")
+    if not 1 <= least <= longest:
+        raise ValueError("the least duration is from 1 to the longest")
+    if family == "poisson":
+        return np.array([poisson_durations(rate, longest, least) for rate in parameters])
+    return np.array([negative_binomial_durations(r, p, longest, least) for r, p in parameters])
+
+
+def negative_binomial_rows(r: Column, p: Column, longest: int) -> Column:
+    """array(struct(d, log_p)) of the truncated negative binomial, natively."""
+    from shiftspark.functions.columns import lgamma
+
+    raw = F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda d: F.struct(d.alias("d"), (lgamma(d + r) - lgamma(r) - lgamma(d + 1.0) + r * F.log(1 - p) + d * F.log(p)).alias("v")))
+    total = F.log(F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + F.exp(x["v"])))
+    return F.transform(raw, lambda x: F.struct(x["d"].alias("d"), (x["v"] - total).alias("log_p")))
+
+
 def duration_rows(rate: Column, longest: int) -> Column:
     """array(struct(d, log_p)) of the truncated Poisson, natively."""
     from shiftspark.functions.columns import lgamma
@@ -166,12 +186,15 @@ class Hsmm:
         return np.exp(self.log_pi + after_enter[0] - z), moves, counts, float(z)
 
 
-def fit_hsmm(ll: np.ndarray, pi, a, rates: list[float], longest: int, iterations: int = 50, tolerance: float = 1e-6) -> tuple[Hsmm, list[float], list[float]]:
-    """EM for transitions and truncated-Poisson rates with fixed emissions: (model, rates, log likelihoods)."""
+def fit_hsmm(ll: np.ndarray, pi, a, parameters: list, longest: int, iterations: int = 50, tolerance: float = 1e-6, family: str = "poisson", least: int = 1) -> tuple[Hsmm, list, list[float]]:
+    """EM for transitions and durations with fixed emissions: (model, duration parameters, log likelihoods).
+
+    poisson: the truncated likelihood's rate by Newton. negative_binomial: (r, p) by moments.
+    """
     trace: list[float] = []
-    rates = list(rates)
+    parameters = list(parameters)
     for _ in range(iterations):
-        model = Hsmm(pi, a, np.array([poisson_durations(r, longest) for r in rates]))
+        model = Hsmm(pi, a, duration_table(family, parameters, longest, least))
         first, moves, counts, z = model.expect(ll)
         done = bool(trace) and abs(z - trace[-1]) < tolerance * (1 + abs(trace[-1]))
         trace.append(z)
@@ -180,8 +203,20 @@ def fit_hsmm(ll: np.ndarray, pi, a, rates: list[float], longest: int, iterations
         pi = first / first.sum()
         sums = moves.sum(axis=1, keepdims=True)
         a = np.where(sums > 0, moves / np.maximum(sums, 1e-300), np.array(a, float))
-        rates = [_poisson_rate(c, r) for c, r in zip(counts, rates)]
-    return model, rates, trace
+        step = _poisson_rate if family == "poisson" else _negative_binomial_moments
+        parameters = [step(c, r) for c, r in zip(counts, parameters)]
+    return model, parameters, trace
+
+
+def _negative_binomial_moments(counts: np.ndarray, last: tuple[float, float]) -> tuple[float, float]:
+    """(r, p) of the mean and variance of durations; a variance not over the mean counts as just over it."""
+    d = np.arange(1, len(counts) + 1)
+    if counts.sum() <= 0:
+        return last
+    mean = float(counts @ d / counts.sum())
+    variance = float(counts @ (d - mean) ** 2 / counts.sum())
+    r = min(max(mean**2 / max(variance - mean, 1e-6), 1e-3), 1e6)
+    return r, min(max(mean / (mean + r), 1e-6), 1 - 1e-6)
 
 
 def _poisson_rate(counts: np.ndarray, rate: float) -> float:
@@ -242,8 +277,20 @@ def _spread_labels(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarra
     return own
 
 
-def fit_sdhmm(x: np.ndarray, states: int, components: int = 1, iterations: int = 50, least: int = 5, tolerance: float = 1e-5, seed: int = 0, steps: int = 5) -> dict:
-    """EM for a scaled-Dirichlet HMM, each state a mixture of ``components``; returns parameters and the trace."""
+def fit_sdhmm(
+    x: np.ndarray, states: int, components: int = 1, iterations: int = 50, least: int = 5, tolerance: float = 1e-5, seed: int = 0, steps: int = 5,
+    start: float = 1e-3, moving: float = 1e-2, mixing: float = 1.0, shape: float = 1.0, rate: float = 0.0, spread: float = 1.0,
+) -> dict:
+    """Variational fit of a scaled-Dirichlet HMM whose states are mixtures of ``components``.
+
+    Mixture weights have a Dirichlet posterior ``eta`` (prior ``mixing``) and enter by
+    their expected logs; start and moves are Dirichlet-smoothed. Components climb the
+    weighted likelihood under a Gamma(shape, rate) prior on alpha and a
+    Dirichlet(spread) one on beta. One component is plain EM. Returns parameters, the
+    trace, the best states and, within them, the likeliest components.
+    """
+    if (x < 0).any() or (x.sum(axis=1) <= 0).any() or not np.isfinite(x).all():
+        raise ValueError("a composition is finite, non-negative and not all zero")
     x = np.clip(x / x.sum(axis=1, keepdims=True), 1e-6, None)
     x = x / x.sum(axis=1, keepdims=True)
     rng, (T, D), KM = np.random.default_rng(seed), x.shape, states * components
@@ -252,43 +299,55 @@ def fit_sdhmm(x: np.ndarray, states: int, components: int = 1, iterations: int =
     for k in range(KM):
         rows = x[own == k // components] if (own == k // components).any() else x
         alpha[k] = 1 + 10 * rows.mean(axis=0) * rng.uniform(0.8, 1.2, D)
-    pi, a, w, trace = np.full(states, 1 / states), np.full((states, states), 1 / states) + np.eye(states), np.full((states, components), 1 / components), []
+    pi, a, eta, trace = np.full(states, 1 / states), np.full((states, states), 1 / states) + np.eye(states), np.full((states, components), mixing + T / KM), []
     a = a / a.sum(axis=1, keepdims=True)
+
+    def expected() -> tuple[np.ndarray, np.ndarray]:
+        """Log densities with expected log weights, T x states x components, and their sum over components."""
+        weights = digamma(eta) - digamma(eta.sum(axis=1, keepdims=True))
+        parts = _sd_loglik(x, alpha, beta).reshape(T, states, components) + weights
+        return parts, _lse(parts, 2)
+
     for it in range(iterations):
-        parts = _sd_loglik(x, alpha, beta).reshape(T, states, components) + _log(w)
-        ll = _lse(parts, 2)
+        parts, ll = expected()
         gamma, xi, z = forward_backward(ll, _log(pi), _log(a))
         trace.append(z)
         if it >= least and abs(trace[-1] - trace[-2]) < tolerance * (1 + abs(trace[-2])):
             break
         share = gamma[:, :, None] * np.exp(parts - ll[:, :, None])
-        pi, a = (gamma[0] + 1e-3) / (gamma[0] + 1e-3).sum(), (xi + 1e-2) / (xi + 1e-2).sum(axis=1, keepdims=True)
-        w = (share.sum(axis=0) + 1e-2) / (share.sum(axis=0) + 1e-2).sum(axis=1, keepdims=True)
+        pi, a = (gamma[0] + start) / (gamma[0] + start).sum(), (xi + moving) / (xi + moving).sum(axis=1, keepdims=True)
+        eta = mixing + share.sum(axis=0)
         r = share.reshape(T, KM)
-        r = r / np.maximum(r.sum(axis=0), 1e-12)
+        size = np.maximum(r.sum(axis=0), 1e-12)
+        r = r / size
         for _ in range(steps):
             mix = x @ beta.T
             total = alpha.sum(axis=1, keepdims=True)
             g_alpha = digamma(total) - digamma(alpha) + np.log(beta) + r.T @ np.log(x) - (r * np.log(mix)).sum(axis=0)[:, None]
+            g_alpha += ((shape - 1) / alpha - rate) / size[:, None]
             alpha = np.clip(alpha * np.exp(np.clip(0.2 * g_alpha, -0.5, 0.5)), 1e-2, 1e3)
-            g_beta = alpha / beta - alpha.sum(axis=1, keepdims=True) * ((r / mix).T @ x)
+            g_beta = alpha / beta - alpha.sum(axis=1, keepdims=True) * ((r / mix).T @ x) + (spread - 1) / beta / size[:, None]
             beta = beta * np.exp(np.clip(0.05 * g_beta * beta, -0.5, 0.5))
             beta = np.clip(beta / beta.sum(axis=1, keepdims=True), 1e-6, None)
             beta = beta / beta.sum(axis=1, keepdims=True)
-    ll = _lse(_sd_loglik(x, alpha, beta).reshape(T, states, components) + _log(w), 2)
-    return {"alpha": alpha, "beta": beta, "pi": pi, "a": a, "w": w, "trace": trace, "states": viterbi(ll, _log(pi), _log(a))}
+    parts, ll = expected()
+    path = viterbi(ll, _log(pi), _log(a))
+    return {"alpha": alpha, "beta": beta, "pi": pi, "a": a, "eta": eta, "trace": trace, "states": path, "components": parts[np.arange(T), path].argmax(axis=1)}
 
 
 # --- Spark ------------------------------------------------------------------------
 
 
-def _grouped(rows: DataFrame, column: str, fit) -> DataFrame:
+def _grouped(rows: DataFrame, column: str, fit, more: str = "") -> DataFrame:
+    """STATES (and ``more`` columns) from fit(values of one series)."""
+    names = [f.split()[0] for f in more.split(", ") if f]
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("t")
-        states, marks = fit(np.array(frame[column].tolist(), float))
-        return pd.DataFrame({"series_id": frame["series_id"].to_numpy(), "t": frame["t"].to_numpy(), "state": states, "duration": marks})
+        states, marks, *others = fit(np.array(frame[column].tolist(), float))
+        return pd.DataFrame({"series_id": frame["series_id"].to_numpy(), "t": frame["t"].to_numpy(), "state": states, "duration": marks, **dict(zip(names, others))})
 
-    return rows.select(F.col("series_id").cast("string"), F.col("t").cast("long"), column).groupBy("series_id").applyInPandas(run, STATES)
+    return rows.select(F.col("series_id").cast("string"), F.col("t").cast("long"), column).groupBy("series_id").applyInPandas(run, STATES + (f", {more}" if more else ""))
 
 
 def _ends(states: np.ndarray) -> np.ndarray:
@@ -307,24 +366,29 @@ def decode_hmm(loglik: DataFrame, pi: list[float], a: list[list[float]]) -> Data
     return _grouped(loglik, "loglik", fit)
 
 
-def decode_hsmm(loglik: DataFrame, pi: list[float], a: list[list[float]], rates: list[float], longest: int, learn: bool = False, iterations: int = 50) -> DataFrame:
-    """States and durations of every series; with ``learn``, after EM on that series."""
+def decode_hsmm(loglik: DataFrame, pi: list[float], a: list[list[float]], parameters: list, longest: int, learn: bool = False, iterations: int = 50, family: str = "poisson", least: int = 1) -> DataFrame:
+    """States and durations of every series; with ``learn``, after EM on that series. parameters: see duration_table."""
 
     def fit(ll):
-        model = fit_hsmm(ll, pi, a, rates, longest, iterations)[0] if learn else Hsmm(pi, a, np.array([poisson_durations(r, longest) for r in rates]))
+        model = fit_hsmm(ll, pi, a, parameters, longest, iterations, family=family, least=least)[0] if learn else Hsmm(pi, a, duration_table(family, parameters, longest, least))
         return model.viterbi(ll)[:2]
 
     return _grouped(loglik, "loglik", fit)
 
 
-def decode_sdhmm(compositions: DataFrame, states: int, components: int = 1, seed: int = 0, iterations: int = 50) -> DataFrame:
-    """States of compositions (series_id, t, comp), fitted per series."""
+def decode_sdhmm(compositions: DataFrame, states: int, components: int = 1, seed: int = 0, iterations: int = 50, **priors) -> DataFrame:
+    """States of compositions (series_id, t, comp) and the likeliest component within each, fitted per series.
+
+    A row that is null, negative or all zero is no composition and ends the job with an error.
+    """
+    whole = F.col("comp").isNotNull() & F.forall("comp", lambda v: v.isNotNull() & ~F.isnan(v) & (v >= 0)) & F.exists("comp", lambda v: v > 0)
+    checked = compositions.withColumn("comp", F.when(whole, F.col("comp").cast("array<double>")).otherwise(F.raise_error(F.lit("a composition is finite, non-negative and not all zero")).cast("array<double>")))
 
     def fit(x):
-        s = fit_sdhmm(x, states, components, iterations, seed=seed)["states"]
-        return s, _ends(s)
+        found = fit_sdhmm(x, states, components, iterations, seed=seed, **priors)
+        return found["states"], _ends(found["states"]), found["components"]
 
-    return _grouped(compositions, "comp", fit)
+    return _grouped(checked, "comp", fit, "component int")
 
 
 def state_changepoints(decoded: DataFrame) -> DataFrame:
