@@ -120,6 +120,7 @@ class Detector:
     max_run_length: int = 512
     prune: float = 0.0  # probabilities under this share of the largest go
     top_k: int | None = None  # keep so many run lengths (and 0)
+    epsilon: float = 0.0  # probabilities under this go
 
     def start(self) -> dict:
         a, b = self.likelihood.prior()
@@ -151,7 +152,7 @@ class Detector:
         if len(R) > self.max_run_length + 1:
             lost = float(R[self.max_run_length + 1 :].sum())
             R, a, b = (v[: self.max_run_length + 1] for v in (R, a, b))
-        keep = R >= self.prune * R.max()
+        keep = (R >= self.prune * R.max()) & (R >= self.epsilon)
         if self.top_k is not None and len(R) > self.top_k:
             keep &= R >= np.sort(R)[-self.top_k]
             keep[0] = True
@@ -177,6 +178,24 @@ def detect(series: DataFrame, detector: Detector) -> DataFrame:
     return series.select(F.col("series_id").cast("string"), F.col("t").cast("long"), F.col("value").cast("double")).groupBy("series_id").applyInPandas(run, ONLINE)
 
 
+RUN_LENGTHS = "series_id string, t long, run_length int, probability double"
+
+
+def run_lengths(series: DataFrame, detector: Detector, least: float = 1e-12) -> DataFrame:
+    """series_id, t, run_length, probability: the posterior over run lengths after every step, without those under ``least``."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("t")
+        state, parts = detector.start(), []
+        for t, x in zip(frame["t"], frame["value"]):
+            state, _ = detector.step(state, None if pd.isna(x) else float(x))
+            at = np.flatnonzero(state["R"] >= least)
+            parts.append(pd.DataFrame({"t": t, "run_length": at, "probability": state["R"][at]}))
+        return pd.concat(parts).assign(series_id=frame["series_id"].iloc[0])[["series_id", "t", "run_length", "probability"]]
+
+    return series.select(F.col("series_id").cast("string"), F.col("t").cast("long"), F.col("value").cast("double")).groupBy("series_id").applyInPandas(run, RUN_LENGTHS)
+
+
 def alerts(online: DataFrame, threshold: float | None = 0.6, reset: bool = False, min_spacing: int = 1) -> DataFrame:
     """series_id, t of alerts: local peaks of cp_prob over the threshold, or drops of the run length.
 

@@ -82,3 +82,27 @@ def vector_prefix(series: DataFrame, x: str = "x") -> DataFrame:
     long = series.select("series_id", (F.col("t") + 1).cast("long").alias("k"), F.posexplode(x).alias("feature", "v"))
     w = Window.partitionBy("series_id", "feature").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     return long.select("series_id", "k", "feature", F.sum("v").over(w).alias("s1"), F.sum(F.col("v") * F.col("v")).over(w).alias("s2"))
+
+
+def prefix_2d(cells: DataFrame, value: str = "value") -> DataFrame:
+    """series_id, i, j, s: sums over the first i rows and j columns of a dense table (series_id, i, j, value from 0), by two window passes.
+
+    Row 0 and column 0 are zero.
+    """
+    across = Window.partitionBy("series_id", "i").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("series_id", "j").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    rows = cells.select("series_id", (F.col("i") + 1).cast("long").alias("i"), (F.col("j") + 1).cast("long").alias("j"), F.sum(F.col(value).cast("double")).over(across).alias("s"))
+    inner = rows.withColumn("s", F.sum("s").over(down))
+    edge = lambda own, other: inner.select("series_id", own).distinct().select("series_id", *[F.col(own) if c == own else F.lit(0).cast("long").alias(other) for c in ("i", "j")], F.lit(0.0).alias("s"))
+    corner = inner.select("series_id").distinct().select("series_id", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0.0).alias("s"))
+    return inner.unionByName(edge("i", "j")).unionByName(edge("j", "i")).unionByName(corner)
+
+
+def range_sums_2d(prefixes: DataFrame, ranges: DataFrame) -> DataFrame:
+    """ranges (series_id, i0, i1, j0, j1, half open) with ``total``: four prefix rows each; null where a range leaves the table."""
+    out = ranges
+    for name, i, j in (("_a", "i1", "j1"), ("_b", "i0", "j1"), ("_c", "i1", "j0"), ("_d", "i0", "j0")):
+        corner = prefixes.select(F.col("series_id").alias("_s"), F.col("i").alias("_i"), F.col("j").alias("_j"), F.col("s").alias(name))
+        out = out.join(corner, (F.col("series_id") == F.col("_s")) & (F.col(i) == F.col("_i")) & (F.col(j) == F.col("_j")), "left").drop("_s", "_i", "_j")
+    whole = (F.col("i0") <= F.col("i1")) & (F.col("j0") <= F.col("j1"))
+    return out.select(*ranges.columns, F.when(whole, F.col("_a") - F.col("_b") - F.col("_c") + F.col("_d")).alias("total"))

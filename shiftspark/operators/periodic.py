@@ -43,8 +43,20 @@ def log_count_prior(m: Column, rate: float, period: int, min_length: int) -> Col
     return m * math.log(rate) - rate - lgamma(m + 1) - z
 
 
-def valid_taus(spark: SparkSession, period: int, min_length: int) -> DataFrame:
-    """Every valid tau as a row: grown one boundary a level by a join with the lattice."""
+#: Valid taus that an exact posterior takes at most.
+MAX_STATES = 200_000
+
+
+def count_taus(period: int, min_length: int) -> int:
+    """How many taus are valid: m boundaries round a period with gaps of min_length at least, for every m but 1."""
+    most = period // min_length
+    return 1 + sum(period * math.comb(period - m * min_length + m - 1, m - 1) // m for m in range(2, most + 1))
+
+
+def valid_taus(spark: SparkSession, period: int, min_length: int, max_states: int = MAX_STATES) -> DataFrame:
+    """Every valid tau as a row: grown one boundary a level by a join with the lattice. Their number is checked first."""
+    if (n := count_taus(period, min_length)) > max_states:
+        raise ValueError(f"{n} valid states, over {max_states}: draw chains instead")
     lattice = F.broadcast(spark.range(period).select(F.col("id").cast("int").alias("b")))
     grown = spark.range(1).select(F.array().cast("array<int>").alias("tau"))
     levels, now = [grown], spark.range(period).select(F.array(F.col("id").cast("int")).alias("tau"))
@@ -157,8 +169,10 @@ def chain(target: Target, iterations: int, burn: int, thin: int, rng: np.random.
         return laws[tau]
 
     kept, accepted = [], 0
+    # a stream for each chain and one for trades, so that none shifts another
+    *streams, trades = rng.spawn(len(temperatures) + 1)
     for it in range(iterations):
-        for c, temperature in enumerate(temperatures):
+        for c, (temperature, rng) in enumerate(zip(temperatures, streams)):
             options = law(states[c])
             if not options:
                 continue
@@ -169,7 +183,7 @@ def chain(target: Target, iterations: int, burn: int, thin: int, rng: np.random.
             if back > 0 and math.log(rng.uniform()) < (value - logs[c]) / temperature + math.log(back) - math.log(options[new]):
                 states[c], logs[c] = new, value
                 accepted += c == 0
-        if hot is not None and it % swap_every == swap_every - 1 and math.log(rng.uniform()) < (logs[1] - logs[0]) * (1 - 1 / hot):
+        if hot is not None and it % swap_every == swap_every - 1 and math.log(trades.uniform()) < (logs[1] - logs[0]) * (1 - 1 / hot):
             states.reverse(), logs.reverse()
         if it >= burn and (it - burn) % thin == 0:
             kept.append((states[0], logs[0]))
@@ -195,6 +209,34 @@ def sample(counts: DataFrame, period: int, min_length: int, rate: float = 1.0, c
     return tasks.groupBy("series_id", "chain").applyInPandas(run, POSTERIOR)
 
 
+def segment_summaries(draws: DataFrame, counts: DataFrame, period: int, level: float = 0.95, draws_each: int = 5000, seed: int = 0) -> DataFrame:
+    """series_id, stop, s, n, mean, lower, upper of each segment of a series' best tau: the Beta posterior's mean natively, its interval by draws."""
+    best = map_tau(draws).select("series_id", F.explode_outer("tau").alias("cp"))
+    named = counts.withColumn("series_id", F.col("series_id").cast("string"))
+    # one segment has no boundary: its end stands for it
+    bounds = best.select("series_id", F.coalesce("cp", F.lit(period - 1)).alias("cp"))
+    stats = segment_stats(named, bounds, period).withColumn("mean", (F.col("s") + 1) / (F.col("n") + 2))
+    tail = (1 - level) / 2
+
+    def run(batches):
+        for frame in batches:
+            lower, upper = [], []
+            for sid, stop, s, n in zip(frame["series_id"], frame["stop"], frame["s"], frame["n"]):
+                x = np.random.default_rng([seed, int(stop), *str(sid).encode()]).beta(1 + s, 1 + n - s, draws_each)
+                lo, hi = np.quantile(x, [tail, 1 - tail])
+                lower.append(lo), upper.append(hi)
+            yield frame.assign(lower=lower, upper=upper)
+
+    return stats.mapInPandas(run, "series_id string, stop int, s long, n long, mean double, lower double, upper double")
+
+
+def indicator_effective_size(draws: DataFrame, phase: int, lags: int = 50) -> DataFrame:
+    """series_id, ess of the indicator that a draw has a boundary at that phase; draws of a chain follow each other."""
+    w = Window.partitionBy("series_id").orderBy("chain", "draw")
+    hit = draws.select("series_id", (F.row_number().over(w) - 1).cast("long").alias("t"), F.array_contains("tau", phase).cast("double").alias("value"))
+    return effective_size(hit, lags)
+
+
 def sample_rates(counts: DataFrame, period: int, min_length: int, rates: list[float], iterations: int = 2000, burn: int = 500, thin: int = 5, seed: int = 0) -> DataFrame:
     """series_id, rate, m, probability: how the number of segments hangs on the prior rate; a task for each (series, rate)."""
     spark = counts.sparkSession

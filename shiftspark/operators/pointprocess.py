@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shiftspark.operators import costs
@@ -32,6 +32,16 @@ def outside_exposure(events: DataFrame, exposure: DataFrame, keys: list[str]) ->
     return events.join(e, same, "left_anti")
 
 
+def checked_periods(periods: DataFrame, period: float) -> DataFrame:
+    """periods (series_id, t, event_times, exposure) with times in order; an event outside the period or its exposure is an error."""
+    inside = F.forall("event_times", lambda e: (e >= 0) & (e < period) & F.exists("exposure", lambda s: (e >= s["start"]) & (e < s["stop"])))
+    spans = F.forall("exposure", lambda s: (s["start"] >= 0) & (s["stop"] <= period) & (s["start"] < s["stop"]))
+    full = F.array(F.struct(F.lit(0.0).alias("start"), F.lit(float(period)).alias("stop")))
+    filled = periods.withColumn("event_times", F.coalesce(F.col("event_times").cast("array<double>"), F.array().cast("array<double>"))).withColumn("exposure", F.coalesce("exposure", full))
+    wrong = F.raise_error(F.lit("events lie within the exposure of their period")).cast("array<double>")
+    return filled.withColumn("event_times", F.when(inside & spans, F.array_sort("event_times")).otherwise(wrong))
+
+
 def constant_costs(periods: DataFrame, min_length: int = 1) -> DataFrame:
     """series_id, a, b, cost of every run of periods at one rate; periods: series_id, t, value (events), exposure.
 
@@ -116,26 +126,33 @@ def sliced_poisson(periods: DataFrame, period: float, n_basis: int = 6, degree:
     """Segments of periods with one intensity shape each.
 
     periods: series_id, t (0..n-1), event_times array, exposure array of
-    struct(start, stop). One task a series: a segment's fit needs only sums over
-    its periods.
+    struct(start, stop). One task a series: a segment's fit needs only sums over its
+    periods, and a weight for each exposure that they have.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("t")
         sid, n = str(frame["series_id"].iloc[0]), len(frame)
-        event_sums, rows, weights, counts = [], [], [], []
+        event_sums, counts, own, designs = [], [], [], []
+        known: dict[tuple, int] = {}  # periods of one exposure share its design
         for times, spans in zip(frame["event_times"], frame["exposure"]):
             times = np.asarray(times if times is not None else [], float)
             event_sums.append(basis(times, n_basis, degree, period).sum(axis=0) if len(times) else np.zeros(n_basis))
             counts.append(len(times))
-            B, w = design([(s["start"], s["stop"]) for s in spans], n_basis, degree, period)
-            rows.append(B), weights.append(w)
+            key = tuple((s["start"], s["stop"]) for s in spans)
+            if key not in known:
+                known[key] = len(designs)
+                designs.append(design(list(key), n_basis, degree, period))
+            own.append(known[key])
         sums = np.vstack([np.zeros(n_basis), np.cumsum(event_sums, axis=0)])
+        times_each = np.vstack([np.zeros(len(designs)), np.cumsum(np.eye(len(designs))[own], axis=0)])
         cache: dict[tuple[int, int], tuple[np.ndarray, float]] = {}
 
         def fit(a: int, b: int) -> tuple[np.ndarray, float]:
             if (a, b) not in cache:
-                cache[a, b] = fit_intensity(np.vstack(rows[a:b]), np.concatenate(weights[a:b]), sums[b] - sums[a])
+                repeated = times_each[b] - times_each[a]
+                held = np.flatnonzero(repeated)
+                cache[a, b] = fit_intensity(np.vstack([designs[k][0] for k in held]), np.concatenate([designs[k][1] * repeated[k] for k in held]), sums[b] - sums[a])
             return cache[a, b]
 
         cost = lambda starts, t: np.array([fit(int(a), int(t))[1] for a in starts])
@@ -144,10 +161,11 @@ def sliced_poisson(periods: DataFrame, period: float, n_basis: int = 6, degree:
         out = []
         for row in seg.segment_rows(sid, cost, n, score, cps):
             a, b = row[2], row[3]
-            out.append((*row, int(sum(counts[a:b])), float(sum(w.sum() for w in weights[a:b])), fit(a, b)[0].tolist()))
+            out.append((*row, int(sum(counts[a:b])), float(sum(designs[own[k]][1].sum() for k in range(a, b))), fit(a, b)[0].tolist()))
         return pd.DataFrame(out, columns=[f.split()[0] for f in SLICES.split(", ")])
 
-    return periods.select(F.col("series_id").cast("string"), "t", "event_times", "exposure").groupBy("series_id").applyInPandas(run, SLICES)
+    good = checked_periods(periods, period)
+    return good.select(F.col("series_id").cast("string"), "t", "event_times", "exposure").groupBy("series_id").applyInPandas(run, SLICES)
 
 
 def marked(periods: DataFrame, **options) -> DataFrame:
@@ -163,9 +181,11 @@ def intensities(slices: DataFrame, period: float, n_basis: int, degree: int, gri
     mid = (np.arange(grid) + 0.5) * period / grid
     b = basis(mid, n_basis, degree, period)
     rows = slices.sparkSession.createDataFrame([(float(t), v.tolist()) for t, v in zip(mid, b)], "time double, b array<double>")
-    from shiftspark.functions.columns import dot
+    from shiftspark.functions.columns import dot, exp_or_inf
 
-    return slices.crossJoin(F.broadcast(rows)).select("series_id", "segment", "time", F.exp(dot(F.col("weights"), F.col("b"))).alias("rate"))
+    rate = exp_or_inf(dot(F.col("weights"), F.col("b")))
+    whole = F.when(rate < float("inf"), rate).otherwise(F.raise_error(F.lit("an intensity overflows")).cast("double"))
+    return slices.crossJoin(F.broadcast(rows)).select("series_id", "segment", "time", whole.alias("rate"))
 
 
 def simulate_periods(frame: DataFrame, period: float, top: float, rate, seed: int = 0) -> DataFrame:
@@ -182,3 +202,12 @@ def simulate_periods(frame: DataFrame, period: float, top: float, rate, seed: in
             yield pd.DataFrame(out, columns=["series_id", "t", "event_times", "exposure"])
 
     return frame.select(F.col("series_id").cast("string"), F.col("t").cast("long")).mapInPandas(run, "series_id string, t long, event_times array<double>, exposure array<struct<start: double, stop: double>>")
+
+
+def simulate_segments(spark: SparkSession, series: int, lengths: list[int], rates: list[float], period: float, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(periods, true changepoints): ``lengths`` periods each at a constant rate, in every one of ``series`` series."""
+    ends = np.cumsum(lengths)
+    places = spark.range(series).select(F.col("id").cast("string").alias("series_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(int(ends[-1]) - 1).cast("long"))).alias("t"))
+    made = simulate_periods(places, period, max(rates), lambda t, h: np.full(len(h), rates[int(np.searchsorted(ends, t, "right"))]), seed)
+    cps = spark.range(series).select(F.col("id").cast("string").alias("series_id"), F.explode(F.array(*[F.lit(int(e)) for e in ends[:-1]]).cast("array<bigint>")).alias("cp"))
+    return made, cps

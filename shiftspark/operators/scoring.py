@@ -100,3 +100,55 @@ def within_segments(series: DataFrame, segments: DataFrame) -> DataFrame:
     met = series.join(s, (F.col("series_id") == F.col("_s")) & (F.col("t") >= F.col("start")) & (F.col("t") < F.col("stop")))
     kept = [c for c in series.columns if c not in ("series_id", "t")]
     return met.select(F.concat_ws("/", "series_id", "segment").alias("series_id"), (F.col("t") - F.col("start")).alias("t"), *kept)
+
+
+def greedy_errors(predicted: DataFrame, actual: DataFrame, tolerance: int, key: str = "series_id") -> DataFrame:
+    """key, matches, precision, recall, f1, mean_abs_error: predictions from left to right each take the nearest true one left.
+
+    One pass over sorted arrays: a true one too far from a prediction stays for the next.
+    """
+    none = F.array().cast("array<bigint>")
+    p = predicted.groupBy(key).agg(F.array_sort(F.collect_set("cp")).alias("p"))
+    a = actual.groupBy(key).agg(F.array_sort(F.collect_set("cp")).alias("a"))
+    both = p.join(a, key, "full").select(key, F.coalesce("p", none).cast("array<bigint>").alias("p"), F.coalesce("a", none).cast("array<bigint>").alias("a"))
+    start = F.struct(F.col("a").alias("left"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("e"))
+
+    def step(acc: Column, x: Column) -> Column:
+        near = F.array_min(F.transform(acc["left"], lambda v, i: F.struct(F.abs(v - x).alias("d"), i.alias("i"))))
+        hit = F.coalesce(near["d"] <= tolerance, F.lit(False))
+        left = F.when(hit, F.filter(acc["left"], lambda v, i: i != near["i"])).otherwise(acc["left"])
+        return F.struct(left.alias("left"), F.when(hit, acc["n"] + 1).otherwise(acc["n"]).alias("n"), F.when(hit, acc["e"] + near["d"]).otherwise(acc["e"]).alias("e"))
+
+    done = both.withColumn("m", F.aggregate("p", start, step))
+    n = F.col("m.n")
+    share = lambda of, other: F.when(F.size(of) > 0, n / F.size(of)).otherwise(F.when(F.size(other) == 0, 1.0).otherwise(0.0))
+    rated = done.select(key, n.alias("matches"), share("p", "a").alias("precision"), share("a", "p").alias("recall"), F.when(n > 0, F.col("m.e") / n).alias("mean_abs_error"))
+    total = F.col("precision") + F.col("recall")
+    return rated.select(key, "matches", "precision", "recall", F.when(total > 0, 2 * F.col("precision") * F.col("recall") / total).otherwise(0.0).alias("f1"), "mean_abs_error")
+
+
+def benchmark(detectors: dict[str, Callable[[DataFrame], DataFrame]], series: DataFrame, actual: DataFrame, tolerance: int) -> DataFrame:
+    """method, n, mean, se of F1 over replicates: each replicate is a series, all are detected side by side."""
+    return summary(compare(detectors, series, actual, tolerance))
+
+
+def union_of(found: list[DataFrame]) -> DataFrame:
+    """series_id, cp of several detectors or channels, each once."""
+    out = found[0].select("series_id", "cp")
+    for more in found[1:]:
+        out = out.union(more.select("series_id", "cp"))
+    return out.distinct()
+
+
+def two_stage(series: DataFrame, segments: DataFrame, refine: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """series_id, cp: what ``refine`` (series -> series_id, cp) finds inside each segment, and the segments' own starts."""
+    inner = refine(within_segments(series, segments)).select(F.col("series_id").alias("_part"), "cp")
+    starts = segments.select("series_id", F.concat_ws("/", "series_id", "segment").alias("_part"), F.col("start").alias("_start"))
+    found = inner.join(starts, "_part").select("series_id", (F.col("cp") + F.col("_start")).alias("cp"))
+    return union_of([found, segments.where("start > 0").select("series_id", F.col("start").alias("cp"))])
+
+
+def retuned_run_lengths(segments: DataFrame, before: float, share: float = 0.8) -> DataFrame:
+    """series_id, mean_run_length for an online detector after an offline look: ``share`` of what it was and the rest of the last segment's length."""
+    last = segments.groupBy("series_id").agg(F.max_by(F.col("stop") - F.col("start"), "start").alias("length"))
+    return last.select("series_id", (share * before + (1 - share) * F.col("length")).alias("mean_run_length"))

@@ -23,6 +23,56 @@ def bin_occupancy(spark, sf_dir):
     return src.occupied_bins(table(spark, sf_dir, "events"), 15, start_hour=6, key="event_type")
 
 
+@query("""
+WITH ev AS (SELECT event_type AS series_id, epoch_us(ts) + 19800000000 AS us FROM events),
+span AS (SELECT series_id, min(us) AS lo, max(us) AS hi, (min(us) // 86400000000) * 86400000000 + 6 * 3600000000 AS m FROM ev GROUP BY 1),
+a AS (SELECT series_id, hi, CASE WHEN lo >= m THEN m + 86400000000 ELSE m END AS anchor FROM span),
+grid AS (SELECT series_id, unnest(range((hi - anchor) // 900000000 + 1)) AS t FROM a),
+hit AS (SELECT DISTINCT ev.series_id, (us - anchor) // 900000000 AS t FROM ev JOIN a USING (series_id) WHERE us >= anchor)
+SELECT g.series_id, g.t, hit.t IS NOT NULL AS value FROM grid g LEFT JOIN hit ON hit.series_id = g.series_id AND hit.t = g.t
+""")
+def bin_occupancy_local(spark, sf_dir):
+    """Bins of the wall clock of a zone five and a half hours east."""
+    return src.occupied_bins(table(spark, sf_dir, "events"), 15, start_hour=6, key="event_type", timezone="+05:30")
+
+
+_CELLS = """cells AS (SELECT label AS series_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, embedding FROM embeddings),
+c AS (SELECT series_id, i, j, round(CAST(embedding[j + 1] AS DOUBLE), 4) AS v FROM cells CROSS JOIN (SELECT unnest(range(6)) AS j))"""
+
+
+def _cells(spark, sf_dir):
+    from shiftspark.plans.build import vectors
+
+    return vectors(spark, sf_dir).select("series_id", F.col("t").alias("i"), F.posexplode(F.slice("x", 1, 6)).alias("j", "value"))
+
+
+@query("WITH " + _CELLS + """,
+n AS (SELECT DISTINCT series_id FROM c), p AS (SELECT series_id, i + 1 AS i, j + 1 AS j, sum(v) OVER (PARTITION BY series_id, i ORDER BY j) AS s FROM c),
+q AS (SELECT series_id, i, j, sum(s) OVER (PARTITION BY series_id, j ORDER BY i) AS s FROM p)
+SELECT series_id, i, CAST(j AS BIGINT) AS j, round(s, 9) + 0.0 AS s FROM q
+UNION ALL SELECT DISTINCT series_id, i, 0, 0.0 FROM q UNION ALL SELECT DISTINCT series_id, 0, j, 0.0 FROM q UNION ALL SELECT series_id, 0, 0, 0.0 FROM n
+""".replace("0.0 ", "CAST(0 AS DOUBLE) ").replace("0, 0.0", "0, CAST(0 AS DOUBLE)"))
+def prefix_sums_2d(spark, sf_dir):
+    from shiftspark.operators import costs
+
+    return costs.prefix_2d(_cells(spark, sf_dir)).select("series_id", "i", "j", (F.round("s", 9) + 0.0).alias("s"))
+
+
+@query("WITH " + _CELLS + """,
+n AS (SELECT series_id, max(i) + 1 AS n FROM c GROUP BY 1), r AS (SELECT series_id, n // 4 AS i0, n // 2 AS i1, a AS j0, b AS j1 FROM n CROSS JOIN (VALUES (1, 4), (0, 6), (2, 2), (3, 9)) AS v(a, b))
+SELECT r.series_id, i0, i1, CAST(j0 AS BIGINT) AS j0, CAST(j1 AS BIGINT) AS j1, CASE WHEN j1 <= 6 THEN round(coalesce(sum(v), 0), 8) + 0 END AS total
+FROM r LEFT JOIN c ON c.series_id = r.series_id AND i >= i0 AND i < i1 AND j >= j0 AND j < j1 GROUP BY r.series_id, i0, i1, j0, j1
+""")
+def range_sums_2d(spark, sf_dir):
+    from shiftspark.operators import costs
+
+    cells = _cells(spark, sf_dir)
+    n = cells.groupBy("series_id").agg((F.max("i") + 1).alias("n"))
+    spans = F.array(*[F.struct(F.lit(a).cast("long").alias("j0"), F.lit(b).cast("long").alias("j1")) for a, b in ((1, 4), (0, 6), (2, 2), (3, 9))])
+    ranges = n.select("series_id", F.expr("n div 4").alias("i0"), F.expr("n div 2").alias("i1"), F.explode(spans).alias("j")).select("series_id", "i0", "i1", "j.j0", "j.j1")
+    return costs.range_sums_2d(costs.prefix_2d(cells), ranges).withColumn("total", F.round("total", 8) + 0)
+
+
 @query(f"WITH {HOURLY} SELECT series_id, CAST(t % 24 AS INTEGER) AS phase, round(avg(CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END), 9) AS mean, count(*) AS n FROM hourly GROUP BY 1, 2")
 def phase_mean(spark, sf_dir):
     bits = hourly_bits(spark, sf_dir).withColumn("value", (F.col("n") > 0).cast("int"))

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftspark.operators import bocpd, emissions, energy, kernels, periodic, statespace
+from shiftspark.operators import bocpd, emissions, energy, kernels, periodic, pointprocess, statespace
 from shiftspark.operators import segmentation as seg
 
 RIGHT_EXCLUSIVE, TIME_INDEX, PERIODIC = "right_exclusive", "time_index", "periodic_bin_end"
@@ -36,11 +36,11 @@ def _kernel_fixed(df, segments=2, **options):
     return _segments(kernels.kernel_fixed(_points(df), segments, **options))
 
 
-def _rff(df, penalty=1.0, gamma=0.5, **options):
+def _rff(df, penalty=1.0, gamma=None, **options):
     return _segments(kernels.rff_partition(_points(df), penalty, gamma, **options))
 
 
-def _rff_fixed(df, segments=2, gamma=0.5, **options):
+def _rff_fixed(df, segments=2, gamma=None, **options):
     return _segments(kernels.rff_partition(_points(df), 0.0, gamma, segments=segments, **options))
 
 
@@ -77,6 +77,10 @@ def _within_period(df, period=24, min_length=1, **options):
     return best.select("series_id", F.explode("tau").alias("cp"), F.col("log_post").alias("score"), F.lit("maximize").alias("orientation"))
 
 
+def _sliced_poisson(df, period=24.0, **options):
+    return _segments(pointprocess.sliced_poisson(df, period, **options))
+
+
 @dataclass(frozen=True)
 class Method:
     run: Callable[..., DataFrame]
@@ -88,7 +92,7 @@ METHODS = {
     "partition": Method(_partition, RIGHT_EXCLUSIVE), "kernel": Method(_kernel, RIGHT_EXCLUSIVE), "kernel_fixed": Method(_kernel_fixed, RIGHT_EXCLUSIVE),
     "rff": Method(_rff, RIGHT_EXCLUSIVE), "rff_fixed": Method(_rff_fixed, RIGHT_EXCLUSIVE), "energy": Method(_energy, RIGHT_EXCLUSIVE),
     "bocpd": Method(_bocpd, TIME_INDEX), "within_period": Method(_within_period, PERIODIC), "hsmm": Method(_hsmm, RIGHT_EXCLUSIVE, "experimental"),
-    "sdhmm": Method(_sdhmm, RIGHT_EXCLUSIVE, "experimental"),
+    "sdhmm": Method(_sdhmm, RIGHT_EXCLUSIVE, "experimental"), "sliced_poisson": Method(_sliced_poisson, RIGHT_EXCLUSIVE, "experimental"),
 }
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shiftspark.operators import bocpd, boundaries, energy, kernels, scoring
+from shiftspark.operators import bocpd, energy, kernels, scoring
 from shiftspark.operators import segmentation as seg
-from shiftspark.plans.build import HOURLY, USERS, VECTORS, WEEKLY, hourly_bits, query, table, user_values, vectors, weekly_revenue
+from shiftspark.plans.build import HOURLY, USERS, VECTORS, WEEKLY, hourly_bits, query, user_values, vectors, weekly_revenue
 
 # Optimal partitioning as a recursion that carries the lists f (costs) and prev
 # (last boundaries); s and q are prefix sums of the centred series.
@@ -49,8 +49,16 @@ def optimal_partition_known_var(spark, sf_dir):
 
 @query("WITH " + _OP.format(series=USERS.replace("users AS", "raw AS") + ", users AS (SELECT series_id, t, cents / 100.0 AS value FROM raw)", name="users", penalty=12.0, cost=_KNOWN.format(2500.0), least=5) + _BACK)
 def user_shifts(spark, sf_dir):
-    """Where did each user's event values shift? The recursion as a Catalyst fold, no Python."""
-    v = user_values(spark, sf_dir)
+    """Where did each user's event values shift? One group a user, prefix sums and a minimum a step."""
+    v = user_values(spark, sf_dir).select("series_id", "t", (F.col("cents") / 100.0).alias("value"))
+    found = seg.partition(v, "known_variance", 12.0, 5, sigma2=2500.0)
+    return found.select(F.col("series_id").cast("long").alias("series_id"), "start", "stop", F.round("score", 5).alias("score"))
+
+
+@query("WITH " + _OP.format(series=USERS.replace("users AS", "raw AS") + ", users AS (SELECT series_id * 10000 + t // 40 AS series_id, t % 40 AS t, cents / 100.0 AS value FROM raw)", name="users", penalty=12.0, cost=_KNOWN.format(2500.0), least=5) + _BACK)
+def user_shifts_folded(spark, sf_dir):
+    """Forty values of a user at a time: for short series the recursion is a Catalyst fold, without Python."""
+    v = user_values(spark, sf_dir).select(F.expr("series_id * 10000 + t div 40").alias("series_id"), (F.col("t") % 40).alias("t"), "cents")
     arrays = v.groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "cents"))), lambda x: x["cents"] / 100.0).alias("v"))
     dp = arrays.select("series_id", F.size("v").alias("n"), seg.fold_known_variance(F.col("v"), 12.0, 5, 2500.0).alias("dp"))
     # walk back from n over the start of each last segment
@@ -86,6 +94,19 @@ def optimal_partition_unknown_var(spark, sf_dir):
     return found.select("series_id", "start", "stop", F.round("score", 5).alias("score"))
 
 
+@query("WITH " + _OP.format(series=WEEKLY, name="weekly", penalty=1.5, cost=f"({_SSE}) / 1e6 + sqrt(t + 1 - k)", least=3) + _BACK)
+def custom_cost_partition(spark, sf_dir):
+    """A caller's own cost: scatter, and a fee that grows with the root of a segment's length."""
+    import numpy as np
+
+    def scatter_and_fee(y):
+        s, q = (np.concatenate(([0.0], np.cumsum(v))) for v in (y - y.mean(), (y - y.mean()) ** 2))
+        return lambda a, b: np.maximum(q[b] - q[a] - (s[b] - s[a]) ** 2 / (b - a), 0) / 1e6 + np.sqrt(b - a)
+
+    found = seg.partition(weekly_revenue(spark, sf_dir), scatter_and_fee, 1.5, 3)
+    return found.select("series_id", "start", "stop", F.round("score", 5).alias("score"))
+
+
 @query()
 def concave_penalty_partition(spark, sf_dir):
     return seg.concave_partition(weekly_revenue(spark, sf_dir), lambda m: 10.0 / m**0.5, sigma2=_WEEK_SIGMA2, min_length=4)
@@ -129,14 +150,53 @@ def kernel_linear_split(spark, sf_dir):
     return found.select(F.col("series_id").cast("int").alias("series_id"), F.col("start").alias("cp"), F.round("score", 6).alias("cost"))
 
 
-@query()
+# The kernel matrix of each series as lists of its two-way prefix sums (s[b][a]) and of its diagonal's (d).
+_GRAM = f"""
+{VECTORS}, n AS (SELECT series_id, count(*) AS n FROM vectors GROUP BY 1),
+d2 AS (SELECT a.series_id, a.t AS i, b.t AS j, CASE WHEN a.t = b.t THEN 0 ELSE {_D2} END AS d2 FROM vectors a JOIN vectors b ON a.series_id = b.series_id),
+g AS (SELECT series_id, CASE WHEN median(d2) > 0 THEN 1 / (2 * median(d2)) ELSE 1 END AS gamma FROM d2 WHERE i < j GROUP BY 1),
+k AS (SELECT series_id, i, j, exp(-gamma * d2) AS k FROM d2 JOIN g USING (series_id)),
+r AS (SELECT series_id, i, j, sum(k) OVER (PARTITION BY series_id, i ORDER BY j) AS k FROM k),
+c AS (SELECT series_id, i, j, sum(k) OVER (PARTITION BY series_id, j ORDER BY i) AS k FROM r),
+l AS (SELECT series_id, i, [CAST(0 AS DOUBLE)] || list(k ORDER BY j) AS row FROM c GROUP BY 1, 2),
+gram AS (SELECT series_id, n, [list_transform(range(n + 1), lambda x: CAST(0 AS DOUBLE))] || list(row ORDER BY i) AS s FROM l JOIN n USING (series_id) GROUP BY 1, 2)"""
+_SCATTER = "{b} - {a} - (s[{b} + 1][{b} + 1] - 2 * s[{b} + 1][{a} + 1] + s[{a} + 1][{a} + 1]) / ({b} - {a})"  # the diagonal is 1
+
+
+@query("WITH RECURSIVE " + _GRAM + """,
+step AS (
+  SELECT series_id, n, s, CAST(0 AS BIGINT) AS t, [CAST(-2 AS DOUBLE)] AS f, [CAST(0 AS BIGINT)] AS prev FROM gram
+  UNION ALL
+  SELECT series_id, n, s, t + 1, f || [coalesce(best.v, CAST('inf' AS DOUBLE))], prev || [coalesce(best.k, 0)]
+  FROM (SELECT *, list_min(list_transform(range(greatest(0, t - 1)), lambda k: {'v': f[k + 1] + """ + _SCATTER.format(a="k", b="(t + 1)") + """ + 2, 'k': k})) AS best FROM step WHERE t < n)
+),""" + _BACK.replace("SELECT series_id, CAST(start", "SELECT CAST(series_id AS VARCHAR) AS series_id, CAST(start"))
 def kernel_rbf_partition(spark, sf_dir):
-    return kernels.kernel_partition(vectors(spark, sf_dir), 2.0, min_length=3)
+    found = kernels.kernel_partition(vectors(spark, sf_dir), 2.0, min_length=3)
+    return found.select("series_id", "start", "stop", F.round("score", 5).alias("score"))
 
 
-@query()
+@query("WITH RECURSIVE " + _GRAM + """,
+step AS (
+  SELECT series_id, n, s, 0 AS m, [CAST(0 AS DOUBLE)] || list_transform(range(n), lambda x: CAST('inf' AS DOUBLE)) AS f FROM gram
+  UNION ALL
+  SELECT series_id, n, s, m + 1, list_transform(range(n + 1), lambda t: coalesce(list_min(list_transform(range(greatest(0, t - 2)), lambda k: f[k + 1] + """ + _SCATTER.format(a="k", b="t") + """)), CAST('inf' AS DOUBLE)))
+  FROM step WHERE m < 4
+),
+found AS (SELECT series_id, m, f[n + 1] AS cost, f[n + 1] + m * ln(n) AS criterion FROM step WHERE m > 0 AND f[n + 1] < CAST('inf' AS DOUBLE))
+SELECT CAST(series_id AS VARCHAR) AS series_id, m, round(cost, 6) AS cost, round(criterion, 6) AS criterion, m = arg_min(m, (round(criterion, 9), m)) OVER (PARTITION BY series_id) AS selected FROM found
+""")
 def kernel_model_selection(spark, sf_dir):
-    return kernels.kernel_select(vectors(spark, sf_dir), 4, min_length=3)
+    found = kernels.kernel_select(vectors(spark, sf_dir), 4, min_length=3)
+    return found.select("series_id", "m", F.round("cost", 6).alias("cost"), F.round("criterion", 6).alias("criterion"), "selected")
+
+
+@query()
+def kernel_custom_partition(spark, sf_dir):
+    """A caller's own kernel: Laplace's."""
+    import numpy as np
+
+    laplace = lambda a, b: np.exp(-0.3 * np.sqrt(kernels.between(a, b)))
+    return kernels.kernel_partition(vectors(spark, sf_dir), 2.0, laplace, min_length=3)
 
 
 @query()
@@ -144,6 +204,12 @@ def rff_kernel_partition(spark, sf_dir):
     return kernels.rff_partition(vectors(spark, sf_dir), 2.0, gamma=0.5, features=128, min_length=3)
 
 
+@query()
+def rff_adaptive_partition(spark, sf_dir):
+    """The bandwidth by the median heuristic and the number of features by its error, each series its own."""
+    return kernels.rff_partition(vectors(spark, sf_dir), 2.0, features=None, kind="hadamard", min_length=3)
+
+
 @query()
 def rff_fixed_partition(spark, sf_dir):
     return kernels.rff_partition(vectors(spark, sf_dir), 0.0, gamma=0.5, features=128, kind="orthogonal", segments=3)
@@ -196,6 +262,21 @@ def bandwidth_information_criterion(spark, sf_dir):
     return kernels.information_criterion(vectors(spark, sf_dir), kernels.candidate_sigmas(spark, 0.2, 5.0, 6))
 
 
+@query()
+def bandwidth_eigenvalue_criterion(spark, sf_dir):
+    return kernels.information_criterion(vectors(spark, sf_dir), kernels.candidate_sigmas(spark, 0.2, 5.0, 6, search="random"), "aic", "eigenvalue")
+
+
+@query()
+def bandwidth_simple(spark, sf_dir):
+    return kernels.select_bandwidth_simple(vectors(spark, sf_dir), 6, 3)
+
+
+@query()
+def bandwidth_multiscale(spark, sf_dir):
+    return kernels.multiscale_bandwidths(vectors(spark, sf_dir), 2, 4, folds=3)
+
+
 @query(f"""
 WITH {VECTORS}, d AS (SELECT a.series_id, {_D2} AS d2 FROM vectors a JOIN vectors b ON a.series_id = b.series_id AND a.t < b.t)
 SELECT series_id, CAST(i AS INTEGER) AS scale, round(CASE i WHEN 0 THEN quantile_cont(sqrt(d2), 0.1) WHEN 1 THEN quantile_cont(sqrt(d2), 0.5) ELSE quantile_cont(sqrt(d2), 0.9) END, 7) AS sigma
@@ -243,6 +324,16 @@ def energy_divisive(spark, sf_dir):
     return energy.divisive(vectors(spark, sf_dir), min_size=8, replicates=99)
 
 
+@query()
+def energy_divisive_block(spark, sf_dir):
+    return energy.divisive(vectors(spark, sf_dir), min_size=8, replicates=49, resampler="block", max_cps=2)
+
+
+@query()
+def energy_divisive_circular(spark, sf_dir):
+    return energy.divisive(vectors(spark, sf_dir), min_size=8, replicates=49, resampler="circular", alpha=1.5)
+
+
 # --- online detection -----------------------------------------------------------------------
 
 _BOCPD = """
@@ -289,6 +380,16 @@ def bocpd_poisson_gamma(spark, sf_dir):
     return _rounded(_online(spark, sf_dir, poisson=True))
 
 
+@query("WITH " + _BERNOULLI + """,
+l AS (SELECT series_id, t, unnest(r) AS p, unnest(range(len(r))) AS n FROM step WHERE t >= 0)
+SELECT series_id, t, CAST(n AS INTEGER) AS run_length, round(p, 7) AS probability FROM l WHERE round(p, 7) >= 0.01
+""")
+def bocpd_run_lengths(spark, sf_dir):
+    bits = hourly_bits(spark, sf_dir).select("series_id", "t", (F.col("n") > 2).cast("int").alias("value"))
+    found = bocpd.run_lengths(bits, bocpd.Detector(bocpd.BetaBernoulli(), bocpd.ConstantHazard(48), max_run_length=8192), 0.009)
+    return found.withColumn("probability", F.round("probability", 7)).where("probability >= 0.01")
+
+
 @query("WITH " + _BERNOULLI + """,
 peaks AS (SELECT series_id, t, round(cp_prob, 9) AS p, round(lag(cp_prob) OVER w, 9) AS b, round(lead(cp_prob) OVER w, 9) AS a FROM online WINDOW w AS (PARTITION BY series_id ORDER BY t))
 SELECT series_id, t FROM peaks WHERE p >= 0.03 AND CASE WHEN b IS NULL THEN p >= a WHEN a IS NULL THEN p > b ELSE p >= b AND p > a END
@@ -362,6 +463,44 @@ def nearest_errors(spark, sf_dir):
     return scoring.mean_error(*_two(spark, sf_dir), 3).withColumn("mean_abs_error", F.round("mean_abs_error", 7))
 
 
+@query("WITH RECURSIVE " + _TWO + """,
+l AS (SELECT series_id, list(cp ORDER BY cp) AS p FROM p GROUP BY 1), m AS (SELECT series_id, list(cp ORDER BY cp) AS a FROM a GROUP BY 1),
+both_ AS (SELECT series_id, coalesce(p, []) AS p, coalesce(a, []) AS a FROM l FULL JOIN m USING (series_id)),
+walk AS (
+  SELECT series_id, p, a, a AS rest, CAST(1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS e FROM both_
+  UNION ALL
+  SELECT series_id, p, a, CASE WHEN near.d <= 2 THEN list_filter(rest, lambda v, i: i <> near.place) ELSE rest END, i + 1, n + CASE WHEN near.d <= 2 THEN 1 ELSE 0 END, e + CASE WHEN near.d <= 2 THEN near.d ELSE 0 END
+  FROM (SELECT *, list_min(list_transform(rest, lambda v, k: {'d': abs(v - p[i]), 'place': k})) AS near FROM walk WHERE i <= len(p))
+),
+w AS (SELECT series_id, len(p) AS np, len(a) AS na, n, e FROM walk WHERE i = len(p) + 1),
+r AS (SELECT series_id, n AS matches, CASE WHEN np > 0 THEN n * 1.0 / np WHEN na = 0 THEN 1 ELSE 0 END AS precision, CASE WHEN na > 0 THEN n * 1.0 / na WHEN np = 0 THEN 1 ELSE 0 END AS recall, CASE WHEN n > 0 THEN e * 1.0 / n END AS err FROM w)
+SELECT series_id, matches, round(precision, 7) AS precision, round(recall, 7) AS recall, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 7) AS f1, round(err, 7) AS mean_abs_error FROM r
+""".replace("n * 1.0 /", "CAST(n AS DOUBLE) /").replace("e * 1.0 /", "CAST(e AS DOUBLE) /"))
+def greedy_boundary_errors(spark, sf_dir):
+    s = scoring.greedy_errors(*_two(spark, sf_dir), 2)
+    return s.select("series_id", "matches", *[F.round(c, 7).alias(c) for c in ("precision", "recall", "f1", "mean_abs_error")])
+
+
+@query("WITH " + _TWO + " SELECT DISTINCT series_id, cp FROM (SELECT * FROM p UNION ALL SELECT * FROM a)")
+def channel_union(spark, sf_dir):
+    return scoring.union_of(list(_two(spark, sf_dir)))
+
+
+@query()
+def two_stage_detection(spark, sf_dir):
+    """Coarse segments first, then the energy statistic inside each."""
+    w = weekly_revenue(spark, sf_dir)
+    coarse = seg.partition(w, "known_variance", 60.0, 8, sigma2=_WEEK_SIGMA2)
+    points = lambda d: d.select("series_id", "t", F.array(F.col("value").cast("double")).alias("x"))
+    return scoring.two_stage(w, coarse, lambda d: energy.divisive(points(d), 5, 49).where("accepted").select("series_id", "cp"))
+
+
+@query()
+def hybrid_run_lengths(spark, sf_dir):
+    coarse = seg.partition(weekly_revenue(spark, sf_dir), "known_variance", 20.0, 4, sigma2=_WEEK_SIGMA2)
+    return scoring.retuned_run_lengths(coarse, 96.0)
+
+
 @query()
 def detector_comparison(spark, sf_dir):
     from shiftspark.operators import synthetic

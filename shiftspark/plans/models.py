@@ -116,9 +116,42 @@ def boundary_masses(spark, sf_dir):
     return periodic.boundary_mass(d).withColumn("mass", F.round("mass", 9))
 
 
-@query()
+@query(f"""
+WITH {USERS}, n AS (SELECT series_id, count(*) AS n, avg(cents) AS m, max(cents) AS hi, min(cents) AS lo FROM users GROUP BY 1),
+z AS (SELECT series_id, t, cents - m AS z FROM users JOIN n USING (series_id)), k AS (SELECT unnest(range(15)) AS lag),
+c AS (SELECT a.series_id, lag, sum(a.z * b.z) AS c FROM z a CROSS JOIN k JOIN z b ON b.series_id = a.series_id AND b.t = a.t - lag GROUP BY 1, 2),
+r AS (SELECT n.series_id, k.lag, coalesce(c.c, 0) / max(CASE WHEN k.lag = 0 THEN c.c END) OVER (PARTITION BY n.series_id) AS acf FROM n CROSS JOIN k LEFT JOIN c ON c.series_id = n.series_id AND c.lag = k.lag),
+g AS (SELECT series_id, (lag - 1) // 2 AS pair, sum(acf) AS g FROM r WHERE lag > 0 GROUP BY 1, 2),
+p AS (SELECT series_id, g, min(g) OVER (PARTITION BY series_id ORDER BY pair) AS least FROM g),
+s AS (SELECT series_id, sum(g) AS total FROM p WHERE least > 0 GROUP BY 1)
+SELECT n.series_id, CASE WHEN hi > lo THEN round(n / (1 + 2 * coalesce(total, 0)), 6) END AS ess FROM n LEFT JOIN s USING (series_id)
+""")
 def effective_sample_sizes(spark, sf_dir):
-    return periodic.effective_size(user_values(spark, sf_dir), 15, "cents")
+    found = periodic.effective_size(user_values(spark, sf_dir), 15, "cents")
+    return found.select("series_id", F.when(F.col("ess") < float("inf"), F.round("ess", 6)).alias("ess"))
+
+
+@query()
+def indicator_sample_sizes(spark, sf_dir):
+    return periodic.indicator_effective_size(periodic.sample(_eight(spark, sf_dir), 8, 2, chains=2, iterations=800, burn=200), 7)
+
+
+@query()
+def within_period_segments(spark, sf_dir):
+    c = _eight(spark, sf_dir)
+    return periodic.segment_summaries(periodic.sample(c, 8, 2, chains=2, iterations=800, burn=200), c, 8)
+
+
+@query()
+def within_period_scenarios(spark, sf_dir):
+    """Chains on published scenarios, by how often each phase is a boundary."""
+    bits = synthetic.periodic_scenarios(spark, ["paper_monte_carlo_n24"])
+    return periodic.boundary_mass(periodic.sample(periodic.phase_counts(bits, 24), 24, 4, chains=2, iterations=400, burn=100))
+
+
+@query()
+def sensor_home_activity(spark, sf_dir):
+    return synthetic.any_of(synthetic.sensor_home(spark, 7))
 
 
 # --- point processes -------------------------------------------------------------------------
@@ -240,10 +273,68 @@ def ar_loglik(spark, sf_dir):
     return d.select("series_id", "t", F.round(emissions.ar_loglik(d, 3.0, [0.4, -0.1], 900.0), 7).alias("loglik"))
 
 
-@query()
+_AR = """
+s AS (SELECT {key}, sum(w) AS n, sum(w * y * y) AS yy, sum(w) + 1e-8 AS a, sum(w * l1) AS b, sum(w * l2) AS c, sum(w * l1 * l1) + 1e-8 AS d, sum(w * l1 * l2) AS e, sum(w * l2 * l2) + 1e-8 AS f,
+             sum(w * y) AS g, sum(w * l1 * y) AS h, sum(w * l2 * y) AS i FROM v WHERE l2 IS NOT NULL GROUP BY 1),
+q AS (SELECT *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) AS det FROM s),
+x AS (SELECT *, (g * (d * f - e * e) - b * (h * f - e * i) + c * (h * e - d * i)) / det AS x0, (a * (h * f - e * i) - g * (b * f - e * c) + c * (b * i - h * c)) / det AS x1,
+             (a * (d * i - h * e) - b * (b * i - h * c) + g * (b * e - d * c)) / det AS x2 FROM q)
+SELECT {key}, round(x0, 5) AS intercept, round(x1, 7) AS phi1, round(x2, 7) AS phi2,
+       round((yy - 2 * (x0 * g + x1 * h + x2 * i) + (a - 1e-8) * x0 * x0 + (d - 1e-8) * x1 * x1 + (f - 1e-8) * x2 * x2 + 2 * (b * x0 * x1 + c * x0 * x2 + e * x1 * x2)) / n, 4) AS variance FROM x
+"""
+
+
+def _ar_rows(found, key):
+    return found.select(key, F.round("intercept", 5).alias("intercept"), F.round(F.get("coefficients", 0), 7).alias("phi1"), F.round(F.get("coefficients", 1), 7).alias("phi2"), F.round("variance", 4).alias("variance"))
+
+
+@query(f"""
+WITH {USERS}, v AS (
+  SELECT CAST((t // 20) % 2 AS INTEGER) AS label, CAST(1 AS DOUBLE) AS w, cents / CAST(100 AS DOUBLE) AS y, lag(cents / CAST(100 AS DOUBLE)) OVER o AS l1, lag(cents / CAST(100 AS DOUBLE), 2) OVER o AS l2
+  FROM users WINDOW o AS (PARTITION BY series_id, t // 20 ORDER BY t)),
+{_AR.format(key="label")}""")
 def ar_from_labels(spark, sf_dir):
     v = user_values(spark, sf_dir).select("series_id", "t", (F.col("cents") / 100.0).alias("value"), F.expr("CAST((t div 20) % 2 AS INT)").alias("label"))
-    return emissions.ar_from_labels(v, 2)
+    return _ar_rows(emissions.ar_from_labels(v, 2), "label")
+
+
+@query(f"""
+WITH {USERS}, u AS (
+  SELECT t, cents / CAST(100 AS DOUBLE) AS y, lag(cents / CAST(100 AS DOUBLE)) OVER o AS l1, lag(cents / CAST(100 AS DOUBLE), 2) OVER o AS l2 FROM users WINDOW o AS (PARTITION BY series_id ORDER BY t)),
+v AS (SELECT 0 AS state, (1 + t % 3) / CAST(5 + t % 3 AS DOUBLE) AS w, y, l1, l2 FROM u UNION ALL SELECT 1, 4 / CAST(5 + t % 3 AS DOUBLE), y, l1, l2 FROM u),
+{_AR.format(key="state")}""")
+def ar_from_responsibilities(spark, sf_dir):
+    r = F.array((1 + F.col("t") % 3).cast("double"), F.lit(4.0))
+    v = user_values(spark, sf_dir).select("series_id", "t", (F.col("cents") / 100.0).alias("value"), r.alias("r"))
+    return _ar_rows(emissions.ar_from_responsibilities(v, 2), "state")
+
+
+@query()
+def ar_simulated(spark, sf_dir):
+    states = spark.range(200).select(F.lit("a").alias("series_id"), F.col("id").alias("t"), F.expr("CAST(id div 100 AS INT)").alias("state"))
+    made = emissions.simulate_ar(states, [0.0, 4.0], [[0.5], [0.2, 0.1]], [1.0, 0.5])
+    return emissions.ar_from_labels(made.withColumnRenamed("state", "label"), 1)
+
+
+@query()
+def gaussian_full_loglik(spark, sf_dir):
+    v = vectors(spark, sf_dir).withColumnRenamed("series_id", "label")
+    return emissions.FullGaussians.from_labels(v, ridge=1e-3).loglik(v, ["label", "t"])
+
+
+@query()
+def gaussian_full_samples(spark, sf_dir):
+    v = vectors(spark, sf_dir).withColumnRenamed("series_id", "state")
+    return emissions.FullGaussians.from_kmeans(v, 2, ["state", "t"], ridge=1e-3).sample(v.select("t", (F.col("state") % 2).cast("int").alias("state")))
+
+
+@query(f"""
+WITH {VECTORS}, u AS (SELECT series_id, t, unnest(x) AS v, unnest(range(len(x))) AS dim FROM vectors)
+SELECT series_id, t, round(sum(CASE dim WHEN 0 THEN 2 * (v - 0.1) * (v - 0.1) WHEN 1 THEN 3 * (v + 0.2) * (v + 0.2) ELSE 0 END) + 2 * 0.5 * max(CASE WHEN dim = 0 THEN v - 0.1 END) * max(CASE WHEN dim = 1 THEN v + 0.2 END), 8) AS d2 FROM u GROUP BY 1, 2
+""".replace("0.1)", "CAST(0.1 AS DOUBLE))").replace("0.2)", "CAST(0.2 AS DOUBLE))"))
+def squared_mahalanobis(spark, sf_dir):
+    d2 = col.squared_mahalanobis(F.col("x"), [0.1, -0.2], [[2.0, 0.5], [0.5, 3.0]])
+    return vectors(spark, sf_dir).select("series_id", "t", F.round(d2, 8).alias("d2"))
 
 
 @query()
@@ -328,11 +419,57 @@ def hmm_viterbi_states(spark, sf_dir):
     return found.select(F.col("series_id").cast("long").alias("series_id"), "t", "state")
 
 
-@query()
+# Two states that take turns: entering scores, the best last durations, and cumulated log likelihoods, as lists.
+_HSMM = f"""
+RECURSIVE {USERS}, ll AS (SELECT series_id, t, CAST(-0.5 * (cents / 100.0 - 20) * (cents / 100.0 - 20) / 400 AS DOUBLE) AS a, CAST(-0.5 * (cents / 100.0 - 60) * (cents / 100.0 - 60) / 900 - ln(1.5) AS DOUBLE) AS b FROM users),
+cum AS (SELECT series_id, t, sum(a) OVER w AS a, sum(b) OVER w AS b FROM ll WINDOW w AS (PARTITION BY series_id ORDER BY t)),
+lists AS (SELECT series_id, count(*) AS n, [CAST(0 AS DOUBLE)] || list(a ORDER BY t) AS ca, [CAST(0 AS DOUBLE)] || list(b ORDER BY t) AS cb FROM cum GROUP BY 1),
+raw AS (SELECT unnest(range(1, 21)) AS d), dens AS (SELECT d, {{density}} AS p FROM raw),
+dur AS (SELECT list(p - z ORDER BY d) AS p FROM dens CROSS JOIN (SELECT ln(sum(exp(p))) AS z FROM dens)),
+step AS (
+  SELECT series_id, n, ca, cb, p, CAST(0 AS BIGINT) AS t, [ln(CAST(0.5 AS DOUBLE))] AS ea, [ln(CAST(0.5 AS DOUBLE))] AS eb, [CAST(0 AS BIGINT)] AS la, [CAST(0 AS BIGINT)] AS lb, CAST(0 AS DOUBLE) AS za, CAST(0 AS DOUBLE) AS zb FROM lists CROSS JOIN dur
+  UNION ALL
+  SELECT series_id, n, ca, cb, p, t + 1, ea || [xb.v], eb || [xa.v], la || [-xa.d], lb || [-xb.d], xa.v, xb.v
+  FROM (SELECT *, list_max(list_transform(range(1, least(20, t + 1) + 1), lambda d: {{{{'v': ea[t + 2 - d] + p[d] + ca[t + 2] - ca[t + 2 - d], 'd': -d}}}})) AS xa,
+               list_max(list_transform(range(1, least(20, t + 1) + 1), lambda d: {{{{'v': eb[t + 2 - d] + p[d] + cb[t + 2] - cb[t + 2 - d], 'd': -d}}}})) AS xb
+        FROM step WHERE t < n)
+),
+back AS (
+  SELECT series_id, la, lb, CASE WHEN za >= zb THEN 0 ELSE 1 END AS state, n AS stop, CASE WHEN za >= zb THEN la[n + 1] ELSE lb[n + 1] END AS d FROM step WHERE t = n
+  UNION ALL
+  SELECT series_id, la, lb, 1 - state, stop - d, CASE WHEN state = 1 THEN la[stop - d + 1] ELSE lb[stop - d + 1] END FROM back WHERE stop - d > 0
+)
+SELECT CAST(series_id AS VARCHAR) AS series_id, u.t, CAST(state AS INTEGER) AS state, CAST(CASE WHEN u.t = stop - 1 THEN d ELSE 0 END AS INTEGER) AS duration FROM back, LATERAL (SELECT unnest(range(stop - d, stop)) AS t) u
+"""
+
+
+@query("WITH " + _HSMM.format(density="d * ln(6) - 6 - lgamma(d + 1)"))
 def hsmm_states(spark, sf_dir):
     return statespace.decode_hsmm(_loglik(spark, sf_dir), [0.5, 0.5], [[0, 1], [1, 0]], [6.0, 6.0], 20)
 
 
+@query("WITH " + _HSMM.format(density="lgamma(d + 2.5) - lgamma(2.5) - lgamma(d + 1) + 2.5 * ln(0.3) + d * ln(0.7)"))
+def hsmm_negative_binomial_states(spark, sf_dir):
+    return statespace.decode_hsmm(_loglik(spark, sf_dir), [0.5, 0.5], [[0, 1], [1, 0]], [(2.5, 0.7), (2.5, 0.7)], 20, family="negative_binomial")
+
+
+@query()
+def hsmm_negative_binomial_learned(spark, sf_dir):
+    ll = _loglik(spark, sf_dir)
+    return statespace.state_changepoints(statespace.decode_hsmm(ll, [0.5, 0.5], [[0, 1], [1, 0]], [(3.0, 0.6), (3.0, 0.6)], 12, learn=True, iterations=3, family="negative_binomial"))
+
+
+@query(f"""
+WITH {USERS}, r AS (SELECT DISTINCT series_id, 1.5 + series_id % 4 AS r, 0.2 + (series_id % 7) / CAST(10 AS DOUBLE) AS p FROM users), d AS (SELECT unnest(range(1, 11)) AS d),
+v AS (SELECT series_id, d, lgamma(d + r) - lgamma(r) - lgamma(d + 1) + r * ln(1 - p) + d * ln(p) AS v FROM r CROSS JOIN d)
+SELECT series_id, CAST(d AS INTEGER) AS d, round(v - ln(sum(exp(v)) OVER (PARTITION BY series_id)), 8) AS log_p FROM v
+""")
+def negative_binomial_table(spark, sf_dir):
+    u = user_values(spark, sf_dir).select("series_id").distinct()
+    r, p = (1.5 + F.col("series_id") % 4).cast("double"), 0.2 + (F.col("series_id") % 7) / 10
+    return u.select("series_id", F.explode(statespace.negative_binomial_rows(r, p, 10)).alias("x")).select("series_id", "x.d", F.round("x.log_p", 8).alias("log_p"))
+
+
 @query()
 def hsmm_learned_changepoints(spark, sf_dir):
     ll = _loglik(spark, sf_dir)
@@ -342,7 +479,8 @@ def hsmm_learned_changepoints(spark, sf_dir):
 def _shares(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     kinds = sorted(r[0] for r in e.select("event_type").distinct().collect())  # a handful
-    comp = src.compositions(e.withColumn("series_id", F.lit("all")), kinds, F.date_trunc("hour", F.col("ts").cast("timestamp")), "event_type", "series_id")
+    # a series for each user, so that the fit is as many tasks as there are users
+    comp = src.compositions(e.withColumn("series_id", F.col("user_id").cast("string")), kinds, F.date_trunc("day", F.col("ts").cast("timestamp")), "event_type", "series_id")
     return src.number_rows(comp, ["day"], "series_id").select("series_id", "t", "comp")
 
 

@@ -33,7 +33,7 @@ def test_online_and_periodic_methods(spark):
     assert any(38 <= r.cp <= 43 for r in detect(runs, "bocpd", mean_run_length=20.0, threshold=None, reset=True).collect())
     with pytest.raises(ValueError):
         detect(df, "nothing")
-    assert len(METHODS) == 10
+    assert len(METHODS) == 11
 
 
 def test_table_function(spark, shifted):

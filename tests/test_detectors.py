@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from shiftspark.operators import bocpd, boundaries, energy, kernels, pointprocess, scoring, statespace, synthetic
+from shiftspark.operators import bocpd, boundaries, emissions, energy, kernels, pointprocess, scoring, statespace, synthetic
 from shiftspark.operators import periodic as wp
 from shiftspark.operators import segmentation as seg
 
@@ -75,21 +75,111 @@ def test_kernel_golden_and_fixed_counts(spark):
 def test_random_features_approach_the_kernel():
     x = np.random.default_rng(0).normal(size=(30, 3))
     exact = kernels.gram(x, "rbf", 0.3)
-    for kind in ("gaussian", "orthogonal", "halton", "latin"):
+    for kind in ("gaussian", "orthogonal", "hadamard", "halton", "sobol", "latin"):
         z = kernels.feature_map(x, *kernels.frequencies(3, 2048, 0.3, kind))
         assert np.abs(z @ z.T - exact).max() < 0.12, kind
     with pytest.raises(ValueError):
         kernels.validate_gram(np.array([[1.0, 2], [2, 1]]))
+    for call in (lambda: kernels.frequencies(3, 8, 0.3, "mersenne"), lambda: kernels.gram(x, "laplace"), lambda: kernels.select_bandwidth(None, None, method="x")):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_kernel_costs_need_no_matrix(monkeypatch):
+    x = np.random.default_rng(0).normal(size=(40, 2))
+    k = kernels.gram(x, "rbf", 0.4)
+    plain = lambda a, b: np.trace(k[a:b, a:b]) - k[a:b, a:b].sum() / (b - a)
+    for cells in (30, 1 << 20):
+        monkeypatch.setattr(seg, "KERNEL_CELLS", cells)
+        cost = kernels.kernel_scatter(x, "rbf", 0.4)
+        for b in (1, 2, 7, 8, 30, 40, 12):  # ends in order, then an earlier one
+            assert np.allclose(cost(np.arange(b), b), [plain(a, b) for a in range(b)])
+
+
+def test_fixed_counts_are_the_best_of_all():
+    y = np.random.default_rng(3).normal(size=9)
+    cost = seg.known_variance(y)
+    for count in (1, 2, 3, 4):
+        options = [sum(float(cost(np.array([a]), b)[0]) for a, b in zip((0, *c), (*c, 9))) for c in itertools.combinations(range(1, 9), count - 1) if all(b - a >= 2 for a, b in zip((0, *c), (*c, 9)))]
+        assert seg.fixed_count(cost, 9, count, 2)[0] == pytest.approx(min(options))
+    assert seg.fixed_count(cost, 9, 5, 2) is None
+
+
+def test_own_costs_and_kernels(spark):
+    values = frame(spark, [0.0, 0, 0, 0, 9, 9, 9, 9])
+
+    def absolute(y):
+        return lambda a, b: np.array([np.abs(y[i:b] - np.median(y[i:b])).sum() for i in a])
+
+    assert [r.start for r in seg.partition(values, absolute, 1.0).orderBy("start").collect()] == [0, 4]
+    with pytest.raises(ValueError):
+        seg.partition(values, "huber", 1.0)
+    p = values.select("series_id", "t", F.array("value").alias("x"))
+    laplace = lambda a, b: np.exp(-np.abs(a[:, None, 0] - b[None, :, 0]))
+    assert [r.start for r in kernels.kernel_partition(p, 0.5, laplace).orderBy("start").collect()] == [0, 4]
+    with pytest.raises(Exception, match="symmetric"):
+        kernels.kernel_partition(p, 0.5, lambda a, b: a - b.T + 2 * a).collect()
+
+
+def test_bandwidth_choice_falls_back_and_takes_scorers(spark):
+    x = np.random.default_rng(1).normal(size=(30, 2))
+    p = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(x)], "series_id string, t long, x array<double>")
+    grid = kernels.candidate_sigmas(spark, 0.5, 4.0, 4)
+    best = kernels.select_bandwidth(p, grid, 3, scoring=lambda train, test, sigma: -abs(sigma - 2)).where("selected").first()
+    assert best.sigma == pytest.approx(2.0)
+    none = kernels.select_bandwidth(p, grid, 3, scoring=lambda train, test, sigma: -math.inf).where("selected").collect()
+    median = np.median(np.sqrt(kernels.squared_distances(x)[np.triu_indices(30, 1)]))
+    assert len(none) == 1 and none[0].sigma == pytest.approx(median) and none[0].score is None
+    drawn = kernels.candidate_sigmas(spark, 0.5, 4.0, 6, search="random").collect()
+    assert drawn == kernels.candidate_sigmas(spark, 0.5, 4.0, 6, search="random").repartition(3).orderBy("sigma_id").collect() and all(0.5 <= r.sigma <= 4 for r in drawn)
+    for freedom in ("kernel_ridge", "eigenvalue", "n"):
+        assert kernels.information_criterion(p, grid, "aic", freedom).where("selected").count() == 1
+    many = kernels.multiscale_bandwidths(p, 2, 3, folds=3).collect()
+    assert sorted(r.scale for r in many) == [0, 1] and {r.series_id for r in many} == {"a"}
+    sd = kernels.bandwidth_stability(p, 5).first()
+    assert sd.cv == pytest.approx(sd.sd / sd["mean"])
+
+
+def test_pair_sums_by_tiles_equal_plain_ones(spark):
+    x = np.random.default_rng(4).normal(size=(23, 2))
+    p = spark.createDataFrame([(k, i, v.tolist()) for k in (1, 2) for i, v in enumerate(x)], "series_id int, t long, x array<double>")
+    d = np.sqrt(kernels.squared_distances(x)) ** 1.5
+    assert {r.own for r in kernels.tiles(p, 5).collect()} == {True, False}
+    for r in kernels.pair_sums(p, 1.5).collect():
+        assert r.ends == pytest.approx(d[: r.t, r.t].sum()) and r.begins == pytest.approx(d[r.t, r.t :].sum())
 
 
 def test_energy_native_equals_matrix(spark):
     x = np.random.default_rng(2).normal(size=(14, 2))
     p = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(x)], "series_id string, t long, x array<double>")
     best = energy.best_split(energy.split_statistics(p), spark.createDataFrame([("a", 14)], "series_id string, n long"), 3).first()
-    stat, split = energy.scan(energy.distances(x), 3)
+    stat, split = energy.scan(energy.Distances(x), np.arange(14), 3)
     assert best.split == split and best.stat == pytest.approx(stat)
 
 
+@pytest.mark.parametrize("kind", ["iid", "block", "circular"])
+def test_energy_scans_without_a_matrix_and_resamples(monkeypatch, kind):
+    x = np.random.default_rng(3).normal(size=(31, 2))
+    order = energy.reorder(31, kind, np.random.default_rng(1), 4)
+    assert len(order) == 31 and set(order) <= set(range(31)) and (kind == "circular" or sorted(order) == list(range(31)))
+    kept = energy.scan(energy.Distances(x, 1.2), order, 4)
+    d = np.sqrt(kernels.squared_distances(x[order])) ** 1.2
+    stat = lambda k: k * (31 - k) / 31 * (2 * d[:k, k:].mean() - d[:k, :k].mean() - d[k:, k:].mean())
+    assert kept[0] == pytest.approx(max(stat(k) for k in range(4, 28)))
+    monkeypatch.setattr(energy, "DISTANCE_BYTES", 0)
+    monkeypatch.setattr(energy, "CELLS", 100)
+    assert energy.scan(energy.Distances(x, 1.2), order, 4)[0] == pytest.approx(kept[0], rel=1e-6)
+    assert [energy.block_size(m) for m in (1, 2, 8, 1000)] == [1, 2, 3, 15]
+
+
+def test_divisive_stops_at_a_number_of_changepoints(spark):
+    p = spark.createDataFrame([(k, i, [10.0 ** (i // 5)]) for k in "ab" for i in range(40)], "series_id string, t long, x array<double>")
+    found = energy.divisive(p, 5, 39, max_cps=3).where("accepted").groupBy("series_id").count().collect()
+    assert {r.series_id: r["count"] for r in found} == {"a": 3, "b": 3}
+    with pytest.raises(ValueError):
+        energy.divisive(p, 5, 39, resampler="jackknife")
+
+
 def test_divisive_goes_on_below_twelve_levels(spark):
     # every split takes the highest step off the rest
     p = spark.createDataFrame([("a", i, [10.0 ** (i // 5)]) for i in range(75)], "series_id string, t long, x array<double>")
@@ -214,6 +304,110 @@ def test_hsmm_golden_and_em(spark):
     assert all(b >= a - 1e-6 for a, b in zip(trace, trace[1:])) and all(2.5 < r < 7.5 for r in rates)
 
 
+def test_negative_binomial_durations_by_moments():
+    d = statespace.negative_binomial_durations(3.0, 0.4, 30)
+    assert np.exp(d).sum() == pytest.approx(1)
+    r, p = statespace._negative_binomial_moments(1000 * np.exp(statespace.negative_binomial_durations(9.0, 0.5, 200)), (1.0, 0.5))
+    assert r == pytest.approx(9, rel=0.1) and p == pytest.approx(0.5, rel=0.1)
+    rng = np.random.default_rng(1)
+    path = np.repeat([0, 1] * 12, rng.poisson(5, 24) + 1)
+    ll = np.array([[-0.5 * (y - m) ** 2 for m in (0, 3)] for y in path * 3 + rng.normal(size=len(path))])
+    _, found, trace = statespace.fit_hsmm(ll, [0.5, 0.5], [[0, 1], [1, 0]], [(2.0, 0.5), (2.0, 0.5)], 20, 15, family="negative_binomial")
+    assert trace[-1] > trace[0] and all(2 < r * p / (1 - p) < 9 for r, p in found)
+    with pytest.raises(ValueError):
+        statespace.duration_table("geometric", [1.0], 5)
+
+
+def test_compositions_are_checked_and_components_found(spark):
+    bad = spark.createDataFrame([("a", 0, [0.0, 0.0]), ("a", 1, [0.5, 0.5])], "series_id string, t long, comp array<double>")
+    with pytest.raises(Exception, match="composition"):
+        statespace.decode_sdhmm(bad, 2).collect()
+    rng = np.random.default_rng(0)
+    x = np.vstack([rng.dirichlet([30, 3, 3], 20), rng.dirichlet([3, 30, 3], 20), rng.dirichlet([3, 3, 60], 40)])
+    rows = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(x)], "series_id string, t long, comp array<double>")
+    found = statespace.decode_sdhmm(rows, 2, components=2, iterations=40).orderBy("t").collect()
+    assert len({r.state for r in found[42:]}) == 1 and all(r.component in (0, 1) for r in found)
+    fit = statespace.fit_sdhmm(x, 2, 2, 40, mixing=0.5, shape=2.0, rate=0.01)
+    assert fit["eta"].sum() == pytest.approx(4 * 0.5 + 80, rel=1e-6)
+
+
+def test_kmeans_with_holes_and_lost_clusters(spark):
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(m, 0.1, (30, 2)) for m in (0, 5, 10)])
+    rows = [(i, [None if i % 11 == 0 else float(v[0]), float(v[1])]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "t long, x array<double>")
+    got = [r.label for r in emissions.kmeans(df, 3, ["t"]).orderBy("t").collect()]
+    assert all(len(set(got[a : a + 30])) == 1 for a in (0, 30, 60)) and len(set(got)) == 3
+    same = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(5)], "t long, x array<double>")
+    assert emissions.kmeans(same, 3, ["t"]).count() == 5 and emissions.kmeans(same.where("false"), 2, ["t"]).count() == 0
+
+
+def test_full_gaussians(spark):
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.multivariate_normal([0, 0], [[1, 0.5], [0.5, 2]], 200), rng.multivariate_normal([4, 4], [[1, 0], [0, 1]], 200)])
+    df = spark.createDataFrame([(i, i // 200, v.tolist()) for i, v in enumerate(x)], "t long, label int, x array<double>")
+    model = emissions.FullGaussians.from_labels(df, ridge=0.0)
+    assert np.allclose(model.covariances[0], np.cov(x[:200].T)) and np.allclose(model.means[1], x[200:].mean(axis=0)) and model.n_parameters() == 10
+    own = [r.loglik for r in model.loglik(df, ["t"]).orderBy("t").collect()]
+    assert np.mean([v[0] > v[1] for v in own[:200]]) > 0.95
+    drawn = model.sample(df.select("t", F.col("label").alias("state"))).orderBy("t").collect()
+    assert np.allclose(np.mean([r.x for r in drawn[200:]], axis=0), model.means[1], atol=0.3)
+    assert drawn == model.sample(df.select("t", F.col("label").alias("state")).repartition(3)).orderBy("t").collect()
+    filled = emissions.diag_from_labels(df, states=3).where("label = 2").orderBy("dim").collect()
+    assert [r["mean"] for r in filled] == pytest.approx(x.mean(axis=0).tolist())
+
+
+def test_weighted_and_simulated_autoregressions(spark):
+    states = spark.range(600).select(F.lit("a").alias("series_id"), F.col("id").alias("t"), F.expr("CAST(id div 300 AS INT)").alias("state"))
+    made = emissions.simulate_ar(states, [0.0, 3.0], [[0.6], [0.1]], [1.0, 0.3])
+    r = F.array((F.col("state") == 0).cast("double"), (F.col("state") == 1).cast("double"))
+    found = {x.state: x for x in emissions.ar_from_responsibilities(made.withColumn("r", r), 1).collect()}
+    assert found[0].coefficients[0] == pytest.approx(0.6, abs=0.15) and found[1].intercept == pytest.approx(3.0, abs=0.5)
+    assert emissions.ar_parameters(2, 1) == 6
+
+
+def test_valid_taus_are_counted_first(spark):
+    for period, least in ((8, 2), (9, 3), (7, 1)):
+        assert wp.count_taus(period, least) == wp.valid_taus(spark, period, least).count()
+    with pytest.raises(ValueError):
+        wp.valid_taus(spark, 96, 4)
+
+
+def test_segment_summaries_and_scenarios(spark):
+    bits = synthetic.periodic_scenarios(spark, ["paper_monte_carlo_n24", "no_change"])
+    counts = wp.phase_counts(bits.where("series_id = 'paper_monte_carlo_n24'"), 24)
+    found = wp.segment_summaries(wp.sample(counts, 24, 4, chains=1, iterations=600, burn=200), counts, 24).collect()
+    assert sum(r.n for r in found) == 24 * 30 and all(r.lower < r["mean"] < r.upper for r in found)
+    assert bits.where("series_id = 'no_change'").count() == 96 * 35
+    assert synthetic.probability_grid(4, (0, 2), (0.1, 0.9)) == [0.1, 0.9, 0.9, 0.1]
+    assert synthetic.any_of(synthetic.sensor_home(spark, 2)).count() == 192
+    ess = wp.indicator_effective_size(wp.sample(counts, 24, 4, chains=1, iterations=400, burn=100), 7).first().ess
+    assert ess > 0
+
+
+def test_periods_are_checked_and_simulated_with_their_changepoints(spark):
+    made, cps = pointprocess.simulate_segments(spark, 2, [8, 8], [0.3, 3.0], 24.0)
+    found = pointprocess.sliced_poisson(made, 24.0, 1, 0)
+    assert {(r.series_id, r.start) for r in found.where("start > 0").collect()} == {(r.series_id, r.cp) for r in cps.collect()}
+    outside = made.withColumn("event_times", F.array(F.lit(25.0)))
+    with pytest.raises(Exception, match="exposure"):
+        pointprocess.sliced_poisson(outside, 24.0, 1, 0).collect()
+
+
+def test_run_lengths_and_pipelines_of_detectors(spark):
+    d = bocpd.Detector(bocpd.BetaBernoulli(), bocpd.ConstantHazard(4), max_run_length=8)
+    values = frame(spark, [0.0, 0, 0, 1, 1, 1])
+    steps = bocpd.run_lengths(values, d).groupBy("t").agg(F.sum("probability").alias("p"), F.max_by("run_length", "probability").alias("r")).orderBy("t").collect()
+    assert [r.p for r in steps] == pytest.approx([1.0] * 6) and [r.r for r in steps] == [1, 2, 3, 0, 1, 2]
+    few = bocpd.run_lengths(values, bocpd.Detector(bocpd.BetaBernoulli(), bocpd.ConstantHazard(4), 8, epsilon=0.3))
+    assert few.groupBy("t").count().agg(F.max("count")).first()[0] <= 3
+    w = frame(spark, [0.0] * 10 + [8.0] * 10 + [4.0] * 10)
+    coarse = seg.partition(w, "known_variance", 400.0, 5)
+    fine = lambda s: seg.changepoints(seg.partition(s, "known_variance", 10.0, 3))
+    assert sorted(r.cp for r in scoring.two_stage(w, coarse, fine).collect()) == [10, 20]
+    assert scoring.retuned_run_lengths(seg.partition(w, "known_variance", 10.0, 3), 100.0).first().mean_run_length == pytest.approx(82.0)
+
+
 def test_hmm_viterbi_against_all_paths():
     rng = np.random.default_rng(5)
     ll, pi, a = rng.normal(size=(6, 2)), np.log([0.6, 0.4]), np.log([[0.7, 0.3], [0.4, 0.6]])

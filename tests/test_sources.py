@@ -84,3 +84,57 @@ def test_compositions_and_windows(spark):
     assert [(r.day, [round(v, 3) for v in r.comp]) for r in got] == [("d1", [0.667, 0.333])]
     s = spark.createDataFrame([("a", i, i) for i in range(6)], "series_id string, t long, value int")
     assert [(r.window, list(r["values"])) for r in src.count_windows(s, 3, 2).orderBy("window").collect()] == [(0, [0, 1, 2]), (1, [2, 3, 4])]
+
+
+def test_bins_follow_a_zone_with_summer_time(spark):
+    # clocks in Berlin went an hour on at 01:00 UTC of the 31st
+    rows = [("a", "2024-03-30 22:30:00"), ("a", "2024-03-31 00:30:00"), ("a", "2024-03-31 01:30:00")]
+    e = spark.createDataFrame(rows, "series_id string, at string").selectExpr("series_id", "CAST(at AS TIMESTAMP) AS ts")
+    got = [r.t for r in src.occupied_bins(e, 60, timezone="Europe/Berlin").where("value").orderBy("t").collect()]
+    # 23:30 of the 30th is before the next midnight; then 01:30 and, over the gap, 03:30
+    assert got == [1, 3]
+    utc = [r.t for r in src.occupied_bins(e, 60).where("value").orderBy("t").collect()]
+    assert utc == [0, 1]
+
+
+def test_errors_name_the_path(spark, tmp_path):
+    with pytest.raises(src.SourceError, match="nowhere") as e:
+        src.read_draws(spark, str(tmp_path / "nowhere"))
+    assert e.value.__cause__ is not None
+    src.write_study({"one": spark.range(3)}, {"seed": 1}, str(tmp_path / "study"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "study/one")).count() == 3
+
+
+def test_circular_and_matrix_contracts(spark):
+    ok = spark.createDataFrame([("a", 1), ("a", 3)], "series_id string, cp int")
+    assert checks.circular(ok, 4).count() == 2
+    for rows in ([("a", 1)], [("a", 1), ("a", 4)], [("a", 1), ("a", 1)]):
+        with pytest.raises(checks.ContractError):
+            checks.circular(spark.createDataFrame(rows, "series_id string, cp int"), 4)
+    m = lambda a: spark.createDataFrame([(a,)], "m array<array<double>>")
+    assert checks.matrix(m([[1.0, 2.0], [2.0, 1.0]]), "m", 2).count() == 1
+    for a in ([[1.0, 2.0], [0.0, 1.0]], [[1.0]], [[float("nan"), 0.0], [0.0, 1.0]]):
+        with pytest.raises(checks.ContractError):
+            checks.matrix(m(a), "m", 2)
+
+
+def test_matrix_helpers(spark):
+    import math
+
+    import numpy as np
+
+    from shiftspark.functions import columns, matrices
+
+    a = np.array([[2.0, 0.5], [0.5, 1.0]])
+    logdet, inverse = matrices.logdet_inverse(a)
+    assert logdet == pytest.approx(math.log(np.linalg.det(a))) and np.allclose(inverse, np.linalg.inv(a))
+    assert np.linalg.eigvalsh(matrices.nearest_psd(np.array([[1.0, 2], [2, 1]]))).min() > 0
+    assert np.isfinite(matrices.logdet_inverse(np.array([[1.0, 1], [1, 1]]))[0])
+    x = np.array([[1.0, 2.0], [0.0, 0.0]])
+    want = matrices.squared_mahalanobis(x, np.array([0.5, 0.5]), a)
+    got = spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>").select(columns.squared_mahalanobis(F.col("x"), [0.5, 0.5], inverse.tolist()).alias("d")).collect()
+    assert [r.d for r in got] == pytest.approx(want.tolist())
+    q = matrices.random_orthogonal(4)
+    assert np.allclose(q @ q.T, np.eye(4)) and matrices.exp_or_inf(1000) == math.inf
+    with pytest.raises(ValueError):
+        matrices.exp_or_inf(math.nan)
