@@ -11,8 +11,8 @@ Conventions for all operators here:
 
 from __future__ import annotations
 
+import ctypes
 import os
-import tempfile
 import uuid
 
 import numpy as np
@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shiftspark.functions.frames import shared_dir
+
 #: Python text handed to NumPy at a time; bounds a worker's memory, not the work.
 SLICE_BYTES = 4 << 20
 
@@ -28,18 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session has none (local tests) a temporary one is set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
@@ -106,6 +96,24 @@ def bytes_of(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def tidied(run):
+    """A task's function over batches that hands free memory back to the system at its end.
+
+    Python workers are used again by the tasks of other stages, so what one has freed
+    must not add to what the next one needs.
+    """
+
+    def tidy(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: no such call
+            pass
+
+    return tidy
+
+
 def cpus_quiet() -> None:
     """Native libraries in a task keep to the task's own core."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

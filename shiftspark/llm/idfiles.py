@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shiftspark.llm import tokens
-from shiftspark.llm.common import byte_slices, hash_sample, new_path, stash, table
+from shiftspark.llm.common import byte_slices, hash_sample, new_path, stash, table, tidied
 
 #: The dictionary is trained on the ids of at most so many documents, in at most so many pieces of so many ids.
 SAMPLE_DOCUMENTS = 400
@@ -54,6 +54,8 @@ def train_dictionary(docs: DataFrame, vocabulary: str, width: str) -> bytes:
     picked = hash_sample(docs.select("doc_id").where("doc_id is not null").distinct(), SAMPLE_DOCUMENTS, "doc_id")
     texts = docs.join(F.broadcast(picked), "doc_id").select("text")  # at most SAMPLE_DOCUMENTS ids
 
+    @tidied
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(vocabulary)
         for batch in batches:
@@ -100,6 +102,8 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, shards:
         shared.precompute_compress(level=LEVEL)
         return zstandard.ZstdCompressor(dict_data=shared).compress
 
+    @tidied
+
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, compress = tokens.encoder(vocabulary), compressor()
         for batch in batches:
@@ -116,6 +120,8 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, shards:
                 shard = np.searchsorted(bounds, filled, "right").astype(np.int32)
                 yield pa.RecordBatch.from_arrays([doc_ids, pa.array(shard), pa.array(count + 1), pa.array(crc, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "shard", "n", "crc", "frame"])
 
+    @tidied
+
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = {"shard": None}
 
@@ -175,6 +181,8 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True, doc_ids: lis
         files = files.where(F.arrays_overlap("doc_ids", wanted))
     only = set(doc_ids) if doc_ids is not None else None
 
+    @tidied
+
     def open_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)
         for batch in batches:

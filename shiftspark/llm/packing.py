@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftspark.llm import tokens
-from shiftspark.llm.common import byte_slices, stash, table
+from shiftspark.llm.common import byte_slices, stash, table, tidied
 
 CAPACITY = 4096
 
@@ -104,6 +104,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
     end_bytes = end.astype("<u4").tobytes()
     schema = PIECES + (", ids array<long>" if with_ids else "")
 
+    @tidied
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(path)
         for batch in batches:

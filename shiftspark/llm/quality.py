@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftspark.llm import gbt, textstats
-from shiftspark.llm.common import hash_sample, held_out_ids, one_in_five, table
+from shiftspark.llm.common import hash_sample, held_out_ids, one_in_five, table, tidied
 
 #: Labelled documents that a model is fitted on at most, picked by a hash of their ids.
 SAMPLE_ROWS = 8_000
@@ -37,6 +37,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> gbt.Trees:
     names = textstats.RATIOS
 
+    @tidied
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, n, stats in textstats.slices(batch):
@@ -52,6 +54,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> gbt.Tree
 def score(docs: DataFrame, model: gbt.Trees, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
 
+    @tidied
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, n, stats in textstats.slices(batch):

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftspark.llm import textstats
-from shiftspark.llm.common import table
+from shiftspark.llm.common import table, tidied
 from shiftspark.llm.quality import labelled_sample
 
 SAMPLE_ROWS = 8_000
@@ -48,6 +48,8 @@ def statistics(docs: DataFrame, keep: list[str], text: str = "text") -> DataFram
     at = sent.index(text)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
+    @tidied
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, n, stats in textstats.slices(batch, at):

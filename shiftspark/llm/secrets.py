@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftspark.llm.common import byte_slices, hash_sample, stash, table, texts_of
+from shiftspark.llm.common import byte_slices, hash_sample, stash, table, texts_of, tidied
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -327,6 +327,8 @@ def fit(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, kept: int = SAMPLE_E
     picked = hash_sample(docs.select("doc_id").where("doc_id is not null").distinct(), documents, "doc_id")
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most ``documents`` ids
 
+    @tidied
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(json.dumps(x), x["hit"]) for text in texts_of(batch.column(1)) for x in excerpts(text)]
@@ -459,6 +461,8 @@ def spans_of(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, str]
 def scan(docs: DataFrame, model: Crf) -> DataFrame:
     """doc_id, found array<struct<kind, start, end>> for every row; kind ``crf`` marks the model's own."""
 
+    @tidied
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         tagger = _tagger(model)
