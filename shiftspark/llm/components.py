@@ -2,31 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftspark.llm.common import fits_broadcast, stash
+from shiftspark.llm.common import fits_broadcast, stash, tidied
 
 #: Alternating stars take a logarithmic number of rounds; this only ends a faulty run.
 MAX_ROUNDS = 60
+#: Links of at most so many (16 bytes each) are joined within one task; more go through rounds of joins.
+TASK_LINKS = 50_000
 #: Rows to drop are broadcast up to so many (16 bytes each), joined beyond.
 BROADCAST_IDS = 1_000_000
 
 
-def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, component): every node of a link and the smallest node it reaches.
+def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """label (the smallest member of each node's set) after joining a[i] with b[i]."""
+    while True:
+        la, lb = label[a], label[b]
+        apart = la != lb
+        if not apart.any():
+            return label
+        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+
+
+def connected_components(links: DataFrame, a: str, b: str, task_links: int = TASK_LINKS) -> DataFrame:
+    """(node, component): every node of a link and the smallest node it reaches; ends are longs.
 
     Null ends and self links are ignored, repeated links count once, an empty
-    table gives no rows; other columns are ignored. Each round's links go to the
-    shared folder, and so do its minima before they are joined: a node with very
-    many neighbours is only met in a partial minimum and in joins of plain
-    tables, which adaptive execution splits or broadcasts; no group is gathered.
+    table gives no rows; other columns are ignored. A small table, by its count, is
+    joined in one task. Beyond, each round's links go to the shared folder, and so do
+    its minima before they are joined: a node with very many neighbours is only met in
+    a partial minimum and in joins of plain tables, which adaptive execution splits or
+    broadcasts; no group is gathered.
     """
     now = stash(
         links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-        .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(),
+        .select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).distinct(),
         "links",
     )
+    if fits_broadcast(now, task_links):
+        return _in_a_task(now)
     mark = _mark(now)
     for _ in range(MAX_ROUNDS):
         if not mark[0]:
@@ -45,6 +70,19 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())
 
 
+def _in_a_task(links: DataFrame) -> DataFrame:
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[np.asarray(c) for c in batch.columns] for batch in batches]
+        if parts:
+            u, v = (np.concatenate(x) for x in zip(*parts))
+            names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+            label = unite(np.arange(len(names)), at[: len(u)], at[len(u) :])
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[label])], ["node", "component"])
+
+    return stash(links.coalesce(1).mapInArrow(run, "node long, component long"), "parts")
+
+
 def _mark(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 

@@ -38,8 +38,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shiftspark.llm.common import bytes_of, fits_broadcast, stash, table
-from shiftspark.llm.components import connected_components, keep_first
+from shiftspark.llm.common import bytes_of, fits_broadcast, stash, table, tidied
+from shiftspark.llm.components import connected_components, keep_first, unite
 
 SEED = 42
 SHINGLE_WORDS = 4
@@ -49,7 +49,7 @@ BUCKET_ROWS = 20_000
 #: Keyed fingerprints that a task sorts and searches, about; there are more tasks where there is more to search.
 TASK_ROWS = 1_000_000
 #: Tree nodes visited at a time; bounds a task's memory.
-FRONTIER = 2_000_000
+FRONTIER = 500_000
 #: Shingles whose bits are counted at a time.
 COUNTED = 1 << 17
 
@@ -112,6 +112,8 @@ def _fingerprints_of(texts: pa.Array, words_each: int) -> np.ndarray:
 def fingerprints(docs: DataFrame, words_each: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, tx (a text's hash), fp (the 64 bits as a signed long)."""
 
+    @tidied
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_fingerprints_of(batch.column(2), words_each))], ["doc_id", "tx", "fp"])
@@ -170,22 +172,6 @@ def search_forest(root: np.ndarray, code: np.ndarray, child: np.ndarray, fp: np.
         first = last
 
 
-def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """label (the smallest member of each node's set) after joining a[i] with b[i]."""
-    while True:
-        la, lb = label[a], label[b]
-        apart = la != lb
-        if not apart.any():
-            return label
-        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
-        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
-        while True:
-            up = label[label]
-            if (up == label).all():
-                break
-            label = up
-
-
 def _paired(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (key, fp) in order, without keys of one fingerprint."""
     order = np.lexsort((fp, key))
@@ -260,6 +246,8 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, buc
             .select("fp", F.explode(F.when(F.col("chunks") > 1, others).otherwise(F.array("key"))).alias("key"))
         )
 
+    @tidied
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [[np.asarray(c) for c in batch.columns] for batch in batches]
         if parts:
