@@ -112,13 +112,24 @@ def test_forest_search_follows_every_edge_within_the_radius():
     assert seen == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("task_links", [0, 50_000])
+def test_components(spark, task_links):
     links = [(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (5, 5), (None, 3), (4, 1), (4, 1)]
-    df = spark.createDataFrame(links, "a long, b long")
-    assert {(r.node, r.component) for r in connected_components(df, "a", "b").collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (7, 7), (8, 7), (9, 7)}
-    assert connected_components(df.where("false"), "a", "b").count() == 0
+    df = spark.createDataFrame(links, "a long, b long").withColumn("u", F.lit("extra")).withColumn("node", F.lit(1))
+    assert {(r.node, r.component) for r in connected_components(df, "a", "b", task_links).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (7, 7), (8, 7), (9, 7)}
+    assert connected_components(df.where("false"), "a", "b", task_links).count() == 0
     path = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    assert {r.component for r in connected_components(path, "a", "b").collect()} == {0}
+    assert {r.component for r in connected_components(path, "a", "b", task_links).collect()} == {0}
+    rng = random.Random(3)
+    ends = [(rng.randrange(400) - 200, rng.randrange(400) - 200) for _ in range(300)]
+    want = {}
+    for x in sorted({e for pair in ends for e in pair}):
+        want.setdefault(x, x)
+    for _ in range(400):
+        for x, y in ends:
+            want[x] = want[y] = min(want[x], want[y])
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(ends, "a long, b long"), "a", "b", task_links).collect()}
+    assert got == {x: want[x] for pair in ends if pair[0] != pair[1] for x in pair}
 
 
 def test_near_duplicates_on_odd_rows(spark):
@@ -273,7 +284,7 @@ def test_places_of_keys_that_two_sets_have(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
 
 
-def dedup_lines(rows, min_sites=3, min_words=4):
+def dedup_lines(rows, min_sites=3, min_words=1):
     """(doc_id, text, source) -> {doc_id: text}"""
     where = defaultdict(list)
     strip = lambda x: x.strip("\t\x0b\x0c\r ")
@@ -311,6 +322,17 @@ def test_pipeline_takes_shared_lines_of_one_to_three_words(spark):
     assert got == want
 
 
+def test_line_query_gives_the_rows_of_its_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = sorted(c.sql(linededup.OP2_SQL).fetchall())
+    got = sorted((r.doc_id, r.n_lines, r.n_removed, r.text) for r in linededup.op2_line_dedup(spark, sf).collect())
+    assert got == want and sum(r[2] for r in got) > 0
+
+
 def test_near_threshold_lines_are_counted_exactly(spark):
     rows = [(i, "a line that many sites have", f"site{i}") for i in range(40)] + [(100 + i, "a line that two sites have", f"site{i % 2}") for i in range(40)]
     for need in (2, 3, 39, 40, 41):
