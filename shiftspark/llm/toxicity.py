@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftspark.llm import gbt
-from shiftspark.llm.common import byte_slices, held_out_ids, stash, table
+from shiftspark.llm.common import byte_slices, held_out_ids, stash, table, tidied
 from shiftspark.llm.quality import labelled_sample
 
 SAMPLE_ROWS = 12_000
@@ -148,7 +148,17 @@ class Scanner:
         self.lexicon = FuzzyLexicon([t for t, _ in lexicon])
         self.weights = [w for _, w in lexicon]
         self.context = dict(context)
+        self.known = frozenset(self.context)
         self.memo: dict[str, tuple[Match, ...]] = {}
+        self.around: dict[str, tuple[frozenset[str], bool]] = {}
+
+    def words(self, chunk: str) -> tuple[frozenset[str], bool]:
+        """The words of a chunk, and whether it has a mark of quotation."""
+        if chunk not in self.around:
+            if len(self.around) > MEMO_ENTRIES:
+                self.around.clear()
+            self.around[chunk] = frozenset(_PARTS.findall(chunk.lower())), not QUOTES.isdisjoint(chunk)
+        return self.around[chunk]
 
     def chunk(self, chunk: str) -> tuple[Match, ...]:
         """The match of a chunk without the marks round it, or else those of its runs of letters and digits."""
@@ -193,7 +203,7 @@ class Scanner:
             own = set()
             for h in at[cuts[i] : cuts[i + 1]].tolist():
                 around = range(max(int(ends[i]), h - WINDOW), min(int(ends[i + 1]), h + WINDOW + 1))
-                own |= {w for j in around if not kinds[index[j]] for w in _words(chunks[index[j]])}
+                own = own.union(*(self.words(chunks[index[j]])[0] for j in around if not kinds[index[j]]))
             out.append(own)
         return out
 
@@ -204,9 +214,10 @@ class Scanner:
         for h in hits.tolist():
             around = [index[j] for j in range(max(first, h - WINDOW), min(last, h + WINDOW + 1))]
             others = sum(len(kinds[j]) for j in around) - 1
-            words = set().union(*(_words(chunks[j]) for j in around))
-            quote = (sum(any(q in chunks[j] for q in QUOTES) for j in around) + 2 * len(words & QUOTING)) / 2
-            context += sum(self.context.get(w, 0.0) for w in words)
+            beside = [self.words(chunks[j]) for j in around]
+            words = frozenset().union(*(w for w, _ in beside))
+            quote = (sum(q for _, q in beside) + 2 * len(words & QUOTING)) / 2
+            context += sum(self.context[w] for w in words & self.known)
             for edits, term in kinds[index[h]]:
                 worth = self.weights[term] / (1 + edits)
                 terms.add(term)
@@ -217,10 +228,6 @@ class Scanner:
         return [n, total, top, misspelled / n, 100 * n / (last - first), abuse, quoted, len(terms), context / len(hits)]
 
 
-def _words(chunk: str) -> list[str]:
-    return _PARTS.findall(chunk.lower())
-
-
 _SCANNERS: dict[int, Scanner] = {}
 
 
@@ -249,6 +256,8 @@ def learn_lexicon(sample: DataFrame, most: int = LEXICON_TERMS) -> list[tuple[st
 def learn_context(sample: DataFrame, lexicon: list[tuple[str, float]], most: int = CONTEXT_TERMS) -> list[tuple[str, float]]:
     """(word, log odds of toxic against clean documents) of words in the windows of matches; sample: text, label."""
 
+    @tidied
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = _scanner(lexicon, [])
         for batch in batches:
@@ -271,6 +280,8 @@ def learn_context(sample: DataFrame, lexicon: list[tuple[str, float]], most: int
 def _featured(docs: DataFrame, lexicon: list[tuple[str, float]], context: list[tuple[str, float]], name: str, kind: str, model: gbt.Trees | None) -> DataFrame:
     """``name`` and the features of text, or with a model the score."""
 
+    @tidied
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = _scanner(lexicon, context)
         for batch in batches:

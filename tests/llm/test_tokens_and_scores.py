@@ -689,3 +689,83 @@ def test_pipeline_stages(spark):
     placed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert {r.doc_id for r in placed.select("doc_id").collect()} == ids
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def pipeline_tables(spark, path, rng):
+    """documents (with odd rows and a clashing column), labels and benchmark under path; returns the documents' rows."""
+    word = lambda: rng.choice("the of and to in is it that for on with as at by this from".split()) + rng.choice(["", "ing", "er", "s"]) + rng.choice("abcdefgh")
+    words = lambda n: " ".join(word() for _ in range(n))
+    items = [words(12) for _ in range(5)]
+    shared = ["All rights reserved.", "Home", "a line that many sites have below their texts"]
+    rows = []
+    for i in range(150):
+        text = words(rng.randint(25, 70))
+        if rng.random() < 0.3:
+            text = " ".join(w + "###" for w in text.split())
+        if rng.random() < 0.2:
+            text += "\n" + rng.choice(items) + "\n" + words(9)
+        if rng.random() < 0.4:
+            text += "\n" + rng.choice(shared)
+        rows.append((i, text, f"site{i % 4}"))
+    for i, text, site in rng.sample(rows, 25):
+        copy = text.split(" ")
+        copy[rng.randrange(len(copy))] += rng.choice(["", "x"])
+        rows.append((len(rows), " ".join(copy), site))
+    rows += [(200, None, "s"), (201, "", "s"), (None, words(40), "s"), (203, "w " * 3000, "s"), (204, "x" * 9000, None), rows[3], rows[3]]
+    docs = documents(spark, rows).withColumn("_doc", F.lit("extra")).withColumn("component", F.lit(1))
+    docs.write.parquet(f"{path}/documents.parquet")
+    labels = [(i, int("###" not in t), 0) for i, t, _ in rows if i is not None and t and i < 150]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return rows, items
+
+
+def test_pipeline_equals_plain_stages(spark, tmp_path, encode):
+    import corpus_pipeline
+    from tests.llm.test_near_and_lines import best_window, dedup_lines, kept_by_jaccard
+
+    path = str(tmp_path)
+    rows, items = pipeline_tables(spark, path, random.Random(8))
+    docs, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    found = rules.fit(docs, labels)
+    assert found
+
+    def good(text):
+        counts, x = plain_stats(text), dict(zip(textstats.RATIOS, plain_ratios(text)))
+        return counts[0] >= 20 and 100 * counts[4] <= 30 * counts[0] and not any(all(x[k] <= t if op == "<=" else x[k] > t for k, op, t in rule) for rule in found)
+
+    kept = [r for r in rows if good(r[1] or "")]
+    assert 30 < len(kept) < len(rows) - 20
+    # repeated rows are one document to the lines
+    left = dedup_lines([r for r in dict.fromkeys(kept) if r[0] is not None], min_words=1)
+    lined = [(i, left[i] if i is not None else t) for i, t, _ in kept]
+    named = [(n, t) for n, (i, t) in enumerate(lined)]
+    order = sorted(range(len(lined)), key=lambda n: (lined[n][0] is None, lined[n][0] or 0))
+    first = kept_by_jaccard([(n, lined[n][1]) for n in order if lined[n][0] is not None])
+    near = [lined[n] for n, _ in named if n in set(first) or lined[n][0] is None]
+    clean = [(i, t) for i, t in near if all(best_window(t, b)[0] < 0.8 for b in items)]
+    assert len(kept) > len(near) > len(clean) > 10
+    placed = corpus_pipeline.run(spark, path).collect()
+    ids = {i: [*encode(t), 1] for i, t in clean}
+    assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in placed) == sorted((str(i), 0, 0, len(w), crc(w)) for i, w in ids.items())
+    fill = {}
+    for r in placed:
+        fill.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(fill) == naive_bins([len(w) for w in ids.values()], 4096)
+    for parts in fill.values():
+        ends = np.cumsum([n for _, n in sorted(parts)])
+        assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 4096
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    pipeline_tables(spark, str(tmp_path), random.Random(9))
+    odd = edge_documents(spark)
+    for docs in (odd, empty_documents(spark), odd.union(odd)):
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, docs, str(tmp_path))
+            assert name == "best_fit_packing" or got.dtypes == docs.dtypes
+            assert got.count() <= docs.count() or name == "best_fit_packing"
+        if docs.isEmpty():
+            assert got.count() == 0
