@@ -4,6 +4,13 @@ Every stage takes (spark, docs, sf_dir). The first four return the columns of
 documents: rejected documents go, shared lines are taken out of texts, one
 document of each near-duplicate group stays, documents that hold a benchmark
 passage go. The last returns the packed pieces.
+
+Nulls, empties, repeats, in any stage: a null text counts as empty (such documents
+fail the quality rules, which come first); a null doc_id is judged by its text and
+is never dropped as a near-duplicate; repeated rows are near-duplicates of each
+other, so one stays; ties go to the smallest doc_id, then to the smallest hash of
+the text; a very long text is taken whole; extra columns, whatever their names,
+pass through all stages but the last; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,8 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     connect(spark)
-    # the floor of four words is op2's, whose SQL has it
-    return linededup.drop_shared_lines(docs, min_words=1).select(*docs.columns)
+    return linededup.drop_shared_lines(docs).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
