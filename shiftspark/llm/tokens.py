@@ -19,7 +19,7 @@ from shiftspark.llm.common import cpus_quiet
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 #: Chunks a worker remembers before it starts afresh; bounds memory only.
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 300_000
 #: Text encoded at a time: the more, the more often a chunk repeats within it.
 SLICE_BYTES = 8 << 20
 
