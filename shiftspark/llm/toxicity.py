@@ -148,17 +148,7 @@ class Scanner:
         self.lexicon = FuzzyLexicon([t for t, _ in lexicon])
         self.weights = [w for _, w in lexicon]
         self.context = dict(context)
-        self.known = frozenset(self.context)
         self.memo: dict[str, tuple[Match, ...]] = {}
-        self.around: dict[str, tuple[frozenset[str], bool]] = {}
-
-    def words(self, chunk: str) -> tuple[frozenset[str], bool]:
-        """The words of a chunk, and whether it has a mark of quotation."""
-        if chunk not in self.around:
-            if len(self.around) > MEMO_ENTRIES:
-                self.around.clear()
-            self.around[chunk] = frozenset(_PARTS.findall(chunk.lower())), not QUOTES.isdisjoint(chunk)
-        return self.around[chunk]
 
     def chunk(self, chunk: str) -> tuple[Match, ...]:
         """The match of a chunk without the marks round it, or else those of its runs of letters and digits."""
@@ -189,9 +179,37 @@ class Scanner:
         chunks, kinds, index, ends, at = self._found(texts)
         out = np.zeros((len(texts), len(FEATURES)))
         out[:, -1] = np.log1p(np.diff(ends))
-        cuts = np.searchsorted(at, ends)
-        for i in np.flatnonzero(np.diff(cuts)):
-            out[i, :-1] = self._document(at[cuts[i] : cuts[i + 1]], index, chunks, kinds, int(ends[i]), int(ends[i + 1]))
+        if not len(at):
+            return out
+        doc = np.searchsorted(ends, at, "right") - 1
+        first, last = np.maximum(ends[doc], at - WINDOW), np.minimum(ends[doc + 1], at + WINDOW + 1)
+        # what each chunk that stands in a window adds to it
+        covered = np.zeros(len(index) + 1, np.int64)
+        np.add.at(covered, first, 1)
+        np.add.at(covered, last, -1)
+        adds = np.zeros((5, len(chunks)))
+        for j in np.unique(index[np.cumsum(covered)[:-1] > 0]).tolist():
+            words = _PARTS.findall(chunks[j].lower())
+            adds[:, j] = len(kinds[j]), not QUOTES.isdisjoint(chunks[j]), sum(2 * (w in QUOTING) for w in words), sum(w in ADDRESS for w in words), sum(self.context.get(w, 0.0) for w in words)
+        sums = np.concatenate([np.zeros((5, 1)), np.cumsum(adds[:, index], axis=1)], axis=1)
+        matches, marks, quoting, address, context = sums[:, last] - sums[:, first]
+        quote = (marks + quoting) / 2
+        # a chunk's own matches: how many, misspelled, worth together and at most
+        own = np.zeros((4, len(chunks)))
+        for j in np.unique(index[at]).tolist():
+            worth = [self.weights[term] / (1 + edits) for edits, term in kinds[j]]
+            own[:, j] = len(worth), sum(edits > 0 for edits, _ in kinds[j]), sum(worth), max(worth)
+        n, misspelled, worth, top = own[:, index[at]]
+        per = lambda v: np.bincount(doc, v, len(texts))
+        held = np.unique(doc)
+        size, count = np.diff(ends), per(n)
+        best = np.zeros(len(texts))
+        np.maximum.at(best, doc, top)
+        cuts = np.searchsorted(doc, held)
+        terms = [len({term for j in part.tolist() for _, term in kinds[j]}) for part in np.split(index[at], cuts[1:])]
+        whole = np.column_stack([count, per(worth), best, per(misspelled) / np.maximum(count, 1), 100 * count / np.maximum(size, 1), per(worth * (1 + 0.5 * (matches - 1) + 0.5 * address) / (1 + quote)), per(worth * np.minimum(1.0, quote))])
+        out[held, :7], out[held, 7] = whole[held], terms
+        out[held, 8] = (per(context) / np.maximum(per(np.ones(len(at))), 1))[held]
         return out
 
     def words_beside(self, texts: pa.Array) -> list[set[str]]:
@@ -203,30 +221,10 @@ class Scanner:
             own = set()
             for h in at[cuts[i] : cuts[i + 1]].tolist():
                 around = range(max(int(ends[i]), h - WINDOW), min(int(ends[i + 1]), h + WINDOW + 1))
-                own = own.union(*(self.words(chunks[index[j]])[0] for j in around if not kinds[index[j]]))
+                own = own.union(*(_PARTS.findall(chunks[index[j]].lower()) for j in around if not kinds[index[j]]))
             out.append(own)
         return out
 
-    def _document(self, hits: np.ndarray, index: np.ndarray, chunks: list[str], kinds: list, first: int, last: int) -> list[float]:
-        misspelled = n = 0
-        total = top = abuse = quoted = context = 0.0
-        terms = set()
-        for h in hits.tolist():
-            around = [index[j] for j in range(max(first, h - WINDOW), min(last, h + WINDOW + 1))]
-            others = sum(len(kinds[j]) for j in around) - 1
-            beside = [self.words(chunks[j]) for j in around]
-            words = frozenset().union(*(w for w, _ in beside))
-            quote = (sum(q for _, q in beside) + 2 * len(words & QUOTING)) / 2
-            context += sum(self.context[w] for w in words & self.known)
-            for edits, term in kinds[index[h]]:
-                worth = self.weights[term] / (1 + edits)
-                terms.add(term)
-                n, misspelled = n + 1, misspelled + (edits > 0)
-                total, top = total + worth, max(top, worth)
-                abuse += worth * (1 + 0.5 * others + 0.5 * len(words & ADDRESS)) / (1 + quote)
-                quoted += worth * min(1.0, quote)
-        return [n, total, top, misspelled / n, 100 * n / (last - first), abuse, quoted, len(terms), context / len(hits)]
-
 
 _SCANNERS: dict[int, Scanner] = {}
 

@@ -466,15 +466,15 @@ def test_toxicity_query_equals_plain_features(spark, tmp_path):
         at = [i for i, h in enumerate(hits) if h]
         for i in at:
             window = range(max(0, i - 6), min(len(chunks), i + 7))
-            words = {w for j in window for w in re.findall(r"[^\W_]+", chunks[j].lower())}
-            quote = sum(any(q in chunks[j] for q in toxicity.QUOTES) for j in window) / 2 + len(words & toxicity.QUOTING)
+            words = [w for j in window for w in re.findall(r"[^\W_]+", chunks[j].lower())]
+            quote = sum(any(q in chunks[j] for q in toxicity.QUOTES) for j in window) / 2 + sum(w in toxicity.QUOTING for w in words)
             others = sum(len(hits[j]) for j in window) - 1
             x[8] += sum(known.get(w, 0) for w in words) / len(at)
             for e, k in hits[i]:
                 worth = lexicon[k][1] / (1 + e)
                 x[:3] = x[0] + 1, x[1] + worth, max(x[2], worth)
                 x[3] += e > 0
-                x[5] += worth * (1 + 0.5 * others + 0.5 * len(words & toxicity.ADDRESS)) / (1 + quote)
+                x[5] += worth * (1 + 0.5 * others + 0.5 * sum(w in toxicity.ADDRESS for w in words)) / (1 + quote)
                 x[6] += worth * min(1, quote)
         if at:
             x[3], x[4], x[7] = x[3] / x[0], 100 * x[0] / len(chunks), len({k for h in hits for _, k in h})
