@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shiftspark.llm import decontam, idfiles, linededup, packing, quality, rules, secrets, simhash, toxicity, urlfilter
+from shiftspark.llm import clusters, codebooks, decontam, idfiles, linededup, packing, quality, rules, secrets, simhash, substring, toxicity, urlfilter
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -15,6 +15,14 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality_rules": rules.op9_quality_rules,
     "op10_url_filter": urlfilter.op10_url_filter,
+    "op11_substring_dedup": substring.op11_substring_dedup,
+    "op12_vector_codes": codebooks.op12_vector_codes,
+    "op13_centroid_clusters": clusters.op13_centroid_clusters,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": linededup.OP2_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": linededup.OP2_SQL,
+    "op11_substring_dedup": substring.OP11_SQL,
+    "op12_vector_codes": codebooks.OP12_SQL,
+    "op13_centroid_clusters": clusters.OP13_SQL,
+}
