@@ -8,25 +8,21 @@ and time quadratic in it; random features are linear in both.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftspark.functions.columns import dot, squared_distance
+from shiftspark.functions.columns import dot
 from shiftspark.functions.frames import keep
 from shiftspark.operators import segmentation as seg
+from shiftspark.operators.pairs import TILE, between, pair_median, pair_quantiles, squared_distances
 
 #: A whole Gram matrix over so many bytes is refused: criteria that invert one need it. Segmentation needs none.
 GRAM_BYTES = 1 << 30
-#: Points of a series that a median of pair distances looks at; beyond, a seeded draw of so many.
-MEDIAN_POINTS = 1_000
-#: Points of a tile of pair distances.
-TILE = 512
 
 Kernel = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -34,24 +30,11 @@ Kernel = Callable[[np.ndarray, np.ndarray], np.ndarray]
 # --- Gram matrices ----------------------------------------------------------------
 
 
-def squared_distances(x: np.ndarray) -> np.ndarray:
-    n = (x * x).sum(axis=1)
-    d = np.maximum(n[:, None] + n[None, :] - 2 * x @ x.T, 0)
-    np.fill_diagonal(d, 0)
-    return d
-
-
-def between(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Squared distances of two point sets."""
-    return np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T, 0)
-
-
-def median_gamma(x: np.ndarray, seed: int = 123, points: int = MEDIAN_POINTS) -> float:
-    """1 / (2 m) for the median m of squared distances; 1 where all points are equal."""
-    if len(x) > points:
+def median_gamma(x: np.ndarray, seed: int = 123, points: int | None = None) -> float:
+    """1 / (2 m) for the exact median m of squared distances, or that of a seeded draw of ``points``; 1 where all points are equal."""
+    if points is not None and len(x) > points:
         x = x[np.sort(np.random.default_rng(seed).permutation(len(x))[:points])]
-    pairs = squared_distances(x)[np.triu_indices(len(x), 1)]
-    m = float(np.median(pairs)) if len(pairs) else 0.0
+    m = pair_median(x)
     return 1 / (2 * m) if m > 0 else 1.0
 
 
@@ -103,62 +86,11 @@ def validate_gram(k: np.ndarray, tolerance: float = 1e-8) -> np.ndarray:
     return k
 
 
-def pair_distances(points: DataFrame) -> DataFrame:
-    """series_id, i, j, d2 for i < j: for short series and checks only (quadratic rows)."""
-    a = points.select("series_id", F.col("t").alias("i"), F.col("x").alias("xi"))
-    b = points.select("series_id", F.col("t").alias("j"), F.col("x").alias("xj"))
-    return a.join(b, "series_id").where("i < j").select("series_id", "i", "j", squared_distance(F.col("xi"), F.col("xj")).alias("d2"))
-
-
-def tiles(points: DataFrame, size: int = TILE) -> DataFrame:
-    """series_id, p, q (arrays of (t, x)), one row for each pair of blocks of a series' points, a block with itself too.
-
-    So the distances of a long series are many tasks of bounded size, and no pair is a row.
-    """
-    block = points.groupBy("series_id", F.floor(F.col("t") / size).alias("block")).agg(F.array_sort(F.collect_list(F.struct("t", "x"))).alias("p"))
-    other = block.select(F.col("series_id").alias("_s"), F.col("block").alias("other"), F.col("p").alias("q"))
-    return block.join(other, (F.col("series_id") == F.col("_s")) & (F.col("block") <= F.col("other"))).select("series_id", (F.col("block") == F.col("other")).alias("own"), "p", "q")
-
-
-def _tile_points(column: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = column[i].values
-    x = rows.field("x")
-    return np.asarray(rows.field("t")).astype(np.int64), np.asarray(x.flatten(), dtype=float).reshape(len(rows), -1)
-
-
-def pair_sums(points: DataFrame, alpha: float = 1.0) -> DataFrame:
-    """series_id, t, ends (sum of distance^alpha to earlier points), begins (to later ones): tile by tile, then an aggregate."""
-    kind = dict(points.dtypes)["series_id"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                (t, x), (u, y) = _tile_points(batch.column(2), i), _tile_points(batch.column(3), i)
-                d = between(x, y) ** (alpha / 2)
-                if batch.column(1)[i].as_py():
-                    d = np.triu(d, 1)
-                zero = np.zeros
-                both = [np.concatenate([t, u]), np.concatenate([zero(len(t)), d.sum(axis=0)]), np.concatenate([d.sum(axis=1), zero(len(u))])]
-                name = pa.array([batch.column(0)[i].as_py()] * len(both[0]), batch.column(0).type)
-                yield pa.RecordBatch.from_arrays([name, *map(pa.array, both)], ["series_id", "t", "ends", "begins"])
-
-    long = points.select("series_id", F.col("t").cast("long").alias("t"), F.col("x").cast("array<double>").alias("x"))
-    found = tiles(long).mapInArrow(run, f"series_id {kind}, t long, ends double, begins double")
-    return found.groupBy("series_id", "t").agg(F.sum("ends").alias("ends"), F.sum("begins").alias("begins"))
-
-
-def median_sample(points: DataFrame, most: int = MEDIAN_POINTS) -> DataFrame:
-    """points of every series, or about ``most`` of them by a hash of t where there are more."""
-    sizes = points.groupBy("series_id").agg(F.count("*").alias("_n"))
-    keep = (F.col("_n") <= most) | (F.pmod(F.xxhash64("t", F.lit(11)), F.lit(1 << 30)) < F.lit(most) / F.col("_n") * (1 << 30))
-    return points.join(sizes, "series_id").where(keep).drop("_n")
-
-
-def median_heuristic(points: DataFrame, zero: bool = True, most: int = MEDIAN_POINTS) -> DataFrame:
-    """series_id, gamma by the median of squared distances, of a draw of ``most`` points where a series has more."""
-    d = pair_distances(median_sample(points, most))
-    m = F.median("d2" if zero else F.when(F.col("d2") > 0, F.col("d2")))
-    return d.groupBy("series_id").agg(m.alias("m")).select("series_id", F.when(F.col("m") > 0, 1 / (2 * F.col("m"))).otherwise(1.0).alias("gamma"))
+def median_heuristic(points: DataFrame, zero: bool = True) -> DataFrame:
+    """series_id, gamma by the exact median of all squared distances, or of those above zero."""
+    m = F.col("low") + F.col("share") * (F.col("high") - F.col("low"))
+    found = pair_quantiles(points, [0.5], zero).select("series_id", F.when(m > 0, 1 / (2 * m)).alias("g"))
+    return points.select("series_id").distinct().join(found, "series_id", "left").select("series_id", F.coalesce("g", F.lit(1.0)).alias("gamma"))
 
 
 # --- segmentation -----------------------------------------------------------------
@@ -376,10 +308,10 @@ def adaptive_sigmas(medians: DataFrame, n: int) -> DataFrame:
     return medians.crossJoin(F.broadcast(factors)).select("series_id", "sigma_id", (F.col("sigma") * F.col("factor")).alias("sigma"))
 
 
-def median_sigmas(points: DataFrame, most: int = MEDIAN_POINTS) -> DataFrame:
-    """series_id, sigma: the median of the distances above zero, 1 where there is none."""
-    d = pair_distances(median_sample(points, most))
-    found = d.groupBy("series_id").agg(F.median(F.when(F.col("d2") > 0, F.sqrt("d2"))).alias("m"))
+def median_sigmas(points: DataFrame) -> DataFrame:
+    """series_id, sigma: the exact median of the distances above zero, 1 where there is none."""
+    low, high = F.sqrt("low"), F.sqrt("high")
+    found = pair_quantiles(points, [0.5], zero=False).select("series_id", (low + F.col("share") * (high - low)).alias("m"))
     return points.select("series_id").distinct().join(found, "series_id", "left").select("series_id", F.coalesce("m", F.lit(1.0)).alias("sigma"))
 
 
@@ -533,11 +465,11 @@ def bandwidth_stability(points: DataFrame, replicates: int = 20, share: float =
     )
 
 
-def multiscale_sigmas(points: DataFrame, scales: int = 5, most: int = MEDIAN_POINTS) -> DataFrame:
-    """series_id, scale, sigma: distance percentiles from 10 to 90, of a draw of ``most`` points where a series has more."""
-    at = [0.1 + 0.8 * i / max(1, scales - 1) for i in range(scales)]
-    d = pair_distances(median_sample(points, most)).where("d2 > 0").groupBy("series_id").agg(F.percentile(F.sqrt("d2"), F.array(*[F.lit(a) for a in at])).alias("s"))
-    return d.select("series_id", F.posexplode("s").alias("scale", "sigma"))
+def multiscale_sigmas(points: DataFrame, scales: int = 5) -> DataFrame:
+    """series_id, scale, sigma: percentiles from 10 to 90 of all distances above zero, exactly."""
+    low, high = F.sqrt("low"), F.sqrt("high")
+    found = pair_quantiles(points, [0.1 + 0.8 * i / max(1, scales - 1) for i in range(scales)], zero=False)
+    return found.select("series_id", F.col("quantile").alias("scale"), (low + F.col("share") * (high - low)).alias("sigma"))
 
 
 def multiscale_bandwidths(points: DataFrame, scales: int = 5, candidates: int = 15, base: str = "cv", **options) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from shiftspark.operators import bocpd, boundaries, emissions, energy, kernels, pointprocess, scoring, statespace, synthetic
+from shiftspark.operators import bocpd, boundaries, emissions, energy, kernels, pairs, pointprocess, scoring, statespace, synthetic
 from shiftspark.operators import periodic as wp
 from shiftspark.operators import segmentation as seg
 
@@ -128,7 +128,7 @@ def test_bandwidth_choice_falls_back_and_takes_scorers(spark):
     best = kernels.select_bandwidth(p, grid, 3, scoring=lambda train, test, sigma: -abs(sigma - 2)).where("selected").first()
     assert best.sigma == pytest.approx(2.0)
     none = kernels.select_bandwidth(p, grid, 3, scoring=lambda train, test, sigma: -math.inf).where("selected").collect()
-    median = np.median(np.sqrt(kernels.squared_distances(x)[np.triu_indices(30, 1)]))
+    median = np.median(np.sqrt(pairs.squared_distances(x)[np.triu_indices(30, 1)]))
     assert len(none) == 1 and none[0].sigma == pytest.approx(median) and none[0].score is None
     drawn = kernels.candidate_sigmas(spark, 0.5, 4.0, 6, search="random").collect()
     assert drawn == kernels.candidate_sigmas(spark, 0.5, 4.0, 6, search="random").repartition(3).orderBy("sigma_id").collect() and all(0.5 <= r.sigma <= 4 for r in drawn)
@@ -143,9 +143,9 @@ def test_bandwidth_choice_falls_back_and_takes_scorers(spark):
 def test_pair_sums_by_tiles_equal_plain_ones(spark):
     x = np.random.default_rng(4).normal(size=(23, 2))
     p = spark.createDataFrame([(k, i, v.tolist()) for k in (1, 2) for i, v in enumerate(x)], "series_id int, t long, x array<double>")
-    d = np.sqrt(kernels.squared_distances(x)) ** 1.5
-    assert {r.own for r in kernels.tiles(p, 5).collect()} == {True, False}
-    for r in kernels.pair_sums(p, 1.5).collect():
+    d = np.sqrt(pairs.squared_distances(x)) ** 1.5
+    assert {r.own for r in pairs.tiles(p, 5).collect()} == {True, False}
+    for r in pairs.pair_sums(p, 1.5).collect():
         assert r.ends == pytest.approx(d[: r.t, r.t].sum()) and r.begins == pytest.approx(d[r.t, r.t :].sum())
 
 
@@ -163,7 +163,7 @@ def test_energy_scans_without_a_matrix_and_resamples(monkeypatch, kind):
     order = energy.reorder(31, kind, np.random.default_rng(1), 4)
     assert len(order) == 31 and set(order) <= set(range(31)) and (kind == "circular" or sorted(order) == list(range(31)))
     kept = energy.scan(energy.Distances(x, 1.2), order, 4)
-    d = np.sqrt(kernels.squared_distances(x[order])) ** 1.2
+    d = np.sqrt(pairs.squared_distances(x[order])) ** 1.2
     stat = lambda k: k * (31 - k) / 31 * (2 * d[:k, k:].mean() - d[:k, :k].mean() - d[k:, k:].mean())
     assert kept[0] == pytest.approx(max(stat(k) for k in range(4, 28)))
     monkeypatch.setattr(energy, "DISTANCE_BYTES", 0)
