@@ -10,7 +10,8 @@ least ``window`` words, without their first place.
    10-19, ... of each document; any 20 words hold a whole one) and of every rolling
    10-word window that probes them, each digest once a pack. They are dealt by ranges of the
    digest; a digest that is a reference block somewhere and stands twice is a hit.
-3. A hit is extended word by word, both ways: the windows around it, by 96-bit
+3. Documents whose whole words stand in an earlier document go as they are, and send no windows.
+4. A hit is extended word by word, both ways: the windows around it, by 96-bit
    digests of their words, meet the first document that holds them. Windows that are
    not first go back to their pack, and neighbours among them join to maximal repeats.
 
@@ -88,12 +89,15 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def rolled(words: np.ndarray, size: int, by: int) -> np.ndarray:
-    """A digest of every ``size`` consecutive words."""
+    """A digest of every ``size`` consecutive words, put together from runs of 1, 2, 4, ... words."""
     n = max(0, len(words) - size + 1)
-    out, factor = np.zeros(n, np.uint64), 1
-    for j in range(size):
-        out += words[j : j + n] * np.uint64(factor)
-        factor = factor * by % (1 << 64)
+    out, done, run, span = np.zeros(n, np.uint64), 0, words, 1
+    while done < size and n:
+        if size & span:
+            out += run[done : done + n] * np.uint64(pow(by, done, 1 << 64))
+            done += span
+        run = run[:-span] + run[span:] * np.uint64(pow(by, span, 1 << 64))
+        span *= 2
     return mixed(out)
 
 
@@ -124,7 +128,7 @@ def _texts(part) -> list[bytes]:
 
 
 class Pack:
-    """The different documents of a pack in their order, and each word's digest."""
+    """The different documents of a pack in their order, and the digests of their words one after the other."""
 
     def __init__(self, blob: bytes):
         part = pa.ipc.open_stream(blob).read_all().combine_chunks()
@@ -135,25 +139,50 @@ class Pack:
         order = np.lexsort((marks, ids))
         fresh = np.ones(len(order), bool)
         fresh[1:] = (ids[order][1:] != ids[order][:-1]) | (marks[order][1:] != marks[order][:-1])
-        place = np.empty(len(order), np.int64)
-        place[order] = np.cumsum(fresh) - 1
-        self.place, own = place, order[fresh]  # each row's document; one row of each document
-        self.ids, self.marks, self.rows = ids[own], marks[own], own
-        self.words = [word_digests(self.texts[i]) for i in own]
-
-    def windows(self, size: int, by: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Digest, document and start of the windows of ``size`` words, in order, of documents of ``least`` words."""
-        digests = [rolled(w, size, by) if len(w) >= least else np.zeros(0, np.uint64) for w in self.words]
-        counts = np.array([len(d) for d in digests], np.int64)
-        starts = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        return np.concatenate(digests) if digests else np.zeros(0, np.uint64), np.repeat(np.arange(len(counts)), counts), starts
+        self.place = np.empty(len(order), np.int64)  # each row's document
+        self.place[order] = np.cumsum(fresh) - 1
+        self.rows = order[fresh]  # one row of each document
+        self.ids, self.marks = ids[self.rows], marks[self.rows]
+        words = [word_digests(self.texts[i]) for i in self.rows]
+        self.sizes = np.array([len(w) for w in words], np.int64)
+        self.ends = np.cumsum(self.sizes)
+        self.words = np.concatenate(words) if words else np.zeros(0, np.uint64)
+        self.doc = np.repeat(np.arange(len(words)), self.sizes)
+
+    def starts(self, size: int, least: int) -> np.ndarray:
+        """Where windows of ``size`` words start within the pack's words, in documents of ``least`` words."""
+        at = np.arange(max(0, len(self.words) - size + 1))
+        return at[(at + size <= self.ends[self.doc[at]]) & (self.sizes[self.doc[at]] >= least)]
+
+    def wholes(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Two digests of all words of each document of ``least`` words, and which documents those are."""
+        own = np.flatnonzero(self.sizes >= least)
+        both = [(xxhash.xxh3_64_intdigest(w, seed=2), xxhash.xxh3_64_intdigest(w, seed=3)) for w in (self.words[self.ends[i] - self.sizes[i] : self.ends[i]].tobytes() for i in own)]
+        digests = np.array(both, np.uint64).reshape(-1, 2)
+        return digests[:, 0], digests[:, 1].astype(np.uint32), own
 
 
 # --- Dealing digests out ------------------------------------------------------------
 
 
+def _placed(digest: np.ndarray, buckets: int) -> np.ndarray:
+    """A digest's bucket (of its range) and the 30 bits that follow within the range, as one number in the digests' order."""
+    high = (digest >> np.uint64(32)) * np.uint64(buckets)
+    low = (digest & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)
+    return (high + low) >> np.uint64(2)
+
+
 def _bucket(digest: np.ndarray, buckets: int) -> np.ndarray:
-    return ((digest >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    return (_placed(digest, buckets) >> np.uint64(30)).astype(np.int64)
+
+
+def _steps(values: np.ndarray) -> bytes:
+    """Rising 32-bit numbers as their steps, byte by byte: upper bytes are mostly zero, which the shuffle compresses."""
+    return np.diff(values, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _stepped(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view(np.uint32).ravel(), dtype=np.uint32)
 
 
 def _by_bucket(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
@@ -182,28 +211,29 @@ def _anchors(packed: DataFrame, window: int, buckets: int) -> DataFrame:
         names, held, n = [], [], 0
 
         def flushed():
-            which = np.repeat(np.arange(len(names), dtype=np.uint32), [len(c) for c, _ in held])
-            codes, found = (np.concatenate(x) for x in zip(*held))
-            own = np.array(names, np.int64)
-            rows = []
-            for bucket, w, f in _by_bucket(codes, which, found):
-                used, w = np.unique(w, return_inverse=True)
-                rows.append((bucket, own[used].tobytes(), w.astype(np.uint32).tobytes(), f.tobytes()))
+            which = np.repeat(np.arange(len(names), dtype=np.uint32), [len(c) for c in held])
+            codes, own, rows = np.concatenate(held), np.array(names, np.int64), []
+            for bucket, w, c in _by_bucket((codes >> np.uint64(32)).astype(np.int64), which, codes.astype(np.uint32)):
+                used, counts = np.unique(w, return_counts=True)
+                steps = b"".join(_steps(c[end - size : end]) for size, end in zip(counts, np.cumsum(counts)))
+                rows.append((bucket, own[used].tobytes(), counts.astype(np.uint32).tobytes(), steps))
             return _rows(rows, _DEALT)
 
         for batch in batches:
             for pack, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                digest, _, start = Pack(blob.as_py()).windows(block, _FIRST, window)
-                order = np.argsort(digest, kind="stable")
-                digest, is_block = digest[order], (start % block == 0)[order]
-                edges = np.flatnonzero(np.diff(digest, prepend=~digest[:1]))
+                p = Pack(blob.as_py())
+                at = p.starts(block, window)
+                placed = _placed(rolled(p.words, block, _FIRST)[at], buckets)
+                is_block = (at - (p.ends - p.sizes)[p.doc[at]]) % block == 0
+                order = np.argsort(placed)
+                placed, is_block = placed[order], is_block[order]
+                edges = np.flatnonzero(np.diff(placed, prepend=~placed[:1]))
                 if not len(edges):
                     continue
-                flags = np.maximum.reduceat(is_block.astype(np.uint32), edges) * 2 + (np.diff(edges, append=len(digest)) > 1)
-                digest = digest[edges]
+                flags = np.maximum.reduceat(is_block.astype(np.uint64), edges) * np.uint64(2) + (np.diff(edges, append=len(placed)) > 1).astype(np.uint64)
                 names.append(pack)
-                held.append((_bucket(digest, buckets), (digest.astype(np.uint32) & np.uint32(0x3FFFFFFF)) * np.uint32(4) + flags.astype(np.uint32)))
-                n += len(digest)
+                held.append(placed[edges] << np.uint64(2) | flags)
+                n += len(edges)
                 if n >= FLUSH:
                     yield from flushed()
                     names, held, n = [], [], 0
@@ -222,8 +252,11 @@ def _hits(anchors: DataFrame, tasks: int) -> DataFrame:
         codes, packs_ = [], []
         for batch in batches:
             for bucket, names, which, digests in zip(*(c.to_pylist() for c in batch.columns)):
-                codes.append(np.frombuffer(digests, np.uint32).astype(np.uint64) | np.uint64(bucket << 32))
-                packs_.append(np.frombuffer(names, np.int64)[np.frombuffer(which, np.uint32)])
+                counts, first = np.frombuffer(which, np.uint32), 0
+                for size in counts.tolist():
+                    codes.append(_stepped(digests[4 * first : 4 * (first + size)]).astype(np.uint64) | np.uint64(bucket << 32))
+                    first += size
+                packs_.append(np.repeat(np.frombuffer(names, np.int64), counts))
         if not codes:
             return
         code, pack = np.concatenate(codes), np.concatenate(packs_)
@@ -246,7 +279,35 @@ def _merged(blobs, kind=np.uint64) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, kind)
 
 
-def _extended(packed: DataFrame, hits: DataFrame, window: int, buckets: int) -> DataFrame:
+def _named_rows(digest, second, doc, own, buckets) -> Iterator[pa.RecordBatch]:
+    """Rows of (bucket, names, which, digests) for digests and the documents (rows of ``own``: pack, id, mark) that hold them."""
+    rows = []
+    for bucket, g, s, d in _by_bucket(_bucket(digest, buckets), digest, second, doc):
+        used, w = np.unique(d, return_inverse=True)
+        rows.append((bucket, own[used].tobytes(), w.astype(np.uint32).tobytes(), g.tobytes() + s.tobytes()))
+    return _rows(rows, _DEALT)
+
+
+def _documents(pack: int, p: Pack) -> np.ndarray:
+    return np.stack([np.full(len(p.ids), pack), p.ids, p.marks.view(np.int64)], axis=1)
+
+
+def _wholes(packed: DataFrame, window: int, buckets: int) -> DataFrame:
+    """(bucket, names, which, digests): whole documents, each once a pack, with the pack's first document of those words."""
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pack, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                p = Pack(blob.as_py())
+                digest, second, doc = p.wholes(window)
+                digest, first = np.unique(digest, return_index=True)
+                yield from _named_rows(digest, second[first], doc[first], _documents(pack, p), buckets)
+
+    return packed.select("pack", "docs").mapInArrow(run, "bucket int, names binary, which binary, digests binary")
+
+
+def _extended(dealt: DataFrame, window: int, buckets: int) -> DataFrame:
     """(bucket, names, which, digests): windows around hits, each once a pack, with the pack's first document that holds it."""
     block = (window + 1) // 2
 
@@ -255,42 +316,41 @@ def _extended(packed: DataFrame, hits: DataFrame, window: int, buckets: int) ->
         names, held, docs, n = [], [], 0, 0
 
         def flushed():
-            digest, second, doc = (np.concatenate(x) for x in zip(*held))
-            own, rows = np.concatenate(names), []
-            for bucket, g, s, d in _by_bucket(_bucket(digest, buckets), digest, second, doc):
-                used, w = np.unique(d, return_inverse=True)
-                rows.append((bucket, own[used].tobytes(), w.astype(np.uint32).tobytes(), g.tobytes() + s.tobytes()))
-            return _rows(rows, _DEALT)
+            return _named_rows(*(np.concatenate(x) for x in zip(*held)), np.concatenate(names), buckets)
 
         for batch in batches:
-            for pack, blob, hit_lists in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            for pack, blob, hit_lists, copies in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 p, hit = Pack(blob.as_py()), np.unique(_merged(hit_lists))
-                anchor, doc, _ = p.windows(block, _FIRST, window)
-                code = _bucket(anchor, buckets).astype(np.uint64) << np.uint64(30) | anchor & np.uint64(0x3FFFFFFF)
-                sums = np.concatenate([[0], np.cumsum(np.isin(code, hit))])
-                at = np.arange(len(anchor) - (window - block)) if len(anchor) > window - block else np.zeros(0, np.int64)
-                at = at[(doc[at] == doc[at + window - block]) & (sums[at + window - block + 1] > sums[at])]
-                # a window is a half at each end (and what lies between); its digest is rolled from its words
-                digest, doc_of, start = p.windows(window, _FIRST, window)
-                first_anchor = np.searchsorted(doc, np.arange(len(p.ids)))
-                first_window = np.searchsorted(doc_of, np.arange(len(p.ids)))
-                own = at - first_anchor[doc[at]] + first_window[doc[at]]
-                digest, order = np.unique(digest[own], return_index=True)  # the first place in the pack
-                own = own[order]
-                if not len(own):
+                anchor = np.zeros(len(p.words) + 1, np.int64)
+                starts = p.starts(block, window)
+                anchor[starts + 1] = np.isin(_placed(rolled(p.words, block, _FIRST)[starts], buckets), hit)
+                sums = np.cumsum(anchor)
+                at = p.starts(window, window)
+                at = at[sums[at + window - block + 1] > sums[at]]
+                at = at[~np.isin(p.doc[at], _copied(p, copies, window))]
+                digest, first = np.unique(rolled(p.words, window, _FIRST)[at], return_index=True)  # the first place in the pack
+                at = at[first]
+                if not len(at):
                     continue
-                second = p.windows(window, _SECOND, window)[0][own].astype(np.uint32)
-                held.append((digest, second, doc_of[own] + docs))
-                names.append(np.stack([np.full(len(p.ids), pack), p.ids, p.marks.view(np.int64)], axis=1))
-                docs, n = docs + len(p.ids), n + len(own)
+                held.append((digest, rolled(p.words, window, _SECOND)[at].astype(np.uint32), p.doc[at] + docs))
+                names.append(_documents(pack, p))
+                docs, n = docs + len(p.ids), n + len(at)
                 if n >= FLUSH // 2:
                     yield from flushed()
                     names, held, docs, n = [], [], 0, 0
         if held:
             yield from flushed()
 
-    found = hits.groupBy("pack").agg(F.collect_list("hits").alias("hits"))
-    return packed.select("pack", "docs").join(found, "pack").select("pack", "docs", "hits").mapInArrow(run, "bucket int, names binary, which binary, digests binary")
+    return dealt.select("pack", "docs", "hits", "copies").mapInArrow(run, "bucket int, names binary, which binary, digests binary")
+
+
+def _copied(p: Pack, copies, window: int) -> np.ndarray:
+    """The documents of a pack that an earlier one, anywhere, repeats as a whole."""
+    digest, _, own = p.wholes(window)
+    gone = np.isin(digest, _merged(copies))
+    seen = np.ones(len(own), bool)
+    seen[np.unique(digest, return_index=True)[1]] = False
+    return own[gone | seen]
 
 
 def _later(windows: DataFrame, tasks: int) -> DataFrame:
@@ -323,49 +383,50 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, task_digests: int =
     """doc_id, n_words, n_removed, spans (start, end in words: maximal repeats), kept (the words left, joined by blanks): a row for every row of docs."""
     if window < 2:
         raise ValueError("a window has two words or more")
-    packed = packs(docs)
+    packed = packs(docs).where("pack is not null")
     words = packed.agg(F.sum("words")).first()[0] or 0
     tasks = max(1, -(-words // task_digests))
-    hits = _hits(_anchors(packed, window, tasks), tasks)
+    by_pack = lambda found, name: found.groupBy("pack").agg(F.collect_list("later" if name != "hits" else name).alias(name))
+    hits = by_pack(_hits(_anchors(packed, window, tasks), tasks), "hits")
+    copies = by_pack(_later(_wholes(packed, window, tasks), tasks), "copies")
+    known = stash(hits.join(copies, "pack", "full"), "known")
     # both joins read the texts as dealt here, so they are shuffled once
     dealt = packed.select("pack", "docs").repartition(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), tasks), "pack")
-    later = _later(_extended(dealt, hits, window, tasks), tasks).groupBy("pack").agg(F.collect_list("later").alias("later"))
-    joined = dealt.join(later, "pack", "left").select("docs", "later")
+    later = by_pack(_later(_extended(dealt.join(known, "pack"), window, tasks), tasks), "later")
+    joined = dealt.join(known.select("pack", "copies").join(later, "pack", "left"), "pack", "left").select("docs", "copies", "later")
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for blob, lists in zip(batch.column(0), batch.column(1).to_pylist()):
+            for blob, copies, lists in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 p = Pack(blob.as_py())
-                digest, doc, start = p.windows(window, _FIRST, window)
+                at = p.starts(window, window)
+                digest = rolled(p.words, window, _FIRST)[at]
                 gone = np.ones(len(digest), bool)
                 gone[np.unique(digest, return_index=True)[1]] = False  # the first place within the pack
-                gone |= np.isin(digest, _merged(lists))
-                found = []
-                for i, words_ in enumerate(p.words):
-                    found.append(_spans(start[slice(*np.searchsorted(doc, [i, i + 1]))][gone[slice(*np.searchsorted(doc, [i, i + 1]))]], window))
-                kept = [_kept(p.texts[row], found[i]) for i, row in enumerate(p.rows)]
-                n_words, removed = [len(w) for w in p.words], [sum(b - a for a, b in s) for s in found]
+                gone |= np.isin(digest, _merged(lists)) | np.isin(p.doc[at], _copied(p, copies, window))
+                cover = np.zeros(len(p.words) + 1, np.int64)
+                cover[: len(cover) - window] += np.bincount(at[gone], minlength=max(0, len(cover) - window)) if len(cover) > window else 0
+                cover[window:] -= np.bincount(at[gone] + window, minlength=len(cover))[window:] if len(cover) > window else 0
+                covered = np.concatenate([[0], np.cumsum(cover[:-1]) > 0, [0]]).astype(np.int8)
+                found, kept = [], []
+                for i, row in enumerate(p.rows):
+                    a, b = p.ends[i] - p.sizes[i], p.ends[i]
+                    edges = np.flatnonzero(np.diff(np.concatenate([[0], covered[a + 1 : b + 1], [0]])))
+                    found.append(edges.reshape(-1, 2).tolist())
+                    kept.append(_kept(p.texts[row], found[-1]))
                 for first in range(0, len(p.place), 1024):
                     cut = p.place[first : first + 1024]
                     ids = [None if x else int(p.ids[i]) for i, x in zip(cut, p.nulls[first : first + 1024])]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(ids, pa.int64()), pa.array([n_words[i] for i in cut], pa.int64()), pa.array([removed[i] for i in cut], pa.int64()),
+                        pa.array(ids, pa.int64()), pa.array(p.sizes[cut]), pa.array([sum(b - a for a, b in found[i]) for i in cut], pa.int64()),
                         pa.array([[{"start": a, "end": b} for a, b in found[i]] for i in cut], spans_type), pa.array([kept[i] for i in cut], pa.string()),
                     ], ["doc_id", "n_words", "n_removed", "spans", "kept"])
 
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string")
 
 
-def _spans(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """The union of windows, as maximal runs."""
-    if not len(starts):
-        return []
-    breaks = np.flatnonzero(np.diff(starts) > window)
-    return list(zip(starts[np.append(0, breaks + 1)].tolist(), (starts[np.append(breaks, len(starts) - 1)] + window).tolist()))
-
-
 def _kept(text: bytes, spans: list[tuple[int, int]]) -> str:
     words = text.split()
     out, first = [], 0
@@ -375,15 +436,18 @@ def _kept(text: bytes, spans: list[tuple[int, int]]) -> str:
     return b" ".join(out + words[first:]).decode()
 
 
-OP11_SQL = r"""
-WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-places AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM docs),
-windows AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) > 1 AS later FROM places),
-gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM windows WHERE later),
-words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM docs),
-kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
-FROM docs d LEFT JOIN kept k USING (doc_id)
+_NEXT = " || ' ' || ".join(f"lead(word, {j}) OVER o" for j in range(WINDOW))
+
+OP11_SQL = rf"""
+WITH words AS MATERIALIZED (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)),
+windows AS (SELECT doc_id, i, {_NEXT} AS g FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+later AS (SELECT doc_id, i FROM windows WHERE g IS NOT NULL QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {WINDOW})) AS i FROM later),
+kept AS (SELECT w.doc_id, count(*) AS n, count(*) FILTER (g.i IS NULL) AS k, string_agg(word, ' ' ORDER BY w.i) FILTER (g.i IS NULL) AS text
+  FROM words w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.i = w.i GROUP BY w.doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(n - k, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k USING (doc_id)
 """
 
 
