@@ -376,13 +376,18 @@ def decode_hsmm(loglik: DataFrame, pi: list[float], a: list[list[float]], parame
     return _grouped(loglik, "loglik", fit)
 
 
+def whole_compositions(compositions: DataFrame) -> DataFrame:
+    """comp as doubles; a row that is null, negative or all zero ends the job with an error."""
+    whole = F.col("comp").isNotNull() & F.forall("comp", lambda v: v.isNotNull() & ~F.isnan(v) & (v >= 0)) & F.exists("comp", lambda v: v > 0)
+    return compositions.withColumn("comp", F.when(whole, F.col("comp").cast("array<double>")).otherwise(F.raise_error(F.lit("a composition is finite, non-negative and not all zero")).cast("array<double>")))
+
+
 def decode_sdhmm(compositions: DataFrame, states: int, components: int = 1, seed: int = 0, iterations: int = 50, **priors) -> DataFrame:
     """States of compositions (series_id, t, comp) and the likeliest component within each, fitted per series.
 
     A row that is null, negative or all zero is no composition and ends the job with an error.
     """
-    whole = F.col("comp").isNotNull() & F.forall("comp", lambda v: v.isNotNull() & ~F.isnan(v) & (v >= 0)) & F.exists("comp", lambda v: v > 0)
-    checked = compositions.withColumn("comp", F.when(whole, F.col("comp").cast("array<double>")).otherwise(F.raise_error(F.lit("a composition is finite, non-negative and not all zero")).cast("array<double>")))
+    checked = whole_compositions(compositions)
 
     def fit(x):
         found = fit_sdhmm(x, states, components, iterations, seed=seed, **priors)
