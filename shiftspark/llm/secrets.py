@@ -52,7 +52,7 @@ _HEX_ONLY = bytes(120 if chr(i) in "0123456789abcdef" else 32 for i in range(256
 #: Fitting: documents read, excerpts kept (half of them with a value), steps, tokens to either side of a value.
 SAMPLE_DOCUMENTS = 4_000
 SAMPLE_EXCERPTS = 1_500
-STEPS = 120
+STEPS = 200
 AROUND = 8
 #: Text tagged at a time, and tokens and chunks a worker remembers before it starts afresh; bound memory only.
 SLICE_BYTES = 4 << 20
@@ -97,7 +97,7 @@ def shape(token: str) -> list[str]:
     if _HEX_WORD.fullmatch(token):
         out.append(f"hex,length={size}")
     if token.isalpha():
-        return [*out, f"letters,consonants={consonants},length={size}"]
+        return [*out, f"letters,{case},consonants={consonants},length={size}", f"letters,{case}"]
     digits = [c.isdigit() for c in token]
     turns = sum(map(int.__ne__, digits, digits[1:]))
     marks = "" if token.isalnum() else "".join(sorted(set(re.sub(r"\w", "", token))))
@@ -274,9 +274,13 @@ def excerpts(text: str) -> Iterator[dict]:
         cut = slice(max(0, i - AROUND), min(last + AROUND, i + 4 * AROUND))
         if hit or B not in tags[cut]:
             if I not in tags[cut][:1]:
-                yield {"tokens": [t[:64] for t in tokens[cut]], "glued": glued[cut], "tags": tags[cut], "file": file_features(text), "hit": hit}
+                if sum(map(len, tokens[cut])) <= LONGEST_EXCERPT:
+                    yield {"tokens": tokens[cut], "glued": glued[cut], "tags": tags[cut], "file": file_features(text), "hit": hit}
 
 
+#: Characters of an excerpt; longer ones are left out of the fit.
+LONGEST_EXCERPT = 1 << 14
+
 #: Words that announce a secret: those of the base pattern, taken apart; what may stand between them and a value.
 KEY_WORDS = [["password"], ["passwd"], ["secret"], ["token"], ["api", "key"], ["apikey"], ["api_key"], ["secret", "key"]]
 LINKS = [[], ["is"], [":"], ["="], ["was"], ["is", ":"], ["=", '"'], [":", "'"]]
@@ -289,7 +293,7 @@ def drawn_value(rng: np.random.Generator) -> tuple[str, bool]:
     styles = [
         lambda: (of("0123456789abcdef", 16, 48), False), lambda: (of("0123456789ABCDEF", 16, 48), False), lambda: (of(both, 16, 44), False), lambda: (of(both + "+/", 20, 44), False),
         lambda: (of(letters, 18, 40), False), lambda: (of(lower, 10, 32), True), lambda: (of(both, 8, 14), True), lambda: (of(lower, 4, 9) + of(string.digits, 1, 4), True),
-        lambda: ("-".join(of("0123456789abcdef", n, n + 1) for n in (8, 4, 4, 4, 12)), False),
+        lambda: ("-".join(of("0123456789abcdef", n, n + 1) for n in (8, 4, 4, 4, 12)), False), lambda: (of(lower, 10, 32), True),
     ]
     return styles[rng.integers(len(styles))]()
 
@@ -297,7 +301,8 @@ def drawn_value(rng: np.random.Generator) -> tuple[str, bool]:
 def copies(sample: list[dict], seed: int = 0) -> list[dict]:
     """Excerpts that the base patterns cannot give: see the module's notes."""
     rng = np.random.default_rng(seed)
-    plain = sorted({t for x in sample for t, tag in zip(x["tokens"], x["tags"]) if tag == O and t.isalpha() and len(t) < 20}) or ["word"]
+    said = sorted({t for x in sample for t, tag in zip(x["tokens"], x["tags"]) if tag == O and t.isalpha()})
+    plain, long = [t for t in said if len(t) < 20] or ["word"], [t for t in said if len(t) >= 12]
     words = lambda n: [plain[i] for i in rng.integers(0, len(plain), n)]
     out = []
 
@@ -307,16 +312,29 @@ def copies(sample: list[dict], seed: int = 0) -> list[dict]:
         glued = [int(i > 0 and tokens[i - 1] in "\"'") for i in range(len(tokens))]
         out.append({"tokens": tokens, "glued": glued, "tags": [O] * len(before) + [B] * len(own) + [O] * len(after), "file": like["file"]})
 
+    def compound() -> str:
+        """A long word as prose has them: one of the sample, words put together, or letters of one case without any key."""
+        kind = rng.integers(3)
+        if kind == 0 and long:
+            return long[rng.integers(len(long))]
+        if kind == 1:
+            return "".join(words(rng.integers(2, 5))).lower()
+        return "".join(rng.choice(list(string.ascii_lowercase), rng.integers(8, 36)))
+
     for x in sample:
+        add(words(4), None, [w.title() if rng.random() < 0.2 else w for w in [compound()]] + words(3), x)
         key, link = KEY_WORDS[rng.integers(len(KEY_WORDS))], LINKS[rng.integers(len(LINKS))]
         key = [k.title() if rng.random() < 0.3 else k for k in key]
         if x["hit"]:
             at = x["tags"].index(B)
             add(words(AROUND), x["tokens"][at], words(3), x)
             value, needs_key = drawn_value(rng)
-            add(words(4) + (key + link if needs_key or rng.random() < 0.5 else words(3)), value, words(3), x)
-            value, _ = drawn_value(rng)
-            add(words(rng.integers(0, 5)) + key + link, value, (["'"] if link[-1:] == ["'"] else ['"'] if link[-1:] == ['"'] else []) + words(3), x)
+            add(words(4) + (key + link if needs_key else words(3)), value, words(3), x)
+            for hidden in (False, True):  # the second is one that only the key tells
+                value, needs_key = drawn_value(rng)
+                while hidden and not needs_key:
+                    value, needs_key = drawn_value(rng)
+                add(words(rng.integers(0, 5)) + key + link, value, (["'"] if link[-1:] == ["'"] else ['"'] if link[-1:] == ['"'] else []) + words(3), x)
         else:
             add(words(4) + key + (link if rng.random() < 0.5 else []), None, words(5), x)
     return out

@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -359,6 +360,44 @@ def test_secrets_in_held_out_documents_are_found_without_key_and_mark(spark):
     assert wrong <= 0.02 * len(texts)
 
 
+def drawn_texts(words, per_style):
+    """style, text, start and end of a secret, alone among words or behind a key; drawn apart from the operator's own draws."""
+    rng = random.Random(77)
+    of = lambda chars, a, b: "".join(rng.choice(chars) for _ in range(rng.randint(a, b)))
+    low, both, hexa = "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789abcdef"
+    styles = {
+        "hex": lambda: of(hexa, 18, 47), "upper hex": lambda: of(hexa.upper(), 18, 47), "mixed": lambda: of(both, 18, 43), "marks": lambda: of(both + "+/", 20, 43),
+        "groups": lambda: "-".join(of(hexa, n, n) for n in (8, 4, 4, 4, 12)), "short, key": lambda: of(both, 8, 13), "word and number, key": lambda: of(low, 4, 8) + of("0123456789", 1, 3),
+        "letters, key": lambda: of(both[:52], 18, 39),
+    }
+    for name, draw in styles.items():
+        for _ in range(per_style):
+            value, before = draw(), [rng.choice(words) for _ in range(8)]
+            if name.endswith("key"):
+                before += rng.choice(secrets.KEY_WORDS) + rng.choice([["is"], [":"], ["="], ["was"], ["is", ":"]])
+            before = " ".join(before)
+            yield name, f"{before} {value} " + " ".join(rng.choice(words) for _ in range(5)), len(before) + 1, len(before) + 1 + len(value)
+
+
+def test_added_spans_are_secrets_and_drawn_secrets_are_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = secrets.fit(docs.where("doc_id % 3 <> 0"))
+    held = [r.text for r in docs.where("doc_id % 3 = 0 and text is not null").select("text").collect()]
+    tagger = secrets.Tagger(model)
+    added = [t[a:b] for t, spans in zip(held, secrets.spans_of(held, tagger)) for a, b, k in spans if k == "crf"]
+    assert sum(v.isalpha() for v in added) == 0 and len(added) <= 3, added  # prose gives none
+    words = sorted({w for t in held[:300] for w in t.split() if w.isalpha() and len(w) < 15})
+    made = [*drawn_texts(words, 60)]
+    found, right, all_ = Counter(), 0, 0
+    for (name, _, a, b), spans in zip(made, secrets.spans_of([m[1] for m in made], tagger)):
+        found[name] += any(x <= a and b <= y for x, y, _ in spans)
+        own = [s for s in spans if s[2] == "crf"]
+        all_ += len(own)
+        right += sum(x < b and a < y for x, y, _ in own)
+    assert min(found.values()) >= 0.85 * 60 and sum(found.values()) >= 0.9 * len(made), found
+    assert right >= 0.95 * all_
+
+
 @pytest.mark.parametrize("phrase", ["password is hunter2x9Kq", "secret key: qXwbTrZkPlmVcNd", 'api_key "f81d4fae-7dec-11d0-a765-00a0c91e6bf6"', "token abKJd93kdPQ02mxlZZ91hd"])
 def test_secrets_without_digits_or_marks_and_behind_a_space(spark, phrase):
     texts, words = secret_corpus(random.Random(2), 400)
