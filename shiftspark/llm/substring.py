@@ -105,7 +105,10 @@ def rolled(words: np.ndarray, size: int, by: int) -> np.ndarray:
 
 
 def packs(docs: DataFrame) -> DataFrame:
-    """(pack, words, docs): documents of some MB of text a row, as a compressed Arrow stream of doc_id and text."""
+    """(pack, words, head, docs): documents of some MB of text a row, as a compressed Arrow stream of doc_id and text.
+
+    head tells of each row its id (NO_ID for null), if that is null, a digest of its text, two of its words, and their number.
+    """
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,36 +118,54 @@ def packs(docs: DataFrame) -> DataFrame:
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                     out.write_batch(part)
-                words = sum(len(t.split()) for t in _texts(part))
+                head = np.zeros((n, 6), np.uint64)
+                for row, (i, text) in enumerate(zip(part.column(0).to_pylist(), _texts(part))):
+                    words = text.split()
+                    whole = xxhash.xxh3_128_intdigest(b" ".join(words))
+                    head[row] = (NO_ID if i is None else i) % (1 << 64), i is None, xxhash.xxh3_64_intdigest(text, seed=1), whole >> 64, whole % (1 << 32), len(words)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([secrets.randbits(63)]), pa.array([words]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["pack", "words", "docs"]
-                )
+                    [pa.array([secrets.randbits(63)]), pa.array([int(head[:, 5].sum())]), pa.array([head.tobytes()], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                    ["pack", "words", "head", "docs"],
+                )
 
-    return stash(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "pack long, words long, docs binary"), "packs")
+    return stash(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "pack long, words long, head binary, docs binary"), "packs")
 
 
 def _texts(part) -> list[bytes]:
     return [b"" if t is None else t for t in part.column(1).cast(pa.binary()).to_pylist()]
 
 
-class Pack:
-    """The different documents of a pack in their order, and the digests of their words one after the other."""
+class Head:
+    """The different documents of a pack in their order: ids, marks of texts, digests and numbers of words."""
 
-    def __init__(self, blob: bytes):
-        part = pa.ipc.open_stream(blob).read_all().combine_chunks()
-        ids = np.asarray(part.column(0).fill_null(NO_ID).to_numpy(), np.int64)
-        self.nulls = np.asarray(part.column(0).is_null())
-        self.texts = _texts(part)
-        marks = np.fromiter((xxhash.xxh3_64_intdigest(t, seed=1) for t in self.texts), np.uint64, len(self.texts))
+    def __init__(self, head: bytes):
+        rows = np.frombuffer(head, np.uint64).reshape(-1, 6)
+        ids, marks = rows[:, 0].view(np.int64), rows[:, 2]
         order = np.lexsort((marks, ids))
         fresh = np.ones(len(order), bool)
         fresh[1:] = (ids[order][1:] != ids[order][:-1]) | (marks[order][1:] != marks[order][:-1])
+        self.nulls = rows[:, 1] > 0
         self.place = np.empty(len(order), np.int64)  # each row's document
         self.place[order] = np.cumsum(fresh) - 1
         self.rows = order[fresh]  # one row of each document
-        self.ids, self.marks = ids[self.rows], marks[self.rows]
+        self.ids, self.marks, self.whole, self.second = ids[self.rows], marks[self.rows], rows[self.rows, 3], rows[self.rows, 4].astype(np.uint32)
+        self.sizes = rows[self.rows, 5].astype(np.int64)
+
+    def copies(self, told, least: int) -> np.ndarray:
+        """Documents of ``least`` words whose whole words an earlier document has, in this pack or as ``told`` of others."""
+        own = np.flatnonzero(self.sizes >= least)
+        later = np.ones(len(own), bool)
+        later[np.unique(self.whole[own], return_index=True)[1]] = False
+        return own[later | np.isin(self.whole[own], _merged(told))]
+
+
+class Pack(Head):
+    """With the texts, and the digests of all words one after the other."""
+
+    def __init__(self, head: bytes, docs: bytes):
+        super().__init__(head)
+        self.texts = _texts(pa.ipc.open_stream(docs).read_all().combine_chunks())
         words = [word_digests(self.texts[i]) for i in self.rows]
-        self.sizes = np.array([len(w) for w in words], np.int64)
         self.ends = np.cumsum(self.sizes)
         self.words = np.concatenate(words) if words else np.zeros(0, np.uint64)
         self.doc = np.repeat(np.arange(len(words)), self.sizes)
@@ -154,13 +175,6 @@ class Pack:
         at = np.arange(max(0, len(self.words) - size + 1))
         return at[(at + size <= self.ends[self.doc[at]]) & (self.sizes[self.doc[at]] >= least)]
 
-    def wholes(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Two digests of all words of each document of ``least`` words, and which documents those are."""
-        own = np.flatnonzero(self.sizes >= least)
-        both = [(xxhash.xxh3_64_intdigest(w, seed=2), xxhash.xxh3_64_intdigest(w, seed=3)) for w in (self.words[self.ends[i] - self.sizes[i] : self.ends[i]].tobytes() for i in own)]
-        digests = np.array(both, np.uint64).reshape(-1, 2)
-        return digests[:, 0], digests[:, 1].astype(np.uint32), own
-
 
 # --- Dealing digests out ------------------------------------------------------------
 
@@ -220,8 +234,8 @@ def _anchors(packed: DataFrame, window: int, buckets: int) -> DataFrame:
             return _rows(rows, _DEALT)
 
         for batch in batches:
-            for pack, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                p = Pack(blob.as_py())
+            for pack, head, blob in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                p = Pack(head.as_py(), blob.as_py())
                 at = p.starts(block, window)
                 placed = _placed(rolled(p.words, block, _FIRST)[at], buckets)
                 is_block = (at - (p.ends - p.sizes)[p.doc[at]]) % block == 0
@@ -240,7 +254,7 @@ def _anchors(packed: DataFrame, window: int, buckets: int) -> DataFrame:
         if held:
             yield from flushed()
 
-    return packed.select("pack", "docs").mapInArrow(run, "bucket int, names binary, which binary, digests binary")
+    return packed.select("pack", "head", "docs").mapInArrow(run, "bucket int, names binary, which binary, digests binary")
 
 
 def _hits(anchors: DataFrame, tasks: int) -> DataFrame:
@@ -288,7 +302,7 @@ def _named_rows(digest, second, doc, own, buckets) -> Iterator[pa.RecordBatch]:
     return _rows(rows, _DEALT)
 
 
-def _documents(pack: int, p: Pack) -> np.ndarray:
+def _documents(pack: int, p: Head) -> np.ndarray:
     return np.stack([np.full(len(p.ids), pack), p.ids, p.marks.view(np.int64)], axis=1)
 
 
@@ -298,13 +312,13 @@ def _wholes(packed: DataFrame, window: int, buckets: int) -> DataFrame:
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for pack, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                p = Pack(blob.as_py())
-                digest, second, doc = p.wholes(window)
-                digest, first = np.unique(digest, return_index=True)
-                yield from _named_rows(digest, second[first], doc[first], _documents(pack, p), buckets)
+            for pack, head in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                p = Head(head)
+                own = np.flatnonzero(p.sizes >= window)
+                own = own[np.unique(p.whole[own], return_index=True)[1]]
+                yield from _named_rows(p.whole[own], p.second[own], own, _documents(pack, p), buckets)
 
-    return packed.select("pack", "docs").mapInArrow(run, "bucket int, names binary, which binary, digests binary")
+    return packed.select("pack", "head").mapInArrow(run, "bucket int, names binary, which binary, digests binary")
 
 
 def _extended(dealt: DataFrame, window: int, buckets: int) -> DataFrame:
@@ -319,15 +333,15 @@ def _extended(dealt: DataFrame, window: int, buckets: int) -> DataFrame:
             return _named_rows(*(np.concatenate(x) for x in zip(*held)), np.concatenate(names), buckets)
 
         for batch in batches:
-            for pack, blob, hit_lists, copies in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                p, hit = Pack(blob.as_py()), np.unique(_merged(hit_lists))
+            for pack, head, blob, hit_lists, copies in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                p, hit = Pack(head.as_py(), blob.as_py()), np.unique(_merged(hit_lists))
                 anchor = np.zeros(len(p.words) + 1, np.int64)
                 starts = p.starts(block, window)
                 anchor[starts + 1] = np.isin(_placed(rolled(p.words, block, _FIRST)[starts], buckets), hit)
                 sums = np.cumsum(anchor)
                 at = p.starts(window, window)
                 at = at[sums[at + window - block + 1] > sums[at]]
-                at = at[~np.isin(p.doc[at], _copied(p, copies, window))]
+                at = at[~np.isin(p.doc[at], p.copies(copies, window))]
                 digest, first = np.unique(rolled(p.words, window, _FIRST)[at], return_index=True)  # the first place in the pack
                 at = at[first]
                 if not len(at):
@@ -341,16 +355,7 @@ def _extended(dealt: DataFrame, window: int, buckets: int) -> DataFrame:
         if held:
             yield from flushed()
 
-    return dealt.select("pack", "docs", "hits", "copies").mapInArrow(run, "bucket int, names binary, which binary, digests binary")
-
-
-def _copied(p: Pack, copies, window: int) -> np.ndarray:
-    """The documents of a pack that an earlier one, anywhere, repeats as a whole."""
-    digest, _, own = p.wholes(window)
-    gone = np.isin(digest, _merged(copies))
-    seen = np.ones(len(own), bool)
-    seen[np.unique(digest, return_index=True)[1]] = False
-    return own[gone | seen]
+    return dealt.select("pack", "head", "docs", "hits", "copies").mapInArrow(run, "bucket int, names binary, which binary, digests binary")
 
 
 def _later(windows: DataFrame, tasks: int) -> DataFrame:
@@ -391,21 +396,21 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, task_digests: int =
     copies = by_pack(_later(_wholes(packed, window, tasks), tasks), "copies")
     known = stash(hits.join(copies, "pack", "full"), "known")
     # both joins read the texts as dealt here, so they are shuffled once
-    dealt = packed.select("pack", "docs").repartition(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), tasks), "pack")
+    dealt = packed.select("pack", "head", "docs").repartition(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), tasks), "pack")
     later = by_pack(_later(_extended(dealt.join(known, "pack"), window, tasks), tasks), "later")
-    joined = dealt.join(known.select("pack", "copies").join(later, "pack", "left"), "pack", "left").select("docs", "copies", "later")
+    joined = dealt.join(known.select("pack", "copies").join(later, "pack", "left"), "pack", "left").select("head", "docs", "copies", "later")
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for blob, copies, lists in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                p = Pack(blob.as_py())
+            for head, blob, copies, lists in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                p = Pack(head.as_py(), blob.as_py())
                 at = p.starts(window, window)
                 digest = rolled(p.words, window, _FIRST)[at]
                 gone = np.ones(len(digest), bool)
                 gone[np.unique(digest, return_index=True)[1]] = False  # the first place within the pack
-                gone |= np.isin(digest, _merged(lists)) | np.isin(p.doc[at], _copied(p, copies, window))
+                gone |= np.isin(digest, _merged(lists)) | np.isin(p.doc[at], p.copies(copies, window))
                 cover = np.zeros(len(p.words) + 1, np.int64)
                 cover[: len(cover) - window] += np.bincount(at[gone], minlength=max(0, len(cover) - window)) if len(cover) > window else 0
                 cover[window:] -= np.bincount(at[gone] + window, minlength=len(cover))[window:] if len(cover) > window else 0
