@@ -257,57 +257,100 @@ def ar_parameters(states: int, order: int) -> int:
     return states * (order + 2)
 
 
-#: Points that k-means++ draws its seeds from.
-SEED_POINTS = 5_000
+#: Rounds of oversampling, and points drawn in each for every centre.
+SEED_ROUNDS, OVERSAMPLE = 3, 4
 
 
 def kmeans(rows: DataFrame, k: int, key: list[str], x: str = "x", seed: int = 0, iterations: int = 30, starts: int = 5, tolerance: float = 1e-6) -> DataFrame:
-    """key columns and label: Lloyd's steps over all rows, from the best of several k-means++ starts.
+    """key columns and label: Lloyd's steps over all rows, from oversampled seeds (k-means||).
 
-    The starts run on a bounded draw of points, which is all of them where there are
-    no more; the one of least inertia goes on over all rows. A step there sends k
+    Seeding takes SEED_ROUNDS scans; each draws OVERSAMPLE k rows, with chances in proportion to the squared distance from
+    those drawn before. A scan weighs the drawn rows by the rows nearest to them, and the best of several weighted k-means++
+    starts among them goes on over all rows. A step there sends k
     centres to the workers and gets back one partial sum a partition, so it is one scan
     and an aggregate. A distance is over the dimensions that are there (null and NaN
     are not), times all by those there; a row without any is in cluster 0. A cluster
     that loses all rows starts again at the row farthest from its centre. Ties go to
     the first centre.
     """
-    data = keep(rows.select(*key, F.transform(F.col(x).cast("array<double>"), lambda v: F.coalesce(v, F.lit(float("nan")))).alias("_x")), "points")
-    n = data.count()
-    if not n:
+    data = keep(rows.select(*key, F.transform(F.col(x).cast("array<double>"), lambda v: F.coalesce(v, F.lit(float("nan")))).alias("_x")).withColumn("_h", F.xxhash64(*key)), "points")
+    if data.isEmpty():
         return data.select(*key, F.lit(0).alias("label"))
-    share = min(1.0, SEED_POINTS / n)
-    drawn = data.select("_x", F.xxhash64(*key).alias("h")).where((F.lit(share) == 1.0) | (F.pmod("h", F.lit(1 << 30)) < share * 2 * (1 << 30))).orderBy("h").limit(SEED_POINTS).collect()
-    pool = np.array([r["_x"] for r in drawn] if drawn else [data.first()["_x"]], float)
-
-    def settle(step, centres: np.ndarray, lost) -> tuple[float, np.ndarray]:
-        last = math.inf
-        for _ in range(iterations):
-            counts, sums, inertia = step(centres)
-            if math.isfinite(last) and last - inertia <= tolerance * max(1.0, abs(last)):
-                break
-            last, before = inertia, centres
-            centres = np.where(counts > 0, sums / np.maximum(counts, 1), centres)
-            empty = np.flatnonzero(counts.sum(axis=1) == 0)
-            if len(empty):
-                far = lost(before)
-                centres[empty] = np.where(np.isnan(far), centres[empty], far)
-        return last, centres
-
-    on_pool = [settle(lambda c: _sums(pool, c), _seeds(pool, k, np.random.default_rng([seed, i])), lambda c: pool[_spans(pool, c).min(axis=1).argmax()]) for i in range(starts)]
-    centres = min(on_pool, key=lambda found: found[0])[1]
-    if len(pool) < n:
-        centres = settle(lambda c: _lloyd(data, c), centres, lambda c: _farthest(data, c))[1]
+    seeds, weights = oversampled(data, k, seed)
+    centres = min((_settled(lambda c: _sums(seeds, c, weights), _seeds(seeds, k, np.random.default_rng([seed, i]), weights), lambda c: seeds[_spans(seeds, c).min(axis=1).argmax()], iterations, tolerance) for i in range(starts)), key=lambda found: found[0])[1]
+    centres = _settled(lambda c: _lloyd(data, c), centres, lambda c: _farthest(data, c), iterations, tolerance)[1]
 
     def label(batches):
         for frame in batches:
             X = np.array(frame["_x"].tolist(), float).reshape(len(frame), -1)
-            yield frame.drop(columns="_x").assign(label=_spans(X, centres).argmin(axis=1))
+            yield frame.drop(columns=["_x", "_h"]).assign(label=_spans(X, centres).argmin(axis=1))
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in data.select(*key).schema)
     return data.mapInPandas(label, f"{fields}, label int")
 
 
+def _settled(step, centres: np.ndarray, lost, iterations: int, tolerance: float) -> tuple[float, np.ndarray]:
+    """(inertia, centres) of Lloyd's steps until they gain no more."""
+    last = math.inf
+    for _ in range(iterations):
+        counts, sums, inertia = step(centres)
+        if math.isfinite(last) and last - inertia <= tolerance * max(1.0, abs(last)):
+            break
+        last, before = inertia, centres
+        centres = np.where(counts > 0, sums / np.maximum(counts, 1e-300), centres)
+        empty = np.flatnonzero(counts.sum(axis=1) == 0)
+        if len(empty):
+            far = lost(before)
+            centres[empty] = np.where(np.isnan(far), centres[empty], far)
+    return last, centres
+
+
+def oversampled(data: DataFrame, k: int, seed: int = 0, rounds: int = SEED_ROUNDS, each: int = OVERSAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """(1 + rounds x each x k points at most, how many rows of _x are nearest to each): seeds of k-means||.
+
+    A round takes the rows of least e / d^2, with e exponential by the row's hash _h: a draw by weight, without
+    replacement, of a fixed size. Dimensions that are missing are filled by their means.
+    """
+    first = np.array(data.agg(F.min_by("_x", "_h").alias("x")).first()["x"], float)[None]
+    counts, sums, _ = _lloyd(data, np.zeros((1, first.shape[1])))
+    means = np.where(counts[0] > 0, sums[0] / np.maximum(counts[0], 1), 0.0)
+    filled = lambda found: np.where(np.isnan(found), means, found)
+    seeds = filled(first)
+    for r in range(rounds):
+
+        def draw(batches, seeds=seeds, salt=np.uint64(seed * 1_000_003 + r + 1)):
+            for frame in batches:
+                if len(frame):
+                    X = _points(frame)
+                    h = (frame["_h"].to_numpy(np.int64).view(np.uint64) ^ (salt * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+                    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+                    e = -np.log(((h >> np.uint64(11)).astype(float) + 1) / 2.0**53)
+                    d = _spans(X, seeds).min(axis=1)
+                    rank = np.where(d > 0, e / np.maximum(d, 1e-300), np.inf)
+                    best = np.argsort(rank, kind="stable")[: each * k]
+                    best = best[np.isfinite(rank[best])]
+                    if len(best):
+                        yield pd.DataFrame({"rank": rank[best], "x": [X[i].tolist() for i in best]})
+
+        drawn = data.select("_x", "_h").mapInPandas(draw, "rank double, x array<double>").orderBy("rank", "x").limit(each * k).collect()
+        if not drawn:
+            break
+        seeds = np.vstack([seeds, filled(np.array([r["x"] for r in drawn], float))])
+    n = len(seeds)
+
+    def nearest(batches):
+        total = np.zeros(n)
+        for frame in batches:
+            if len(frame):
+                total += np.bincount(_spans(_points(frame), seeds).argmin(axis=1), minlength=n)
+        yield pd.DataFrame({"total": [total.tolist()]})
+
+    weights = np.zeros(n)
+    for r in data.select("_x").mapInPandas(nearest, "total array<double>").select(F.posexplode("total").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).collect():
+        weights[r["at"]] = r["v"]
+    return seeds, weights
+
+
 def _spans(X: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Squared distances over the dimensions that are there, scaled up to all."""
     there = ~np.isnan(X)
@@ -316,23 +359,24 @@ def _spans(X: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0) * (X.shape[1] / np.maximum(there.sum(axis=1), 1))[:, None]
 
 
-def _seeds(pool: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    filled = np.where(np.isnan(pool), np.nanmean(np.where(np.isnan(pool).all(axis=0), 0.0, pool), axis=0), pool)
-    centres = filled[[int(rng.integers(len(filled)))]]
+def _seeds(pool: np.ndarray, k: int, rng: np.random.Generator, weights: np.ndarray) -> np.ndarray:
+    """k points by k-means++ among weighted ones."""
+    centres = pool[[int(rng.choice(len(pool), p=weights / weights.sum()))]]
     while len(centres) < k:
-        d = _spans(pool, centres).min(axis=1)
-        centres = np.vstack([centres, filled[rng.choice(len(filled), p=d / d.sum()) if d.sum() > 0 else int(rng.integers(len(filled)))]])
+        d = _spans(pool, centres).min(axis=1) * weights
+        centres = np.vstack([centres, pool[rng.choice(len(pool), p=d / d.sum()) if d.sum() > 0 else int(rng.integers(len(pool)))]])
     return centres
 
 
-def _sums(X: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def _sums(X: np.ndarray, centres: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """(counts and sums of each centre and dimension, inertia)"""
     counts, sums = np.zeros(centres.shape), np.zeros(centres.shape)
     own = _spans(X, centres)
     at, there = own.argmin(axis=1), ~np.isnan(X)
-    np.add.at(counts, at, there)
-    np.add.at(sums, at, np.where(there, X, 0.0))
-    return counts, sums, float(own.min(axis=1).sum())
+    by = np.ones(len(X)) if weights is None else weights
+    np.add.at(counts, at, there * by[:, None])
+    np.add.at(sums, at, np.where(there, X, 0.0) * by[:, None])
+    return counts, sums, float((own.min(axis=1) * by).sum())
 
 
 def _points(frame: pd.DataFrame) -> np.ndarray:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shiftspark.operators import bocpd, energy, kernels, scoring
 from shiftspark.operators import segmentation as seg
-from shiftspark.plans.build import HOURLY, USERS, VECTORS, WEEKLY, hourly_bits, query, user_values, vectors, weekly_revenue
+from shiftspark.plans.build import ORACLE_SQL, HOURLY, USERS, VECTORS, WEEKLY, hourly_bits, query, user_values, vectors, weekly_revenue
 
 # Optimal partitioning as a recursion that carries the lists f (costs) and prev
 # (last boundaries); s and q are prefix sums of the centred series.
@@ -319,6 +319,15 @@ def energy_best_split(spark, sf_dir):
     return energy.best_split(stats, v.groupBy("series_id").agg(F.count("*").alias("n")), 5)
 
 
+@query(ORACLE_SQL["energy_best_split"])
+def energy_split_by_tiles(spark, sf_dir):
+    """The same by tiles and running sums of places, as a long segment is tested."""
+    v = vectors(spark, sf_dir).withColumn("series_id", F.col("series_id").cast("string"))
+    whole = v.groupBy("series_id").agg(F.lit(0).cast("long").alias("start"), F.count("*").alias("stop")).where("stop >= 10")
+    found = energy.tested_by_tiles(v.select("series_id", F.col("t").cast("long").alias("t"), "x"), whole, 5, 0, 1.0, "iid", 0, 50, None, 16, 3)
+    return found.select(F.col("series_id").cast("int").alias("series_id"), F.col("cp").alias("split"), F.round("stat", 7).alias("stat"))
+
+
 @query()
 def energy_divisive(spark, sf_dir):
     return energy.divisive(vectors(spark, sf_dir), min_size=8, replicates=99)

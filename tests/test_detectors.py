@@ -331,6 +331,21 @@ def test_compositions_are_checked_and_components_found(spark):
     assert fit["eta"].sum() == pytest.approx(4 * 0.5 + 80, rel=1e-6)
 
 
+def test_kmeans_seeds_are_as_good_as_many_plain_starts(spark):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(9, 3)) * 6
+    x = np.concatenate([c + rng.normal(size=(n, 3)) for c, n in zip(centres, [300, 200, 150, 100, 60, 40, 20, 12, 8])])
+    x = x[rng.permutation(len(x))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "t long, x array<double>").repartition(5)
+    seeds, weights = emissions.oversampled(df.select(F.col("x").alias("_x"), F.xxhash64("t").alias("_h")), 9)
+    assert len(seeds) == 1 + 3 * 36 and weights.sum() == len(x)
+    labels = np.array([r.label for r in emissions.kmeans(df, 9, ["t"]).orderBy("t").collect()])
+    inertia = sum(((x[labels == j] - x[labels == j].mean(axis=0)) ** 2).sum() for j in set(labels))
+    ones = np.ones(len(x))
+    plain = [emissions._settled(lambda c: emissions._sums(x, c), emissions._seeds(x, 9, np.random.default_rng(i), ones), lambda c: x[0], 30, 1e-6)[0] for i in range(10)]
+    assert inertia <= 1.05 * min(plain)
+
+
 def test_kmeans_with_holes_and_lost_clusters(spark):
     rng = np.random.default_rng(2)
     x = np.vstack([rng.normal(m, 0.1, (30, 2)) for m in (0, 5, 10)])
