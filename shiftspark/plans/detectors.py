@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shiftspark.operators import bocpd, energy, kernels, scoring
 from shiftspark.operators import segmentation as seg
-from shiftspark.plans.build import ORACLE_SQL, HOURLY, USERS, VECTORS, WEEKLY, hourly_bits, query, user_values, vectors, weekly_revenue
+from shiftspark.plans.build import HOURLY, ORACLE_SQL, USERS, VECTORS, WEEKLY, hourly_bits, query, table, user_values, vectors, weekly_revenue
 
 # Optimal partitioning as a recursion that carries the lists f (costs) and prev
 # (last boundaries); s and q are prefix sums of the centred series.
@@ -242,9 +242,15 @@ def feature_prefix(spark, sf_dir):
     return vector_prefix(vectors(spark, sf_dir)).select("series_id", "k", "feature", F.round("s1", 10).alias("s1"), F.round("s2", 10).alias("s2"))
 
 
-@query("SELECT CAST(i AS INTEGER) AS sigma_id, round(exp(ln(0.1) + i * (ln(10) - ln(0.1)) / 9), 9) AS sigma FROM (SELECT unnest(range(10)) AS i)")
+@query("""
+WITH l AS (SELECT DISTINCT label AS series_id FROM embeddings)
+SELECT series_id, CAST(i AS INTEGER) AS sigma_id, round(exp(ln(0.1) + i * (ln(10) - ln(0.1)) / 9), 9) AS sigma FROM l CROSS JOIN (SELECT unnest(range(10)) AS i)
+""")
 def bandwidth_grid(spark, sf_dir):
-    return kernels.candidate_sigmas(spark, 0.1, 10.0, 10).withColumn("sigma", F.round("sigma", 9))
+    """The candidates that a search gives every label."""
+    labels = table(spark, sf_dir, "embeddings").select(F.col("label").alias("series_id")).distinct()
+    grid = kernels.candidate_sigmas(spark, 0.1, 10.0, 10).withColumn("sigma", F.round("sigma", 9))
+    return labels.crossJoin(F.broadcast(grid))
 
 
 @query()
@@ -499,6 +505,7 @@ def channel_union(spark, sf_dir):
 def two_stage_detection(spark, sf_dir):
     """Coarse segments first, then the energy statistic inside each."""
     w = weekly_revenue(spark, sf_dir)
+    w = w.withColumn("value", F.col("value") + F.when(F.col("t") % 120 >= 60, 3000).otherwise(0))  # raised in every other 60 weeks
     coarse = seg.partition(w, "known_variance", 60.0, 8, sigma2=_WEEK_SIGMA2)
     points = lambda d: d.select("series_id", "t", F.array(F.col("value").cast("double")).alias("x"))
     return scoring.two_stage(w, coarse, lambda d: energy.divisive(points(d), 5, 49).where("accepted").select("series_id", "cp"))
@@ -512,10 +519,11 @@ def hybrid_run_lengths(spark, sf_dir):
 
 @query()
 def detector_comparison(spark, sf_dir):
-    from shiftspark.operators import synthetic
-
-    s = synthetic.gaussian_segments(spark, 8, [30, 30], [0.0, 3.0], [0.5, 0.5])
-    truth = s.select("series_id").distinct().select("series_id", F.lit(30).cast("long").alias("cp"))
+    """Detectors on weekly revenue that is raised from its middle on, where the truth so is."""
+    w = weekly_revenue(spark, sf_dir)
+    sizes = w.groupBy("series_id").agg(F.count("*").alias("n"), F.stddev("value").alias("sd"))
+    s = w.join(F.broadcast(sizes), "series_id").withColumn("value", F.col("value") / F.col("sd") + F.when(F.col("t") >= F.floor(F.col("n") / 2), 3.0).otherwise(0.0))
+    truth = sizes.select("series_id", F.floor(F.col("n") / 2).cast("long").alias("cp"))
     points = lambda d: d.select("series_id", "t", F.array("value").alias("x"))
     detectors = {
         "partition": lambda d: seg.changepoints(seg.partition(d, "unknown_variance", "bic", 5)),

@@ -7,8 +7,8 @@ import math
 from pyspark.sql import functions as F
 
 from shiftspark.functions import columns as col
-from shiftspark.operators import emissions, periodic, pointprocess, statespace, synthetic
-from shiftspark.plans.build import HOURLY, ORACLE_SQL, USERS, VECTORS, hourly_bits, query, table, user_values, vectors
+from shiftspark.operators import emissions, periodic, pointprocess, statespace, study, synthetic
+from shiftspark.plans.build import HOURLY, ORACLE_SQL, USERS, VECTORS, hourly_bits, query, table, user_values, vectors, weekly_revenue
 from shiftspark.sources import series as src
 
 # --- within a period -----------------------------------------------------------------------
@@ -142,16 +142,51 @@ def within_period_segments(spark, sf_dir):
     return periodic.segment_summaries(periodic.sample(c, 8, 2, chains=2, iterations=800, burn=200), c, 8)
 
 
+def _observed_rates(spark, sf_dir, period):
+    """{series: (days, grid)}: how often each phase of each event type's hours is busy, as the rates of a scenario."""
+    bits = hourly_bits(spark, sf_dir).withColumn("value", F.col("n") > 2)
+    rates = periodic.phase_counts(bits, period).groupBy("series_id").agg(F.max("n").alias("days"), F.map_from_entries(F.collect_list(F.struct("phase", F.col("s") / F.col("n")))).alias("grid"))
+    return {r.series_id: (int(r.days), [float(r.grid.get(i, 0.0)) for i in range(period)]) for r in rates.collect()}  # a handful of event types
+
+
 @query()
 def within_period_scenarios(spark, sf_dir):
-    """Chains on published scenarios, by how often each phase is a boundary."""
-    bits = synthetic.periodic_scenarios(spark, ["paper_monte_carlo_n24"])
+    """Chains on scenarios made with each event type's own rates, by how often each phase is a boundary."""
+    bits = synthetic.scenario_bits(spark, _observed_rates(spark, sf_dir, 24))
     return periodic.boundary_mass(periodic.sample(periodic.phase_counts(bits, 24), 24, 4, chains=2, iterations=400, burn=100))
 
 
 @query()
 def sensor_home_activity(spark, sf_dir):
-    return synthetic.any_of(synthetic.sensor_home(spark, 7))
+    """Whether any type is busy, where types are busy by chance at their own rates."""
+    return synthetic.any_of(synthetic.scenario_bits(spark, _observed_rates(spark, sf_dir, 24)))
+
+
+def _study(spark, sf_dir):
+    counts = _eight(spark, sf_dir)
+    scenarios = counts.select("series_id").distinct().withColumns({"period": F.lit(8), "min_length": F.lit(2)})
+    return counts, scenarios
+
+
+@query()
+def within_period_study(spark, sf_dir):
+    """Modes, acceptance, credible sets and convergence of every (event type, prior rate) by two chains each."""
+    return study.study_tables(*_study(spark, sf_dir), "ci")["fits"]
+
+
+@query(f"""
+WITH e AS ({ORACLE_SQL["tau_exact_posterior"]}), r AS (SELECT series_id, tau, log_post, CASE WHEN tau = '' THEN 1 ELSE len(string_split(tau, ',')) END AS m FROM e),
+z AS (SELECT *, log_post + m * ln(rate) - rate - ln(exp(-rate) * (rate + rate ** 2 / 2 + rate ** 3 / 6 + rate ** 4 / 24)) + 1 + ln(exp(-1) * (1 + 1 / CAST(2 AS DOUBLE) + 1 / CAST(6 AS DOUBLE) + 1 / CAST(24 AS DOUBLE))) AS lp
+      FROM r CROSS JOIN (SELECT unnest([CAST(0.5 AS DOUBLE), 1, 2]) AS rate)),
+w AS (SELECT *, exp(lp - max(lp) OVER (PARTITION BY series_id, rate)) AS w FROM z),
+p AS (SELECT *, w / sum(w) OVER (PARTITION BY series_id, rate) AS p FROM w)
+SELECT series_id, rate, 'evaluated' AS status, count(*) AS state_count, replace(arg_max(tau, p), ',', ' ') AS exact_mode, round(max(p), 5) AS exact_probability FROM p GROUP BY 1, 2
+""")
+def within_period_study_exact(spark, sf_dir):
+    """The exact posteriors that a study is held against."""
+    counts, scenarios = _study(spark, sf_dir)
+    found = study.study_tables(counts, scenarios, "ci")["exact"]
+    return found.select("series_id", "rate", "status", "state_count", "exact_mode", F.round("exact_probability", 5).alias("exact_probability"))
 
 
 # --- point processes -------------------------------------------------------------------------
@@ -311,7 +346,8 @@ def ar_from_responsibilities(spark, sf_dir):
 
 @query()
 def ar_simulated(spark, sf_dir):
-    states = spark.range(200).select(F.lit("a").alias("series_id"), F.col("id").alias("t"), F.expr("CAST(id div 100 AS INT)").alias("state"))
+    """Two autoregressions that take turns along each user's own path of cheap and dear events."""
+    states = user_values(spark, sf_dir).select("series_id", "t", (F.col("cents") > 5000).cast("int").alias("state"))
     made = emissions.simulate_ar(states, [0.0, 4.0], [[0.5], [0.2, 0.1]], [1.0, 0.5])
     return emissions.ar_from_labels(made.withColumnRenamed("state", "label"), 1)
 
@@ -508,19 +544,26 @@ def pooled_state_transitions(spark, sf_dir):
 
 @query()
 def synthetic_outliers(spark, sf_dir):
-    s = synthetic.gaussian_segments(spark, 4, [50, 50], [0.0, 2.0], [1.0, 1.0], phi=0.3)
-    return synthetic.contaminate(s, 0.05, 8.0)
+    """Impulses on weekly revenue."""
+    w = weekly_revenue(spark, sf_dir).withColumn("value", F.col("value").cast("double"))
+    return synthetic.contaminate(w, 0.05, 80.0)
 
 
-@query()
+@query(f"""
+WITH {HOURLY} SELECT t, bool_or(n > 2) AS value FROM hourly GROUP BY 1
+""")
 def synthetic_sensors(spark, sf_dir):
-    return synthetic.any_of(synthetic.periodic_bernoulli(spark, 5, [0.05] * 12 + [0.4] * 12, 14))
+    """Whether any event type is busy in an hour."""
+    return synthetic.any_of(hourly_bits(spark, sf_dir).select("series_id", "t", (F.col("n") > 2).alias("value")))
 
 
 @query()
 def synthetic_poisson(spark, sf_dir):
+    """Days of each event type, made with half its own rate in the first half and its own in the second."""
     import numpy as np
 
-    days = spark.range(12).select(F.lit("a").alias("series_id"), F.col("id").alias("t"))
-    made = pointprocess.simulate_periods(days, 24.0, 3.0, lambda t, h: np.full(len(h), 0.5 if t < 6 else 2.5))
+    counts = hourly_bits(spark, sf_dir).groupBy("series_id", F.floor(F.col("t") / 24).alias("t")).agg(F.sum("n").alias("n"))
+    sizes = counts.groupBy("series_id").agg(F.max("t").alias("last"), F.avg("n").alias("mean"))
+    mean, last = sizes.agg(F.avg("mean"), F.max("last")).first()
+    made = pointprocess.simulate_periods(counts.select("series_id", "t"), 24.0, mean / 24, lambda t, h: np.full(len(h), mean / 24 * (0.5 if t < last / 2 else 1.0)))
     return pointprocess.sliced_poisson(made, 24.0, n_basis=1, degree=0).select("series_id", "segment", "start", "stop", "events")
