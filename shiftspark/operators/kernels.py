@@ -21,8 +21,10 @@ from shiftspark.functions.frames import keep
 from shiftspark.operators import segmentation as seg
 from shiftspark.operators.pairs import TILE, between, pair_median, pair_quantiles, squared_distances
 
-#: A whole Gram matrix over so many bytes is refused: criteria that invert one need it. Segmentation needs none.
+#: A whole Gram matrix over so many bytes is refused; criteria that invert one go by tiles beyond. Segmentation needs none.
 GRAM_BYTES = 1 << 30
+#: What criteria add to a kernel matrix's diagonal, as a share of its mean.
+RIDGE = 1e-6
 
 Kernel = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -408,22 +410,100 @@ def select_bandwidth_simple(points: DataFrame, candidates: int = 20, folds: int
     return select_bandwidth(points, adaptive_sigmas(median_sigmas(points), candidates), folds, **options)
 
 
-def information_criterion(points: DataFrame, sigmas: DataFrame, kind: str = "bic", freedom: str = "kernel_ridge") -> DataFrame:
+def inverse_diagonals(points: DataFrame, sigmas: DataFrame, ridge: float = RIDGE, tile: int = TILE) -> DataFrame:
+    """series_id, sigma_id, sigma, n, logs, trace: of the diagonal of each rbf kernel matrix's inverse, the sum of its logs and its sum.
+
+    The matrix, with ``ridge`` on its diagonal, is tiles as rows, its lower half. Sweeping a block of pivots changes each tile by
+    the two tiles of the pivots' panel that lie in its row and column, so a sweep is two joins and a product a tile, and no task holds
+    more than four tiles. After as many sweeps as blocks the tiles hold the inverse with its sign turned. Sweeps are written, which cuts lineage.
+    """
+    key = ["series_id", "sigma_id", "sigma"]
+    own = points.select(F.col("series_id").cast("string"), F.col("t").cast("long").alias("t"), F.col("x").cast("array<double>").alias("x"))
+    blocks = own.groupBy("series_id", F.floor(F.col("t") / tile).cast("int").alias("i")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("t", "x"))), lambda r: r["x"])).alias("p"), F.count("*").alias("size"))
+    other = blocks.select(F.col("series_id").alias("_s"), F.col("i").alias("j"), F.col("p").alias("q"), F.col("size").alias("others"))
+    grid = sigmas.withColumn("series_id", F.col("series_id").cast("string")) if "series_id" in sigmas.columns else None
+    pairs = blocks.join(other, (F.col("series_id") == F.col("_s")) & (F.col("i") >= F.col("j"))).drop("_s")
+    pairs = pairs.join(grid, "series_id") if grid is not None else pairs.crossJoin(F.broadcast(sigmas))
+
+    def filled(batches):
+        for frame in batches:
+            out = []
+            for p, m, q, n, i, j, sigma in zip(frame["p"], frame["size"], frame["q"], frame["others"], frame["i"], frame["j"], frame["sigma"]):
+                k = np.exp(-between(np.asarray(p).reshape(m, -1), np.asarray(q).reshape(n, -1)) / (2 * sigma**2))
+                if i == j:
+                    np.fill_diagonal(k, 1 + ridge)
+                out.append(k.tobytes())
+            yield frame[[*key, "i", "j", "size", "others"]].assign(m=out)
+
+    shape = "series_id string, sigma_id int, sigma double, i int, j int, size long, others long, m binary"
+    now = keep(pairs.mapInPandas(filled, shape), "tiles")
+    last = now.agg(F.max("i")).first()[0]
+    here = ["series_id", "sigma_id"]
+    for k in range(0 if last is None else last + 1):
+
+        def turned(batches):  # the panel: a tile of rows i and the pivots' columns
+            for frame in batches:
+                m = [blob if j == k else np.frombuffer(blob).reshape(a, b).T.tobytes() for blob, a, b, j in zip(frame["m"], frame["size"], frame["others"], frame["j"])]
+                yield pd.DataFrame({"series_id": frame["series_id"], "sigma_id": frame["sigma_id"], "at": np.where(frame["j"] == k, frame["i"], frame["j"]), "c": m})
+
+        panel = keep(now.where((F.col("i") == k) | (F.col("j") == k)).mapInPandas(turned, "series_id string, sigma_id int, at int, c binary"), "panel")
+        side = lambda at, name: panel.select(*here, F.col("at").alias(at), F.col("c").alias(name))
+        pivot = panel.where(F.col("at") == k).select(*here, F.col("c").alias("pivot"))
+
+        def swept(batches):
+            for frame in batches:
+                out = []
+                for blob, a, b, i, j, left, right, pivot in zip(frame["m"], frame["size"], frame["others"], frame["i"], frame["j"], frame["left"], frame["right"], frame["pivot"]):
+                    inverse = np.linalg.inv(np.frombuffer(pivot).reshape(math.isqrt(len(pivot) // 8), -1))
+                    c, d = np.frombuffer(left).reshape(a, -1), np.frombuffer(right).reshape(b, -1)
+                    if i == k and j == k:
+                        m = -inverse
+                    elif j == k:
+                        m = c @ inverse
+                    elif i == k:
+                        m = inverse @ d.T
+                    else:
+                        m = np.frombuffer(blob).reshape(a, b) - c @ inverse @ d.T
+                    out.append(np.ascontiguousarray(m).tobytes())
+                yield frame[[*key, "i", "j", "size", "others"]].assign(m=out)
+
+        # series with fewer blocks than this are done, and stay as they are
+        touched = now.join(side("i", "left"), [*here, "i"]).join(side("j", "right"), [*here, "j"]).join(pivot, here)
+        done = now.join(pivot.select(*here), here, "left_anti")
+        now = keep(touched.select(*key, "i", "j", "size", "others", "m", "left", "right", "pivot").mapInPandas(swept, shape).unionByName(done), "tiles")
+
+    def diagonal(batches):
+        for frame in batches:
+            d = [np.diag(-np.frombuffer(blob).reshape(n, n)) for blob, n in zip(frame["m"], frame["size"])]
+            yield frame[[*key]].assign(n=[len(v) for v in d], logs=[float(np.log(np.maximum(v, 1e-12)).sum()) for v in d], trace=[float(v.sum()) for v in d])
+
+    told = now.where("i = j").mapInPandas(diagonal, "series_id string, sigma_id int, sigma double, n long, logs double, trace double")
+    return told.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("logs").alias("logs"), F.sum("trace").alias("trace"))
+
+
+def information_criterion(points: DataFrame, sigmas: DataFrame, kind: str = "bic", freedom: str = "kernel_ridge", long: int = math.isqrt(GRAM_BYTES // 8), tile: int = TILE) -> DataFrame:
     """series_id, sigma, criterion, selected (the highest, the first on ties).
 
     The log likelihood of left-out points under a Gaussian process of that kernel,
     less its degrees of freedom: kernel_ridge (the trace of the smoother), eigenvalue
-    (the same from its eigenvalues), n (as many as points).
+    (the same from its eigenvalues), n (as many as points). Series of over ``long`` points, whose
+    matrix one task should not hold, go by tiles (inverse_diagonals).
     """
     if kind not in ("aic", "bic") or freedom not in ("kernel_ridge", "eigenvalue", "n"):
         raise ValueError(f"{kind}, {freedom}: aic or bic, and kernel_ridge, eigenvalue or n")
+    sizes = points.groupBy(F.col("series_id").cast("string").alias("_s")).agg(F.count("*").alias("_n"))
+    far = sizes.where(F.col("_n") > long).select("_s")
+    named = points.withColumn("series_id", F.col("series_id").cast("string"))
+    some = not far.isEmpty()
+    if some:
+        points = named.join(far, F.col("series_id") == F.col("_s"), "left_anti")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("t")
         x = np.array(frame["x"].tolist(), float).reshape(len(frame), -1)
         n, sigma = len(x), float(frame["sigma"].iloc[0])
         k = gram(x, "rbf", sigma=sigma)
-        ridge = 1e-6 * np.trace(k) / n
+        ridge = RIDGE * np.trace(k) / n
         try:
             inverse = np.linalg.inv(k + ridge * np.eye(n))
             loglik = -0.5 * float(np.log(2 * np.pi / np.maximum(np.diag(inverse), 1e-12)).sum())
@@ -439,7 +519,15 @@ def information_criterion(points: DataFrame, sigmas: DataFrame, kind: str = "bic
             value = -math.inf
         return pd.DataFrame([(frame["series_id"].iloc[0], frame["sigma_id"].iloc[0], sigma, value)], columns=["series_id", "sigma_id", "sigma", "criterion"])
 
-    scored = keep(_tasks(points, sigmas).groupBy("series_id", "sigma_id").applyInPandas(run, "series_id string, sigma_id int, sigma double, criterion double"), "criteria")
+    scored = _tasks(points, sigmas).groupBy("series_id", "sigma_id").applyInPandas(run, "series_id string, sigma_id int, sigma double, criterion double")
+    if some:
+        found = inverse_diagonals(named.join(far, F.col("series_id") == F.col("_s"), "left_semi"), sigmas, tile=tile)
+        loglik = -0.5 * (F.col("n") * math.log(2 * math.pi) - F.col("logs"))
+        # the trace of K (K + r)^-1, from its eigenvalues too, is n - r trace of the inverse
+        dof = F.col("n").cast("double") if freedom == "n" else F.col("n") - RIDGE * F.col("trace")
+        weight = 0.5 * F.log("n") if kind == "bic" else F.lit(1.0)
+        scored = scored.unionByName(found.select("series_id", "sigma_id", "sigma", (loglik - weight * dof).alias("criterion")))
+    scored = keep(scored, "criteria")
     best = scored.groupBy("series_id").agg(F.max_by("sigma_id", F.struct("criterion", -F.col("sigma_id"))).alias("best"))
     return scored.join(best, "series_id").select("series_id", "sigma", "criterion", (F.col("sigma_id") == F.col("best")).alias("selected"))
 
