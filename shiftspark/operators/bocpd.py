@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -69,6 +70,37 @@ def boosted_hazard(base: Column, period: int, phases: list[int], t: Column, boos
 # --- likelihoods ----------------------------------------------------------------
 
 
+class Likelihood(Protocol):
+    """What a detector asks of a conjugate likelihood; a caller's own class that has these is one.
+
+    Two numbers a run length hold what it has seen. Arrays a and b are those numbers, one
+    entry for each run length, and results have the same shape. Instances travel to the workers, so they pickle.
+    """
+
+    def prior(self) -> tuple[float, float]:
+        """(a, b) before any value."""
+
+    def mean(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The expected next value."""
+
+    def log_predictive(self, x: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The log probability or density of the next value."""
+
+    def update(self, x: float, a: np.ndarray | float, b: np.ndarray | float) -> tuple:
+        """(a, b) after a value."""
+
+
+def checked_likelihood(likelihood: Likelihood) -> Likelihood:
+    """The likelihood, if it has all that a detector asks, with results of the right shapes at its prior."""
+    lacking = [n for n in ("prior", "mean", "log_predictive", "update") if not callable(getattr(likelihood, n, None))]
+    if lacking:
+        raise TypeError(f"a likelihood has {', '.join(lacking)}")
+    a, b = (np.full(2, float(v)) for v in likelihood.prior())
+    if np.shape(likelihood.mean(a, b)) != (2,) or not np.isfinite([*likelihood.prior()]).all():
+        raise TypeError("a likelihood's prior is two finite numbers, and its mean has a value for each run length")
+    return likelihood
+
+
 @dataclass(frozen=True)
 class BetaBernoulli:
     alpha: float = 1.0
@@ -115,13 +147,16 @@ class PoissonGamma:
 
 @dataclass(frozen=True)
 class Detector:
-    likelihood: BetaBernoulli | PoissonGamma = field(default_factory=BetaBernoulli)
+    likelihood: Likelihood = field(default_factory=BetaBernoulli)
     hazard: Callable[[np.ndarray, int], np.ndarray] = field(default_factory=ConstantHazard)
     max_run_length: int = 512
     prune: float = 0.0  # probabilities under this share of the largest go
     top_k: int | None = None  # keep so many run lengths (and 0)
     epsilon: float = 0.0  # probabilities under this go
 
+    def __post_init__(self):
+        checked_likelihood(self.likelihood)
+
     def start(self) -> dict:
         a, b = self.likelihood.prior()
         return {"t": 0, "R": np.ones(1), "a": np.array([a]), "b": np.array([b])}

@@ -1,7 +1,9 @@
 """Keyed streaming state: restarts, steps out of order, gaps by timer, a state that grows."""
 
 import datetime as dt
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -69,3 +71,52 @@ def test_late_and_repeated_steps(spark, tmp_path):
     assert got[got.series_id == "b"].t.tolist() == [1]
     with pytest.raises(ValueError):
         detect_stream(spark.readStream.schema(TIMED).parquet(str(tmp_path / "in")), DETECTOR, ts="ts")
+
+
+@dataclass(frozen=True)
+class WaitingTimes:
+    """A caller's own likelihood: exponential times with a Gamma prior on their rate."""
+
+    shape: float = 2.0
+    rate: float = 1.0
+
+    def prior(self):
+        return self.shape, self.rate
+
+    def mean(self, a, b):
+        return b / (a - 1)
+
+    def log_predictive(self, x, a, b):
+        return np.log(a) + a * np.log(b) - (a + 1) * np.log(b + x)
+
+    def update(self, x, a, b):
+        return a + 1, b + x
+
+
+def test_a_likelihood_of_ones_own_on_table_and_stream(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    values = [*rng.exponential(1.0, 30), *rng.exponential(12.0, 30)]
+    detector = bocpd.Detector(WaitingTimes(), bocpd.ConstantHazard(50), max_run_length=100)
+    rows = spark.createDataFrame([("a", t, float(v)) for t, v in enumerate(values)], "series_id string, t long, value double")
+    found = bocpd.detect(rows, detector).orderBy("t").toPandas()
+    # plain recursion over all run lengths
+    R, post = np.ones(1), [(2.0, 1.0)]
+    for t, x in enumerate(values):
+        p = np.array([a * b**a / (b + x) ** (a + 1) for a, b in post])
+        R = np.concatenate(([R.sum() / 50 * (2.0 / (1 + x) ** 3)], R * (49 / 50) * p))
+        R /= R.sum()
+        post = [(3.0, 1.0 + x)] + [(a + 1, b + x) for a, b in post]
+        assert found.cp_prob[t] == pytest.approx(R[0]) and found.map_run_length[t] == R.argmax()
+    assert 25 <= 59 - found.map_run_length[59] <= 33
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = detect_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), detector)
+    q = stream.writeStream.foreachBatch(lambda df, i: df.write.mode("append").parquet(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    pd.testing.assert_frame_equal(spark.read.parquet(str(tmp_path / "out")).orderBy("t").toPandas(), found)
+
+
+def test_what_is_no_likelihood():
+    with pytest.raises(TypeError, match="log_predictive"):
+        bocpd.Detector(type("Half", (), {"prior": lambda self: (1, 1), "mean": lambda self, a, b: a, "update": lambda self, x, a, b: (a, b)})())
+    with pytest.raises(TypeError, match="mean"):
+        bocpd.Detector(type("Flat", (WaitingTimes,), {"mean": lambda self, a, b: 1.0})())
