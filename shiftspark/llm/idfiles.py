@@ -15,7 +15,8 @@ a shard).
 
 Nulls, empties, repeats: a null or empty text holds the end id alone; a null
 doc_id sorts first; rows that share a doc_id are kept, in the order of their
-ids' checksum, then length; an empty table gives no rows.
+ids' checksum, then length (rows alike in both, ties, are alike in all that is written); a very long text is
+encoded whole, as one frame; other columns, whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

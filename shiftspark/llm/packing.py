@@ -9,8 +9,9 @@ bins of one history and pieces of one length are placed together, which gives
 the same bins as placing one piece after another.
 
 Nulls, empties, repeats: a null or empty text is a document of the end id
-alone; a null doc_id is kept as it is; repeated rows are packed one by one; an
-empty table gives no rows; other columns are ignored.
+alone; a null doc_id is kept as it is; repeated rows are packed one by one;
+a very long text is encoded whole and cut into pieces of ``capacity``; pieces of one length (ties) go
+in the order of a digest of their document; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

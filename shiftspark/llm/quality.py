@@ -5,7 +5,8 @@ held out; every document is scored in one scan, statistics and walk together.
 
 Nulls, empties, repeats: a null or empty text is scored by its statistics, all
 zero; a null doc_id is scored and counts as not held out; rows whose label is
-null are not learned from; repeated rows are scored one by one; without labels
+null are not learned from; repeated rows are scored one by one; a very long
+text is measured whole; at a tie a tree goes left up to its threshold, and a score at THRESHOLD is good; without labels
 every score is the constant 0.5; an empty table gives no rows; other columns
 are ignored.
 """
