@@ -402,6 +402,15 @@ def _lloyd(data: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return got[: k * d].reshape(k, d), got[k * d : -1].reshape(k, d), float(got[-1])
 
 
+def kmeans_step(rows: DataFrame, centres: np.ndarray, x: str = "x") -> DataFrame:
+    """cluster, dim, n, mean of the rows nearest to each given centre; a cluster or dimension without any keeps its centre."""
+    data = rows.select(F.transform(F.col(x).cast("array<double>"), lambda v: F.coalesce(v, F.lit(float("nan")))).alias("_x"))
+    counts, sums, _ = _lloyd(data, centres)
+    means = np.where(counts > 0, sums / np.maximum(counts, 1), centres)
+    k, d = centres.shape  # so many numbers, whatever the rows
+    return rows.sparkSession.createDataFrame([(i, j, int(counts[i, j]), float(means[i, j])) for i in range(k) for j in range(d)], "cluster int, dim int, n long, mean double")
+
+
 def _farthest(data: DataFrame, centres: np.ndarray) -> np.ndarray:
     """The row farthest from its centre."""
 

@@ -231,19 +231,23 @@ def feature_column(x: Column, w: np.ndarray, b: np.ndarray) -> Column:
 
 def rff_partition(
     points: DataFrame, penalty: float, gamma: float | None = None, features: int | None = 256, kind: str = "gaussian", seed: int = 123,
-    min_length: int = 1, segments: int | None = None, sigma: float | None = None, subsample: int = 2_000,
+    min_length: int = 1, segments: int | None = None, sigma: float | None = None, subsample: int = 2_000, given: tuple[np.ndarray, ...] | None = None,
 ) -> DataFrame:
     """Penalised (or fixed-count) partition in feature space: linear memory in a series' length.
 
     gamma comes before sigma; with neither, each series has its median heuristic over
-    a draw of ``subsample`` points. features=None grows their number by the error.
+    a draw of ``subsample`` points. features=None grows their number by the error. ``given``: the
+    caller's own frequencies and phases, as feature_map takes them.
     """
 
     def rows(series_id: str, x: np.ndarray) -> list[tuple]:
         x = _wide(x)
-        g = gamma if gamma is not None else 1 / (2 * sigma**2) if sigma is not None else median_gamma(x, seed, subsample)
-        count = features if features is not None else adaptive_features(x, g, seed=seed, kind=kind)
-        cost = seg.feature_cost(feature_map(x, *frequencies(x.shape[1], count, g, kind, seed)))
+        w = given
+        if w is None:
+            g = gamma if gamma is not None else 1 / (2 * sigma**2) if sigma is not None else median_gamma(x, seed, subsample)
+            count = features if features is not None else adaptive_features(x, g, seed=seed, kind=kind)
+            w = frequencies(x.shape[1], count, g, kind, seed)
+        cost = seg.feature_cost(feature_map(x, *w))
         found = seg.optimal_partition(cost, len(x), penalty, min_length) if segments is None else seg.fixed_count(cost, len(x), segments, min_length)
         return [(series_id, 0, 0, len(x), None, None, "infeasible")] if found is None else seg.segment_rows(series_id, cost, len(x), *found)
 

@@ -511,10 +511,14 @@ def two_stage_detection(spark, sf_dir):
     return scoring.two_stage(w, coarse, lambda d: energy.divisive(points(d), 5, 49).where("accepted").select("series_id", "cp"))
 
 
-@query()
+@query(f"""
+WITH p AS ({ORACLE_SQL["optimal_partition_known_var"]})
+SELECT series_id, round(CAST(0.8 AS DOUBLE) * 96 + CAST(0.2 AS DOUBLE) * arg_max(stop - start, start), 6) AS mean_run_length FROM p GROUP BY 1
+""")
 def hybrid_run_lengths(spark, sf_dir):
-    coarse = seg.partition(weekly_revenue(spark, sf_dir), "known_variance", 20.0, 4, sigma2=_WEEK_SIGMA2)
-    return scoring.retuned_run_lengths(coarse, 96.0)
+    """What an online detector should expect after an offline look at weekly revenue."""
+    coarse = seg.partition(weekly_revenue(spark, sf_dir), "known_variance", _WEEK_PENALTY, 4, sigma2=_WEEK_SIGMA2)
+    return scoring.retuned_run_lengths(coarse, 96.0).select("series_id", F.round("mean_run_length", 6).alias("mean_run_length"))
 
 
 @query()

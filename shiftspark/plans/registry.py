@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shiftspark.plans import basics, build, detectors, models, sequences, streams  # noqa: F401  (importing registers their queries)
+from shiftspark.plans import basics, build, checked, detectors, models, sequences, streams  # noqa: F401  (importing registers their queries)
 
 FLAGSHIP = "user_shifts"
 QUERIES = build.QUERIES
