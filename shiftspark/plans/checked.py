@@ -40,14 +40,15 @@ _CENTRES = "CAST((i * 3 + j * 5) % 7 - 3 AS DOUBLE) / 20"
 WITH {VECTORS}, c AS (SELECT j, list({_CENTRES} ORDER BY i) AS c FROM (SELECT unnest(range(4)) AS j) CROSS JOIN (SELECT unnest(range(64)) AS i) GROUP BY 1),
 near AS (SELECT series_id, t, any_value(x) AS x, min({{'d': list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 'j': j}}).j AS j FROM vectors CROSS JOIN c GROUP BY 1, 2),
 u AS (SELECT j, unnest(range(64)) AS i, unnest(x) AS v FROM near),
-m AS (SELECT j, i, count(*) AS n, avg(v) AS m FROM u GROUP BY 1, 2)
-SELECT CAST(c.j AS INTEGER) AS cluster, CAST(i.i AS INTEGER) AS dim, coalesce(n, 0) AS n, round(coalesce(m, c.c[i.i + 1]), 8) AS mean
+m AS (SELECT j, i, count(*) AS n, sum(v) AS s FROM u GROUP BY 1, 2)
+SELECT CAST(c.j AS INTEGER) AS cluster, CAST(i.i AS INTEGER) AS dim, coalesce(n, 0) AS n, round(coalesce(s, 0), 5) AS total
 FROM c CROSS JOIN (SELECT unnest(range(64)) AS i) i LEFT JOIN m ON m.j = c.j AND m.i = i.i
 """)
 def kmeans_step(spark, sf_dir):
     """One step of k-means from given centres."""
     j, i = np.arange(4)[:, None], np.arange(64)[None, :]
-    return emissions.kmeans_step(vectors(spark, sf_dir), ((i * 3 + j * 5) % 7 - 3) / 20).withColumn("mean", F.round("mean", 8))
+    found = emissions.kmeans_step(vectors(spark, sf_dir), ((i * 3 + j * 5) % 7 - 3) / 20)
+    return found.select("cluster", "dim", "n", F.round(F.col("n") * F.col("mean"), 5).alias("total"))
 
 
 @query(f"""

@@ -36,8 +36,9 @@ def streaming_bocpd(spark, sf_dir):
     return _rounded(_replay(spark, keep(bits, "bits"), lambda s: online.detect_stream(s, detector)))
 
 
+# a silent series goes on to the end of all
 _GAPS = _BOCPD.format(
-    hourly=HOURLY, value="CASE WHEN n > 0 THEN CAST(n > 2 AS INTEGER) END", a0=1, b0=1, a_new="CAST(coalesce(1 + x, 1) AS DOUBLE)", b_new="CAST(coalesce(2 - x, 1) AS DOUBLE)",
+    hourly=HOURLY.replace("min(bin) AS lo, max(bin) AS hi", "min(bin) AS lo, (SELECT max(bin) FROM ev) AS hi"), value="CASE WHEN n > 0 THEN CAST(n > 2 AS INTEGER) END", a0=1, b0=1, a_new="CAST(coalesce(1 + x, 1) AS DOUBLE)", b_new="CAST(coalesce(2 - x, 1) AS DOUBLE)",
     a_upd="v + coalesce(x, 0)", b_upd="v + coalesce(1 - x, 0)", mean="p[1] / (p[1] + p[2])", p0="CAST(CASE WHEN x IS NULL THEN 1 ELSE 0.5 END AS DOUBLE)",
     pred="(CASE WHEN x = 1 THEN p[2] WHEN x = 0 THEN p[3] ELSE p[2] + p[3] END) / (p[2] + p[3])",
 )

@@ -15,18 +15,17 @@ from shiftspark.operators.bocpd import ONLINE, Detector
 _STATE = "t long, R array<double>, a array<double>, b array<double>"
 _COLUMNS = ["series_id", "t", "cp_prob", "map_run_length", "pred_mean", "log_evidence", "error"]
 
-#: State in RocksDB, so that it need not fit the executors' memory, with field names, so that its schema can grow.
-_STORE = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.encodingFormat": "avro",
-}
+_STORE = "spark.sql.streaming.stateStore"
 
 
-def use_state_store(spark: SparkSession) -> None:
-    """The session's settings for keyed state; queries take them when they start."""
-    for key, value in _STORE.items():
-        if spark.conf.get(key, None) != value:
-            spark.conf.set(key, value)
+def use_state_store(spark: SparkSession, grows: bool) -> None:
+    """The session's settings for keyed state, which a query takes when it starts: start one before the next is made.
+
+    State is in RocksDB, so that it need not fit the executors' memory. ``grows``: with field names, so that its
+    schema can grow; Spark offers that for transformWithState alone.
+    """
+    spark.conf.set(f"{_STORE}.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set(f"{_STORE}.encodingFormat", "avro" if grows else "unsaferow")
 
 
 class OnlineSteps(StatefulProcessor):
@@ -129,7 +128,7 @@ def detect_stream(series: DataFrame, detector: Detector, ts: str | None = None,
     value, with ``width`` milliseconds a step; t is then the number of the step since the epoch, rows may come up to ``late`` out of
     order (of one step the last one counts), and steps come out when the watermark closes them, those without a row too.
     """
-    use_state_store(series.sparkSession)
+    use_state_store(series.sparkSession, True)
     schema = ONLINE + (", total double" if total else "")
     if ts is None:
         typed = series.select(F.col("series_id").cast("string"), F.col("t").cast("long"), F.col("t").cast("long").alias("at"), F.col("value").cast("double"))
@@ -143,11 +142,13 @@ def detect_stream(series: DataFrame, detector: Detector, ts: str | None = None,
 
 def binned_counts(events: DataFrame, width: str = "15 minutes", late: str = "1 hour", ts: str = "ts", key: str = "event_type") -> DataFrame:
     """Streaming counts of events in tumbling windows, closed by a watermark."""
+    use_state_store(events.sparkSession, False)
     stamped = events.withColumn(ts, F.col(ts).cast("timestamp"))
     return stamped.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), F.col(key).alias("series_id")).agg(F.count("*").alias("value")).select("series_id", F.col("w.start").alias("start"), "value")
 
 
 def hopping_means(events: DataFrame, size: str, slide: str, late: str = "1 hour", ts: str = "ts", key: str = "event_type", value: str = "value") -> DataFrame:
     """Streaming means in sliding windows."""
+    use_state_store(events.sparkSession, False)
     stamped = events.withColumn(ts, F.col(ts).cast("timestamp"))
     return stamped.withWatermark(ts, late).groupBy(F.window(ts, size, slide).alias("w"), F.col(key).alias("series_id")).agg(F.avg(value).alias("mean"), F.count("*").alias("n")).select("series_id", F.col("w.start").alias("start"), "mean", "n")
