@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftspark.operators import bocpd, emissions, energy, kernels, periodic, pointprocess, statespace
+from shiftspark.operators import bocpd, emissions, energy, kernels, periodic, pointprocess, pooled, statespace
 from shiftspark.operators import segmentation as seg
 
 RIGHT_EXCLUSIVE, TIME_INDEX, PERIODIC = "right_exclusive", "time_index", "periodic_bin_end"
@@ -49,26 +49,47 @@ def _energy(df, **options):
     return found.select("series_id", "cp", F.col("stat").alias("score"), F.lit("maximize").alias("orientation"))
 
 
-def _bocpd(df, mean_run_length=96.0, likelihood="bernoulli", threshold=0.6, reset=False, min_spacing=1, max_run_length=512, **options):
-    model = bocpd.PoissonGamma() if likelihood == "poisson" else bocpd.BetaBernoulli()
-    online = bocpd.detect(df, bocpd.Detector(model, bocpd.ConstantHazard(mean_run_length), max_run_length, **options))
+def online_detector(mean_run_length=96.0, likelihood="bernoulli", prior=(1.0, 1.0), schedule=None, period=None, boost_phases=None, boost_factor=10.0, max_run_length=512, **options) -> bocpd.Detector:
+    """A detector from plain parameters: a constant or scheduled hazard, raised at some phases of a period; ``likelihood`` may be the caller's own."""
+    named = {"bernoulli": bocpd.BetaBernoulli, "poisson": bocpd.PoissonGamma}
+    if isinstance(likelihood, str) and likelihood not in named:
+        raise ValueError(f"{likelihood}: neither bernoulli nor poisson")
+    if schedule and period and len(schedule) != period:
+        raise ValueError("a schedule has a hazard for each phase of its period")
+    hazard = bocpd.ScheduledHazard(tuple(float(h) for h in schedule)) if schedule else bocpd.ConstantHazard(mean_run_length)
+    if boost_phases:
+        period = period or (len(schedule) if schedule else None)
+        if not period:
+            raise ValueError("phases that raise the hazard need a period")
+        hazard = bocpd.BoostedHazard(hazard, int(period), tuple(int(p) for p in boost_phases), boost_factor)
+    return bocpd.Detector(named[likelihood](*prior) if isinstance(likelihood, str) else likelihood, hazard, max_run_length, **options)
+
+
+def _bocpd(df, threshold=0.6, reset=False, min_spacing=1, **options):
+    online = bocpd.detect(df, online_detector(**options))
     found = bocpd.alerts(online, threshold, reset, min_spacing)
     return found.join(online, ["series_id", "t"]).select("series_id", F.col("t").alias("cp"), F.col("cp_prob").alias("score"), F.lit("maximize").alias("orientation"))
 
 
-def _hsmm(df, states=2, mean_duration=10.0, longest=40, learn=True, seed=0):
-    """Gaussian emissions from a clustering of the points, then explicit durations."""
+def _hsmm(df, states=2, mean_duration=10.0, longest=40, learn=True, seed=0, shared=False, iterations=50):
+    """Gaussian emissions from a clustering of the points, then explicit durations, of each series or shared by all."""
     points = _points(df)
     labelled = points.join(emissions.kmeans(points, states, ["series_id", "t"], seed=seed), ["series_id", "t"])
     ll = emissions.label_loglik(points, emissions.diag_from_labels(labelled), ["series_id", "t"])
     a = [[0.0 if i == j else 1.0 for j in range(states)] for i in range(states)]
-    found = statespace.state_changepoints(statespace.decode_hsmm(ll, [1.0 / states] * states, a, [mean_duration] * states, longest, learn))
+    start, durations = [1.0 / states] * states, [mean_duration] * states
+    if shared and learn:
+        decoded = pooled.decode_with(ll, pooled.fit_hsmm(ll, start, a, durations, longest, iterations)[0])
+    else:
+        decoded = statespace.decode_hsmm(ll, start, a, durations, longest, learn, iterations)
+    found = statespace.state_changepoints(decoded)
     return found.select("series_id", "cp", F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("orientation"))
 
 
-def _sdhmm(df, states=2, components=1, **options):
+def _sdhmm(df, states=2, components=1, shared=False, **options):
     comp = df if "comp" in df.columns else df.withColumnRenamed("x", "comp")
-    found = statespace.state_changepoints(statespace.decode_sdhmm(comp, states, components, **options))
+    decoded = pooled.decode_sdhmm(comp, pooled.fit_sdhmm(comp, states, components, **options)) if shared else statespace.decode_sdhmm(comp, states, components, **options)
+    found = statespace.state_changepoints(decoded)
     return found.select("series_id", "cp", F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("orientation"))
 
 

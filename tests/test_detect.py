@@ -50,3 +50,32 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "ev.csv").write_text("ts\n" + "\n".join(f"2024-01-02 {h:02d}:05:00" for h in range(24)) + "\nbad\n")
     cli.run(spark, ["bocpd", str(tmp_path / "ev.csv"), str(tmp_path / "out2"), "--timestamp", "ts", "--bin-minutes", "60", "--set", "mean_run_length=10.0"])
     assert spark.read.parquet(str(tmp_path / "out2/changepoints")).count() >= 0
+
+
+def test_commands_demo_hazards_and_saved_draws(spark, tmp_path):
+    out = lambda name: str(tmp_path / name)
+    cli.run(spark, ["within_period", "demo", out("wp"), "--days", "40", "--save-draws", "--set", "period=96", "min_length=4", "chains=1", "iterations=300", "burn=100"])
+    cps = sorted(r.cp for r in spark.read.parquet(out("wp/changepoints")).collect())
+    assert len(cps) >= 2 and all(0 <= c < 96 for c in cps)
+    cli.run(spark, ["within_period", out("wp/draws"), out("again"), "--load"])
+    assert sorted(r.cp for r in spark.read.parquet(out("again/changepoints")).collect()) == cps
+    assert spark.read.option("header", True).csv(out("again/boundary_mass")).columns == ["series_id", "phase", "mass"]
+    cli.run(spark, ["bocpd", "demo", out("steps"), "--days", "2", "--steps", "--boost-phases", "28,84", "--period", "96", "--boost-factor", "20", "--set", "threshold=0.05"])
+    steps = {r.t: r for r in spark.read.parquet(out("steps/steps")).collect()}
+    assert len(steps) == 192 and "is_cp" in spark.read.option("header", True).csv(out("steps/steps_csv")).columns
+    # the hazard is raised at the phase: with no other evidence the change's probability is 20 times as high there
+    assert steps[28].cp_prob > 3 * steps[27].cp_prob and steps[124].cp_prob > 3 * steps[123].cp_prob
+    (tmp_path / "ev.csv").write_text("ts,v\n" + "".join(f"2024-01-0{1 + i // 24}T{i % 24:02d}:10:00,{i % 3}\n" for i in range(72)))
+    cli.run(spark, ["bocpd", out("ev.csv"), out("ev"), "--timestamp", "ts", "--bin-minutes", "60", "--value-column", "v", "--value-threshold", "0.5", "--days-span", "2", "--schedule", "0.1,0.2", "--steps"])
+    assert spark.read.parquet(out("ev/steps")).count() == 48
+    with pytest.raises(SystemExit):
+        cli.run(spark, ["partition", "demo", out("x"), "--steps"])
+    with pytest.raises(ValueError):
+        cli.run(spark, ["bocpd", "demo", out("x"), "--boost-phases", "3"])
+
+
+def test_models_shared_by_all_series_through_the_dispatcher(spark):
+    rows = [(f"s{i}", t, 5.0 * ((t // 8 + i) % 2) + ((t * 7 + i) % 5) / 10) for i in range(6) for t in range(48)]
+    series = spark.createDataFrame(rows, "series_id string, t long, value double")
+    found = detect(series, "hsmm", shared=True, mean_duration=6.0, longest=20, iterations=8)
+    assert sorted(r.cp for r in found.where("series_id = 's1'").collect()) == [8, 16, 24, 32, 40]
