@@ -9,20 +9,22 @@ item has.
    benchmark, and this aim loses nothing; a shingle that all items share is met
    only where an item has no other. Pairs with fewer shared shingles than the
    similarity needs are left out.
-2. Around each aimed start, item-sized windows are taken, as far to either side
-   as words put in or left out can shift a pair of that similarity.
-3. Each window's SimHash is compared with its item's by multi-index blocks:
-   fingerprints within ``radius`` bits agree on one of ``radius + 1`` blocks.
-4. Windows within the radius are verified by the exact weighted Jaccard
-   similarity of shingles, a shingle's weight being its count.
-
-At similarity 0.8 a guarantee over 64 bits takes blocks of two or three bits, which
-agree by chance; so the blocks bound the Hamming search, and the aim bounds the
-number of windows.
+2. Of each aimed document, every item-sized window is taken that holds as many places
+   of the item's shingles as the similarity needs, wherever and in whatever order.
+3. Each window's SimHash is compared with its item's. A bit is firm if its votes in the
+   item are more than a window of that similarity can turn; firm bits must agree, so
+   the number of the others is the item's own Hamming radius, and it loses nothing.
+   A fixed ``radius`` may be given beside, which can; it is met by multi-index blocks:
+   fingerprints within it agree on one of ``radius + 1`` blocks.
+4. The remaining windows are verified by the exact weighted Jaccard similarity of
+   shingles, a shingle's weight being its count.
+
+At similarity 0.8 few windows are left for the fingerprints to tell apart; the aim and
+the places bound the number of windows.
 
 Nulls, empties, repeats: null and empty texts on either side match nothing; a
 null doc_id or item_id is kept as such; rows that repeat doc_id and text give
-one row for each item; a very long text is searched whole; of windows that tie the
+one row for each item, as do benchmark rows that repeat item_id and words; a very long text is searched whole; of windows that tie the
 first is given; an empty table gives no rows; other columns, whatever their names,
 are ignored (drop_contaminated passes them through).
 """
@@ -36,13 +38,11 @@ from shiftspark.llm.common import fits_broadcast, stash, table
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-#: Pairs of similarity 0.8 differ in about 10 of 64 bits, by a deviation of 3: five deviations above.
-RADIUS = 26
 #: The benchmark's shingles are broadcast up to so many (about 32 bytes each), joined beyond.
 BROADCAST_SHINGLES = 500_000
-#: Documents that share enough with an item are broadcast up to so many, joined beyond.
+#: Pairs of a document and an item that share a rare shingle are broadcast up to so many, joined beyond.
 BROADCAST_PAIRS = 200_000
-#: Entries of their arrays together (12 bytes each at most).
+#: Shingles of broadcast items together (12 bytes each at most).
 BROADCAST_CELLS = 4_000_000
 
 
@@ -58,10 +58,33 @@ def shingles(hashes: Column, k: int) -> Column:
     return F.when(n >= k, each).otherwise(F.array().cast("array<bigint>"))
 
 
+def _bits(hashes: Column, chosen) -> Column:
+    """64 bits, each set where chosen(its votes for 1 less those for 0) holds."""
+    votes = lambda b: F.size(F.filter(hashes, lambda x: F.getbit(x, b) == 1)) * 2 - F.size(hashes)
+    bit = lambda acc, b: F.when(chosen(votes(b)), acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))).otherwise(acc)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), bit)
+
+
 def simhash(hashes: Column) -> Column:
     """64 bits, each set if set in over half of the hashes."""
-    bit = lambda acc, b: F.when(F.size(F.filter(hashes, lambda x: F.getbit(x, b) == 1)) * 2 > F.size(hashes), acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))).otherwise(acc)
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), bit)
+    return _bits(hashes, lambda votes: votes > 0)
+
+
+def firm_bits(hashes: Column, similarity: float) -> Column:
+    """The SimHash bits that no other hashes of that similarity, of as many or fewer, have otherwise."""
+    # hashes of either side without a partner move the votes by one each
+    alone = F.floor(F.size(hashes) * (2 * (1 - similarity) / (1 + similarity)) + 1e-6)
+    return _bits(hashes, lambda votes: (votes > alone) | (votes <= -alone))
+
+
+def full_starts(at: Column, need: Column, width: Column, last: Column) -> Column:
+    """Starts, up to last, of all runs of width places with need or more of those in at (ascending)."""
+    # each start is given with the first place of at that its run holds
+    left = lambda i: F.greatest(F.get(at, i + need - 1) - width + 1, F.coalesce(F.get(at, i - 1) + 1, F.lit(0)))
+    right = lambda i: F.least(F.get(at, i), last)
+    none = F.array().cast("array<int>")
+    runs = F.transform(F.sequence(F.lit(0), F.size(at) - need), lambda i: F.when(left(i) <= right(i), F.sequence(left(i), right(i))).otherwise(none))
+    return F.when(F.size(at) >= need, F.flatten(runs)).otherwise(none)
 
 
 def weighted_jaccard(a: Column, b: Column) -> Column:
@@ -72,9 +95,9 @@ def weighted_jaccard(a: Column, b: Column) -> Column:
 
 
 def items(benchmark: DataFrame) -> DataFrame:
-    """item_id, size (words), k, item_sh (shingle hashes), item_fp of items that have words."""
+    """item_id, size (words), k, item_sh (shingle hashes), item_fp of items that have words; rows that repeat are one."""
     hashed = benchmark.select("item_id", word_hashes(F.col("text")).alias("h")).where(F.size("h") > 0)
-    sized = hashed.select("item_id", F.size("h").alias("size"), F.least(F.size("h"), F.lit(SHINGLE_WORDS)).alias("k"), "h")
+    sized = hashed.select("item_id", F.size("h").alias("size"), F.least(F.size("h"), F.lit(SHINGLE_WORDS)).alias("k"), "h").distinct()
     chosen = F.coalesce(*[F.when(F.col("k") == k, shingles(F.col("h"), k)) for k in range(1, SHINGLE_WORDS + 1)])
     return sized.select("item_id", "size", "k", chosen.alias("item_sh")).withColumn("item_fp", simhash(F.col("item_sh")))
 
@@ -94,14 +117,18 @@ def light(df: DataFrame, array: str) -> bool:
     return (df.agg(F.sum(F.size(array))).first()[0] or 0) <= BROADCAST_CELLS
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """doc_id, item_id, start_word, n_words, similarity, hamming: the best window of each such pair."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int | None = None) -> DataFrame:
+    """doc_id, item_id, start_word, n_words, similarity, hamming: the best window of each such pair.
+
+    A radius leaves out the windows that are more bits than that from their item.
+    """
     return best_windows(docs, benchmark, similarity, radius).drop("tx")
 
 
-def best_windows(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def best_windows(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int | None = None) -> DataFrame:
     """contaminated(), and tx (a text's hash) beside."""
-    bench = stash(items(benchmark), "items")
+    least = similarity - 1e-9
+    bench = stash(items(benchmark).withColumn("item_firm", firm_bits(F.col("item_sh"), least)), "items")
     sizes = sorted(r["k"] for r in bench.select("k").distinct().collect())  # five values at most
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tx"), word_hashes(F.col("text")).alias("h"))
 
@@ -114,37 +141,41 @@ def best_windows(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     for more in by_size[1:]:
         placed = placed.unionByName(more)
     hits = placed.join(aimed, ["k", "s"])
-    pairs = stash(hits.groupBy("doc_id", "tx", "item_id", "size", "k").agg(F.collect_set(F.col("pos") - F.col("off")).alias("starts")), "pairs")
-    # how far a start can shift: a word put in or left out costs a shingle at least
-    slack = F.ceil((F.col("size") - F.col("k") + 1) * (1 / similarity - 1)).cast("int")
-    wanted = pairs.select(F.col("doc_id").alias("d"), F.col("tx").alias("t"), "item_id", "size", "k", "starts", slack.alias("slack"))
-    wanted = F.broadcast(wanted) if fits_broadcast(pairs, BROADCAST_PAIRS) and light(pairs, "starts") else wanted
-    own = bench.select(F.col("item_id").alias("i"), F.col("size").alias("i_size"), "item_sh", "item_fp")
+    pairs = stash(hits.select("doc_id", "tx", "item_id", "size", "k").distinct(), "pairs")
+    wanted = pairs.select(F.col("doc_id").alias("d"), F.col("tx").alias("t"), "item_id", "size", "k")
+    wanted = F.broadcast(wanted) if fits_broadcast(pairs, BROADCAST_PAIRS) else wanted
+    own = bench.select(F.col("item_id").alias("i"), F.col("size").alias("i_size"), "item_sh", "item_fp", "item_firm")
     own = F.broadcast(own) if fits_broadcast(bench, BROADCAST_SHINGLES // 50) and light(bench, "item_sh") else own
     raw = docs.select(F.col("doc_id").cast("long"), "text")
-    met = raw.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("t"))).select("doc_id", "t", "item_id", "size", "k", "starts", "slack", word_hashes(F.col("text")).alias("h"))
+    met = raw.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("t"))).select("doc_id", "t", "item_id", "size", "k", word_hashes(F.col("text")).alias("h"))
     whole = F.coalesce(*[F.when(F.col("k") == k, shingles(F.col("h"), k)) for k in sizes or [1]])
-    met = stash(met.withColumn("all", whole), "met").join(own, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("size") == F.col("i_size")))
+    met = met.select("doc_id", "t", "item_id", "size", "k", F.size("h").alias("n"), whole.alias("all"))
+    met = stash(met, "met").join(own, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("size") == F.col("i_size")))
     # places of the item whose shingle the document has, at most
     places = F.size(F.array_intersect("item_sh", "all")) + F.size("item_sh") - F.size(F.array_distinct("item_sh"))
-    met = met.where(places >= F.size("item_sh") * similarity - 1e-9)
-    last = F.greatest(F.size("h") - F.col("size"), F.lit(0))
-    near = F.flatten(F.transform("starts", lambda s: F.sequence(s - F.col("slack"), s + F.col("slack"))))
-    starts = F.array_distinct(F.transform(near, lambda s: F.least(F.greatest(s, F.lit(0)), last)))
-    windows = met.select("doc_id", "t", "item_id", "size", "k", "h", F.explode(starts).alias("start")).select("doc_id", "t", "item_id", "size", "k", "start", F.slice("h", F.col("start") + 1, F.col("size")).alias("w"))
-    chosen = F.coalesce(*[F.when(F.col("k") == k, shingles(F.col("w"), k)) for k in sizes or [1]])
+    met = met.where(places >= F.size("item_sh") * least)
+    width = F.least("n", "size") - F.col("k") + 1
+    need = F.greatest(F.ceil((F.size("item_sh") + width) * (least / (1 + least)) - 1e-9), F.lit(1)).cast("int")
+    held = F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda i: F.array_contains("item_sh", F.get("all", i)))
+    met = met.select("doc_id", "t", "item_id", "size", "n", "all", width.alias("width"), need.alias("need"), F.greatest(F.col("n") - F.col("size"), F.lit(0)).alias("last"), held.alias("at"))
+    starts = full_starts(F.col("at"), F.col("need"), F.col("width"), F.col("last"))
+    windows = met.select("doc_id", "t", "item_id", "size", "n", "all", "width", F.explode(starts).alias("start"))
+    chosen = F.slice("all", F.col("start") + 1, F.col("width"))
     # written, so that no filter is pushed into the lambdas that make the windows
-    windows = stash(windows.select("doc_id", "t", "item_id", "size", "start", F.size("w").alias("n_words"), chosen.alias("sh")), "windows")
+    windows = stash(windows.select("doc_id", "t", "item_id", "size", "start", F.least("n", "size").alias("n_words"), chosen.alias("sh")), "windows")
     windows = windows.where(F.size("sh") > 0).withColumn("fp", F.coalesce(simhash(F.col("sh")), F.lit(0).cast("long")))
 
     apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
-    agrees = F.lit(False)
-    for mask in _masks(radius + 1):
-        agrees = agrees | (apart.bitwiseAND(F.lit(mask)) == 0)
+    agrees = apart.bitwiseAND(F.col("item_firm")) == 0
+    if radius is not None:
+        shared = F.lit(False)
+        for mask in _masks(radius + 1):
+            shared = shared | (apart.bitwiseAND(F.lit(mask)) == 0)
+        agrees = agrees & shared & (F.bit_count(apart) <= radius)
     found = (
         windows.join(own, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("size") == F.col("i_size")))
-        .where(agrees).withColumn("hamming", F.bit_count(apart)).where(F.col("hamming") <= radius)
-        .withColumn("similarity", weighted_jaccard(F.col("sh"), F.col("item_sh"))).where(F.col("similarity") >= similarity - 1e-9)
+        .where(agrees).withColumn("hamming", F.bit_count(apart))
+        .withColumn("similarity", weighted_jaccard(F.col("sh"), F.col("item_sh"))).where(F.col("similarity") >= least)
     )
     best = F.max_by(F.struct("start", "n_words", "similarity", "hamming"), F.struct("similarity", -F.col("start")))
     return found.groupBy("doc_id", "t", "item_id").agg(best.alias("b")).select("doc_id", F.col("t").alias("tx"), "item_id", F.col("b.start").alias("start_word"), "b.n_words", "b.similarity", "b.hamming")

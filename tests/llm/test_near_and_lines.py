@@ -413,6 +413,60 @@ def test_decontamination_on_odd_rows(spark):
     assert sorted(r.text for r in decontam.drop_contaminated(twice, bench((7, "a b c d"))).collect()) == ["more words", "other words"]
 
 
+def test_decontamination_finds_moved_parts_repeats_and_far_fingerprints(spark):
+    rng = random.Random(11)
+    long = " ".join(f"x{i}" for i in range(60)).split()
+    own = lambda i: [f"y{i}x{j}" for j in range(rng.randint(50, 70))]
+    few = [rng.choice(["p", "q", "r"]) for _ in range(40)]
+    turns = ["ta", "bo"] * 6 + ["ta"]
+    parts = [own(i) for i in range(12)]
+    items = [(0, long), (1, few), (2, turns), *[(i + 10, v) for i, v in enumerate(parts)]]
+    short = [[f"z{i}x{j}" for j in range(13)] for i in range(20)]
+    items += [(30 + i, v) for i, v in enumerate(short)] * 3  # repeated rows
+    docs = [(0, ["j1", "j2", *long[30:], *long[:30], "j3"]), (1, [*few[15:], *few[:15], *few]), (2, ["bo", "ta"] * 6 + ["bo"]), (3, long[:55]), (4, turns * 3)]
+    for i, v in enumerate(parts):
+        at = rng.randint(10, len(v) - 10)
+        moved = v[at:] + v[:at]
+        if i % 3 == 0:  # three parts, in another order
+            a, b = sorted(rng.sample(range(5, len(v) - 5), 2))
+            moved = v[b:] + v[a:b] + v[:a]
+        docs.append((10 + i, [f"n{j}" for j in range(rng.randint(0, 90))] + moved + v[: rng.choice([0, 20])]))
+    for i, v in enumerate(short):
+        docs += [(40 + i, ["other", *v[1:], "more"]), (60 + i, ["more", *v[:-1], "other"])]
+    want = {}
+    for i, d in docs:
+        for j, b in items:
+            sim, start = best_window(" ".join(d), " ".join(b))
+            if sim >= 0.8 - 1e-9:
+                want[i, j] = (round(sim, 9), start)
+    table = lambda rows, schema: spark.createDataFrame([(i, " ".join(v)) for i, v in rows], schema)
+    rows = decontam.contaminated(documents(spark, [(i, " ".join(v)) for i, v in docs + docs[:3]]), table(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start_word) for r in rows} == want and len(rows) == len(want)
+    assert {(0, 0), (1, 1), (2, 2), (40, 30), (60, 30)} <= set(want) and len(want) > 50
+    assert max(r.hamming for r in rows) > 26
+
+
+def test_decontamination_equals_brute_force_on_few_words(spark):
+    rng = random.Random(12)
+    text = lambda n, words: [rng.choice(words) for _ in range(n)]
+    items = [(i, text(rng.choice([3, 6, 9, 13, 20, 40]), rng.choice(["ab", "abc", "abcdefgh"]))) for i in range(24)]
+    items += [(i, rng.choice(items)[1]) for i in range(20, 26)]  # ids that repeat
+    docs = []
+    for i in range(50):
+        v = list(rng.choice(items)[1])
+        at = rng.randrange(len(v))
+        docs.append((i, text(rng.choice([0, 0, 8]), "abc") + v[at:] + v[:at] + text(rng.choice([0, 0, 30]), "ab")))
+    want = {}
+    for i, d in docs:
+        for j, b in items:
+            sim, start = best_window(" ".join(d), " ".join(b))
+            if sim >= 0.8 - 1e-9:
+                want[i, j] = max(want.get((i, j), (0, 0)), (round(sim, 9), -start))
+    items = spark.createDataFrame([(i, " ".join(v)) for i, v in items], "item_id long, text string")
+    rows = decontam.contaminated(documents(spark, [(i, " ".join(v)) for i, v in docs]), items).collect()
+    assert {(r.doc_id, r.item_id): (round(r.similarity, 9), -r.start_word) for r in rows} == want and len(want) > 30
+
+
 def test_simhash_column_is_the_majority_of_bits(spark):
     df = spark.createDataFrame([([1, 3, -1],), ([5],), ([],)], "h array<bigint>")
     assert [r.x for r in df.select(decontam.simhash(F.col("h")).alias("x")).collect()] == [3, 5, 0]
