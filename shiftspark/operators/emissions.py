@@ -359,6 +359,15 @@ def _spans(X: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0) * (X.shape[1] / np.maximum(there.sum(axis=1), 1))[:, None]
 
 
+def _spans_in_order(X: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """_spans() by differences, added in the order of dimensions, which rounds as a plain sum in SQL does."""
+    out, there = np.zeros((len(X), len(centres))), ~np.isnan(X)
+    for own, present, c in zip(X.T, there.T, centres.T):
+        step = np.where(present, own, 0.0)[:, None] - np.where(present[:, None], c, 0.0)
+        out += step * step
+    return out * (X.shape[1] / np.maximum(there.sum(axis=1), 1))[:, None]
+
+
 def _seeds(pool: np.ndarray, k: int, rng: np.random.Generator, weights: np.ndarray) -> np.ndarray:
     """k points by k-means++ among weighted ones."""
     centres = pool[[int(rng.choice(len(pool), p=weights / weights.sum()))]]
@@ -368,10 +377,10 @@ def _seeds(pool: np.ndarray, k: int, rng: np.random.Generator, weights: np.ndarr
     return centres
 
 
-def _sums(X: np.ndarray, centres: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+def _sums(X: np.ndarray, centres: np.ndarray, weights: np.ndarray | None = None, spans=_spans) -> tuple[np.ndarray, np.ndarray, float]:
     """(counts and sums of each centre and dimension, inertia)"""
     counts, sums = np.zeros(centres.shape), np.zeros(centres.shape)
-    own = _spans(X, centres)
+    own = spans(X, centres)
     at, there = own.argmin(axis=1), ~np.isnan(X)
     by = np.ones(len(X)) if weights is None else weights
     np.add.at(counts, at, there * by[:, None])
@@ -383,7 +392,7 @@ def _points(frame: pd.DataFrame) -> np.ndarray:
     return np.array(frame["_x"].tolist(), float).reshape(len(frame), -1)
 
 
-def _lloyd(data: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def _lloyd(data: DataFrame, centres: np.ndarray, spans=_spans) -> tuple[np.ndarray, np.ndarray, float]:
     """_sums() of all rows, in one scan and an aggregate of 2 k d + 1 numbers."""
     k, d = centres.shape
 
@@ -391,7 +400,7 @@ def _lloyd(data: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray
         total = np.zeros(2 * k * d + 1)
         for frame in batches:
             if len(frame):
-                counts, sums, inertia = _sums(_points(frame), centres)
+                counts, sums, inertia = _sums(_points(frame), centres, spans=spans)
                 total += np.concatenate([counts.ravel(), sums.ravel(), [inertia]])
         yield pd.DataFrame({"total": [total.tolist()]})
 
@@ -403,9 +412,12 @@ def _lloyd(data: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def kmeans_step(rows: DataFrame, centres: np.ndarray, x: str = "x") -> DataFrame:
-    """cluster, dim, n, mean of the rows nearest to each given centre; a cluster or dimension without any keeps its centre."""
+    """cluster, dim, n, mean of the rows nearest to each given centre; a cluster or dimension without any keeps its centre.
+
+    A row as near to two centres goes to the one that differences summed in the order of dimensions, as SQL sums them, put first.
+    """
     data = rows.select(F.transform(F.col(x).cast("array<double>"), lambda v: F.coalesce(v, F.lit(float("nan")))).alias("_x"))
-    counts, sums, _ = _lloyd(data, centres)
+    counts, sums, _ = _lloyd(data, centres, _spans_in_order)
     means = np.where(counts > 0, sums / np.maximum(counts, 1), centres)
     k, d = centres.shape  # so many numbers, whatever the rows
     return rows.sparkSession.createDataFrame([(i, j, int(counts[i, j]), float(means[i, j])) for i in range(k) for j in range(d)], "cluster int, dim int, n long, mean double")

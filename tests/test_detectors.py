@@ -3,6 +3,7 @@
 import itertools
 import math
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from shiftspark.operators import bocpd, boundaries, emissions, energy, kernels, pairs, pointprocess, scoring, statespace, synthetic
 from shiftspark.operators import periodic as wp
 from shiftspark.operators import segmentation as seg
+from shiftspark.plans import registry
 
 
 def frame(spark, values, kind="double", sid="a"):
@@ -357,6 +359,29 @@ def test_kmeans_with_holes_and_lost_clusters(spark):
     assert emissions.kmeans(same, 3, ["t"]).count() == 5 and emissions.kmeans(same.where("false"), 2, ["t"]).count() == 0
 
 
+def test_kmeans_step_takes_ties_as_its_sql_does(spark, tmp_path):
+    """Rows exactly as far from their two nearest centres, in units of 1e-8."""
+    rng, rows = np.random.default_rng(1), []
+    j, i = np.arange(4)[:, None], np.arange(64)[None, :]
+    c = (i * 3 + j * 5) % 7 - 3
+    while len(rows) < 400:
+        m = np.round(rng.normal(size=64) / 8 * 1e4).astype(int)
+        a, b = np.argsort(((m - 500 * c) ** 2).sum(axis=1))[:2]
+        gap, step = divmod(int(((m - 500 * c[b]) ** 2).sum() - ((m - 500 * c[a]) ** 2).sum()), 1000), c[b] - c[a]
+        at = np.flatnonzero(np.where(step == 0, False, gap[0] % np.where(step == 0, 1, step) == 0))
+        if gap[1] or not len(at):
+            continue
+        m[at[0]] += gap[0] // step[at[0]]
+        d = np.sort(((m - 500 * c) ** 2).sum(axis=1))
+        if d[0] == d[1]:
+            rows.append((len(rows), (m / 1e4).tolist(), len(rows) % 10))
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = duck.sql(registry.ORACLE_SQL["kmeans_step"]).fetchall()
+    assert sorted(map(tuple, registry.QUERIES["kmeans_step"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_full_gaussians(spark):
     rng = np.random.default_rng(5)
     x = np.vstack([rng.multivariate_normal([0, 0], [[1, 0.5], [0.5, 2]], 200), rng.multivariate_normal([4, 4], [[1, 0], [0, 1]], 200)])
