@@ -166,7 +166,9 @@ class Detector:
         R, a, b, t = state["R"], state["a"], state["b"], state["t"]
         a0, b0 = self.likelihood.prior()
         missing = x is None or (isinstance(x, float) and math.isnan(x))
-        mean = float(R @ self.likelihood.mean(a, b))
+        means, likeliest = self.likelihood.mean(a, b), int(R.argmax())
+        # from the likeliest one's on, so that the rounding of a sum of probabilities of about 1 does not shift it
+        mean = float(means[likeliest] + R @ (means - means[likeliest]))
         h = self.hazard(np.arange(len(R)), t)
         if missing:
             lp, lp0 = np.zeros(len(R)), 0.0

@@ -359,6 +359,17 @@ def test_kmeans_with_holes_and_lost_clusters(spark):
     assert emissions.kmeans(same, 3, ["t"]).count() == 5 and emissions.kmeans(same.where("false"), 2, ["t"]).count() == 0
 
 
+def test_expected_counts_that_end_on_half_a_digit_are_not_shifted():
+    """A mean over 64, 128 or 256 of a run length that is all but certain, beside its exact value."""
+    detector = bocpd.Detector(bocpd.PoissonGamma(), bocpd.ConstantHazard(48), max_run_length=8192)
+    for seed in range(6):
+        counts, state = np.random.default_rng(seed).poisson(270, 256), detector.start()
+        for n, x in enumerate(counts, 1):
+            state, out = detector.step(state, float(x))
+            if n in (64, 128, 256):
+                assert out[2] == (1 + counts[: n - 1].sum()) / n
+
+
 def test_kmeans_step_takes_ties_as_its_sql_does(spark, tmp_path):
     """Rows exactly as far from their two nearest centres, in units of 1e-8."""
     rng, rows = np.random.default_rng(1), []
